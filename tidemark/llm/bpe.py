@@ -196,7 +196,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             encoded = model.encode([x or "" for x in batch.column(1).to_pylist()])
             columns = {
                 "doc_id": batch.column(0).cast(pa.int64()),
-                "n_tokens": pa.array(map(len, encoded), pa.int64(), batch.num_rows),
+                "n_tokens": pa.array([len(e) for e in encoded], pa.int64()),
                 "ids_sha256": [_sha256(",".join(map(model.names.__getitem__, e.tolist()))) for e in encoded],
                 "decoded_sha256": [_sha256(model.decode(e)) for e in encoded],
             }
