@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, knn, lines, packing, webp
 from tidemark.llm.text import documents
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.features(webp.store(documents(spark, sf_dir)))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -17,10 +27,48 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = knn.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return knn.top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), 10)
+
+
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op5_webp": op5_webp,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
+    "op10_knn": op10_knn,
 }
 
-#: None of these can be written in SQL: tokenizers, models and floating-point training.
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators can't be written in SQL: tokenizers, trained models, stored media.
+ORACLE_SQL = {
+    "op4_line_dedup": r"""
+        with lines as (
+            select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+            from documents
+        ), keyed as (
+            select doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from lines
+        ), owned as (
+            select *, min(doc_id) over (partition by key) as owner from keyed
+        ), judged as (
+            select *, length(key) >= 10 and owner <> doc_id as gone from owned
+        )
+        select doc_id, count(*)::bigint as n_lines, (count(*) filter (where gone))::bigint as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+        from judged group by doc_id
+    """,
+    "op10_knn": r"""
+        with whole as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+            from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+        )
+        select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+        from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
+    """,
+}
