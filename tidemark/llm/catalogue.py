@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn, lines, packing, webp
+from tidemark.llm import bpe, knn, lines, minhash, packing, webp
 from tidemark.llm.text import documents
 
 
@@ -27,6 +27,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(documents(spark, sf_dir))
+
+
 def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = knn.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return knn.top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), 10)
@@ -37,6 +41,7 @@ QUERIES = {
     "op5_webp": op5_webp,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
+    "op9_minhash": op9_minhash,
     "op10_knn": op10_knn,
 }
 
