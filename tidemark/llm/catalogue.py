@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn, lines, minhash, packing, webp
+from tidemark.llm import bpe, knn, lines, minhash, packing, suffixes, webp
 from tidemark.llm.text import documents
 
 
@@ -19,6 +19,10 @@ def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.features(webp.store(documents(spark, sf_dir)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,6 +43,7 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_webp": op5_webp,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
