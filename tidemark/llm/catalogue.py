@@ -6,8 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn, lines, minhash, packing, suffixes, webp
-from tidemark.llm.text import documents
+from tidemark.llm import bpe, knn, lines, minhash, packing, suffixes, toxicity, webp
+from tidemark.llm.text import crc_mod, documents
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(3) != 1)
+    scored = toxicity.fit(docs, labels).score(docs)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", predicted)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +49,7 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_webp": op5_webp,
     "op6_suffix_dedup": op6_suffix_dedup,
