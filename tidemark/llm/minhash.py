@@ -1,11 +1,15 @@
 """Near-duplicate documents by a join on MinHash signature coordinates, confirmed on full shingle sets.
 
-Documents of equal shingle sets form a class, represented by its smallest id. A class is posted under each of its first
-``PREFIX`` (coordinate, value) pairs: two signatures that agree in ``MATCHES`` of ``COORDINATES`` places must agree in
-one of those. Lists of one posting are skipped. In the first round each list gives only the pairs of its smallest member
-with the others; pairs below the match threshold go, the others are confirmed on full sets, and links join components.
-The second round takes, of the lists that hold several components, the pairs across components that no round has tested.
-Pairs within a component need no test, so a list of copies gives about as many pairs as it has members, yet no link
+Documents of equal shingle sets form a class, represented by its smallest id. A class is posted under its signature's
+(coordinate, value) pairs. Pairs that no other class has can't collide and are skipped; a class with fewer others than
+``MATCHES`` is skipped whole. Of the others it is posted under the rarest only, so many that two classes that agree in
+``MATCHES`` of ``COORDINATES`` places meet in one list at least. Each list gives the pairs of its smallest member with
+the others; their collisions are counted, pairs below ``MATCHES`` go, the others are confirmed on full sets, and links
+join components.
+
+A second round finds the links that such stars miss. It takes the classes in lists that hold several components, and
+joins them on their full sets, again by the rarest elements, as many as a pair of the wanted similarity must share one
+of; only pairs across components are made. So a list of copies gives about as many pairs as it has members, yet no link
 between components is lost.
 
 Defined results: texts without words have no set and no links; texts with fewer words than a shingle have one shingle.
@@ -30,7 +34,6 @@ from tidemark.llm.text import batches, mixed, texts, window_codes, word_codes, w
 WIDTH, PERCENT = 5, 85
 #: Signature length and the least number of equal places. At a similarity of 0.85 fewer have a chance of about 2e-6.
 COORDINATES, MATCHES = 64, 40
-PREFIX = COORDINATES - MATCHES + 1
 
 _draws = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _OFFSETS = _draws[:COORDINATES] | np.uint64(1), _draws[COORDINATES:]
@@ -87,6 +90,20 @@ def equal_places(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, hit: n + hit)
 
 
+def rarest(held: DataFrame, least: Column) -> DataFrame:
+    """The lists that a join needs: ``id`` and ``element`` of the rarest elements of each id.
+
+    ``held`` has a row for each ``id`` and ``element``. Two ids that share at least the larger of their ``least``
+    elements share one of those returned. ``least`` is an aggregate over the id's rows, elements of its own included.
+    """
+    needed = held.groupBy("id").agg(least.alias("least"))
+    counts = held.groupBy("element").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = held.join(counts, "element").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("e"))
+    spare = F.size("e") - F.col("least") + 1
+    posted = shared.join(needed, "id").filter(spare > 0).select("id", F.explode(F.slice("e", 1, spare.cast("int"))).alias("e"))
+    return posted.select("id", F.col("e.element").alias("element"))
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for each document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``n_links``.
 
@@ -96,44 +113,44 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     every = checkpointed(signed(docs, width))
     some = every.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = checkpointed(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    signs = classes.select("id", "sig")
-    posts = classes.select("id", F.posexplode(F.slice("sig", 1, PREFIX)).alias("at", "value"))
-    posts = posts.select("id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND((1 << 32) - 1)).alias("post"))
-    lists = posts.groupBy("post").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    lists = checkpointed(posts.join(lists, "post").select("post", "id", "a"))
+    posts = classes.select("id", F.posexplode("sig").alias("at", "value"))
+    value = F.col("value").cast("long").bitwiseAND((1 << 32) - 1)
+    posts = posts.select("id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(value).alias("element"))
+    posted = checkpointed(rarest(posts, F.lit(MATCHES)))
+    firsts = posted.groupBy("element").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    lists = checkpointed(posted.join(firsts, "element"))
     stars = lists.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        x, y = signs.withColumnsRenamed({"id": "a", "sig": "x"}), signs.withColumnsRenamed({"id": "b", "sig": "y"})
-        joined = pairs.join(x, "a").join(y, "b")
-        return checkpointed(joined.filter(equal_places(F.col("x"), F.col("y")) >= MATCHES).select("a", "b"))
+    alive = lists.select(F.col("id").alias("doc_id")).distinct()
+    sets = checkpointed(shingle_sets(docs.select("doc_id", "text").join(alive, "doc_id", "left_semi"), width))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = checkpointed(shingle_sets(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), width))
         x, y = sets.withColumnsRenamed({"id": "a", "codes": "x"}), sets.withColumnsRenamed({"id": "b", "codes": "y"})
         both = F.size(F.array_intersect("x", "y"))
-        union = F.size("x") + F.size("y") - both
-        linked = pairs.join(y, "b").join(x, "a").filter(100 * both >= percent * union)
+        linked = pairs.join(y, "b").join(x, "a").filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
         return checkpointed(linked.select("a", "b").distinct())
 
-    first = alike(stars)
-    links = confirmed(first)
+    signs = classes.select("id", "sig").join(alive.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    x, y = signs.withColumnsRenamed({"id": "a", "sig": "x"}), signs.withColumnsRenamed({"id": "b", "sig": "y"})
+    counted = stars.join(x, "a").join(y, "b").filter(equal_places(F.col("x"), F.col("y")) >= MATCHES)
+    links = confirmed(counted.select("a", "b"))
     labels = components(links)
+
     label = labels.select("id", F.col("component").alias("label"))
-    mixed_lists = lists.join(label, "id", "left").select("post", "id", F.coalesce("label", "id").alias("label"))
-    several = mixed_lists.groupBy("post").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    rest = checkpointed(mixed_lists.join(several.select("post"), "post"))
-    x, y = rest.withColumnsRenamed({"id": "a", "label": "p"}), rest.withColumnsRenamed({"id": "b", "label": "q"})
-    across = x.join(y, "post").filter("a < b and p <> q").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = alike(across)
-    if not second.isEmpty():
-        links = links.union(confirmed(second))
+    marked = lists.select("element", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = marked.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    again = checkpointed(marked.join(several.select("element"), "element").select("id", "label").distinct())
+    held = sets.join(again.select("id"), "id", "left_semi").distinct().select("id", F.explode("codes").alias("element"))
+    met = rarest(held, F.ceil(F.count("*") * percent / 100)).join(again, "id")
+    x, y = met.withColumnsRenamed({"id": "a", "label": "p"}), met.withColumnsRenamed({"id": "b", "label": "q"})
+    across = x.join(y, "element").filter("a < b and p <> q").select("a", "b").distinct()
+    more = confirmed(across)
+    if not more.isEmpty():
+        links = links.union(more)
         labels = components(links)
 
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     found = classes.select("digest", "id").join(labels, "id", "left").join(ends, "id", "left")
-    found = found.select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = found.select("digest", F.coalesce("component", "id").alias("component"), "n_links")
     out = every.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
@@ -142,5 +159,5 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
