@@ -167,7 +167,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     kept = checkpointed(kept_suffixes(docs))
     shared = kept.groupBy("head").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    at = kept.join(shared.select("head"), "head").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    shared = checkpointed(shared.select("head"))  # an input of its own, so that Spark can split a frequent head's rows
+    at = kept.join(shared, "head").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     rows = _surroundings(docs.select("doc_id", "text").join(at, "doc_id"))
     order = ["head", "right", "left", "doc_id", "pos"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
