@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn, lines, minhash, packing, suffixes, toxicity, webp
+from tidemark.llm import bpe, knn, lines, lm, minhash, packing, suffixes, toxicity, webp
 from tidemark.llm.text import crc_mod, documents
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.coalesce(crc_mod(10) != 0, F.lit(False))
+    scored = lm.score(documents(spark, sf_dir), training)
+    return scored.select("doc_id", (~training).alias("held_out"), *scored.columns[1:])
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(3) != 1)
@@ -49,6 +55,7 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_webp": op5_webp,

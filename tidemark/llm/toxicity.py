@@ -274,6 +274,21 @@ class Model:
         return x.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
+    def keep(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        """The rows of ``docs`` whose score is below the threshold, as they are."""
+        terms, clean, weights = self.terms, self.clean, self.weights
+        place = docs.columns.index("text")
+
+        def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(terms, clean)
+            for batch in batches(it, 1000):
+                x = np.array([scorer.features(t) for t in batch.column(place).to_pylist()]).reshape(-1, len(FEATURES))
+                score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -60, 60)))
+                yield batch.filter(pa.array(score < threshold))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled documents (``labels`` has ``doc_id`` and ``toxic``), of at most ``sample`` of them."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
