@@ -2,9 +2,9 @@
 
 Documents of equal shingle sets form a class, represented by its smallest id. A class is posted under its signature's
 (coordinate, value) pairs. Pairs that no other class has can't collide and are skipped; a class with fewer others than
-``MATCHES`` is skipped whole. Of the others it is posted under the rarest only, so many that two classes that agree in
-``MATCHES`` of ``COORDINATES`` places meet in one list at least. Each list gives the pairs of its smallest member with
-the others; their collisions are counted, pairs below ``MATCHES`` go, the others are confirmed on full sets, and links
+the match threshold is skipped whole. Of the others it is posted under the rarest only, so many that two classes that
+agree in as many places as the threshold meet in one list at least. Each list gives the pairs of its smallest member
+with the others; their collisions are counted, pairs below the threshold go, the others are confirmed on full sets, and links
 join components.
 
 A second round finds the links that such stars miss. It takes the classes in lists that hold several components, and
@@ -32,13 +32,20 @@ from tidemark.llm.text import batches, mixed, texts, window_codes, word_codes, w
 
 #: Words of a shingle, and percent of the union that two sets share at least.
 WIDTH, PERCENT = 5, 85
-#: Signature length and the least number of equal places. At a similarity of 0.85 fewer have a chance of about 2e-6.
-COORDINATES, MATCHES = 64, 40
+#: Signature length, and how many standard deviations below its mean the number of equal places may be: pairs of just
+#: the wanted similarity are below that with a chance of about 2e-6, closer ones with a smaller one.
+COORDINATES, DEVIATIONS = 64, 4.75
 
 _draws = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _OFFSETS = _draws[:COORDINATES] | np.uint64(1), _draws[COORDINATES:]
 
 
+def match_threshold(percent: int) -> int:
+    """The least number of equal places of two signatures whose sets are ``percent`` similar."""
+    mean = COORDINATES * percent / 100
+    return max(1, int(mean - DEVIATIONS * (mean * (1 - percent / 100)) ** 0.5))
+
+
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted set of codes of the text's shingles."""
     return np.unique(window_codes(word_codes(words(text)), width))
@@ -110,13 +117,14 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     ``component_id`` is the smallest id it reaches over links, itself included; ``kept`` says whether that is its own.
     ``n_links`` counts the confirmed links of its class that were needed to find its component.
     """
+    matches = match_threshold(percent)
     every = checkpointed(signed(docs, width))
     some = every.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = checkpointed(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     posts = classes.select("id", F.posexplode("sig").alias("at", "value"))
     value = F.col("value").cast("long").bitwiseAND((1 << 32) - 1)
     posts = posts.select("id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(value).alias("element"))
-    posted = checkpointed(rarest(posts, F.lit(MATCHES)))
+    posted = checkpointed(rarest(posts, F.lit(matches)))
     firsts = posted.groupBy("element").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     lists = checkpointed(posted.join(firsts, "element"))
     stars = lists.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -131,7 +139,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     signs = classes.select("id", "sig").join(alive.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     x, y = signs.withColumnsRenamed({"id": "a", "sig": "x"}), signs.withColumnsRenamed({"id": "b", "sig": "y"})
-    counted = stars.join(x, "a").join(y, "b").filter(equal_places(F.col("x"), F.col("y")) >= MATCHES)
+    counted = stars.join(x, "a").join(y, "b").filter(equal_places(F.col("x"), F.col("y")) >= matches)
     links = confirmed(counted.select("a", "b"))
     labels = components(links)
 
