@@ -9,7 +9,8 @@ join components.
 
 A second round finds the links that such stars miss. It takes the classes in lists that hold several components, and
 joins them on their full sets, again by the rarest elements, as many as a pair of the wanted similarity must share one
-of; only pairs across components are made. So a list of copies gives about as many pairs as it has members, yet no link
+of. The smaller set of a pair must hold the first of these among even fewer, and both must have enough elements left
+after it; only such pairs across components are made. So a list of copies gives about as many pairs as it has members, yet no link
 between components is lost.
 
 Defined results: texts without words have no set and no links; texts with fewer words than a shingle have one shingle.
@@ -102,13 +103,16 @@ def rarest(held: DataFrame, least: Column) -> DataFrame:
 
     ``held`` has a row for each ``id`` and ``element``. Two ids that share at least the larger of their ``least``
     elements share one of those returned. ``least`` is an aggregate over the id's rows, elements of its own included.
+    ``size`` is the number of an id's elements, ``at`` the place of this one among them, the rarest first.
     """
-    needed = held.groupBy("id").agg(least.alias("least"))
+    needed = held.groupBy("id").agg(least.alias("least"), F.count("*").alias("size"))
     counts = held.groupBy("element").agg(F.count("*").alias("n")).filter("n > 1")
     shared = held.join(counts, "element").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("e"))
     spare = F.size("e") - F.col("least") + 1
-    posted = shared.join(needed, "id").filter(spare > 0).select("id", F.explode(F.slice("e", 1, spare.cast("int"))).alias("e"))
-    return posted.select("id", F.col("e.element").alias("element"))
+    posted = shared.join(needed, "id").filter(spare > 0)
+    posted = posted.select("id", "size", F.size("e").alias("shared"), F.posexplode(F.slice("e", 1, spare.cast("int"))).alias("at", "e"))
+    at = F.col("size") - F.col("shared") + F.col("at")
+    return posted.select("id", F.col("e.element").alias("element"), "size", at.alias("at"))
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -124,7 +128,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     posts = classes.select("id", F.posexplode("sig").alias("at", "value"))
     value = F.col("value").cast("long").bitwiseAND((1 << 32) - 1)
     posts = posts.select("id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(value).alias("element"))
-    posted = checkpointed(rarest(posts, F.lit(matches)))
+    posted = checkpointed(rarest(posts, F.lit(matches)).select("id", "element"))
     firsts = posted.groupBy("element").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     lists = checkpointed(posted.join(firsts, "element"))
     stars = lists.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -149,8 +153,12 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     again = checkpointed(marked.join(several.select("element"), "element").select("id", "label").distinct())
     held = sets.join(again.select("id"), "id", "left_semi").distinct().select("id", F.explode("codes").alias("element"))
     met = rarest(held, F.ceil(F.count("*") * percent / 100)).join(again, "id")
-    x, y = met.withColumnsRenamed({"id": "a", "label": "p"}), met.withColumnsRenamed({"id": "b", "label": "q"})
-    across = x.join(y, "element").filter("a < b and p <> q").select("a", "b").distinct()
+    x, y = (met.select(F.col("id").alias(i), "element", *(F.col(c).alias(f"{c}_{i}") for c in ("label", "size", "at"))) for i in "ab")
+    x = x.filter((100 + percent) * (F.col("size_a") - F.col("at_a")) >= 2 * percent * F.col("size_a"))
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = (100 + percent) * left >= percent * (F.col("size_a") + F.col("size_b"))
+    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    across = x.join(y, "element").filter((F.col("label_a") != F.col("label_b")) & smaller & enough).select("a", "b").distinct()
     more = confirmed(across)
     if not more.isEmpty():
         links = links.union(more)
