@@ -35,7 +35,8 @@ STEMS, SPREAD = range(4, 9), 1.5
 #: Words on each side of a hit that belong to its context, and the weight of a hit in quotation marks.
 WINDOW, QUOTED = 6, 0.25
 THRESHOLD = 0.7
-WORDS_KEPT = 500_000
+#: Words that a task remembers, and terms that it counts before it hands them on.
+WORDS_KEPT, TERMS_HELD = 150_000, 100_000
 
 _MARKS = ".,;:!?()[]{}…'’`*_~-–—"
 _QUOTES = "\"“”„«»‹›"
@@ -185,7 +186,20 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
-        for batch in it:
+
+        def out() -> pa.RecordBatch:
+            terms = list(counts[1])
+            columns = [
+                [t for t, _ in terms],
+                [s for _, s in terms],
+                pa.array([counts[0][t] for t in terms], pa.int64()),
+                pa.array([counts[1][t] for t in terms], pa.int64()),
+            ]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_pydict(dict(zip(("term", "stem", "toxic", "total"), columns, strict=True)))
+
+        for batch in batches(it, 200):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = {w for t in set((text or "").lower().split()) if (w := _bare(t))}
                 stems = {(w[:n], True) for w in found for n in STEMS if len(w) > n}
@@ -193,16 +207,10 @@ def _term_counts(sample: DataFrame) -> DataFrame:
                 counts[1].update(held)
                 if toxic:
                     counts[0].update(held)
-        terms = list(counts[1])
-        for i in range(0, len(terms), 50_000):
-            part = terms[i : i + 50_000]
-            columns = [
-                [t for t, _ in part],
-                [s for _, s in part],
-                pa.array([counts[0][t] for t in part], pa.int64()),
-                pa.array([counts[1][t] for t in part], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_pydict(dict(zip(("term", "stem", "toxic", "total"), columns, strict=True)))
+            if len(counts[1]) > TERMS_HELD:
+                yield out()
+        if counts[1]:
+            yield out()
 
     made = sample.select("text", "toxic").mapInArrow(run, "term string, stem boolean, toxic long, total long")
     return made.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
