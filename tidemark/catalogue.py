@@ -1,6 +1,860 @@
-"""Registered queries over the driver's tables, each with DuckDB SQL for the same rows."""
+"""Registered queries over the driver's tables, each with DuckDB SQL for the same rows.
+
+Each applies library operators to the test tables in the shape of raw tables (``sources.testbed``).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.scalar import backoff, epoch_of, guarded_ratio, json_field, plausible_token
+from tidemark.operators import ohlc, planning, profile, quality, scope, upsert
+from tidemark.plans import models
+from tidemark.sources import testbed as bed
+from tidemark.sources.testbed import with_tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NOW = datetime(2024, 2, 1)
+_NOW = "timestamp '2024-02-01'"
+_NOW_EPOCH = 1_706_745_600
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return models.build(bed.raw_tables(spark, sf_dir), bed.SCOPE)
+
+
+def _model(name: str, sql: str) -> None:
+    """Register a model as a query."""
+    QUERIES[name] = lambda spark, sf_dir: _frames(spark, sf_dir)[name]
+    ORACLE_SQL[name] = sql
+
+
+# Models ---------------------------------------------------------------------------------------------------------------
+
+_model("stg_markets", with_tables("markets") + "select * from markets")
+_model("stg_market_tokens", with_tables("tokens") + "select * from tokens")
+_model("stg_odds", with_tables("odds") + "select * from odds")
+_model(
+    "stg_odds_daily",
+    with_tables("daily")
+    + "select *, null::timestamp as refreshed_at, make_timestamp(first_timestamp * 1000000) as first_observed_at, "
+    "make_timestamp(last_timestamp * 1000000) as last_observed_at from daily",
+)
+_model("stg_sync_ledger", with_tables("ledger") + "select * from ledger")
+_model("stg_token_sync_skips", with_tables("skips") + "select * from skips")
+_model("int_token_universe", with_tables("universe") + "select * from universe")
+_model("int_scoped_markets", with_tables("scoped") + "select * from scoped")
+_model(
+    "int_scoped_universe",
+    with_tables("universe", "scoped") + "select * from universe where market_id in (select market_id from scoped)",
+)
+_model("int_token_timeseries", with_tables("series") + "select * from series")
+_model("int_token_daily_timeseries", with_tables("daily_series") + "select * from daily_series")
+_model(
+    "scoped_markets",
+    with_tables("scoped")
+    + "select market_id, question, description, category, outcomes, volume, is_active, is_closed, created_at, scraped_at, end_date, slug, event_slug from scoped",
+)
+_model("scoped_minutely_odds", with_tables("minutely") + "select * from minutely")
+_model("whale_minutely_odds", with_tables("minutely") + "select * from minutely where coalesce(market_volume_usd, 0) >= 100000")
+_model(
+    "scoped_daily_odds",
+    with_tables("universe", "scoped", "daily")
+    + """select u.market_id, u.outcome_index, u.clob_token_id, u.question, u.outcome_label, u.event_slug, u.is_active, u.is_closed, u.market_volume_usd,
+        d.odds_date_utc, d.open_price, d.high_price, d.low_price, d.close_price, d.avg_price, d.observed_points, d.first_timestamp,
+        make_timestamp(d.first_timestamp * 1000000) as first_observed_at, d.last_timestamp, make_timestamp(d.last_timestamp * 1000000) as last_observed_at
+        from universe u join daily d using (clob_token_id) where u.market_id in (select market_id from scoped)""",
+)
+_model("token_coverage", with_tables("coverage") + "select * from coverage")
+_model(
+    "market_coverage",
+    with_tables("coverage")
+    + """select market_id, question, event_slug, count(*) as token_count, sum(token_days_observed)::bigint as token_days_observed,
+        min(first_odds_date) as first_odds_date, max(last_odds_date) as last_odds_date, max(has_daily_odds) as has_odds_data
+        from coverage group by market_id, question, event_slug""",
+)
+
+_RUN = {
+    "is_noop": "n % 2 = 0", "duration_seconds": "n + 0.5::double", "processed_tokens": "n % 7", "rows_fetched": "n * 10",
+    "error_tokens": "n % 3", "http_requests": "n", "http_429": "n % 2", "planned_tokens": "n", "planned_vs_market_tokens_ratio": "0.25::double",
+}
+_RUN_FIELDS = ", ".join(f"({_RUN.get(a, 'null')})::{kind} as {a}" for a, _, kind in models.RUN_FIELDS)
+_model(
+    "run_observability",
+    with_tables("runs")
+    + f"""select run_id, task_name, recorded_at, {_RUN_FIELDS},
+        case when coalesce(n % 7, 0) = 0 then null else (n * 10)::double / (n % 7) end as rows_per_processed_token
+        from runs where task_name in ('sync_odds', 'reconcile_odds_ledger')""",
+)
+
+
+@query(with_tables("runs") + f"select run_id, task_name, recorded_at, {_RUN_FIELDS} from runs")
+def stg_pipeline_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.stg_pipeline_run_events(bed.run_events(spark, sf_dir)).drop("metrics_json")
+
+
+# Time series ----------------------------------------------------------------------------------------------------------
+
+
+@query(with_tables("daily") + "select * from daily")
+def daily_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ohlc.daily_ohlc(bed.history(spark, sf_dir))
+
+
+@query(with_tables("daily") + "select * from daily")
+def daily_refresh_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that late observations touch, computed anew: equal to computing all days."""
+    history = bed.history(spark, sf_dir)
+    late = F.xxhash64("clob_token_id", "odds_timestamp_epoch") % 50 == 0
+    daily = ohlc.daily_ohlc(history.filter(~late))
+    return ohlc.refresh_days(daily, history, ohlc.dirty_days(history.filter(late)))
+
+
+@query(with_tables("odds") + "select distinct clob_token_id, (date '1970-01-01' + (odds_timestamp_epoch // 86400)::int)::date as odds_date_utc from odds")
+def dirty_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ohlc.dirty_days(bed.history(spark, sf_dir))
+
+
+@query("select event_id, epoch_us(ts) // 1000000 as epoch, make_timestamp(epoch_us(ts) // 1000000 * 1000000) as at from events")
+def epoch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.functions.scalar import epoch_to_timestamp
+
+    e = bed.table(spark, sf_dir, "events").select("event_id", epoch_of("ts").alias("epoch"))
+    return e.withColumn("at", epoch_to_timestamp("epoch"))
+
+
+@query(
+    with_tables("daily")
+    + """select clob_token_id, max(coalesce(gap, 0))::bigint as max_gap_days, coalesce(avg(nullif(gap, 0)), 0)::double as avg_gap_days
+    from (select clob_token_id, date_diff('day', lag(odds_date_utc) over (partition by clob_token_id order by odds_date_utc), odds_date_utc) as gap from daily)
+    group by clob_token_id"""
+)
+def gap_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ohlc.gap_diagnostics(ohlc.daily_ohlc(bed.history(spark, sf_dir)))
+
+
+@query(with_tables("odds") + "select clob_token_id, max(odds_timestamp_epoch) as history_max from odds group by clob_token_id")
+def history_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.history_cursors(bed.history(spark, sf_dir))
+
+
+@query(with_tables("odds") + "select * exclude (ingested_at, odds_timestamp) from odds where odds_timestamp_epoch >= 1706745600 - 365 * 86400")
+def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bed.history(spark, sf_dir).filter(F.col("odds_timestamp_epoch") >= _NOW_EPOCH - 365 * 86_400)
+
+
+@query("select event_id, (props::json->>'$.k')::bigint as k from events")
+def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bed.table(spark, sf_dir, "events").select("event_id", json_field("props", "$.k", "bigint").alias("k"))
+
+
+# Scope and filters ----------------------------------------------------------------------------------------------------
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.stg_markets(bed.markets(spark, sf_dir))
+
+
+@query(
+    with_tables("markets", "registry")
+    + """select market_id, market_id in (select market_id from registry) or event_slug in ('brand#12', 'brand#34') or starts_with(event_slug, 'brand#5')
+    as in_scope from markets"""
+)
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.with_scope(_staged(spark, sf_dir), bed.market_registry(spark, sf_dir), bed.SCOPE).select("market_id", "in_scope")
+
+
+@query(with_tables("markets") + "select market_id, volume from markets where coalesce(volume, 0) >= 95000 and coalesce(volume, 0) < 120000")
+def volume_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _staged(spark, sf_dir).filter(scope.volume_band("volume", 95_000, 120_000)).select("market_id", "volume")
+
+
+@query(with_tables("markets") + f"select market_id, end_date from markets where end_date is null or end_date >= {_NOW} - interval 7 day")
+def ended_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _staged(spark, sf_dir).filter(scope.not_ended("end_date", NOW, 7)).select("market_id", "end_date")
+
+
+@query(with_tables("markets") + "select market_id, case when coalesce(volume, 0) >= 100000 then 'hot' else 'cold' end as tier from markets")
+def volume_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.volume_tiers(_staged(spark, sf_dir), scope.BIG_VOLUME).select("market_id", "tier")
+
+
+@query("select event_id from events where epoch_us(ts) > 0 and value / 300 between 0 and 1")
+def valid_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bed.table(spark, sf_dir, "events")
+    return e.filter(scope.valid_observation(epoch_of("ts"), F.col("value") / 300)).select("event_id")
+
+
+@query(
+    """select doc_id, regexp_matches(t, '^[A-Za-z0-9_-]+$') and regexp_matches(t, '[0-9_]') and not starts_with(lower(t), 'test') and not starts_with(lower(t), '0x')
+    as plausible from (select doc_id, case when doc_id % 4 = 0 then 'test' || source else source || '_' || lang end as t from documents)"""
+)
+def token_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bed.table(spark, sf_dir, "documents")
+    token = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("test"), "source")).otherwise(F.concat_ws("_", "source", "lang"))
+    return d.select("doc_id", plausible_token(token).alias("plausible"))
+
+
+@query(
+    """select doc_id, lower(lang) = 'en' or (lower(source) <> 'src1' and lower(source) like '%src1%') as allowed,
+    coalesce(starts_with(lower(source), 'src2'), false) or lang = 'fr' as in_scope from documents"""
+)
+def tag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bed.table(spark, sf_dir, "documents")
+    both = F.when(F.col("lang") == "en", F.col("lang")).otherwise(F.col("source"))
+    tags = scope.Scope(prefixes=("src2",), tags=("fr",))
+    allowed = scope.crawl_allowed(both, ["en"], ["src1"], ["src1"]) | scope.crawl_allowed("source", [], ["src1"], ["src1"])
+    return d.select("doc_id", allowed.alias("allowed"), scope.event_in_scope("source", F.array("lang"), tags).alias("in_scope"))
+
+
+# Upserts --------------------------------------------------------------------------------------------------------------
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bed.table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("k"), F.to_date("ts").alias("d"), "ts", F.col("event_id").alias("row_order"), "value")
+
+
+@query("select user_id as k, ts::date as d, ts, event_id as row_order, value from events qualify row_number() over (partition by user_id, ts::date order by ts desc, event_id desc) = 1")
+def lww_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.last_write_wins(_observations(spark, sf_dir), ["k", "d"], ["ts", "row_order"])
+
+
+@query(
+    """with rows as (select user_id as k, ts::date as d, ts, event_id as row_order, value, event_id % 2 as half from events),
+    last as (select * from rows qualify row_number() over (partition by k, d, half order by ts desc, row_order desc) = 1)
+    select k, d, ts, row_order, value from last qualify row_number() over (partition by k, d order by half desc) = 1"""
+)
+def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _observations(spark, sf_dir)
+    old = upsert.last_write_wins(rows.filter("row_order % 2 = 0"), ["k", "d"], ["ts", "row_order"])
+    return upsert.upsert(old, rows.filter("row_order % 2 = 1"), ["k", "d"], ["ts", "row_order"])
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ledger rows as they were, and new ones that overlap them."""
+    ledger = bed.sync_ledger(spark, sf_dir).withColumnRenamed("clobTokenId", "clob_token_id")
+    key = F.col("clob_token_id").cast("long")
+    new = ledger.filter(key % 3 != 0).withColumns({
+        "last_sync_timestamp": F.when(key % 5 != 0, F.col("last_sync_timestamp") + 1000 - key),
+        "fully_checked": key % 7 == 0,
+        "next_check_at": F.when(key % 2 == 0, F.col("last_checked_at")),
+    })
+    return ledger.filter(key % 2 == 0), new
+
+
+_LEDGER = """with l as (select c_custkey as i, c_custkey::varchar as clob_token_id, case when c_nationkey % 6 <> 0 then 1704067200 + c_custkey * 60 end as last_sync_timestamp,
+    c_nationkey % 3 = 0 as fully_checked, timestamp '2024-01-01 00:10:00' + c_custkey * interval 1 minute as last_checked_at,
+    case when c_nationkey % 4 = 0 then timestamp '2024-01-02' + c_custkey * interval 1 minute end as next_check_at,
+    (case when c_nationkey % 5 <> 0 then c_nationkey % 8 end)::int as empty_run_streak from customer),
+    o as (select * exclude (i) from l where i % 2 = 0),
+    n as (select clob_token_id, case when i % 5 <> 0 then last_sync_timestamp + 1000 - i end as last_sync_timestamp, i % 7 = 0 as fully_checked, last_checked_at,
+    case when i % 2 = 0 then last_checked_at end as next_check_at, empty_run_streak from l where i % 3 <> 0) """
+
+
+@query(
+    _LEDGER
+    + """select clob_token_id, coalesce(n.last_sync_timestamp, o.last_sync_timestamp) as last_sync_timestamp, coalesce(n.next_check_at, o.next_check_at) as next_check_at,
+    case when n.clob_token_id is not null then n.fully_checked else o.fully_checked end as fully_checked from o full join n using (clob_token_id)"""
+)
+def merge_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _halves(spark, sf_dir)
+    return upsert.merge_coalesce(old, new, ["clob_token_id"], ["last_sync_timestamp", "next_check_at"], ["fully_checked"])
+
+
+@query(_LEDGER + "select clob_token_id, greatest(o.last_sync_timestamp, n.last_sync_timestamp) as last_sync_timestamp, o.fully_checked from o full join n using (clob_token_id)")
+def merge_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = (x.select("clob_token_id", "last_sync_timestamp", "fully_checked") for x in _halves(spark, sf_dir))
+    return upsert.merge_monotonic(old, new, "clob_token_id", "last_sync_timestamp")
+
+
+@query(
+    _LEDGER
+    + """select clob_token_id, greatest(o.last_sync_timestamp, n.last_sync_timestamp) as last_sync_timestamp,
+    coalesce(o.fully_checked, false) or coalesce(n.fully_checked, false) as fully_checked, coalesce(n.last_checked_at, o.last_checked_at) as last_checked_at,
+    case when coalesce(n.fully_checked, false) then null else coalesce(n.next_check_at, o.next_check_at) end as next_check_at,
+    case when coalesce(n.fully_checked, false) then 0 else coalesce(n.empty_run_streak, o.empty_run_streak, 0) end as empty_run_streak
+    from o full join n using (clob_token_id)"""
+)
+def merge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.merge_state(*_halves(spark, sf_dir))
+
+
+@query(
+    """with s as (select s_suppkey as i, s_suppkey::varchar as k, 'old ' || s_nationkey as reason, timestamp '2024-01-01' as created_at from supplier),
+    o as (select * from s where i % 2 = 0), n as (select i, k, 'new' as reason, timestamp '2024-02-01' as created_at from s where i % 3 = 0)
+    select k, coalesce(n.reason, o.reason) as reason, coalesce(o.created_at, n.created_at) as created_at from o full join n using (k)"""
+)
+def merge_keep_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = bed.table(spark, sf_dir, "supplier")
+    key, at = F.col("s_suppkey"), lambda t: F.lit(t).cast("timestamp_ntz")
+    old = s.filter(key % 2 == 0).select(key.cast("string").alias("k"), F.concat(F.lit("old "), "s_nationkey").alias("reason"), at(datetime(2024, 1, 1)).alias("created_at"))
+    new = s.filter(key % 3 == 0).select(key.cast("string").alias("k"), F.lit("new").alias("reason"), at(NOW).alias("created_at"))
+    return upsert.merge_keep_created(old, new, "k")
+
+
+@query(
+    f"""with p as (select p_partkey as i, p_partkey::varchar as market_id from part), o as (select market_id, (i % 5)::int as attempts from p where i % 2 = 0),
+    n as (select market_id from p where i % 3 = 0)
+    select market_id, 'slug' as field_name, case when n.market_id is not null then 'retry' else 'first' end as reason,
+    (coalesce(o.attempts, 0) + (n.market_id is not null)::int)::int as attempts, case when n.market_id is not null then {_NOW} else timestamp '2024-01-01' end as last_checked_at,
+    case when n.market_id is not null then {_NOW} + interval 168 hour else timestamp '2024-01-02' end as next_retry_at from o full join n using (market_id)"""
+)
+def merge_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, key = bed.table(spark, sf_dir, "part"), F.col("p_partkey")
+    named = p.select(key, key.cast("string").alias("market_id"), F.lit("slug").alias("field_name"))
+    at = lambda d: F.lit(datetime(2024, 1, d)).cast("timestamp_ntz")
+    old = named.filter(key % 2 == 0).select("market_id", "field_name", F.lit("first").alias("reason"), (key % 5).cast("int").alias("attempts"), at(1).alias("last_checked_at"), at(2).alias("next_retry_at"))
+    failed = named.filter(key % 3 == 0).select("market_id", "field_name", F.lit("retry").alias("reason"), F.lit(None).cast("int").alias("attempts"), at(1).alias("last_checked_at"), at(1).alias("next_retry_at"))
+    return upsert.merge_counter(old, failed, ["market_id", "field_name"], NOW, 168)
+
+
+@query(_LEDGER + "select clob_token_id, case when n.clob_token_id is not null then true else o.fully_checked end as fully_checked, o.last_sync_timestamp from o full join n using (clob_token_id)")
+def merge_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _halves(spark, sf_dir)
+    return upsert.set_flag(old.select("clob_token_id", "fully_checked", "last_sync_timestamp"), new, "clob_token_id", "fully_checked")
+
+
+@query(with_tables("markets") + "select market_id, case when market_id::bigint % 4 = 0 then 'new-' || market_id else slug end as slug, event_slug from markets")
+def update_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _staged(spark, sf_dir).select("market_id", "slug", "event_slug")
+    new = rows.filter(F.col("market_id").cast("long") % 4 == 0).select("market_id", F.concat(F.lit("new-"), "market_id").alias("slug"))
+    return upsert.update_columns(rows, new, "market_id", ["slug"])
+
+
+@query(
+    """select user_id as k, list(event_id order by event_id)[-20:] as history from events group by user_id"""
+)
+def rolling_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bed.table(spark, sf_dir, "events")
+    half = F.percentile_approx("event_id", 0.5).alias("mid")
+    mid = e.agg(half)  # one row
+    rows = e.join(F.broadcast(mid))
+    of = lambda r: r.groupBy(F.col("user_id").alias("k")).agg(F.array_sort(F.collect_list("event_id")).alias("history"))
+    return upsert.append_history(of(rows.filter("event_id <= mid")), of(rows.filter("event_id > mid")), "k", "history", 20)
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0)")
+def orphan_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = bed.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return upsert.without_orphans(bed.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def anti_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = bed.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return bed.table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+
+
+@query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000)")
+def semi_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = bed.table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return bed.table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_semi")
+
+
+@query(
+    """with a as (select o_custkey % 50 as k, o_orderpriority as p from orders where o_orderkey % 3 <> 0), b as (select o_custkey % 50 as k, o_orderpriority as p from orders where o_orderkey % 5 <> 0)
+    select * from ((select * from a except all select * from b) union all (select * from b except all select * from a))"""
+)
+def except_all_symdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = bed.table(spark, sf_dir, "orders")
+    rows = lambda r: r.select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderpriority").alias("p"))
+    return upsert.symmetric_difference(rows(o.filter("o_orderkey % 3 <> 0")), rows(o.filter("o_orderkey % 5 <> 0")))
+
+
+@query(
+    """with a as (select o_custkey as k, count(*) as n from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey as k, count(*) as n from orders where o_orderkey % 3 = 0 group by 1)
+    select k, a.n as before, b.n as after from a full join b using (k) where a.n is distinct from b.n"""
+)
+def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = bed.table(spark, sf_dir, "orders")
+    n = lambda r: r.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return upsert.changed_keys(n(o.filter("o_orderkey % 2 = 0")), n(o.filter("o_orderkey % 3 = 0")), "k", "n")
+
+
+# Planning -------------------------------------------------------------------------------------------------------------
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bed.market_tokens(spark, sf_dir).select("market_id", F.col("clobTokenIds").alias("clob_token_ids"))
+    return _staged(spark, sf_dir).join(tokens, "market_id")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ledger = bed.sync_ledger(spark, sf_dir).withColumnRenamed("clobTokenId", "clob_token_id")
+    return ledger, models.stg_token_sync_skips(bed.sync_skips(spark, sf_dir)).drop("created_at")
+
+
+def _due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.due_tokens(_listed(spark, sf_dir), *_states(spark, sf_dir), NOW, datetime(2024, 1, 5))
+
+
+_DUE = with_tables("tokens", "markets", "ledger", "skips", "registry", "scoped") + f""", due as (
+    select m.*, t.clob_token_id, t.outcome_index from markets m join tokens t using (market_id) left join ledger l using (clob_token_id) left join skips s using (clob_token_id)
+    where s.reason is null and not coalesce(m.is_closed and l.is_fully_checked, false) and (l.next_check_at is null or l.next_check_at <= {_NOW})
+    and m.created_at >= timestamp '2024-01-05') """
+
+
+@query(_DUE + "select market_id, outcome_index, clob_token_id from due")
+def due_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _due(spark, sf_dir).select("market_id", "outcome_index", "clob_token_id")
+
+
+@query(with_tables("markets", "market_tokens") + "select count(*) as market_count, coalesce(sum(json_array_length(clob_token_ids)), 0)::bigint as token_count from markets join market_tokens using (market_id) where clob_token_ids <> '[]' and is_active")
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.candidate_counts(_listed(spark, sf_dir), F.col("is_active"))
+
+
+@query(_DUE + f"select (count(*) filter (where market_id not in (select market_id from scoped)))::bigint as scope_skipped, (count(*) filter (where market_id in (select market_id from scoped) and end_date < {_NOW} - interval 7 day))::bigint as ended_skipped from due")
+def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = scope.with_scope(_due(spark, sf_dir), bed.market_registry(spark, sf_dir), bed.SCOPE)
+    return planning.exclusion_counts(marked, F.col("in_scope"), scope.not_ended("end_date", NOW, 7))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from the ledger, some of them twice, implausible, skipped or done."""
+    c = bed.table(spark, sf_dir, "customer")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    named = F.when(nation == 3, F.lit("!")).otherwise(F.floor(key / 2).cast("string"))
+    return c.select(
+        key.alias("arrival"), named.alias("clob_token_id"), (F.lit(1_704_067_200) + key * 600).cast("long").alias("created_ts"),
+        F.when(nation % 4 != 0, F.lit(1_704_067_200) + key * 1200).cast("long").alias("cursor"), F.when(nation == 5, "skip").alias("reason"),
+        (nation % 2 == 0).alias("is_closed"), (nation % 3 == 0).alias("fully_checked"), (nation % 8).cast("int").alias("empty_run_streak"),
+    )
+
+
+_CLASSIFIED = """with c as (select c_custkey as arrival, case when c_nationkey = 3 then '!' else (c_custkey // 2)::varchar end as clob_token_id, 1704067200 + c_custkey * 600 as created_ts,
+    case when c_nationkey % 4 <> 0 then 1704067200 + c_custkey * 1200 end as cursor, c_nationkey = 5 as skipped, c_nationkey % 2 = 0 and c_nationkey % 3 = 0 as done, c_nationkey % 8 as streak from customer),
+    s as (select *, case when cursor is null then created_ts else greatest(created_ts, cursor - 300) end as start, row_number() over (partition by clob_token_id order by arrival) as nth from c),
+    e as (select *, case when nth > 1 then 'dup_token' when clob_token_id = '!' then 'invalid_token' when skipped then 'persisted_skip' when done then 'closed_done' end as early from s),
+    f as (select *, early is null and streak >= 5 and cursor is null as empty from e),
+    g as (select *, empty and sum(empty::int) over (order by arrival) <= 40 as spent from f),
+    r as (select *, coalesce(early, case when spent then 'empty_cache_skip' when 1705200000 - cursor < 600 then 'recent_skip' when start >= 1705200000 then 'already_current' else 'plan' end) as outcome from g) """
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.classify_plans(_candidates(spark, sf_dir), planning.PlanRules(1_705_200_000, empty_budget=40))
+
+
+@query(_CLASSIFIED + "select arrival, clob_token_id, outcome, (case when outcome = 'plan' then start end)::bigint as start_ts, (case when outcome = 'plan' then 1705200000 end)::bigint as end_ts from r")
+def plan_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir)
+
+
+@query(_CLASSIFIED + "select outcome, count(*) as n_tokens from r group by outcome")
+def plan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plans(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n_tokens"))
+
+
+@query(_CLASSIFIED + "select clob_token_id, w::bigint as window_start, least(w + 21600, 1705200000)::bigint as window_end from (select clob_token_id, unnest(range(start, 1705200000, 21600)) as w from r where outcome = 'plan')")
+def window_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.window_slices(_plans(spark, sf_dir).filter("outcome = 'plan'"), 21_600).select("clob_token_id", "window_start", "window_end")
+
+
+@query("select p_partkey, least(60 * pow(2, greatest(p_size - 1, 0)), 86400)::bigint as wait from part")
+def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bed.table(spark, sf_dir, "part").select("p_partkey", backoff("p_size", 60, 86_400).alias("wait"))
+
+
+@query(
+    """with w as (select l_partkey::varchar as t, l_orderkey * 10 + l_linenumber as ws, l_orderkey * 10 + l_linenumber + 1 as we, l_quantity % 7 <> 0 as ok, (l_quantity % 3)::bigint as n, l_orderkey as last from lineitem),
+    b as (select *, coalesce(max((not ok)::int) over (partition by t order by ws), 0) = 0 as good from w),
+    r as (select t, max(last) filter (where good and n > 0) as seen, max(we) filter (where good) as reached, coalesce(sum(n) filter (where good), 0) as n, count(*) filter (where not ok) as errors from b group by t),
+    p as (select p_partkey::varchar as t, case when p_size % 2 = 0 then p_partkey end as cursor, 1000000 + p_partkey as e, (p_size % 4)::int as streak from part),
+    x as (select *, case when n = 0 and errors = 0 then streak + 1 when errors > 0 then streak else 0 end as s from p join r using (t))
+    select t as clob_token_id, greatest(cursor, coalesce(seen, case when errors > 0 then reached else e end)) as cursor,
+    (case when errors > 0 then 5000000 + 300 when n = 0 then 5000000 + least(60 * pow(2, greatest(s - 1, 0)), 86400) end)::bigint as next_check_ts, s::int as empty_run_streak, n::bigint as rows, errors::bigint as errors from x"""
+)
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, p = bed.table(spark, sf_dir, "lineitem"), bed.table(spark, sf_dir, "part")
+    at, rows = F.col("l_orderkey") * 10 + F.col("l_linenumber"), (F.col("l_quantity") % 3).cast("long")
+    results = l.select(
+        F.col("l_partkey").cast("string").alias("clob_token_id"), at.alias("window_start"), (at + 1).alias("window_end"),
+        F.when(F.col("l_quantity") % 7 != 0, "ok").otherwise("error").alias("status"), rows.alias("rows"), F.when(rows > 0, F.col("l_orderkey")).alias("last_ts"),
+    )
+    key, size = F.col("p_partkey"), F.col("p_size")
+    plans = p.select(key.cast("string").alias("clob_token_id"), F.when(size % 2 == 0, key).alias("cursor"), (key + 1_000_000).alias("end_ts"), (size % 4).cast("int").alias("empty_run_streak"))
+    return planning.state_transitions(results, plans, 5_000_000, 60, 86_400, 300)
+
+
+@query(
+    """select user_id::varchar as clob_token_id, max(event_id) as cursor, arg_max(ts, event_id) filter (where event_id % 3 <> 0) as checked_at,
+    arg_max(ts, event_id) filter (where event_id % 5 <> 0) as next_check_at, (arg_max(event_id, event_id) % 8)::int as streak, bool_or(event_id % 11 = 0) as fully_checked from events group by user_id"""
+)
+def merge_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = bed.table(spark, sf_dir, "events"), F.col("event_id")
+    return planning.merge_buffers(e.select(
+        F.col("user_id").cast("string").alias("clob_token_id"), i.alias("arrival"), i.alias("cursor"), F.when(i % 3 != 0, F.col("ts")).alias("checked_at"),
+        F.when(i % 5 != 0, F.col("ts")).alias("next_check_at"), (i % 8).cast("int").alias("streak"), (i % 11 == 0).alias("fully_checked"),
+    ))
+
+
+_LAST = "(select clob_token_id, max(odds_timestamp_epoch) as history_max from odds group by clob_token_id)"
+
+
+@query(
+    with_tables("odds", "ledger", "skips", "tokens")
+    + f"""select t.clob_token_id, coalesce(l.last_sync_timestamp, h.history_max) as cursor, coalesce(l.is_fully_checked, false) as fully_checked, l.next_check_at,
+    coalesce(l.empty_run_streak, 0)::int as empty_run_streak, s.reason is not null as is_skipped
+    from (select distinct clob_token_id from tokens) t left join ledger l using (clob_token_id) left join skips s using (clob_token_id) left join {_LAST} h using (clob_token_id)"""
+)
+def cursor_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = models.stg_market_tokens(bed.market_tokens(spark, sf_dir))
+    return planning.cursor_snapshot(tokens, *_states(spark, sf_dir), bed.history(spark, sf_dir))
+
+
+@query(with_tables("odds", "ledger") + f"select clob_token_id, greatest(l.last_sync_timestamp, h.history_max) as cursor from ledger l full join {_LAST} h using (clob_token_id)")
+def latest_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.latest_cursors(_states(spark, sf_dir)[0], bed.history(spark, sf_dir))
+
+
+@query(with_tables("odds", "ledger") + f"select count(*) as scanned, (count(*) filter (where l.last_sync_timestamp is null or l.last_sync_timestamp < h.history_max))::bigint as repaired from {_LAST} h left join ledger l using (clob_token_id)")
+def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.reconcile_ledger(_states(spark, sf_dir)[0], bed.history(spark, sf_dir))[1]
+
+
+@query(with_tables("odds", "ledger") + f"select clob_token_id, greatest(l.last_sync_timestamp, h.history_max) as last_sync_timestamp from ledger l full join {_LAST} h using (clob_token_id)")
+def reconcile_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.reconcile_ledger(_states(spark, sf_dir)[0], bed.history(spark, sf_dir))[0].select("clob_token_id", "last_sync_timestamp")
+
+
+@query(
+    """with r as (select (s_suppkey % 40)::varchar as market_id, s_name as event_slug, case s_suppkey % 3 when 0 then 'seed' else 'events_api' end as source, s_suppkey as row_order from supplier)
+    select * from r qualify row_number() over (partition by market_id order by source = 'events_api' desc, row_order) = 1"""
+)
+def registry_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, key = bed.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    rows = s.select((key % 40).cast("string").alias("market_id"), F.col("s_name").alias("event_slug"), F.when(key % 3 == 0, "seed").otherwise("events_api").alias("source"), key.alias("row_order"))
+    return planning.best_registry_rows(rows, ["seed", "events_api"])
+
+
+@query("select tag, list(distinct source order by source) as sources from (select lang as tag, 'seed' as source from documents union all select source as tag, 'tags' from documents where lower(source) like '%rc1%') group by tag")
+def tag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bed.table(spark, sf_dir, "documents")
+    return planning.tag_sources({"seed": d.select(F.col("lang").alias("tag")), "tags": d.select(F.col("source").alias("tag"))}, ["rc1"])
+
+
+@query(
+    """with recursive e as (select distinct (s_suppkey % 60)::varchar as tag, ((s_suppkey * 7) % 60)::varchar as other from supplier),
+    t(tag, round) as (select '1', 0 union select e.other, t.round + 1 from t join e using (tag) where t.round < 4) select tag, min(round)::int as round from t group by tag"""
+)
+def tag_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = bed.table(spark, sf_dir, "supplier")
+    edges = s.select((F.col("s_suppkey") % 60).cast("string").alias("tag"), ((F.col("s_suppkey") * 7) % 60).cast("string").alias("other")).distinct()
+    return planning.tag_closure(edges, ["1"], 4, 1000)
+
+
+@query(
+    with_tables("markets", "market_tokens")
+    + """select market_id, unnest(list_filter([case when clob_token_ids = '[]' then 'tokens' end, case when end_date is null then 'end_date' end], lambda x: x is not null)) as field_name
+    from markets join market_tokens using (market_id)
+    except select p_partkey::varchar, 'end_date' from part where p_partkey % 2 = 0"""
+)
+def missing_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waiting = bed.table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(
+        F.col("p_partkey").cast("string").alias("market_id"), F.lit("end_date").alias("field_name"), F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz").alias("next_retry_at")
+    )
+    return planning.missing_metadata(_listed(spark, sf_dir), waiting, NOW)
+
+
+# Profiles and counts --------------------------------------------------------------------------------------------------
+
+
+@query("select event_type, count(*) as n_rows from events group by event_type order by n_rows desc, event_type limit 10")
+def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.value_counts(bed.table(spark, sf_dir, "events"), "event_type", 10)
+
+
+def _profile_sql(table: str, columns: list[tuple[str, str, str]]) -> str:
+    rows = []
+    for name, kind, spark_type in columns:
+        length = f"length({name})"
+        low, high, mean = {"numeric": (f"min({name})", f"max({name})", f"avg({name})"), "text": (f"min({length})", f"max({length})", f"avg({length})"), "boolean": ("null", "null", "null")}[kind]
+        flags = (f"count(*) filter (where {name})", f"count(*) filter (where not {name})") if kind == "boolean" else ("null", "null")
+        rows.append(
+            f"select '{name}' as column_name, '{spark_type}' as data_type, '{kind}' as kind, count(*) as n_rows, count(*) - count({name}) as n_nulls, "
+            f"round(100.0 * (count(*) - count({name})) / count(*), 3)::double as null_percent, count(distinct {name}) as n_distinct, ({low})::varchar as low, ({high})::varchar as high, "
+            f"round(({mean})::double, 6) as mean, ({flags[0]})::bigint as n_true, ({flags[1]})::bigint as n_false from {table}"
+        )
+    return " union all ".join(rows)
+
+
+def _profiled(rows: DataFrame) -> DataFrame:
+    return profile.profile_table(rows, exact=True).drop("deviation", "sample").withColumn("mean", F.round("mean", 6))
+
+
+@query(_profile_sql("lineitem", [("l_orderkey", "numeric", "bigint"), ("l_linenumber", "numeric", "int"), ("l_partkey", "numeric", "bigint")]))
+def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiled(bed.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
+
+
+@query(_profile_sql("documents", [("lang", "text", "string"), ("source", "text", "string"), ("n_chars", "numeric", "bigint")]))
+def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiled(bed.table(spark, sf_dir, "documents").select("lang", "source", "n_chars"))
+
+
+@query(_profile_sql("(select quality = 1 as good, toxic = 1 as bad from labels)", [("good", "boolean", "boolean"), ("bad", "boolean", "boolean")]))
+def profile_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiled(bed.table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("bad")))
+
+
+@query("select round(stddev_samp(l_quantity), 6) as deviation, round(avg(l_quantity), 6) as mean from lineitem")
+def profile_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profile.profile_table(bed.table(spark, sf_dir, "lineitem").select("l_quantity"), "full")
+    return p.select(F.round("deviation", 6).alias("deviation"), F.round("mean", 6).alias("mean"))
+
+
+@query()
+def profile_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches differ between engines, so there is no SQL."""
+    return profile.profile_table(bed.table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"))
+
+
+@query("select 'nation' as table_name, count(*) as n_rows, false as missing from nation union all select 'region', count(*), false from region union all select 'nowhere', null, true")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.table_counts({"nation": bed.table(spark, sf_dir, "nation"), "region": bed.table(spark, sf_dir, "region"), "nowhere": None})
+
+
+@query(with_tables("skips") + "select reason, count(*) as n_rows from skips group by reason order by n_rows desc, reason")
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.value_counts(_states(spark, sf_dir)[1], "reason")
+
+
+@query(
+    with_tables("tokens", "odds")
+    + """select 'market_tokens_without_history' as hole, count(distinct clob_token_id) as n_tokens from tokens where clob_token_id not in (select clob_token_id from odds)
+    union all select 'history_tokens_without_market_tokens', count(distinct clob_token_id) from odds where clob_token_id not in (select clob_token_id from tokens)"""
+)
+def coverage_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, history = models.stg_market_tokens(bed.market_tokens(spark, sf_dir)), bed.history(spark, sf_dir)
+    hole = lambda a, b, name: a.join(b, "clob_token_id", "left_anti").agg(F.lit(name).alias("hole"), F.countDistinct("clob_token_id").alias("n_tokens"))
+    return hole(tokens, history, "market_tokens_without_history").unionByName(hole(history, tokens, "history_tokens_without_market_tokens"))
+
+
+@query("select n_nationkey, case when n_regionkey = 0 then null else round(n_nationkey::double / n_regionkey, 4) end as ratio from nation")
+def guarded_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bed.table(spark, sf_dir, "nation").select("n_nationkey", guarded_ratio("n_nationkey", "n_regionkey", 4).alias("ratio"))
+
+
+@query("select o_orderstatus, count(*) as n_rows, count(distinct o_custkey) as n_customers, (count(*) filter (where o_totalprice > 150000))::bigint as n_large from orders group by o_orderstatus")
+def counts_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = bed.table(spark, sf_dir, "orders")
+    return o.groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.countDistinct("o_custkey").alias("n_customers"), F.count_if(F.col("o_totalprice") > 150_000).alias("n_large"))
+
+
+# Data quality: violations in rows that are spoilt on purpose ----------------------------------------------------------
+
+
+def _spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rows, some with their high and low exchanged or their prices out of bounds."""
+    daily = ohlc.daily_ohlc(bed.history(spark, sf_dir))
+    bad = F.col("first_timestamp") % 9 == 0
+    return daily.select(
+        "clob_token_id", "odds_date_utc", "open_price", F.when(bad, F.col("low_price") - 1).otherwise(F.col("high_price")).alias("high_price"),
+        "low_price", "close_price", "avg_price", "observed_points", "first_timestamp", "last_timestamp",
+    )
+
+
+_SPOILT = with_tables("daily") + ", spoilt as (select * exclude (high_price), case when first_timestamp % 9 = 0 then low_price - 1 else high_price end as high_price from daily) "
+
+
+@query(
+    _SPOILT
+    + """select clob_token_id, odds_date_utc from spoilt where open_price < low_price or open_price > high_price or close_price < low_price or close_price > high_price
+    or avg_price < low_price or avg_price > high_price or observed_points < 1 or first_timestamp > last_timestamp"""
+)
+def dq_ohlc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ohlc_order(_spoilt(spark, sf_dir)).select("clob_token_id", "odds_date_utc")
+
+
+@query(_SPOILT + "select clob_token_id, odds_date_utc from spoilt where high_price < 0 or high_price > 1 or low_price < 0 or low_price > 1 or high_price < low_price")
+def dq_ohlc_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ohlc_bounds(_spoilt(spark, sf_dir)).select("clob_token_id", "odds_date_utc")
+
+
+@query("select l_partkey, l_suppkey, count(*) as n_rows from lineitem where l_quantity > 10 group by 1, 2 having count(*) > 1")
+def dq_duplicate_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_grain(bed.table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], F.col("l_quantity") > 10)
+
+
+@query("select o_custkey, count(*) as n_rows from orders group by 1 having count(*) > 1")
+def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.unique(bed.table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query(with_tables("skips") + "select clob_token_id, reason from skips where reason is null")
+def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_null(_states(spark, sf_dir)[1], "reason")
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 20)")
+def dq_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = bed.table(spark, sf_dir, "customer").filter("c_nationkey < 20")
+    return quality.relationship(bed.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", parents, "c_custkey")
+
+
+@query("select event_id from events where value / 300 < 0 or value / 300 > 1 or value / 400 > 1")
+def dq_unit_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bed.table(spark, sf_dir, "events").select("event_id", (F.col("value") / 300).alias("a"), (F.col("value") / 400).alias("b"))
+    return quality.outside_unit(e, ["a", "b"]).select("event_id")
+
+
+@query("select max(ts) as last_loaded_at, (date_diff('second', max(ts), max(ts)::date + interval 40 hour) // 3600)::bigint as age_hours, case when date_diff('second', max(ts), max(ts)::date + interval 40 hour) // 3600 >= 72 then 'error' when date_diff('second', max(ts), max(ts)::date + interval 40 hour) // 3600 >= 12 then 'warn' else 'pass' end as status from events")
+def dq_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against the second day's afternoon after the last event."""
+    e = bed.table(spark, sf_dir, "events")
+    last = e.agg(F.max(F.to_date("ts")).alias("d")).first()["d"]
+    from datetime import timedelta
+
+    return quality.freshness(e, "ts", datetime(last.year, last.month, last.day) + timedelta(hours=40), 12, 72)
+
+
+def _shifted(spark: SparkSession, sf_dir: str, name: str, changes: dict) -> DataFrame:
+    return _frames(spark, sf_dir)[name].withColumns(changes)
+
+
+@query(with_tables("coverage") + "select clob_token_id from coverage where max_gap_days - 1 < 0")
+def dq_negative_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shifted(spark, sf_dir, "token_coverage", {"max_gap_days": F.col("max_gap_days") - 1})
+    return quality.negative(rows, ["max_gap_days", "avg_gap_days"]).select("clob_token_id")
+
+
+@query(with_tables("coverage") + "select clob_token_id from coverage where has_daily_odds = 1")
+def dq_coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the number of days set to 0, each token that has odds disagrees."""
+    return quality.coverage_disagreement(_shifted(spark, sf_dir, "token_coverage", {"token_days_observed": F.lit(0)})).select("clob_token_id")
+
+
+@query(with_tables("coverage") + "select clob_token_id from coverage where market_fully_checked_tokens + 1 > market_token_count")
+def dq_checked_above_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shifted(spark, sf_dir, "token_coverage", {"market_fully_checked_tokens": F.col("market_fully_checked_tokens") + 1})
+    return quality.checked_above_count(rows).select("clob_token_id")
+
+
+@query(with_tables("coverage") + "select clob_token_id from coverage where market_fully_checked")
+def dq_checked_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.checked_flag_wrong(_shifted(spark, sf_dir, "token_coverage", {"market_fully_checked": F.lit(False)})).select("clob_token_id")
+
+
+@query(with_tables("coverage") + ", m as (select market_id, question, event_slug, min(first_odds_date) as f, max(last_odds_date) as l from coverage group by all) select market_id from m where f > l - 1000")
+def dq_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shifted(spark, sf_dir, "market_coverage", {"last_odds_date": F.date_sub("last_odds_date", 1000)})
+    return quality.date_order(rows).select("market_id")
+
+
+@query(with_tables("coverage") + "select market_id from coverage group by market_id having max(has_daily_odds) = 1")
+def dq_odds_without_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shifted(spark, sf_dir, "market_coverage", {"last_odds_date": F.lit(None).cast("date")})
+    return quality.odds_without_bounds(rows).select("market_id")
+
+
+@query(with_tables("coverage") + "select market_id from coverage group by market_id having max(has_daily_odds) = 1")
+def dq_odds_without_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.odds_without_tokens(_shifted(spark, sf_dir, "market_coverage", {"token_count": F.lit(0)})).select("market_id")
+
+
+@query(
+    with_tables("coverage")
+    + ", m as (select market_id, question, event_slug, count(*) as n from coverage group by all) select market_id, question, event_slug, case when n_odd then n + 1 else n end as token_count_actual, n as token_count_expected from (select *, market_id::bigint % 2 = 1 as n_odd from m) where n_odd"
+)
+def dq_rollup_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets of odd ids count one token too many."""
+    frames = _frames(spark, sf_dir)
+    rows = frames["market_coverage"].withColumn("token_count", F.col("token_count") + F.col("market_id").cast("long") % 2)
+    return quality.rollup_mismatch(rows, models.market_coverage(frames["token_coverage"]), ["market_id", "question", "event_slug"], ["token_count"])
+
+
+@query(with_tables("runs") + "select run_id from runs where task_name <> 'other' and n % 2 > n - 5")
+def dq_http_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.http_counts(_shifted(spark, sf_dir, "run_observability", {"http_requests": F.col("http_requests") - 5})).select("run_id")
+
+
+@query(with_tables("runs") + "select run_id from runs where task_name <> 'other' and (n % 7 - 1 < 0)")
+def dq_run_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shifted(spark, sf_dir, "run_observability", {"processed_tokens": F.col("processed_tokens") - 1})
+    return quality.negative(rows, ["processed_tokens", "rows_fetched"]).select("run_id")
+
+
+@query(with_tables("runs") + "select run_id from runs where task_name <> 'other' and n - 20 < n % 7")
+def dq_planned_below_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shifted(spark, sf_dir, "run_observability", {"planned_tokens": F.col("planned_tokens") - 20})
+    return quality.planned_below_processed(rows).select("run_id")
+
+
+@query(with_tables("runs") + "select run_id from runs where task_name <> 'other' and n % 7 <> 0 and n % 2 = 0")
+def dq_ratio_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    off = F.when(F.col("is_noop"), F.col("rows_per_processed_token") + 0.001).otherwise(F.col("rows_per_processed_token"))
+    rows = _shifted(spark, sf_dir, "run_observability", {"rows_per_processed_token": off})
+    return quality.ratio_mismatch(rows, "rows_fetched", "processed_tokens", "rows_per_processed_token").select("run_id")
+
+
+@query(with_tables("series") + "select clob_token_id, odds_timestamp_epoch from series where price is not null and odds_timestamp_epoch % 2 = 0")
+def dq_price_without_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.when(F.col("odds_timestamp_epoch") % 2 != 0, F.col("odds_timestamp"))
+    rows = _shifted(spark, sf_dir, "int_token_timeseries", {"odds_timestamp": cut})
+    return quality.price_without_time(rows).select("clob_token_id", "odds_timestamp_epoch")
+
+
+@query(with_tables("universe", "tokens") + "select a as n_left, b as n_right from (select count(*) as a from universe) join (select count(*) as b from tokens where outcome_index = 0) on a <> b")
+def dq_count_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    return quality.count_parity(frames["int_token_universe"], frames["stg_market_tokens"].filter("outcome_index = 0"))
+
+
+@query(with_tables("coverage") + "select clob_token_id, token_days_observed + 1 as token_days_observed, token_days_observed as expected_days from coverage where token_days_observed > 0")
+def dq_days_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    days = F.when(F.col("token_days_observed") > 0, F.col("token_days_observed") + 1).otherwise(F.col("token_days_observed"))
+    return quality.days_mismatch(frames["token_coverage"].withColumn("token_days_observed", days), frames["int_token_daily_timeseries"])
+
+
+@query(with_tables("minutely") + "select clob_token_id, odds_timestamp_epoch, case when odds_timestamp_epoch % 5 = 0 then 'missing' else 'value_mismatch' end as mismatch_type from minutely where market_volume_usd >= 100000 and (odds_timestamp_epoch % 5 = 0 or odds_timestamp_epoch % 7 = 0)")
+def dq_subset_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    at = F.col("odds_timestamp_epoch")
+    whole = frames["scoped_minutely_odds"].filter(at % 5 != 0).withColumn("price", F.when(at % 7 == 0, F.col("price") + 1).otherwise(F.col("price")))
+    return quality.subset_mismatch(frames["whale_minutely_odds"], whole, ["clob_token_id", "odds_timestamp_epoch"], "price")
+
+
+@query(with_tables("markets") + "select market_id from markets where coalesce(volume, 0) < 100000")
+def dq_below_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.below_threshold(_staged(spark, sf_dir), "volume", scope.BIG_VOLUME).select("market_id")
+
+
+@query(
+    with_tables("scoped")
+    + """select market_id, case when market_id::bigint % 5 = 0 then 'mart_only' when market_id::bigint % 7 = 0 then 'expected_only' else 'value_mismatch' end as mismatch_type
+    from scoped where (market_id::bigint % 5 = 0) <> (market_id::bigint % 7 = 0) or (market_id::bigint % 5 <> 0 and market_id::bigint % 11 = 0)"""
+)
+def dq_scope_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the scoped markets, multiples of 5 are not expected, of 7 are missing, of 11 have another volume."""
+    rows = _frames(spark, sf_dir)["int_scoped_markets"].select("market_id", "volume")
+    key = F.col("market_id").cast("long")
+    expected = rows.filter(key % 5 != 0).withColumn("volume", F.when(key % 11 == 0, F.col("volume") + 1).otherwise(F.col("volume")))
+    return quality.scope_mismatch(rows.filter(key % 7 != 0), expected, ["market_id"], ["volume"])
+
+
+@query()
+def model_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of all models: a row for each with the number of violations."""
+    return models.violations(_frames(spark, sf_dir), bed.SCOPE)
