@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "bigint": T.LongType(), "int": T.IntegerType(), "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema of plain columns; unlike Spark's own parser this needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in text.split(", "))])
 
 
 TABLES = {
@@ -50,12 +57,12 @@ KEYS = {
 }
 
 #: Payload of a market as the API lands it, as JSON lines.
-MARKET_PAYLOAD = _schema(
+MARKET_PAYLOAD = (
     "id string, question string, category string, description string, outcomes array<string>, volumeNum string, active boolean, "
     "closed boolean, createdAt string, endDate string, endDateIso string, clobTokenIds array<string>, slug string, "
     "events array<struct<id:string,slug:string>>"
 )
-EVENT_PAYLOAD = _schema(
+EVENT_PAYLOAD = (
     "row_order bigint, id string, slug string, tags array<struct<slug:string>>, "
     "markets array<struct<id:string,question:string,volumeNum:string,slug:string,clobTokenIds:array<string>>>"
 )
