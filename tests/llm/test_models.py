@@ -150,7 +150,7 @@ def _labelled(n=400):
         words = sentence(r, r.randrange(10, 60)).split()
         if toxic:
             for _ in range(3):
-                words.insert(r.randrange(len(words)), r.choice(["scoundrel", "villainous", "vermin", "verminous", "vermish"]))
+                words.insert(r.randrange(len(words)), r.choice(["scoundrel", "villainous", *("verm" + x for x in ("in", "ish", "al", "ot", "ent", "ous"))]))
         rows.append((d, " ".join(words), "", "", 0))
         labels.append((d, int(toxic)))
     return rows, labels
@@ -161,7 +161,7 @@ def test_toxicity_on_held_out_texts(spark, empty):
     docs = spark.createDataFrame([*rows, (1000, None, "", "", 0), (1001, "a scoundrl, a vilainous scoundrel", "", "", 0)], SCHEMA)
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(docs, known.filter("doc_id % 3 <> 1"))
-    assert {"scoundrel", "villainous"} <= set(model.terms) and any("vermin".startswith(t) and s for t, s in model.terms.items())
+    assert {"scoundrel", "villainous"} <= set(model.terms) and model.terms.get("verm")
     score = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
     held = [(score[d] >= toxicity.THRESHOLD, bool(t)) for d, t in labels if d % 3 == 1]
     assert sum(p == t for p, t in held) >= 0.97 * len(held)
@@ -173,7 +173,7 @@ def test_toxicity_on_held_out_texts(spark, empty):
 
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r["score"] for r in toxicity.fit(docs, none).score(docs).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert {round(r["score"], 9) for r in toxicity.fit(docs, none).score(docs).collect()} == {0.0}
 
 
 def brute(vectors, k=10):

@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     code = F.xxhash64(F.coalesce("text", F.lit("")))  # tells rows of equal id apart
     bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     batch = reduce(lambda c, b: c + F.when(ident > b, 1).otherwise(0), bounds, F.lit(0))
-    held = docs.select(ident.alias("doc"), code.alias("code"), batch.alias("batch"), F.posexplode(lines).alias("pos", "line"))
+    numbered = F.posexplode(lines).alias("pos", "line")
+    held = docs.select(ident.alias("doc"), code.alias("code"), batch.alias("batch"), numbered)
     held = held.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= LEAST)
     held = written(held.select("doc", "code", "pos", F.unhex(F.md5("key")).alias("key"), "batch"), "batch")
 
@@ -89,15 +90,16 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     for i in range(len(bounds) + 1):
         runs.add(held.filter(F.col("batch") == i).select("key", "doc"))
     owners = runs.owners().withColumnRenamed("owner", "doc")
-    gone = held.join(owners, ["key", "doc"], "left_anti").groupBy("doc", "code").agg(F.collect_set("pos").alias("_gone"))
-
-    found = docs.withColumns({"_doc": ident, "_code": code})
-    gone = gone.withColumnsRenamed({"doc": "_doc", "code": "_code"})
-    n, none = F.size(lines), F.array().cast("array<int>")
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("_gone", none))
-    return found.join(gone, ["_doc", "_code"], "left").select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")),
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n").alias("text"),
+    gone = held.join(owners, ["key", "doc"], "left_anti").groupBy("doc", "code").agg(F.collect_set("pos").alias("gone"))
+
+    # The other columns travel as one, so that none of their names can clash.
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), lines.alias("lines"), ident.alias("doc"), code.alias("code"))
+    n, gone_here = F.size("lines"), F.coalesce("gone", F.array().cast("array<int>"))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), gone_here)
+    return whole.join(gone, ["doc", "code"], "left").select(
+        *(F.col("rest").getField(c).alias(c) for c in rest),
+        F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n").alias("text"),
         n.cast("long").alias("n_lines"),
-        F.size(F.coalesce("_gone", none)).cast("long").alias("n_dropped"),
+        F.size(gone_here).cast("long").alias("n_dropped"),
     )

@@ -75,7 +75,7 @@ def _surroundings(docs: DataFrame) -> DataFrame:
                 ahead, back = short.tobytes(), short[::-1].tobytes()
                 hashes = window_codes(codes, GRAM).view(np.int64)
                 n = len(short)
-                for p in set(at):
+                for p in {p for p in at if p < len(hashes)}:  # rows of equal id may have other texts
                     heads.append(hashes[p])
                     ids.append(doc_id)
                     places.append(p)
@@ -191,27 +191,29 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
     out, last = [], 0
     for a, b in sorted(spans):
-        out.append(text[last : starts[a]])
-        last = starts[b]
+        if a < len(starts) - 1:
+            out.append(text[last : starts[a]])
+            last = starts[min(b, len(starts) - 1)]
     return b"".join([*out, text[last:]])
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """The documents without the passages that smaller documents hold."""
     names, schema = docs.columns, docs.schema
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    place = names.index("text")
+    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    # The columns travel as one, so that none of their names can clash.
+    whole = docs.select(F.col("doc_id"), F.struct("*").alias("row")).join(spans, "doc_id", "left").select("row", "spans")
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            columns = batch.columns
-            whole, found = texts(columns[place]), columns[-1].to_pylist()
+            row = batch.column(0)
+            columns = dict(zip(names, row.flatten(), strict=True))
+            text = columns["text"]
             made = [
                 cut(t, [(s["start_word"], s["end_word"]) for s in f]).decode() if f else None if null else t.decode()
-                for t, f, null in zip(whole, found, columns[place].is_null().to_pylist(), strict=True)
+                for t, f, null in zip(texts(text), batch.column(1).to_pylist(), text.is_null().to_pylist(), strict=True)
             ]
-            columns[place] = pa.array(made, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns[:-1], names)
+            columns["text"] = pa.array(made, text.type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    joined = docs.join(spans, docs["doc_id"] == spans["_of"], "left").select(*(docs[c] for c in names), "_spans")
-    return joined.mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
