@@ -171,6 +171,15 @@ def test_scope_is_never_null(spark):
     assert rows(found.select("market_id", "in_scope"), "market_id") == [("a", True), ("b", True), ("c", True), ("d", False)]
 
 
+def test_scope_settings_and_their_hash():
+    got = scope.resolve_scope({}, {"slugs": "a-b, c"}, {"slugs": ["x"], "tags": ["t"]})
+    assert (got.slugs, got.tags) == (("a-b", "c"), ("t",))
+    assert scope.scope_hash(got) == scope.scope_hash(scope.Scope(slugs=("c", "a-b"), tags=("t",))) != scope.scope_hash(scope.Scope())
+    assert len(scope.scope_hash(got)) == 16
+    with pytest.raises(ValueError, match="slugs"):
+        scope.resolve_scope({"slugs": ["Not A Slug"]})
+
+
 def test_observations_must_be_probabilities(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 1.5), (1, float("nan")), (None, 0.5), (1, None)], "odds_timestamp_epoch long, price double")
     assert df.filter(scope.valid_observation()).count() == 1

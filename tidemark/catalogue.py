@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import backoff, epoch_of, guarded_ratio, json_field, plausible_token
-from tidemark.operators import ohlc, planning, profile, quality, scope, upsert
+from tidemark.operators import observe, ohlc, planning, profile, quality, scope, upsert
 from tidemark.plans import models
 from tidemark.sources import testbed as bed
 from tidemark.sources.testbed import with_tables
@@ -662,6 +662,43 @@ def counts_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), F.countDistinct("o_custkey").alias("n_customers"), F.count_if(F.col("o_totalprice") > 150_000).alias("n_large"))
 
 
+@query(
+    with_tables("tokens", "odds", "ledger")
+    + """select *, round(history_tokens::double / market_tokens, 4) as history_ratio, round(daily_tokens::double / market_tokens, 4) as daily_ratio,
+    round(ledger_tokens::double / market_tokens, 4) as ledger_ratio, round(checked_tokens::double / market_tokens, 4) as checked_ratio from
+    (select (select count(distinct clob_token_id) from tokens) as market_tokens, (select count(distinct clob_token_id) from odds) as history_tokens,
+    (select count(distinct clob_token_id) from odds) as daily_tokens, (select count(distinct clob_token_id) from ledger) as ledger_tokens,
+    (select count(distinct clob_token_id) from ledger where is_fully_checked) as checked_tokens)"""
+)
+def planning_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, history = models.stg_market_tokens(bed.market_tokens(spark, sf_dir)), bed.history(spark, sf_dir)
+    return observe.planning_ratios(tokens, history, ohlc.daily_ohlc(history), _states(spark, sf_dir)[0])
+
+
+@query(
+    with_tables("markets", "registry")
+    + """select count(*) as n_markets, (count(*) filter (where r))::bigint as n_registered, (count(*) filter (where l))::bigint as n_listed, (count(*) filter (where l and not r))::bigint as n_listed_only
+    from (select market_id in (select market_id from registry) as r, event_slug in ('brand#12', 'brand#34') or starts_with(event_slug, 'brand#5') as l from markets)"""
+)
+def scope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.scope_audit(_staged(spark, sf_dir), bed.market_registry(spark, sf_dir), bed.SCOPE)
+
+
+@query(
+    with_tables("tokens", "odds")
+    + """select clob_token_id, 'left' as side from (select clob_token_id from tokens except select clob_token_id from odds)
+    union all select clob_token_id, 'right' from (select clob_token_id from odds except select clob_token_id from tokens)"""
+)
+def key_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.key_gaps(models.stg_market_tokens(bed.market_tokens(spark, sf_dir)), bed.history(spark, sf_dir), "clob_token_id")
+
+
+@query("select tag, count(distinct doc_id) as n_events from (select doc_id, unnest([lang, source, lang]) as tag from documents) group by tag")
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bed.table(spark, sf_dir, "documents")
+    return observe.tag_counts(d.select(F.col("doc_id").alias("id"), F.array("lang", "source", "lang").alias("tags")))
+
+
 # Data quality: violations in rows that are spoilt on purpose ----------------------------------------------------------
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import hashlib
+import json
+import re
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass
 from datetime import datetime
 from functools import reduce
 
@@ -26,6 +29,28 @@ class Scope:
     fold_case: bool = True
 
 
+def resolve_scope(*layers: Mapping[str, Sequence[str] | str | None]) -> Scope:
+    """A scope from layers of settings, the first that has a setting deciding: overrides, environment, seed, defaults.
+
+    Settings can be lists or comma-separated text; slugs must be lower-case words joined by hyphens.
+    """
+    chosen: dict[str, tuple[str, ...]] = {}
+    for name in ("slugs", "prefixes", "market_ids", "tags"):
+        value = next((layer[name] for layer in layers if layer.get(name)), ())
+        parts = value.split(",") if isinstance(value, str) else value
+        chosen[name] = tuple(dict.fromkeys(p.strip() for p in parts if p.strip()))
+    bad = [s for s in (*chosen["slugs"], *chosen["prefixes"]) if not re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+)*-?", s)]
+    if bad:
+        raise ValueError(f"not slugs: {bad}")
+    return Scope(**chosen)
+
+
+def scope_hash(scope: Scope) -> str:
+    """16 hexadecimal digits that change if what a scope lists does, whatever the order."""
+    listed = {k: sorted(v) if isinstance(v, (list, tuple)) else v for k, v in asdict(scope).items()}
+    return hashlib.sha256(json.dumps(listed, sort_keys=True).encode()).hexdigest()[:16]
+
+
 def _any(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
