@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import knn, lm, toxicity
+from tidemark.llm import knn, lm, ordinal, toxicity
 
 from .conftest import SCHEMA, sentence
 
@@ -211,3 +211,44 @@ def test_knn_of_few_and_none(spark):
     assert sorted(map(tuple, knn.top_k(rows, rows.filter("vec_id = 0"), 10).collect())) == brute(few)
     none = knn.whole_vectors(spark.createDataFrame([], schema))
     assert knn.top_k(none, none, 10).count() == 0
+
+
+def test_ordinal_gradient_and_order():
+    """Grades that follow a score of two words come back in order, with their thresholds apart."""
+    r = random.Random(9)
+    docs, grade = [], []
+    for _ in range(600):
+        share = r.random()
+        docs.append(ordinal.features(" ".join("good" if r.random() < share else "bad" for _ in range(60)).encode()))
+        grade.append(min(3, int(share * 4)))
+    weights, thresholds = ordinal.fit_ordinal(docs, np.array(grade), 4, 200)
+    assert (np.diff(thresholds) > 0).all() and len(thresholds) == 3
+    model = ordinal.Model([1, 2, 4, 8], weights, thresholds)
+    p = model.chances(np.array([weights[d].mean() for d in docs]))
+    assert p.min() >= 0 and p.sum(1) == pytest.approx(1)
+    assert np.mean(p.argmax(1) == grade) > 0.8
+
+
+def test_quality_on_held_out_texts(spark, empty):
+    r = random.Random(10)
+    rows, ratings = [], []
+    for d in range(300):
+        grade = r.randrange(3)
+        words = sentence(r, 40).split()
+        for i in range(1, 40, (2, 5, 50)[grade]):
+            words[i] += "$$$"
+        rows.append((d, " ".join(words), "", "", 0))
+        ratings.append((d, grade))
+    docs = spark.createDataFrame([*rows, (900, None, "", "", 0)], SCHEMA)
+    model = ordinal.fit(docs, spark.createDataFrame(ratings, "doc_id long, grade int").filter("doc_id % 3 <> 1"))
+    got = {x["doc_id"]: x for x in model.score(docs, 2).collect()}
+    held = [(got[d]["kept"], g == 2) for d, g in ratings if d % 3 == 1]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    means = [np.mean([got[d]["expected_grade"] for d, g in ratings if g == k]) for k in range(3)]
+    assert means == sorted(means) and 0 <= got[900]["tail_probability"] <= 1
+    assert {x["doc_id"] for x in model.select(docs, 2).collect()} == {d for d, x in got.items() if x["kept"]}
+    assert model.score(empty, 2).count() == 0
+    none = ordinal.fit(docs, spark.createDataFrame([], "doc_id long, grade int")).score(docs, 1)
+    assert none.filter("kept").count() == 301
+    one = ordinal.fit(docs, spark.createDataFrame([(1, 7)], "doc_id long, grade int")).score(docs, 7).first()
+    assert (one["expected_grade"], one["tail_probability"]) == (7.0, 1.0)

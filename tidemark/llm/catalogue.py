@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn, lines, lm, minhash, packing, suffixes, toxicity, webp
+from tidemark.llm import bpe, knn, lines, lm, minhash, ordinal, packing, suffixes, toxicity, webp
 from tidemark.llm.text import crc_mod, documents
 
 
@@ -16,6 +16,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~training).alias("held_out"), *scored.columns[1:])
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades are ``labels.quality``; fitted to ids whose crc32 modulo 3 is not 1."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(3) != 1)
+    scored = ordinal.fit(docs, labels.select("doc_id", F.col("quality").alias("grade"))).score(docs, 1)
+    return scored.select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), *scored.columns[1:])
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(3) != 1)
@@ -56,6 +64,7 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_webp": op5_webp,
