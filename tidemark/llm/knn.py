@@ -17,9 +17,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import hash_sample
+
 #: Pivots, and rows that give a query its first bound: a bounded sample, by the order of a hash of the id.
 PIVOTS, SAMPLE = 24, 2048
 #: Most rows of a cell and most queries of a block, on average.
@@ -80,7 +82,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Both inputs have columns ``vec_id`` and ``v``, as from ``whole_vectors``.
     """
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(PIVOTS, SAMPLE)).toArrow()
+    sample = hash_sample(vectors, "vec_id", max(PIVOTS, SAMPLE)).toArrow()
     ids, rows = sample["vec_id"].to_numpy(), _matrix(sample["v"])
     pivots = np.unique(rows[:PIVOTS], axis=0).astype(np.float64)
     width, half = rows.shape[1], (pivots**2).sum(1) / 2
@@ -164,8 +166,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def best_rows(scored: DataFrame, k: int) -> DataFrame:
     """Each query's k best rows, ranked from 1."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import hash_sample
 from tidemark.llm.text import batches, texts
 
 #: Most rated texts that the model is fitted to, by the order of a hash of the id; most grades.
@@ -135,7 +136,7 @@ class Model:
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the rated documents (``ratings``: ``doc_id`` and a whole ``grade``; of several the highest counts)."""
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("long").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(rated, "doc_id", sample)
     grades = sorted(r["grade"] for r in chosen.select("grade").distinct().limit(GRADES + 1).collect())
     if len(grades) > GRADES:
         raise ValueError(f"more than {GRADES} grades")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import checkpointed
+from tidemark.llm.shared import checkpointed, hash_sample
 from tidemark.llm.text import batches
 
 #: Most labelled texts that the model is fitted to, by the order of a hash of the id.
@@ -300,7 +300,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled documents (``labels`` has ``doc_id`` and ``toxic``), of at most ``sample`` of them."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(known, "doc_id", sample)
     rows = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic")))
     n, toxic = rows.select(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
