@@ -39,13 +39,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return models.build(bed.raw_tables(spark, sf_dir), bed.SCOPE)
+def _frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named models (all, if none is) and those they need."""
+    raw = bed.raw_tables(spark, sf_dir, models.needed(names, bed.SCOPE) if names else bed.RAW)
+    return models.build(raw, bed.SCOPE, only=names)
 
 
 def _model(name: str, sql: str) -> None:
     """Register a model as a query."""
-    QUERIES[name] = lambda spark, sf_dir: _frames(spark, sf_dir)[name]
+    QUERIES[name] = lambda spark, sf_dir: _frames(spark, sf_dir, name)[name]
     ORACLE_SQL[name] = sql
 
 
@@ -767,7 +769,7 @@ def dq_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shifted(spark: SparkSession, sf_dir: str, name: str, changes: dict) -> DataFrame:
-    return _frames(spark, sf_dir)[name].withColumns(changes)
+    return _frames(spark, sf_dir, name)[name].withColumns(changes)
 
 
 @query(with_tables("coverage") + "select clob_token_id from coverage where max_gap_days - 1 < 0")
@@ -816,7 +818,7 @@ def dq_odds_without_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dq_rollup_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markets of odd ids count one token too many."""
-    frames = _frames(spark, sf_dir)
+    frames = _frames(spark, sf_dir, "market_coverage")
     rows = frames["market_coverage"].withColumn("token_count", F.col("token_count") + F.col("market_id").cast("long") % 2)
     return quality.rollup_mismatch(rows, models.market_coverage(frames["token_coverage"]), ["market_id", "question", "event_slug"], ["token_count"])
 
@@ -854,20 +856,20 @@ def dq_price_without_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("universe", "tokens") + "select a as n_left, b as n_right from (select count(*) as a from universe) join (select count(*) as b from tokens where outcome_index = 0) on a <> b")
 def dq_count_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark, sf_dir)
+    frames = _frames(spark, sf_dir, "int_token_universe")
     return quality.count_parity(frames["int_token_universe"], frames["stg_market_tokens"].filter("outcome_index = 0"))
 
 
 @query(with_tables("coverage") + "select clob_token_id, token_days_observed + 1 as token_days_observed, token_days_observed as expected_days from coverage where token_days_observed > 0")
 def dq_days_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark, sf_dir)
+    frames = _frames(spark, sf_dir, "token_coverage")
     days = F.when(F.col("token_days_observed") > 0, F.col("token_days_observed") + 1).otherwise(F.col("token_days_observed"))
     return quality.days_mismatch(frames["token_coverage"].withColumn("token_days_observed", days), frames["int_token_daily_timeseries"])
 
 
 @query(with_tables("minutely") + "select clob_token_id, odds_timestamp_epoch, case when odds_timestamp_epoch % 5 = 0 then 'missing' else 'value_mismatch' end as mismatch_type from minutely where market_volume_usd >= 100000 and (odds_timestamp_epoch % 5 = 0 or odds_timestamp_epoch % 7 = 0)")
 def dq_subset_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark, sf_dir)
+    frames = _frames(spark, sf_dir, "whale_minutely_odds")
     at = F.col("odds_timestamp_epoch")
     whole = frames["scoped_minutely_odds"].filter(at % 5 != 0).withColumn("price", F.when(at % 7 == 0, F.col("price") + 1).otherwise(F.col("price")))
     return quality.subset_mismatch(frames["whale_minutely_odds"], whole, ["clob_token_id", "odds_timestamp_epoch"], "price")
@@ -885,7 +887,7 @@ def dq_below_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dq_scope_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the scoped markets, multiples of 5 are not expected, of 7 are missing, of 11 have another volume."""
-    rows = _frames(spark, sf_dir)["int_scoped_markets"].select("market_id", "volume")
+    rows = _frames(spark, sf_dir, "int_scoped_markets")["int_scoped_markets"].select("market_id", "volume")
     key = F.col("market_id").cast("long")
     expected = rows.filter(key % 5 != 0).withColumn("volume", F.when(key % 11 == 0, F.col("volume") + 1).otherwise(F.col("volume")))
     return quality.scope_mismatch(rows.filter(key % 7 != 0), expected, ["market_id"], ["volume"])

@@ -293,12 +293,35 @@ def models(scope: Scope, whale: float = BIG_VOLUME) -> list[Model]:
     ]
 
 
-def build(raw: Frames, scope: Scope, whale: float = BIG_VOLUME, publish: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """All models over the raw tables. ``publish`` writes models that are tables, and returns what it wrote."""
+def needed(names: Sequence[str], scope: Scope) -> set[str]:
+    """The named models and all that they are made of, raw tables included."""
+    of = {m.name: m.needs for m in models(scope)}
+    found: set[str] = set()
+    work = list(names)
+    while work:
+        if (name := work.pop()) not in found:
+            found.add(name)
+            work += of.get(name, ())
+    return found
+
+
+def build(
+    raw: Frames,
+    scope: Scope,
+    whale: float = BIG_VOLUME,
+    publish: Callable[[str, DataFrame], DataFrame] | None = None,
+    only: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """All models over the raw tables, or ``only`` some and those they need.
+
+    ``publish`` writes models that are tables, and returns what it wrote.
+    """
+    wanted = needed(only, scope)
     frames = dict(raw)
     for model in models(scope, whale):
-        made = model.make(*(frames[n] for n in model.needs))
-        frames[model.name] = publish(model.name, made) if model.table and publish else made
+        if not wanted or model.name in wanted:
+            made = model.make(*(frames[n] for n in model.needs))
+            frames[model.name] = publish(model.name, made) if model.table and publish else made
     return frames
 
 

@@ -6,10 +6,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Container
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import epoch_of, epoch_to_timestamp
+from tidemark.operators.ohlc import daily_ohlc
 from tidemark.operators.scope import Scope
 
 SCOPE = Scope(slugs=("Brand#12", "brand#34"), prefixes=("brand#5",))
@@ -29,7 +32,7 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("category"),
         F.concat(F.lit("about "), "p_name").alias("description"),
         F.lit('["Yes","No"]').alias("outcomes"),
-        (F.col("p_retailprice") * 100).alias("volume"),
+        (F.col("p_retailprice") * 100 + size % 3 * 20_000).alias("volume"),
         (size % 2 == 0).alias("active"),
         (size % 5 == 0).alias("closed"),
         epoch_to_timestamp(created).alias("created_at"),
@@ -106,28 +109,33 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").cast("string").alias("run_id"), task.alias("task_name"), F.col("ts").alias("recorded_at"), text.alias("metrics_json"))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All of them, with daily rows computed from the observations."""
-    from tidemark.operators.ohlc import daily_ohlc
-
+def token_odds_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = daily_ohlc(history(spark, sf_dir)).withColumnRenamed("clob_token_id", "clobTokenId")
-    return {
-        "raw.markets": markets(spark, sf_dir),
-        "raw.market_tokens": market_tokens(spark, sf_dir),
-        "raw.odds_history": odds_history(spark, sf_dir),
-        "raw.token_odds_daily": daily.withColumn("refreshed_at", F.lit(None).cast("timestamp_ntz")),
-        "ops.token_sync_ledger": sync_ledger(spark, sf_dir),
-        "ops.token_sync_skips": sync_skips(spark, sf_dir),
-        "ops.pipeline_run_events": run_events(spark, sf_dir),
-        "ops.market_registry": market_registry(spark, sf_dir),
-    }
+    return daily.withColumn("refreshed_at", F.lit(None).cast("timestamp_ntz"))
+
+
+RAW = {
+    "raw.markets": markets,
+    "raw.market_tokens": market_tokens,
+    "raw.odds_history": odds_history,
+    "raw.token_odds_daily": token_odds_daily,
+    "ops.token_sync_ledger": sync_ledger,
+    "ops.token_sync_skips": sync_skips,
+    "ops.pipeline_run_events": run_events,
+    "ops.market_registry": market_registry,
+}
+
+
+def raw_tables(spark: SparkSession, sf_dir: str, names: Container[str] = RAW) -> dict[str, DataFrame]:
+    """The named tables, all by default."""
+    return {name: make(spark, sf_dir) for name, make in RAW.items() if name in names}
 
 
 #: The same tables, and the models made of them, as bodies of common table expressions. Each may use earlier ones.
 CTE = {
     "markets": """
         select p_partkey::varchar as market_id, p_name as question, p_type as category, 'about ' || p_name as description,
-               '["Yes","No"]' as outcomes, p_retailprice * 100 as volume, p_size % 2 = 0 as is_active, p_size % 5 = 0 as is_closed,
+               '["Yes","No"]' as outcomes, p_retailprice * 100 + p_size % 3 * 20000 as volume, p_size % 2 = 0 as is_active, p_size % 5 = 0 as is_closed,
                timestamp '2024-01-01' + p_size * interval 1 day as created_at,
                timestamp '2024-01-01 01:00:00' + p_size * interval 1 day as scraped_at,
                case when p_size % 7 <> 0 then timestamp '2024-01-01' + 2 * p_size * interval 1 day end as end_date,
