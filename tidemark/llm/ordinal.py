@@ -153,7 +153,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
             weights, thresholds = fit_ordinal(found, np.array(grade), len(grades))
             yield pa.RecordBatch.from_arrays([pa.array([weights]), pa.array([thresholds])], ["weights", "thresholds"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade").coalesce(1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "grade")  # all tasks read, one fits
     got = rows.mapInArrow(run, "weights array<double>, thresholds array<double>").toArrow()
     if not got.num_rows:
         return Model([], np.zeros(SPACE), np.zeros(0))
