@@ -70,6 +70,18 @@ def test_state_is_carried_across_windows(monkeypatch):
     assert _network().run(docs) == pytest.approx(whole, rel=1e-4)
 
 
+def test_every_window_trains(spark):
+    """Words of any window of a document get a gradient, of the first as of the last."""
+    text = " ".join(w for w in ("alpha", "beta", "gamma", "delta", "omega") for _ in range(lm.MOST_STEPS))
+    docs = spark.createDataFrame([(1, text, "", "", 0)], SCHEMA).coalesce(1)
+    vocab = lm.vocabulary(lm.word_counts(docs))
+    weights = lm.start_weights(np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))
+    after = lm._shaped(lm._trained(docs, vocab, weights, lm.RATE, False), weights)
+    for word in ("alpha", "beta", "gamma", "delta", "omega"):
+        symbol = vocab.symbols[vocab.words.index(word.encode())]
+        assert (after["inputs"][symbol] != weights["inputs"][symbol]).any(), word
+
+
 def test_gradients_match_differences():
     net = _network()
     r = np.random.default_rng(2)

@@ -37,8 +37,6 @@ SYMBOLS, MEMBERS, ENDINGS, LAST_BYTES = 1024, 32, 64, 3
 HIDDEN, SIDE_BY_SIDE = 16, 512
 #: Least and most steps of a window: as many as make up so many tokens, with the documents that are still running.
 LEAST_STEPS, MOST_STEPS, WINDOW_TOKENS = 32, 256, 16_384
-#: Of a replica's windows one in so many gives a gradient; the others carry the state on.
-GRADIENT_EVERY = 4
 #: Most frequent words whose counts each task knows; the others' come by a join.
 TABLE = 131_072
 #: Documents of the warm start, the least number of its passes and steps, and its step size; step size of the replicas.
@@ -180,38 +178,48 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+def _gates(weights: np.ndarray) -> np.ndarray:
+    """The columns of each of the three gates apart."""
+    return np.ascontiguousarray(weights.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
+
 class Network:
     """The recurrent network: runs windows of many documents side by side, and trains on them."""
 
-    def __init__(self, weights: dict[str, np.ndarray], rate: float = 0.0, every: int = 1, share: int = 1) -> None:
+    def __init__(self, weights: dict[str, np.ndarray], rate: float = 0.0, share: int = 1) -> None:
         self.flat = _flat(weights).astype(np.float32)
         self.w = _shaped(self.flat, weights)  # views: steps on ``flat`` move them
-        self.rate, self.every, self.steps, self.windows = rate, every, 0, 0
+        self.rate, self.steps = rate, 0
         self.side, self.tokens = SIDE_BY_SIDE // share, WINDOW_TOKENS // share
         self.mean, self.square = (np.zeros_like(self.flat), np.zeros_like(self.flat)) if rate else (None, None)
 
-    def _states(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """The state after each step from ``h`` on; ``keep``: also what backpropagation needs."""
-        n, u = HIDDEN, self.w["state"]
-        states, kept = np.empty((len(x), *h.shape), np.float32), []
-        inputs = np.take(self.w["inputs"], x, axis=0, mode="clip")
-        for t, g in enumerate(inputs):
-            s = h @ u
-            gates = g[:, : 2 * n]
-            gates += s[:, : 2 * n]
+    def _states(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple | None]:
+        """The state after each step from ``h`` on; ``keep``: also what backpropagation needs.
+
+        Gates lie apart, each a block of its own: numpy is several times faster on whole blocks than on slices of rows.
+        """
+        inputs, u = _gates(self.w["inputs"]), _gates(self.w["state"])
+        states = np.empty((len(x), *h.shape), np.float32)
+        first, g = h, np.take(inputs, x, axis=1, mode="clip")  # becomes the gates' values, in place
+        kept = np.empty_like(states) if keep else None
+        s = np.empty((3, *h.shape), np.float32)
+        for t in range(len(x)):
+            np.matmul(h, u, out=s)
+            gates, new = g[:2, t], g[2, t]
+            gates += s[:2]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            new = gates[:, n:] * s[:, 2 * n :]
-            new += g[:, 2 * n :]
-            np.tanh(new, out=new)
             if keep:
-                kept.append((h, gates, new, s[:, 2 * n :]))
+                kept[t] = s[2]
+            s[2] *= gates[1]
+            new += s[2]
+            np.tanh(new, out=new)
             h = np.subtract(h, new, out=states[t])
-            h *= gates[:, :n]
+            h *= gates[0]
             h += new
-        return states, kept
+        return states, (np.concatenate([first[None], states[:-1]]), g, kept) if keep else None
 
     def _outputs(self, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.ndarray, tuple | None]:
         """Natural logarithms of the probabilities of ``y`` after states ``h``; ``learn``: also gradients of their sum.
@@ -220,18 +228,19 @@ class Network:
         """
         of, member = y // MEMBERS, y % MEMBERS
         row = np.arange(len(y))
+        ones = np.ones(MEMBERS, np.float32)  # a product with it adds rows up faster than ``sum``
         e = h @ self.w["classes"]
         e += self.w["class_bias"]
         out = e[row, of]
         np.exp(e, out=e)
-        sums = e.sum(1)
+        sums = e @ ones
         out -= np.log(sums)
         grads = None
         if learn:
             e /= sums[:, None]
             e[row, of] -= 1
             dh = e @ self.w["classes"].T
-            grads = (h.T @ e, e.sum(0), np.zeros_like(self.w["members"]), np.zeros_like(self.w["member_bias"]), dh)
+            grads = (h.T @ e, np.ones(len(y), np.float32) @ e, np.zeros_like(self.w["members"]), np.zeros_like(self.w["member_bias"]), dh)
         bounds = np.searchsorted(of, np.arange(SYMBOLS // MEMBERS + 1)).tolist()
         for c, (a, b) in enumerate(itertools.pairwise(bounds)):
             if a == b:
@@ -241,7 +250,7 @@ class Network:
             e += self.w["member_bias"][c]
             chosen = e[each, wanted]
             np.exp(e, out=e)
-            sums = e.sum(1)
+            sums = e @ ones
             out[a:b] += chosen - np.log(sums)
             if learn:
                 e /= sums[:, None]
@@ -251,30 +260,39 @@ class Network:
                 dh[a:b] += e @ self.w["members"][c].T
         return out, grads
 
-    def _back(self, x: np.ndarray, kept: list, dstates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _back(self, x: np.ndarray, kept: tuple, dstates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of ``inputs`` and ``state`` through the steps of a window."""
-        n, u = HIDDEN, self.w["state"]
-        da = np.empty((*x.shape, 3 * n), np.float32)
-        ds = np.empty((*x.shape, 3 * n), np.float32)
-        dh = np.zeros_like(dstates[0])
+        n, u = HIDDEN, np.ascontiguousarray(_gates(self.w["state"]).transpose(0, 2, 1))
+        before, (z, r, new), s = kept
+        # Factors of the state's gradient in the gates', for all steps at once and in place, as new memory is slow.
+        of_new, of_z, of_r, rest = new * new, before - new, s, 1 - z
+        np.subtract(1, of_new, out=of_new)
+        of_new *= rest
+        of_z *= z
+        of_z *= rest
+        of_r *= r
+        of_r *= np.subtract(1, r, out=rest)
+        da = np.empty((3, *dstates.shape), np.float32)
+        ds = np.empty_like(dstates)  # of the state's part of ``new``; the other gates' are those of ``da``
+        dh, part = np.zeros_like(dstates[0]), np.empty_like(dstates[0])
         for t in range(len(x) - 1, -1, -1):
-            h, gates, new, s = kept[t]
-            z, r = gates[:, :n], gates[:, n:]
             dh += dstates[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            da[t, :, :n] = dh * (h - new) * z * (1 - z)
-            da[t, :, n : 2 * n] = dnew * s * r * (1 - r)
-            da[t, :, 2 * n :] = dnew
-            ds[t] = da[t]
-            ds[t, :, 2 * n :] *= r
-            dh = dh * z + ds[t] @ u.T
-        before = np.stack([k[0] for k in kept])
-        dstate = before.reshape(-1, n).T @ ds.reshape(-1, 3 * n)
+            np.multiply(dh, of_z[t], out=da[0, t])
+            np.multiply(dh, of_new[t], out=da[2, t])
+            np.multiply(da[2, t], of_r[t], out=da[1, t])
+            np.multiply(da[2, t], r[t], out=ds[t])
+            dh *= z[t]
+            for d, w in zip((da[0, t], da[1, t], ds[t]), u, strict=True):
+                dh += np.matmul(d, w, out=part)
+        before = before.reshape(-1, n).T
+        dstate = np.concatenate([before @ d.reshape(-1, n) for d in (da[0], da[1], ds)], axis=1)
         flat = x.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         symbols, first = np.unique(flat[order], return_index=True)
-        dinputs = np.zeros_like(self.w["inputs"])
-        dinputs[symbols] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first, axis=0)
+        dinputs, ranked = np.zeros_like(self.w["inputs"]), rest.reshape(-1, n)
+        for k in range(3):
+            np.take(da[k].reshape(-1, n), order, axis=0, out=ranked, mode="clip")
+            dinputs[symbols, k * n : (k + 1) * n] = np.add.reduceat(ranked, first, axis=0)
         return dinputs, dstate
 
     def _step(self, gradient: np.ndarray) -> None:
@@ -290,7 +308,7 @@ class Network:
     def run(self, docs: list[np.ndarray]) -> np.ndarray:
         """The natural logarithm of each document's probability (symbols, the end last).
 
-        With a rate it trains on one window in ``every`` instead, and the result is of no use.
+        With a rate it trains on every window, and the result is of no use.
         """
         out = np.zeros(len(docs))
         by_length = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
@@ -304,8 +322,7 @@ class Network:
                 live = int(np.searchsorted(-lengths, -begin, "left"))  # documents that reach beyond ``begin``
                 h, previous = h[:live], previous[:live]
                 steps = int(min(MOST_STEPS, max(LEAST_STEPS, self.tokens // live), lengths[0] - begin))
-                self.windows += 1
-                learn = bool(self.rate) and self.windows % self.every == 0
+                learn = bool(self.rate)
                 y = np.zeros((steps, live), np.int32)
                 for j, i in enumerate(group[:live]):
                     part = docs[i][begin : begin + steps]
@@ -314,9 +331,6 @@ class Network:
                 there = np.arange(begin, begin + steps)[:, None] < lengths[:live]
                 states, kept = self._states(x, h, learn)
                 begin += steps
-                if self.rate and not learn:
-                    h, previous = states[-1], y[-1]
-                    continue
                 # A step's prediction comes from the state after the token before it.
                 rows = np.flatnonzero(there)
                 of = (y.ravel()[rows] // MEMBERS).astype(np.uint16)
@@ -351,7 +365,7 @@ def _trained(docs: DataFrame, vocab: Vocabulary, weights: dict[str, np.ndarray],
     """The average of the weights that the tasks reach on their documents, each weighed by its tokens."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(weights, rate, 1 if warm else GRADIENT_EVERY, WARM_SHARE if warm else 1), 0
+        net, n = Network(weights, rate, WARM_SHARE if warm else 1), 0
         parts = _encoded(it, Encoder(vocab), 0)
         if warm:
             parts = list(parts)
