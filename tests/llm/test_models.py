@@ -82,6 +82,16 @@ def test_every_window_trains(spark):
         assert (after["inputs"][symbol] != weights["inputs"][symbol]).any(), word
 
 
+def test_warm_start_is_bounded_in_rows(spark, monkeypatch):
+    """Repeated rows of a chosen id are one row of the warm start."""
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(300)], "doc_id long, text string")
+    vocab, taken = lm.vocabulary(lm.word_counts(docs)), []
+    monkeypatch.setattr(lm, "WARM_DOCS", 5)
+    monkeypatch.setattr(lm, "_trained", lambda rows, *_: taken.append(rows.count()))
+    lm.train(docs, vocab)
+    assert 0 < taken[0] <= 5 and taken[1] == 300
+
+
 def test_gradients_match_differences():
     net = _network()
     r = np.random.default_rng(2)

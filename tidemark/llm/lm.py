@@ -401,7 +401,9 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     shares[:ENDINGS] = 10.0**vocab.mass
     weights = start_weights((shares + SMOOTHING) / (shares + SMOOTHING).sum())
     ids = hash_sample(docs.select("doc_id"), "doc_id", WARM_DOCS).distinct()
-    warm = docs.join(F.broadcast(ids), "doc_id").coalesce(1)
+    # All tasks read; one text of each id, however often the id is repeated, goes to the one that trains.
+    texts_of_ids = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    warm = texts_of_ids.coalesce(1).sortWithinPartitions("doc_id")
     for sample, rate in ((warm, WARM_RATE), (docs, RATE)):
         flat = _trained(sample, vocab, weights, rate, sample is warm)
         if flat is not None:
