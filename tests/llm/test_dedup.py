@@ -135,6 +135,28 @@ def test_a_passage_of_very_many_documents(spark):
     assert {(r["start_word"], r["end_word"]) for r in got} == {(20, 75)}
 
 
+def test_passages_around_a_run_of_very_many_documents(spark):
+    """X + H, H + Y and X + H + Y, with a stock run H in thousands of documents of other surroundings."""
+    r = np.random.default_rng(8)
+    run = [f"h{i}" for i in range(30)]
+
+    def fresh(n):
+        return [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+
+    texts = [fresh(40) + run + fresh(40) for _ in range(3000)]
+    for k in range(60):
+        before, after = fresh(r.integers(20, 34)), fresh(r.integers(20, 34))
+        middle = [before + run, run + after, before[-12:] + run + after[:12]][k % 3]
+        texts += [fresh(40) + middle + fresh(40) for _ in range(2)]
+    order = r.permutation(len(texts)).tolist()
+    rows = [(d, " ".join(t), "", "", 0) for d, t in zip(order, texts, strict=True)]
+    got = defaultdict(set)
+    for x in suffixes.repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect():
+        got[x["doc_id"]] |= set(range(x["start_word"], x["end_word"]))
+    want = covered(rows)
+    assert len(want) >= 60 and got == want
+
+
 def test_cutting_passages(docs, corpus, empty):
     spans = covered(corpus)
     got = {r["doc_id"]: r for r in suffixes.dedup_passages(docs).collect()}

@@ -3,10 +3,11 @@
 Suffixes are kept at minimiser positions only: of ``LEAST - GRAM + 1`` consecutive runs of ``GRAM`` words, the one of
 the smallest hash. Documents that share ``LEAST`` words share such a position. Suffixes whose first run occurs in one
 document only go, by one aggregate over (hash, document). The others carry the words around them, as far as a match
-can reach before another kept suffix takes over, and are range-partitioned and sorted. In sorted order each suffix is
-compared with its nearest neighbours of smaller documents, on either side; common words to the right and to the left
-of both add up to the match. Neighbours that fall into different partitions are compared in a second pass, over the few
-suffixes at the partitions' ends that found none: at most a few for each partition.
+can reach before another kept suffix takes over, and are range-partitioned and sorted. All suffixes of a head of few are
+compared with each other; common words to the right and to the left of both add up to the match. Of a head of many, or
+one that partitions may share, each is compared with its nearest neighbours of smaller documents, on either side. That
+order can keep two suffixes apart that match, so what a match leaves open is settled by keys: hashes of all runs of
+``LEAST`` words whose minimiser the suffix is. The least document of a run always hands on its key, as no match covers it.
 
 So a passage stays in the smallest of the documents that share it, and each other document gets a span. Words are
 compared by 32-bit codes.
@@ -34,7 +35,10 @@ LEAST, GRAM = 50, 12
 LEFT, RIGHT = LEAST, LEAST + GRAM
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_FOUND = "doc_id long, pos int, back int, ahead int, of_doc_id long, of_pos int, head long, right binary, left binary"
+#: Suffixes of a head that are all compared with each other, at most.
+FEW = 8
+#: Spans, and rows of keys: those of the runs that start at ``s`` and after.
+_FOUND = "doc_id long, s int, e int, of_doc_id long, keys array<long>"
 
 
 def minimisers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +52,15 @@ def minimisers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
+def _owned(codes: np.ndarray) -> dict[int, tuple[int, int]]:
+    """For each minimiser the first and the last of the runs of ``LEAST`` words that it stands for."""
+    if len(codes) < LEAST:
+        return {}
+    windows = np.lib.stride_tricks.sliding_window_view(window_codes(codes, GRAM), LEAST - GRAM + 1)
+    at, first, n = np.unique(windows.argmin(1) + np.arange(len(windows)), return_index=True, return_counts=True)
+    return dict(zip(at.tolist(), zip(first.tolist(), (first + n - 1).tolist(), strict=True), strict=True))
+
+
 def kept_suffixes(docs: DataFrame) -> DataFrame:
     """``head`` (hash of the first run), ``doc_id`` and word position ``pos`` of each kept suffix."""
 
@@ -68,23 +81,28 @@ def _surroundings(docs: DataFrame) -> DataFrame:
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 200):
-            heads, ids, places, right, left = [], [], [], [], []
+            heads, ids, places, right, left, low, high = [], [], [], [], [], [], []
             for doc_id, text, at in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 codes = word_codes(words(text))
                 short = codes.astype(">u4")
                 ahead, back = short.tobytes(), short[::-1].tobytes()
                 hashes = window_codes(codes, GRAM).view(np.int64)
-                n = len(short)
+                n, owned = len(short), _owned(codes)
                 for p in {p for p in at if p < len(hashes)}:  # rows of equal id may have other texts
                     heads.append(hashes[p])
                     ids.append(doc_id)
                     places.append(p)
                     right.append(ahead[4 * p : 4 * (p + RIGHT)])
                     left.append(back[4 * (n - p) : 4 * (n - p + LEFT)])
-            columns = [pa.array(heads, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), right, left]
-            yield pa.RecordBatch.from_pydict(dict(zip(("head", "doc_id", "pos", "right", "left"), columns, strict=True)))
+                    a, b = owned.get(p, (p, p - 1))
+                    low.append(a)
+                    high.append(b)
+            columns = [pa.array(heads, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())]
+            columns += [pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(low, pa.int32()), pa.array(high, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, "head long, doc_id long, pos int, right binary, left binary")
+    names = ["head", "doc_id", "pos", "right", "left", "low", "high"]
+    return docs.mapInArrow(run, "head long, doc_id long, pos int, right binary, left binary, low int, high int")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -97,66 +115,119 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 class _Suffix:
-    __slots__ = ("doc", "left", "match", "pos", "right")
+    __slots__ = ("doc", "high", "left", "low", "match", "pos", "right")
 
-    def __init__(self, doc: int, pos: int, right: bytes, left: bytes) -> None:
-        self.doc, self.pos, self.right, self.left = doc, pos, right, left
-        self.match: tuple[int, int, int, int] | None = None
+    def __init__(self, doc: int, pos: int, right: bytes, left: bytes, low: int, high: int) -> None:
+        self.doc, self.pos, self.right, self.left, self.low, self.high = doc, pos, right, left, low, high
+        self.match: tuple[int, int, int] | None = None
 
-    def compare(self, other: _Suffix) -> None:
-        """Match with a suffix of a smaller document, unless there is a longer match."""
+    def common(self, other: _Suffix) -> tuple[int, int, int] | None:
+        """The span that a suffix of a smaller document has in common with this one, and that document."""
         back, ahead = _common(self.left, other.left), _common(self.right, other.right)
-        if back + ahead >= LEAST and (self.match is None or back + ahead > self.match[0] + self.match[1]):
-            self.match = (back, ahead, other.doc, other.pos)
+        return (self.pos - back, self.pos + ahead, other.doc) if back + ahead >= LEAST else None
 
-
-def _neighbours(rows: DataFrame, edges: bool) -> DataFrame:
-    """Matches of sorted suffixes with neighbours of smaller documents; with ``edges``, also those without a match at the
-    ends of each partition, with their words."""
+    def compare(self, other: _Suffix) -> None:
+        """Match with a suffix of a smaller document, unless there is a longer match."""
+        new = self.common(other)
+        if new is not None and (self.match is None or new[1] - new[0] > self.match[1] - self.match[0]):
+            self.match = new
+
+    def open(self) -> list[tuple[int, int]]:
+        """First and last of the runs that the match doesn't cover."""
+        if self.match is None:
+            runs = [(self.low, self.high)]
+        else:
+            runs = [(self.low, min(self.high, self.match[0] - 1)), (max(self.low, self.match[1] - LEAST + 1), self.high)]
+        return [(a, b) for a, b in runs if a <= b]
+
+
+def _keys(open_: list[tuple[_Suffix, int, int]]) -> pa.RecordBatch:
+    """The keys of runs of suffixes, from the first to the last given."""
+    most = LEAST - GRAM  # words of a run to the left of its minimiser, at most
+    wide = np.zeros((len(open_), most + LEAST), ">u4")
+    for row, (s, _, _) in zip(wide, open_, strict=True):
+        left, right = np.frombuffer(s.left[: 4 * most], ">u4")[::-1], np.frombuffer(s.right[: 4 * LEAST], ">u4")
+        row[most - len(left) : most] = left
+        row[most : most + len(right)] = right
+    # All suffixes' texts one after the other; runs across two of them are not chosen.
+    hashes = window_codes(wide.astype(np.uint64).ravel(), LEAST).view(np.int64)
+    hashes = np.lib.stride_tricks.sliding_window_view(hashes, most + 1)[:: wide.shape[1]]
+    at = np.array([(a - s.pos + most, b - s.pos + most) for s, a, b in open_])
+    chosen = (np.arange(hashes.shape[1]) >= at[:, :1]) & (np.arange(hashes.shape[1]) <= at[:, 1:])
+    ends = np.concatenate([[0], np.cumsum(chosen.sum(1))]).astype(np.int32)
+    keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[chosen]))
+    none = pa.nulls(len(open_), pa.int32())
+    columns = [pa.array([s.doc for s, _, _ in open_], pa.int64()), pa.array([a for _, a, _ in open_], pa.int32()), none]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(open_), pa.int64()), keys], ["doc_id", "s", "e", "of_doc_id", "keys"])
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Spans of sorted suffixes that smaller documents hold, and the keys of runs that the comparisons leave open."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        head, first, last = None, True, None
+        spans: list[tuple] = []
+        left_open: list[tuple[_Suffix, int, int]] = []
+        head, group, first, many = None, [], True, False
         stack: list[_Suffix] = []  # of one head, documents ascending: each is the nearest smaller one of the next
 
-        def done(s: _Suffix, edge: bool = False) -> None:
+        def done(s: _Suffix) -> None:
             if s.match is not None:
-                out.append((s.doc, s.pos, *s.match, None, None, None))
-            elif edge and edges:
-                out.append((s.doc, s.pos, None, None, None, None, head, s.right, s.left))
-
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+                spans.append((s.doc, *s.match))
+            left_open.extend((s, a, b) for a, b in s.open())
+
+        def add(new: _Suffix) -> None:
+            while stack and stack[-1].doc > new.doc:
+                s = stack.pop()
+                s.compare(new)
+                done(s)
+            smaller = next((s for s in reversed(stack) if s.doc < new.doc), None)
+            if smaller is not None:
+                new.compare(smaller)
+            stack.append(new)
+
+        def end(edge: bool) -> None:
+            """The end of a head; ``edge``: other partitions may hold more of it."""
+            if edge or many:
+                for s in group:
+                    add(s)
+                for s in stack:
+                    done(s)
+                stack.clear()
+            else:
+                for s in group:
+                    spans.extend((s.doc, *m) for o in group if o.doc < s.doc and (m := s.common(o)) is not None)
+            group.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if spans:
+                columns = [pa.array(c, t) for c, t in zip(zip(*spans, strict=True), kinds, strict=True)]
+                nulls = pa.nulls(len(spans), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2], columns[3], nulls], names)
+                spans.clear()
+            for at in range(0, len(left_open), 2000):
+                yield _keys(left_open[at : at + 2000])
+            left_open.clear()
 
         for part in it:
-            each = zip(*(part.column(c).to_pylist() for c in ("head", "doc_id", "pos", "right", "left")), strict=True)
-            for h, doc, pos, right, left in each:
+            each = zip(*(part.column(c).to_pylist() for c in ("head", "doc_id", "pos", "right", "left", "low", "high")), strict=True)
+            for h, *rest in each:
                 if h != head:
-                    for s in stack:
-                        done(s, first and head is not None)
-                    stack.clear()
-                    first = head is None
-                    head = h
-                new = _Suffix(doc, pos, right, left)
-                while stack and stack[-1].doc > doc:
-                    s = stack.pop()
-                    s.compare(new)
-                    done(s, first)
-                smaller = next((s for s in reversed(stack) if s.doc < doc), None)
-                if smaller is not None:
-                    new.compare(smaller)
-                stack.append(new)
-            if len(out) > 5000:
-                yield batch()
-        for s in stack:
-            done(s, True)
-        if out:
-            yield batch()
-
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = pa.schema([pa.field(n, kinds[t]) for n, t in (x.split() for x in _FOUND.split(", "))])
+                    if head is not None:
+                        end(first)
+                        first = False
+                    head, many = h, False
+                group.append(_Suffix(*rest))
+                if many or len(group) > FEW:
+                    many = True
+                    for s in group:
+                        add(s)
+                    group.clear()
+            if len(spans) + len(left_open) > 5000:
+                yield from out()
+        end(True)
+        yield from out()
+
+    kinds, names = (pa.int64(), pa.int32(), pa.int32(), pa.int64()), ["doc_id", "s", "e", "of_doc_id", "keys"]
     return rows.mapInArrow(run, _FOUND)
 
 
@@ -172,12 +243,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = _surroundings(docs.select("doc_id", "text").join(at, "doc_id"))
     order = ["head", "right", "left", "doc_id", "pos"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = checkpointed(_neighbours(rows.repartitionByRange(n, *order).sortWithinPartitions(*order), True))
-    edges = found.filter("right is not null").select(*order).coalesce(1).sortWithinPartitions(*order)
-    matched = found.filter("right is null").unionByName(_neighbours(edges, False))
-    spans = matched.select(
-        "doc_id", (F.col("pos") - F.col("back")).alias("s"), (F.col("pos") + F.col("ahead")).alias("e"), "of_doc_id"
-    )
+    found = checkpointed(_neighbours(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)))
+    keys = found.filter("keys is not null").select("doc_id", "s", F.posexplode("keys").alias("i", "key"))
+    keys = keys.select("doc_id", (F.col("s") + F.col("i")).alias("s"), "key")
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("of_doc_id"), F.max("doc_id").alias("high")).filter("of_doc_id < high")
+    least = checkpointed(least.select("key", "of_doc_id"))
+    late = keys.join(least, "key").filter("of_doc_id < doc_id").select("doc_id", "s", (F.col("s") + LEAST).alias("e"), "of_doc_id")
+    spans = found.filter("keys is null").select("doc_id", "s", "e", "of_doc_id").unionByName(late)
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = spans.withColumn("new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int"))
