@@ -157,6 +157,10 @@ def test_passages_around_a_run_of_very_many_documents(spark):
     assert len(want) >= 60 and got == want
 
 
+def test_no_pass_over_suffixes_in_one_task(docs):
+    assert "Coalesce 1" not in suffixes.repeated_spans(docs)._jdf.queryExecution().toString()
+
+
 def test_cutting_passages(docs, corpus, empty):
     spans = covered(corpus)
     got = {r["doc_id"]: r for r in suffixes.dedup_passages(docs).collect()}
