@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import batches
+from tidemark.llm.text import batches, tidy
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -202,7 +202,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def _sha256(text: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import batches
+from tidemark.llm.text import batches, tidy
 
 #: Context sizes of the tiers, longest first; each a power of two.
 CONTEXTS = (2048, 1024, 512, 256)
@@ -244,4 +244,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     fields = pa.schema(
         [pa.field(n, pa.int32() if t == "int" else pa.int64()) for n, t in (x.split() for x in SCHEMA.split(", "))]
     )
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)

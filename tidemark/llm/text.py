@@ -6,10 +6,14 @@ Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]`` of the UTF-8 text
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +65,38 @@ def crc_mod(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def batches(it: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+def batches(it: Iterable[pa.RecordBatch], rows: int, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and, unless a single row is longer, ``most_bytes`` of text."""
     for batch in it:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if any(f(column.type) for f in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = 0
+        while at < batch.num_rows:
+            fit = int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1
+            to = max(at + 1, min(at + rows, fit, batch.num_rows))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``; at its end the task's freed memory goes back to the system.
+
+    Python workers outlive their tasks, and else keep what their largest task needed beside the next stage's sorts.
+    """
+
+    @functools.wraps(run)
+    def tidied(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it returns memory by its own rules
+                pass
+
+    return tidied

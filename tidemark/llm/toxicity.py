@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import checkpointed, hash_sample
-from tidemark.llm.text import batches
+from tidemark.llm.text import batches, tidy
 
 #: Most labelled texts that the model is fitted to, by the order of a hash of the id.
 SAMPLE = 20_000
@@ -37,6 +37,8 @@ WINDOW, QUOTED = 6, 0.25
 THRESHOLD = 0.7
 #: Words that a task remembers, and terms that it counts before it hands them on.
 WORDS_KEPT, TERMS_HELD = 150_000, 100_000
+#: States that an automaton remembers before it starts anew.
+STATES_KEPT = 20_000
 
 _MARKS = ".,;:!?()[]{}…'’`*_~-–—"
 _QUOTES = "\"“”„«»‹›"
@@ -64,6 +66,10 @@ class Automaton:
                 node = self.children[node][c]
             self.ends[node] = (term, terms[term])
         self.most = max((edits_allowed(t, s) for t, s in terms.items()), default=0)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start without any state; they are made again when needed, so ``STATES_KEPT`` bounds memory alone."""
         self.numbers: dict[frozenset, int] = {}
         self.states: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
@@ -104,6 +110,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """Edits and term of the nearest term, or none within the edits allowed."""
+        if len(self.states) > STATES_KEPT:
+            self._forget()
         state, best = self.start, None
         for letter in word:
             to = self.moves[state].get(letter)
@@ -212,7 +220,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         if counts[1]:
             yield out()
 
-    made = sample.select("text", "toxic").mapInArrow(run, "term string, stem boolean, toxic long, total long")
+    made = sample.select("text", "toxic").mapInArrow(tidy(run), "term string, stem boolean, toxic long, total long")
     return made.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
 
 
@@ -242,19 +250,21 @@ def learn_lexicon(sample: DataFrame, rate: float) -> dict[str, bool]:
 
 
 def _clean_forms(sample: DataFrame, terms: dict[str, bool]) -> frozenset[str]:
-    """Words of clean texts that are within the edits of a term, as far as 50 times as many as terms."""
+    """Words of clean texts that are within the edits of a term; of more than 50 for each term those of most texts."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, seen = Automaton(terms), set()
-        for batch in it:
+        automaton, near = Automaton(terms), {}
+        for batch in batches(it, 200):
+            forms = []
             for text in batch.column(0).to_pylist():
-                new = set(map(_bare, set((text or "").lower().split()))) - seen
-                seen |= new
-                forms = [w for w in new if (h := automaton.match(w)) is not None and h[0]]
-                if forms:
-                    yield pa.RecordBatch.from_pydict({"form": forms})
-
-    forms = sample.filter("toxic = 0").select("text").mapInArrow(run, "form string")
+                if len(near) > WORDS_KEPT:
+                    near.clear()
+                found = set(map(_bare, set((text or "").lower().split())))
+                near.update((w, (h := automaton.match(w)) is not None and h[0] > 0) for w in found if w not in near)
+                forms += filter(near.__getitem__, found)
+            yield pa.RecordBatch.from_pydict({"form": pa.array(forms, pa.string())})
+
+    forms = sample.filter("toxic = 0").select("text").mapInArrow(tidy(run), "form string")
     top = forms.groupBy("form").count().orderBy(F.desc("count"), "form").limit(50 * TERMS)
     return frozenset(r["form"] for r in top.collect())
 
@@ -266,7 +276,7 @@ def _features(docs: DataFrame, terms: dict[str, bool], clean: frozenset[str], ke
             made = pa.array([scorer.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), made], [kept, "x"])
 
-    return docs.select(kept, "text").mapInArrow(run, f"{kept} long, x array<double>")
+    return docs.select(kept, "text").mapInArrow(tidy(run), f"{kept} long, x array<double>")
 
 
 class Model:
@@ -294,7 +304,7 @@ class Model:
                 score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -60, 60)))
                 yield batch.filter(pa.array(score < threshold))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import batches, texts
+from tidemark.llm.text import batches, texts, tidy
 
 #: Samples in a row of a plane: payloads are padded with zeros to a positive multiple.
 ROW = 64
@@ -416,7 +416,7 @@ def store(docs: DataFrame) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -447,4 +447,4 @@ def features(stored: DataFrame) -> DataFrame:
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string"
     )
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), schema)
