@@ -9,11 +9,12 @@ then each task trains a replica on all its training documents, and the replicas'
 Spark aggregate. Windows of a document follow each other with the state carried on; gradients stop at their starts.
 
 Scoring carries the state through the whole document, so its likelihood is complete. Words beyond a bounded table of
-frequent ones get their counts by a join, and one sum for each document adds them to its scores.
+frequent ones get their counts by a join, and one sum for each row of the table, by a key made for it, adds them to its
+scores.
 
 Defined results: null and empty texts are the end token alone. Without training documents all counts are 0. Repeated
-rows of an id are scored apart but summed as one document's rare words if their texts are equal; ids should be unique.
-Rows without id are scored like others and count as held out. An empty table gives no rows.
+rows of an id are scored apart, each as a text of its own. Rows without id are scored like others and count as held out.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import checkpointed, hash_sample
-from tidemark.llm.text import batches, texts, words
+from tidemark.llm.text import batches, texts, tidy, words
 
 #: Symbols, symbols of a class, and symbols that stand for all other words by their last bytes.
 SYMBOLS, MEMBERS, ENDINGS, LAST_BYTES = 1024, 32, 64, 3
@@ -73,7 +75,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def ending(word: bytes) -> int:
@@ -384,7 +386,7 @@ def _trained(docs: DataFrame, vocab: Vocabulary, weights: dict[str, np.ndarray],
             weight = pa.array(np.full(len(net.flat), float(n)))
             yield pa.RecordBatch.from_arrays([place, pa.array(net.flat.astype(np.float64) * n), weight], ["i", "v", "n"])
 
-    got = docs.select("text").mapInArrow(run, "i int, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    got = docs.select("text").mapInArrow(tidy(run), "i int, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     table = got.toArrow()  # as many rows as the network has weights
     if not table.num_rows:
         return None
@@ -428,6 +430,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         rest = np.where(np.arange(len(logs)) < vocab.own, 0.0, logs)  # words without a symbol of their own
         seen = np.append((vocab.counts > 0).astype(np.int64), 0)
         mass = np.append(vocab.mass, np.zeros(SYMBOLS - ENDINGS))
+        # A key for each row, unique over all tasks; the checkpoint below fixes it.
+        keys = itertools.count((TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
 
         def out(held: list[tuple]) -> pa.RecordBatch:
             model = net.run([s for _, s, _, _ in held]) / np.log(10)
@@ -440,7 +444,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             rows = []
             for (doc_id, _, a, others), k, b, m in zip(held, known, base, model.tolist(), strict=True):
                 n = Counter(others)
-                rows.append((doc_id, len(a), k, b - len(a) * vocab.divisor, m, list(n), list(n.values())))
+                rows.append((next(keys), doc_id, len(a), k, b - len(a) * vocab.divisor, m, list(n), list(n.values())))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
             return pa.RecordBatch.from_arrays(columns, schema=fields)
 
@@ -455,11 +459,11 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             yield out(held)
 
     long, double = pa.int64(), pa.float64()
-    kinds = (long, long, long, double, double, pa.list_(pa.binary()), pa.list_(long))
-    names = ("row", "n_tokens", "n_known", "base", "model", "words", "times")
+    kinds = (long, long, long, long, double, double, pa.list_(pa.binary()), pa.list_(long))
+    names = ("row", "doc_id", "n_tokens", "n_known", "base", "model", "words", "times")
     fields = pa.schema([pa.field(n, k) for n, k in zip(names, kinds, strict=True)])
-    schema = "row long, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>"
-    scored = checkpointed(docs.select("doc_id", "text").mapInArrow(run, schema))
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>"
+    scored = checkpointed(docs.select("doc_id", "text").mapInArrow(tidy(run), schema))
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
     rare = rare.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
@@ -468,7 +472,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     )
     log = F.coalesce("log", F.lit(0.0))
     return scored.drop("words", "times").join(added, "row", "left").select(
-        F.col("row").alias("doc_id"),
+        "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
