@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import checkpointed
-from tidemark.llm.text import batches, mixed, texts, window_codes, word_codes, words
+from tidemark.llm.text import batches, mixed, texts, tidy, window_codes, word_codes, words
 
 #: Words of a shingle, and percent of the union that two sets share at least.
 WIDTH, PERCENT = 5, 85
@@ -77,7 +77,7 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -91,7 +91,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), lists], ["id", "codes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, codes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "id long, codes array<long>")
 
 
 def equal_places(x: Column, y: Column) -> Column:
@@ -139,7 +139,9 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         x, y = sets.withColumnsRenamed({"id": "a", "codes": "x"}), sets.withColumnsRenamed({"id": "b", "codes": "y"})
         both = F.size(F.array_intersect("x", "y"))
         linked = pairs.join(y, "b").join(x, "a").filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
-        return checkpointed(linked.select("a", "b").distinct())
+        # Not distinct before it is written: that would bind the join to its own partitions, so that a frequent centre
+        # could not be split. Rows of equal id can give a pair more than once.
+        return checkpointed(linked.select("a", "b")).distinct()
 
     signs = classes.select("id", "sig").join(alive.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     x, y = signs.withColumnsRenamed({"id": "a", "sig": "x"}), signs.withColumnsRenamed({"id": "b", "sig": "y"})
