@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import checkpointed
-from tidemark.llm.text import batches, texts, window_codes, word_codes, words
+from tidemark.llm.text import batches, texts, tidy, window_codes, word_codes, words
 
 #: Least words of a passage, and words of the runs that are hashed.
 LEAST, GRAM = 50, 12
@@ -73,7 +73,7 @@ def kept_suffixes(docs: DataFrame) -> DataFrame:
             places = np.concatenate([at for at, _ in found]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(heads), ids, pa.array(places)], ["head", "doc_id", "pos"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "head long, doc_id long, pos int")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(run), "head long, doc_id long, pos int")
 
 
 def _surroundings(docs: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _surroundings(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["head", "doc_id", "pos", "right", "left", "low", "high"]
-    return docs.mapInArrow(run, "head long, doc_id long, pos int, right binary, left binary, low int, high int")
+    return docs.mapInArrow(tidy(run), "head long, doc_id long, pos int, right binary, left binary, low int, high int")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -228,7 +228,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         yield from out()
 
     kinds, names = (pa.int64(), pa.int32(), pa.int32(), pa.int64()), ["doc_id", "s", "e", "of_doc_id", "keys"]
-    return rows.mapInArrow(run, _FOUND)
+    return rows.mapInArrow(tidy(run), _FOUND)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -239,11 +239,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kept = checkpointed(kept_suffixes(docs))
     shared = kept.groupBy("head").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     shared = checkpointed(shared.select("head"))  # an input of its own, so that Spark can split a frequent head's rows
-    at = kept.join(shared, "head").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    at = kept.join(shared, "head").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     rows = _surroundings(docs.select("doc_id", "text").join(at, "doc_id"))
     order = ["head", "right", "left", "doc_id", "pos"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = checkpointed(_neighbours(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)))
+    # Ranges by the two words after the head, not by all: their bounds are sampled to the driver. What a range's edge
+    # keeps apart is left open by the comparisons and settled by keys.
+    beyond = F.expr(f"substring(right, {4 * GRAM + 1}, 8)")
+    ranged = rows.repartitionByRange(n, "head", beyond, "doc_id")
+    found = checkpointed(_neighbours(ranged.sortWithinPartitions(*order)))
     keys = found.filter("keys is not null").select("doc_id", "s", F.posexplode("keys").alias("i", "key"))
     keys = keys.select("doc_id", (F.col("s") + F.col("i")).alias("s"), "key")
     least = keys.groupBy("key").agg(F.min("doc_id").alias("of_doc_id"), F.max("doc_id").alias("high")).filter("of_doc_id < high")
@@ -277,7 +281,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.col("doc_id"), F.struct("*").alias("row")).join(spans, "doc_id", "left").select("row", "spans")
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in batches(it, 500):
             row = batch.column(0)
             columns = dict(zip(names, row.flatten(), strict=True))
             text = columns["text"]
@@ -288,4 +292,4 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
             columns["text"] = pa.array(made, text.type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(tidy(run), schema)
