@@ -1,10 +1,11 @@
 """Removal of lines that earlier documents hold, with levelled sorted runs of line keys.
 
 Documents come in batches of ascending ids. A batch's keys are reduced to their smallest document before any shuffle,
-merge-anti-joined with the runs of all earlier batches, and what is new becomes a run: hash-partitioned by key and
-sorted within partitions. When a level holds ``FANOUT`` runs, they are compacted into one of the next level. In the end
-the runs name one owner for each key, and a line goes unless its document owns its key. Lines are matched on key and
-document together, so a line that a third of all documents hold is spread over as many tasks as any other.
+merge-anti-joined with the runs of all earlier batches, and what is new becomes a run: a table in buckets of the key's
+hash, each sorted by key, so that later merges neither shuffle nor sort it again. When a level holds ``FANOUT`` runs,
+they are merged into one of the next level. In the end the runs name one owner for each key, and a line goes unless its
+document owns its key. Lines are matched on key and document together, so a line that a third of all documents hold is
+spread over as many tasks as any other. Batches and their sizes both grow with the square root of the table.
 
 Defined results: null text is one empty line. Rows of equal id are one document; rows without id are one document
 after all others. Lines whose keys are short stay. An empty table gives no rows. Other columns pass through untouched.
@@ -12,15 +13,19 @@ after all others. Lines whose keys are short stay. An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import checkpointed, written
+from tidemark.llm.shared import shared_dir, written
 
-#: Batches that a table is dealt into, and runs of one level before they are compacted.
-BATCHES, FANOUT = 4, 2
+#: Least batches that a table is dealt into, documents of a batch where there are as many batches as millions of
+#: documents in one, and runs of one level before they are merged.
+BATCHES, BATCH_DOCS, FANOUT = 4, 1_000_000, 2
 #: Least length of a key, in code points.
 LEAST = 10
 
@@ -36,6 +41,18 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made meanwhile know that a bucket of one file is in the order it was written in."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
     """Levels of runs; a run has columns ``key`` and ``owner``, each key in one run only."""
 
@@ -50,14 +67,14 @@ class LineRuns:
         """Add the keys of a batch (columns ``key`` and ``doc``) that no run has yet."""
         new = lines.groupBy("key").agg(F.min("doc").alias("owner"))
         for run in self.runs():
-            new = new.join(run, "key", "left_anti")
-        self.levels[0].append(self._sorted(new))
+            new = new.join(run.hint("merge"), "key", "left_anti")
+        self.levels[0].append(self._run(new))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._compact(level)
 
     def _compact(self, level: int) -> None:
-        merged = self._sorted(reduce(DataFrame.unionByName, self.levels[level]))
+        merged = self._run(reduce(self._merged, self.levels[level]))
         self.levels[level] = []
         if level + 1 == len(self.levels):
             self.levels.append([])
@@ -66,16 +83,35 @@ class LineRuns:
             self._compact(level + 1)
 
     @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        partitions = int(run.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return checkpointed(run.repartition(partitions, "key").sortWithinPartitions("key"))
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one; no key is in both."""
+        both = a.join(b.withColumnRenamed("owner", "other").hint("merge"), "key", "full_outer")
+        return both.select("key", F.coalesce("owner", "other").alias("owner"))
+
+    @staticmethod
+    def _run(rows: DataFrame) -> DataFrame:
+        """The rows, dealt by key already, as a table in the shared folder: a sorted file for each bucket of the key."""
+        spark = rows.sparkSession
+        name, buckets = f"run_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"spark_catalog.default.{name}"
+        with ordered_scans(spark):
+            out = rows.write.format("parquet").bucketBy(buckets, "key").sortBy("key")
+            out.option("path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(table)
+        run = spark.table(table)
+        run.schema  # noqa: B018  resolved now: the files stay when the name goes
+        spark.sql(f"DROP TABLE {table}")
+        return run
 
     def owners(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.runs())
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """The documents with their text reduced to the lines that stay, and counts ``n_lines`` and ``n_dropped``."""
+def dedup_lines(docs: DataFrame, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
+    """The documents with their text reduced to the lines that stay, and counts ``n_lines`` and ``n_dropped``.
+
+    ``batches``: the square root of the documents in millions if not given, ``BATCHES`` at least.
+    """
+    batches = batches or max(BATCHES, round((docs.count() / BATCH_DOCS) ** 0.5))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     ident = F.coalesce(F.col("doc_id"), F.lit(_LAST))
     code = F.xxhash64(F.coalesce("text", F.lit("")))  # tells rows of equal id apart
