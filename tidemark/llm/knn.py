@@ -1,14 +1,18 @@
 """Exact top-k inner products by a Voronoi join.
 
-A bounded sample of rows serves as pivots. Each row belongs to its nearest pivot's group; one aggregate gives each
-group's size, radius and largest norm. A query's k-th best score over the sample is a lower bound of its k-th best
-score over all rows, so a group whose upper bound ``min(q.p + |q| r, |q| max|x|)`` is below it can be left out. Queries
-go only to the groups left. Groups are dealt to cells of bounded size, queries to blocks of bounded size; each pair of
-cell and block that has work is one task-sized group, solved with a matrix product, and the k best of a query's cells
-are its result. The sample decides only what can be pruned, never the result.
+Pivots come from k-means over a bounded sample of the rows; their number grows with the square root of the rows. Each row
+belongs to its nearest pivot's group, and there to a ring by its distance from the pivot. One aggregate gives each ring's
+size, least and largest distance, and largest norm. A query's k-th best score over the sample is a lower bound of its k-th
+best over all rows; the triangle inequality gives an upper bound of its scores in a ring, and rings whose upper bound is
+below the lower one are left out. Queries go only to the rings left; a ring's rows go only to the blocks of queries that
+one of them needs. Rings are dealt to cells of bounded size, queries to blocks of bounded size; each pair of cell and block
+that has work is one task-sized group, solved with a matrix product, and the k best of a query's cells are its result.
+The sample decides only what can be pruned, never the result: vectors without clusters, whose distances are all alike,
+prune nothing, and then every query meets every cell.
 
 Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with zeros.
-Ties go to the smaller id. Rows of equal id are rows of their own, and none is a candidate for a query of its own id.
+Ties go to the smaller id. Rows of equal id are rows of their own, and none is a candidate for a query of its own id. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,15 +21,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import hash_sample
+from tidemark.llm.shared import checkpointed, hash_sample
+from tidemark.llm.text import tidy
 
-#: Pivots, and rows that give a query its first bound: a bounded sample, by the order of a hash of the id.
-PIVOTS, SAMPLE = 24, 2048
-#: Most rows of a cell and most queries of a block, on average.
-CELL_ROWS, BLOCK_QUERIES = 20_000, 4_096
+#: Rows that k-means and a query's first bound are taken from: a bounded sample, by the order of a hash of the id.
+SAMPLE = 4096
+#: Pivots: half the square root of the rows, within these bounds; rounds of k-means; rings of a group.
+LEAST_PIVOTS, MOST_PIVOTS, ROUNDS, RINGS = 8, 512, 8, 4
+#: Most rows of a cell and most queries of a block, on average; most blocks, so that what names the blocks of each ring
+#: stays small enough to broadcast: beyond, blocks grow.
+CELL_ROWS, BLOCK_QUERIES, MOST_BLOCKS = 20_000, 16_384, 2_048
 SCALE = 1024
 
 _RESULT = "query_id long, vec_id long, score long"
@@ -77,66 +85,110 @@ def _best(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[some], col[some]
 
 
+def k_means(x: np.ndarray, k: int) -> np.ndarray:
+    """At most ``k`` centres of the rows, by rounds of Lloyd's method from the first ``k`` distinct rows."""
+    x = x.astype(np.float64)
+    _, first = np.unique(x, axis=0, return_index=True)
+    centres = x[np.sort(first)[:k]]
+    for _ in range(ROUNDS):
+        near = ((centres**2).sum(1) / 2 - x @ centres.T).argmin(1)
+        n = np.bincount(near, minlength=len(centres))
+        sums = np.stack([np.bincount(near, c, len(centres)) for c in x.T], 1)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def upper_bounds(q: np.ndarray, centre: np.ndarray, least: np.ndarray, most: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """For each query and ring no less than the highest inner product with a row whose distance from the ring's centre
+    is in [least, most] and whose length is ``norm`` at most."""
+    size = np.sqrt((q**2).sum(1))[:, None]
+    inner = q[:, : centre.shape[1]] @ centre.T
+    away = np.sqrt(np.maximum(size**2 + (centre**2).sum(1) - 2 * inner, 0))
+    gap = np.maximum(np.maximum(away - most, least - away), 0)  # no row of the ring is nearer to the query
+    return np.minimum(np.minimum(inner + size * most, size * norm), (size**2 + norm**2 - gap**2) / 2)
+
+
+class Routes:
+    """What a join sends where: ``data`` (``vec_id``, ``v``, ``ring``, ``cell``, ``block``) and ``asked`` (``query_id``,
+    ``q`` and the same keys). ``pairs`` and ``sent`` count the pairs of query and ring, and those not pruned."""
+
+    def __init__(self, vectors: DataFrame, queries: DataFrame, k: int) -> None:
+        n = vectors.count()
+        sample = hash_sample(vectors, "vec_id", SAMPLE).toArrow()
+        ids, rows = sample["vec_id"].to_numpy(), _matrix(sample["v"])
+        centres = k_means(rows, min(MOST_PIVOTS, max(LEAST_PIVOTS, round(n**0.5 / 2))))
+        width, half = rows.shape[1], (centres**2).sum(1) / 2
+
+        def assign(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = 0  # deals rows to cells, even rows of one id
+            for batch in it:
+                x = _matrix(batch["v"], width).astype(np.float64)
+                near = x[:, :width]
+                group = (half - near @ centres.T).argmin(1)
+                far = np.sqrt(((near - centres[group]) ** 2).sum(1) + (x[:, width:] ** 2).sum(1))
+                columns = {"vec_id": batch["vec_id"], "v": batch["v"], "grp": group.astype(np.int32), "far": far}
+                columns |= {"norm": np.sqrt((x**2).sum(1)), "turn": np.arange(seen, seen + len(x))}
+                seen += len(x)
+                yield pa.RecordBatch.from_pydict(columns)
+
+        dealt = vectors.mapInArrow(tidy(assign), "vec_id long, v array<long>, grp int, far double, norm double, turn long")
+        radius = {r["grp"]: r["far"] for r in dealt.groupBy("grp").agg(F.max("far").alias("far")).collect()}
+        widths = _of({g: max(r, 1e-9) / RINGS for g, r in radius.items()}, "double")
+        within = F.least(F.floor(F.col("far") / widths[F.col("grp")]), F.lit(RINGS - 1)).cast("int")
+        dealt = dealt.withColumn("ring", F.col("grp") * RINGS + within)
+        summary = dealt.groupBy("ring").agg(
+            F.count("*").alias("n"), F.min("far").alias("least"), F.max("far").alias("most"), F.max("norm").alias("norm")
+        )
+        rings = summary.orderBy("ring").toArrow()  # at most RINGS for each pivot
+        number, least, most, norm = (rings[c].to_numpy() for c in ("ring", "least", "most", "norm"))
+        centre = centres[number // RINGS]
+
+        def choose(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each query, with the rings that can hold one of its best."""
+            for whole in it:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    q, own = _matrix(batch["v"], width), batch["vec_id"].to_numpy()
+                    known = np.where(own[:, None] == ids, np.iinfo(np.int64).min, _product(q, rows))
+                    lower = np.full(len(q), -np.inf)
+                    if known.shape[1] >= k:
+                        kth = np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k]
+                        lower = np.where(kth == np.iinfo(np.int64).min, -np.inf, kth.astype(np.float64))
+                    upper = upper_bounds(q.astype(np.float64), centre, least, most, norm)
+                    open_ = upper * (1 + 1e-9 * np.sign(upper)) + 1e-3 >= lower[:, None]
+                    ends = np.concatenate([[0], np.cumsum(open_.sum(1))]).astype(np.int32)
+                    found = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[np.nonzero(open_)[1]].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], found], ["query_id", "q", "rings"])
+
+        schema = "query_id long, q array<long>, rings array<int>"
+        chosen = checkpointed(queries.select("vec_id", "v").mapInArrow(tidy(choose), schema))
+        total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("rings")), F.lit(0)).alias("sent")).first()
+        self.pairs, self.sent = total["n"] * len(number), total["sent"]
+        blocks = min(MOST_BLOCKS, max(1, -(-total["n"] // BLOCK_QUERIES)))
+        chosen = chosen.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        asked = chosen.select("query_id", "q", "block", F.explode("rings").alias("ring"))
+        cells = {int(g): max(1, -(-int(c) // CELL_ROWS)) for g, c in zip(number, rings["n"].to_numpy(), strict=True)}
+        copies = _of(cells, "int")[F.col("ring")]
+        self.asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), copies - 1)))
+        # At most a ring for each of RINGS * MOST_PIVOTS, with MOST_BLOCKS numbers: small enough to broadcast.
+        wanted = F.broadcast(asked.groupBy("ring").agg(F.collect_set("block").alias("blocks")))
+        data = dealt.join(wanted, "ring").withColumn("cell", F.pmod("turn", copies).cast("int"))
+        self.data = data.select("vec_id", "v", "ring", "cell", F.explode("blocks").alias("block"))
+
+
+def _of(numbers: dict[int, float], kind: str) -> Column:
+    """A map column of numbers by their keys, a bounded number of them."""
+    return F.map_from_arrays(F.lit(list(numbers)).cast("array<int>"), F.lit(list(numbers.values())).cast(f"array<{kind}>"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Each query's k highest inner products over all vectors of other ids: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Both inputs have columns ``vec_id`` and ``v``, as from ``whole_vectors``.
     """
-    sample = hash_sample(vectors, "vec_id", max(PIVOTS, SAMPLE)).toArrow()
-    ids, rows = sample["vec_id"].to_numpy(), _matrix(sample["v"])
-    pivots = np.unique(rows[:PIVOTS], axis=0).astype(np.float64)
-    width, half = rows.shape[1], (pivots**2).sum(1) / 2
-
-    def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Group and distance of each row; components beyond the pivots' add to the distance alone."""
-        x = x.astype(np.float64)
-        near = x[:, :width]
-        group = (half - near @ pivots.T).argmin(1)
-        inside = ((near - pivots[group]) ** 2).sum(1)
-        return group, np.sqrt(inside + (x[:, width:] ** 2).sum(1))
-
-    def assign(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            x = _matrix(batch["v"], width)
-            group, distance = nearest(x)
-            norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-            yield pa.RecordBatch.from_pydict(
-                {"vec_id": batch["vec_id"], "v": batch["v"], "grp": group.astype(np.int32), "far": distance, "norm": norm}
-            )
-
-    if not len(pivots):
-        none = "query_id long, rank int, vec_id long, score long"
-        return vectors.sparkSession.createDataFrame([], none)
-    dealt = vectors.mapInArrow(assign, "vec_id long, v array<long>, grp int, far double, norm double")
-    summary = dealt.groupBy("grp").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm"))
-    groups = summary.orderBy("grp").toArrow()  # at most PIVOTS rows
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    number, radius, norms = (groups[c].to_numpy() for c in ("grp", "far", "norm"))
-    cells = {int(g): max(1, -(-int(n) // CELL_ROWS)) for g, n in zip(number, groups["n"].to_numpy(), strict=True)}
-    centre = pivots[number]
-
-    def send(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each query and cell that can hold one of its best."""
-        for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                q, own = _matrix(batch["v"], width), batch["vec_id"].to_numpy()
-                known = np.where(own[:, None] == ids, np.iinfo(np.int64).min, _product(q, rows))
-                least = np.full(len(q), -np.inf)
-                if known.shape[1] >= k:
-                    kth = np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k]
-                    least = np.where(kth == np.iinfo(np.int64).min, -np.inf, kth.astype(np.float64))
-                x = q.astype(np.float64)
-                size = np.sqrt((x**2).sum(1))[:, None]
-                most = np.minimum(x[:, :width] @ centre.T + size * radius, size * norms)
-                query, group = np.nonzero(most * (1 + 1e-9 * np.sign(most)) + 1e-3 >= least[:, None])
-                copies = np.array([cells[int(g)] for g in number], int)[group]
-                query, group = query.repeat(copies), number[group].repeat(copies)
-                cell = np.arange(len(query)) - np.repeat(np.cumsum(copies) - copies, copies)
-                sent = pa.RecordBatch.from_pydict({"query_id": batch["vec_id"], "q": batch["v"]}).take(pa.array(query))
-                yield pa.RecordBatch.from_arrays(
-                    [*sent.columns, pa.array(group, pa.int32()), pa.array(cell, pa.int32())], ["query_id", "q", "grp", "cell"]
-                )
+    if vectors.isEmpty():
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    routes = Routes(vectors.select("vec_id", "v"), queries, k)
 
     def solve(data: pa.Table, asked: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -153,14 +205,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 found["score"].append(scores[row, col])
         return pa.table({c: pa.array(np.concatenate(v) if v else [], pa.int64()) for c, v in found.items()})
 
-    copies = F.create_map(*(F.lit(int(y)) for x in cells.items() for y in x))
-    spread = F.pmod(F.xxhash64("vec_id"), copies[F.col("grp")]).cast("int")
-    data = dealt.select("vec_id", "v", "grp", spread.alias("cell"))
-    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.mapInArrow(send, "query_id long, q array<long>, grp int, cell int")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    keys = ["grp", "cell", "block"]
-    local = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(solve, _RESULT)
+    keys = ["ring", "cell", "block"]
+    local = routes.data.groupBy(*keys).cogroup(routes.asked.groupBy(*keys)).applyInArrow(solve, _RESULT)
     return best_rows(local, k)
 
 

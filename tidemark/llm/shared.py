@@ -42,5 +42,7 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     code = F.pmod(F.xxhash64(key), F.lit(1 << 40))
     total = rows.count()
     if total > 8 * n:
-        rows = rows.filter(code < int((1 << 40) * (4 * n + 200) / total))
+        below = rows.filter(code < int((1 << 40) * (4 * n + 200) / total))
+        if below.limit(n).count() == n:  # else few keys are repeated often, and none may lie below the bound
+            rows = below
     return rows.orderBy(code, key).limit(n)
