@@ -17,10 +17,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades are ``labels.quality``; fitted to ids whose crc32 modulo 3 is not 1."""
+    """Three grades: 0 of low quality, 1 of high quality but toxic, 2 of high quality and not toxic. Fitted to ids whose
+    crc32 modulo 3 is not 1; documents are kept that reach grade 1 with at least even chances."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(3) != 1)
-    scored = ordinal.fit(docs, labels.select("doc_id", F.col("quality").alias("grade"))).score(docs, 1)
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") > 0, F.when(F.col("toxic") > 0, 1).otherwise(2))
+    scored = ordinal.fit(docs, labels.select("doc_id", grade.alias("grade"))).score(docs, 1)
     return scored.select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), *scored.columns[1:])
 
 

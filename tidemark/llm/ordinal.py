@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import hash_sample
-from tidemark.llm.text import batches, texts
+from tidemark.llm.text import batches, texts, tidy
 
 #: Most rated texts that the model is fitted to, by the order of a hash of the id; most grades.
 SAMPLE, GRADES = 20_000, 64
@@ -59,23 +59,26 @@ def _thresholds(free: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
-def fit_ordinal(docs: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds for texts' features and their grades 0 to ``grades - 1``, by AdaGrad over all texts."""
-    blocks = []  # places of some texts, their texts' numbers, where each begins, and one over its length
-    for at in range(0, len(docs), BLOCK):
-        some = [i for i in range(at, min(at + BLOCK, len(docs))) if len(docs[i])]
-        if some:
-            lengths = np.array([len(docs[i]) for i in some])
-            blocks.append((np.concatenate([docs[i] for i in some]), np.array(some), np.cumsum(lengths) - lengths, lengths))
-    above = np.array([(grade > k).mean() for k in range(grades - 1)])
-    start = -np.log(np.clip(above, 1e-4, 1 - 1e-4) / (1 - np.clip(above, 1e-4, 1 - 1e-4)))
-    free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    weights, squares, free_squares = np.zeros(SPACE), np.full(SPACE, 1e-12), np.full(len(free), 1e-12)
-    for _ in range(steps):
-        theta = _thresholds(free)
-        score = np.zeros(len(docs))
-        for flat, some, begin, lengths in blocks:
-            score[some] = np.add.reduceat(weights[flat], begin) / lengths
+class Ratings:
+    """Rated texts, ready for the fit: for each text its distinct places and how often each occurs."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, grades: int) -> None:
+        self.n, self.grade, self.grades = len(docs), grade, grades
+        self.blocks = []  # of some texts the places, their shares of the text, the texts' numbers, where each begins
+        for at in range(0, len(docs), BLOCK):
+            some = [i for i in range(at, min(at + BLOCK, len(docs))) if len(docs[i][0])]
+            if some:
+                lengths = np.array([len(docs[i][0]) for i in some])
+                share = np.concatenate([docs[i][1] / docs[i][1].sum() for i in some])
+                places = np.concatenate([docs[i][0] for i in some])
+                self.blocks.append((places, share, np.array(some), np.cumsum(lengths) - lengths, lengths))
+
+    def loss(self, weights: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The mean negative logarithm of the grades' probabilities with the ridge penalty, and its gradients."""
+        theta, grade, grades = _thresholds(free), self.grade, self.grades
+        score = np.zeros(self.n)
+        for places, share, some, begin, _ in self.blocks:
+            score[some] = np.add.reduceat(weights[places] * share, begin)
         upper = np.append(theta, np.inf)[grade]  # the grade's own bounds
         lower = np.insert(theta, 0, -np.inf)[grade]
         a = np.where(np.isinf(upper), 0.0, _logistic(score - np.where(np.isinf(upper), 0, upper)))
@@ -83,12 +86,23 @@ def fit_ordinal(docs: list[np.ndarray], grade: np.ndarray, grades: int, steps: i
         p = np.maximum(b - a, 1e-12)
         da, db = a * (1 - a) / p, b * (1 - b) / p
         gradient = RIDGE * weights
-        for flat, some, _, lengths in blocks:
-            gradient += np.bincount(flat, np.repeat((da - db)[some] / lengths, lengths), SPACE) / len(docs)
+        for places, share, some, _, lengths in self.blocks:
+            gradient += np.bincount(places, np.repeat((da - db)[some], lengths) * share, SPACE) / self.n
         dtheta = np.bincount(np.minimum(grade, grades - 2), np.where(grade < grades - 1, -da, 0), grades - 1)
         dtheta += np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, db, 0), grades - 1)
-        dfree = np.cumsum(dtheta[::-1])[::-1] / len(docs)
+        dfree = np.cumsum(dtheta[::-1])[::-1] / self.n
         dfree[1:] *= np.exp(free[1:])
+        return float(-np.log(p).mean() + RIDGE / 2 * weights @ weights), gradient, dfree
+
+
+def fit_ordinal(rated: Ratings, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds for texts' features and their grades from 0 on, by AdaGrad over all texts."""
+    above = np.array([(rated.grade > k).mean() for k in range(rated.grades - 1)])
+    start = -np.log(np.clip(above, 1e-4, 1 - 1e-4) / (1 - np.clip(above, 1e-4, 1 - 1e-4)))
+    free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    weights, squares, free_squares = np.zeros(SPACE), np.full(SPACE, 1e-12), np.full(len(free), 1e-12)
+    for _ in range(steps):
+        _, gradient, dfree = rated.loss(weights, free)
         squares += gradient**2
         free_squares += dfree**2
         weights -= RATE * gradient / np.sqrt(squares)
@@ -125,7 +139,7 @@ class Model:
                 columns = [batch.column(0).cast(pa.int64()), pa.array(p @ values), pa.array(reach), pa.array(reach >= LEAST_CHANCE)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
     def select(self, docs: DataFrame, wanted: int) -> DataFrame:
         """The rows of ``docs`` that reach the wanted grade with at least ``LEAST_CHANCE``, as they are."""
@@ -144,18 +158,28 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(grades, np.zeros(SPACE), np.zeros(0))
     rank = {g: i for i, g in enumerate(grades)}
 
+    def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1000):
+            found = [np.unique(features(t), return_counts=True) for t in texts(batch.column(1))]
+            ends = pa.array(np.cumsum([0, *(len(f) for f, _ in found)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in zip(*found, strict=True)]
+            grade = pa.array([rank[g] for g in batch.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, grade], ["doc_id", "places", "times", "grade"])
+
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, grade = [], []
-        for batch in batches(it, 1000):
-            found += [features(t) for t in texts(batch.column(0))]
-            grade += [rank[g] for g in batch.column(1).to_pylist()]
+        for batch in it:
+            found += [(p.values.to_numpy(), t.values.to_numpy()) for p, t in zip(batch.column(0), batch.column(1), strict=True)]
+            grade += batch.column(2).to_pylist()
         if found:
-            weights, thresholds = fit_ordinal(found, np.array(grade), len(grades))
+            weights, thresholds = fit_ordinal(Ratings(found, np.array(grade), len(grades)))
             yield pa.RecordBatch.from_arrays([pa.array([weights]), pa.array([thresholds])], ["weights", "thresholds"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "grade")  # all tasks read, one fits
-    got = rows.mapInArrow(run, "weights array<double>, thresholds array<double>").toArrow()
+    # All tasks read and count features; one text of each id, however often it is repeated, goes to the one that fits.
+    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
+    rows = rated.mapInArrow(tidy(count), "doc_id long, places array<int>, times array<int>, grade int")
+    rows = rows.repartition(1).sortWithinPartitions("doc_id").drop("doc_id")
+    got = rows.mapInArrow(tidy(run), "weights array<double>, thresholds array<double>").toArrow()
     if not got.num_rows:
         return Model([], np.zeros(SPACE), np.zeros(0))
     return Model(grades, np.array(got["weights"][0].as_py()), np.array(got["thresholds"][0].as_py()))
