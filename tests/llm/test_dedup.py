@@ -52,6 +52,20 @@ def test_runs_are_compacted_and_disjoint(spark):
     assert owners[0] == 0 and owners[3] == 3 and owners[4] == 14
 
 
+def test_runs_merge_without_shuffle_or_sort(spark):
+    """A run is neither shuffled nor sorted again: a batch's keys are, once, and two runs are merged as they lie."""
+    runs = lines.LineRuns(9)
+    for i in range(2):
+        runs.add(spark.createDataFrame([(bytes([k]), 10 * i + k) for k in range(4 * i, 4 * i + 4)], "key binary, doc long"))
+    a, b = runs.runs()
+    batch = spark.createDataFrame([(b"a", 1)], "key binary, doc long").groupBy("key").agg(F.min("doc").alias("owner"))
+    with lines.ordered_scans(spark):
+        both = lines.LineRuns._merged(a, b)._jdf.queryExecution().executedPlan().toString()
+        anti = batch.join(a.hint("merge"), "key", "left_anti").join(b.hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in both and "Exchange" not in both and "Sort [" not in both
+    assert anti.count("SortMergeJoin") == 2 and anti.count("Exchange") == 1 and anti.count("Sort [") == 1
+
+
 def near_expected(corpus, percent):
     sets = {}
     for doc_id, text, *_ in corpus:
@@ -157,6 +171,27 @@ def test_passages_around_a_run_of_very_many_documents(spark):
     assert len(want) >= 60 and got == want
 
 
+def test_matches_long_to_the_left_behind_a_longer_right(spark):
+    """A and C share 50 words that lie mostly before a run H; B shares H and more words after it with A, none before."""
+    r = np.random.default_rng(21)
+
+    def fresh(n):
+        return [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+
+    texts = []
+    for _ in range(150):
+        before, run, after = fresh(r.integers(20, 37)), fresh(r.integers(14, 29)), fresh(20)
+        before = (before + fresh(50))[: 50 - len(run)]
+        texts += [fresh(20) + before + run + after, fresh(30) + run + after[:19], fresh(15) + before + run + fresh(30)]
+    order = r.permutation(len(texts)).tolist()
+    rows = [(d, " ".join(t), "", "", 0) for d, t in zip(order, texts, strict=True)]
+    got = defaultdict(set)
+    for x in suffixes.repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect():
+        got[x["doc_id"]] |= set(range(x["start_word"], x["end_word"]))
+    want = covered(rows)
+    assert len(want) >= 150 and got == want
+
+
 def test_no_pass_over_suffixes_in_one_task(docs):
     assert "Coalesce 1" not in suffixes.repeated_spans(docs)._jdf.queryExecution().toString()
 

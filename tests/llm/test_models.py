@@ -42,6 +42,29 @@ def test_rare_words_get_their_counts_by_the_join(docs, monkeypatch):
         assert got[d][1] == want[d][1] and got[d][0] == pytest.approx(want[d][0], rel=1e-9)
 
 
+def test_repeated_and_null_ids_have_scores_of_their_own(spark, monkeypatch):
+    """With most words beyond the table, so that their counts come by the join."""
+    monkeypatch.setattr(lm, "TABLE", 5)
+    one, two = " ".join(f"u{i % 7}" for i in range(14)), " ".join(f"u{i % 5} v{i}" for i in range(10))
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, one), (2, ""), (2, None)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.coalesce(F.col("doc_id") < 9, F.lit(False))).collect()
+    counts = Counter()
+    for d, t in rows:
+        if d is not None:
+            counts.update([*(t or "").encode().split(), lm.END])
+    total, distinct = sum(counts.values()), len(counts)
+
+    def expected(d, t):
+        tokens = [*(t or "").encode().split(), lm.END]
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
+        return d or 0, len(tokens), sum(counts[w] > 0 for w in tokens), round(base, 6)
+
+    seen = sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got)
+    assert seen == sorted(expected(*r) for r in rows)
+    assert all(r["score"] < 0 for r in got)
+    assert len({(r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in got}) == 4  # equal texts, equal scores
+
+
 def test_odd_tables(empty, docs):
     assert lm.score(empty, F.lit(True)).count() == 0
     got = lm.score(docs, F.lit(False)).collect()
@@ -226,6 +249,33 @@ def test_knn(spark, monkeypatch, cell):
     assert sorted(map(tuple, got.collect())) == brute(vectors)
 
 
+def test_knn_prunes_clusters(spark, monkeypatch):
+    """Of vectors in clusters, less than half of the pairs are left, rows go only to blocks that need them, and the
+    result is exact."""
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 4)
+    r = np.random.default_rng(9)
+    centres = r.normal(0, 4, (12, 8))
+    vectors = [(i, [float(x) for x in centres[i % 12] + r.normal(0, 0.05, 8)]) for i in range(1200)]
+    rows = knn.whole_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3))
+    queries = rows.filter("vec_id % 100 = 0")
+    assert sorted(map(tuple, knn.top_k(rows, queries, 10).collect())) == brute(vectors)
+    routes = knn.Routes(rows, queries, 10)
+    assert 0 < routes.sent < routes.pairs / 2
+    needed = routes.asked.select("ring", "block").distinct().count()
+    assert routes.data.select("ring", "block").distinct().count() == needed
+    assert routes.data.count() < 1200 * 3 / 2  # of three blocks
+
+
+def test_knn_of_one_id_repeated(spark):
+    """Rows of one id are rows of their own, and spread over cells; none is a candidate of its own id."""
+    vectors = [(100, [1.0, 0.5 * i]) for i in range(30)] + [(i, [0.25 * i, 1.0]) for i in range(1, 40)]
+    rows = knn.whole_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    queries = rows.filter("vec_id = 7 or v[1] = 1024 * 14.5")
+    got = sorted(map(tuple, knn.top_k(rows, queries, 5).collect()))
+    assert [(r, i) for q, r, i, _ in got if q == 7] == [(1, 39), (2, 38), (3, 37), (4, 36), (5, 35)]
+    assert [(r, i) for q, r, i, _ in got if q == 100] == [(1, 39), (2, 38), (3, 37), (4, 36), (5, 35)]
+
+
 def test_knn_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = [(0, [1.0, 0.5]), (1, [0.25, 1.0]), (2, [2.0, 2.0])]
@@ -235,6 +285,42 @@ def test_knn_of_few_and_none(spark):
     assert knn.top_k(none, none, 10).count() == 0
 
 
+def test_ordinal_gradient_matches_differences():
+    r = np.random.default_rng(12)
+    docs = [np.unique(ordinal.features(" ".join(f"w{x}" for x in r.integers(0, 9, n)).encode()), return_counts=True) for n in (0, 1, 5, 30, 40, 50)]
+    rated = ordinal.Ratings(docs, np.array([3, 0, 1, 2, 3, 1]), 4)
+    used = np.unique(np.concatenate([d for d, _ in docs]))
+    weights, free = np.zeros(ordinal.SPACE), np.array([-0.7, 0.2, -0.4])
+    weights[used] = r.normal(0, 1, len(used))
+    _, gradient, dfree = rated.loss(weights, free)
+    for at, values, got in [*((i, weights, gradient) for i in used[:12]), *((i, free, dfree) for i in range(3))]:
+        old = values[at]
+        values[at] = old + 1e-5
+        up = rated.loss(weights, free)[0]
+        values[at] = old - 1e-5
+        down = rated.loss(weights, free)[0]
+        values[at] = old
+        assert (up - down) / 2e-5 == pytest.approx(got[at], rel=1e-4, abs=1e-8)
+
+
+def test_ordinal_chances_against_all_weights_by_hand(spark):
+    """Expected grade and tail probability of every row, by sums over its words in plain Python."""
+    model = ordinal.Model([0, 1, 2], np.random.default_rng(13).normal(0, 2, ordinal.SPACE), np.array([-0.5, 0.8]))
+    texts = ["Aa bb bb", "", None, "é x y z " * 50, "one"]
+    got = model.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "one")], "doc_id long, text string"), 1).collect()
+    for x in got:
+        parts = ((texts[x["doc_id"]] if x["doc_id"] is not None else "one") or "").split()
+        score, last = 0.0, None
+        for w in parts:
+            low = w.encode().lower()
+            again = ordinal._AGAIN if low == last else ordinal._FRESH
+            for code in (zlib.crc32(low), zlib.crc32(w.encode()[-3:], ordinal._ENDING), again):
+                score += float(model.weights[code % ordinal.SPACE]) / (3 * len(parts))
+            last = low
+        above = [1 / (1 + math.exp(t - score)) for t in (-0.5, 0.8)]
+        assert x["expected_grade"] == pytest.approx(sum(above), abs=1e-5) and x["tail_probability"] == pytest.approx(above[0], abs=1e-5)
+
+
 def test_ordinal_gradient_and_order():
     """Grades that follow a score of two words come back in order, with their thresholds apart."""
     r = random.Random(9)
@@ -243,7 +329,7 @@ def test_ordinal_gradient_and_order():
         share = r.random()
         docs.append(ordinal.features(" ".join("good" if r.random() < share else "bad" for _ in range(60)).encode()))
         grade.append(min(3, int(share * 4)))
-    weights, thresholds = ordinal.fit_ordinal(docs, np.array(grade), 4, 200)
+    weights, thresholds = ordinal.fit_ordinal(ordinal.Ratings([np.unique(d, return_counts=True) for d in docs], np.array(grade), 4), 200)
     assert (np.diff(thresholds) > 0).all() and len(thresholds) == 3
     model = ordinal.Model([1, 2, 4, 8], weights, thresholds)
     p = model.chances(np.array([weights[d].mean() for d in docs]))
