@@ -9,6 +9,11 @@ but the last return the columns of ``documents``. ``n_chars`` counts the charact
 3. near duplicates: of each group of documents whose shingle sets are alike, the one of the smallest id stays.
 4. suffix dedup: passages of 50 words or more that an earlier document holds go.
 5. packing: the documents' tokens as pieces of sequences.
+
+Defined results of all stages: a null text stays null (line dedup makes it one empty line, packing the end token alone),
+an empty one empty. Rows without id are no one's duplicates in stages 3 and 4 and, as the last document, lose lines in
+stage 2 that others hold. Rows of equal id are one document: they stay or go together in stage 3. Columns beyond those
+of ``documents`` are dropped, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
