@@ -113,10 +113,57 @@ def test_payloads_of_all_palette_sizes_come_back():
     for colours in (1, 2, 3, 4, 5, 16, 17, 64, 65, 200, 256):
         for size in (0, 1, 63, 64, 65, 3000):
             data = r.integers(0, colours, size, dtype=np.uint16).astype(np.uint8).tobytes()
-            back = webp.decode_payload(webp.encode_payload(data))
+            back = webp.decode_payload(webp.encode_payload(data), len(data))
             assert back[: len(data)] == data and not any(back[len(data) :])
-    long = b"abc" * 800_000  # more than one image
-    assert webp.decode_payload(webp.encode_payload(long))[: len(long)] == long
+    long = b"abc" * 800_000  # rows of more than ROW samples
+    media = webp.encode_payload(long)
+    assert webp.decode_payload(media, len(long))[: len(long)] == long
+    assert len(media) == 8 + int.from_bytes(media[4:8], "little")  # one file
+
+
+def _plain(media):
+    """What a reader symbol by symbol makes of it."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(webp, "_one_channel", lambda *_: None)
+        m.setattr(webp, "_at_stride", lambda *_: None)
+        return webp.decode(media)
+
+
+def test_chosen_forms_read_alike_both_ways():
+    """Copies (near, far, overlapping), predictors, palettes: by array operations and symbol by symbol."""
+    r = np.random.default_rng(3)
+    words = [bytes(r.integers(97, 123, r.integers(2, 9), dtype=np.uint8)) for _ in range(200)]
+    text = b" ".join(words[i] for i in r.integers(0, 200, 6000))
+    ramp = np.cumsum(r.integers(0, 3, 9000)).astype(np.uint8).tobytes()
+    top = np.cumsum(r.integers(0, 3, (300, 64)), 0).astype(np.uint8).tobytes()
+    few = r.integers(0, 3, 5000).astype(np.uint8).tobytes()
+    noise = r.integers(0, 256, 5000).astype(np.uint8).tobytes()
+    skew = np.minimum(r.geometric(0.02, 20_000), 255).astype(np.uint8).tobytes()
+    sizes, kinds = {}, {}
+    for name, data in dict(text=text, ramp=ramp, top=top, few=few, noise=noise, skew=skew, run=b"a" * 70_000, cycle=b"abcdefg" * 3000, none=b"", one=b"x").items():
+        media = webp.encode_payload(data)
+        whole = webp.decode(media)
+        assert (whole == _plain(media)).all(), name
+        assert webp.decode_payload(media, len(data))[: len(data)] == data, name
+        sizes[name], kinds[name] = len(media) / max(1, len(data)), media[25] & 7  # the first transform
+    assert sizes["text"] < 0.45 and sizes["cycle"] < 0.02 and sizes["run"] < 0.01 and sizes["few"] < 0.3
+    assert {kinds["ramp"], kinds["top"]} == {1} and kinds["few"] == 7  # a predictor; a palette
+
+
+def test_code_lengths_come_back():
+    r = np.random.default_rng(4)
+    for size in (280, 40):
+        for some in (1, 2, 3, 5, 30, size):
+            counts = np.zeros(size, np.int64)
+            counts[r.choice(size, some, replace=False)] = 1 + r.integers(0, 5, some) ** r.integers(1, 12)
+            lengths = webp._lengths(counts)
+            bits = webp._Bits(np.packbits(np.array(webp._code_header(lengths), np.uint8), bitorder="little").tobytes() + b"\0\0")
+            code = webp._read_code(bits, size)
+            used = np.flatnonzero(lengths)
+            if some == 1:
+                assert code.only == used[0]
+            else:
+                assert sorted(code.used) == sorted(zip(lengths[used].tolist(), used.tolist(), strict=True))
 
 
 class Writer:

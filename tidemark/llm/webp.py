@@ -3,16 +3,23 @@
 The decoder reads the published bitstream: simple and normal prefix codes, groups of codes chosen by an entropy image,
 back-references with the near-pixel distance map, the colour cache, and the predictor, cross-colour, subtract-green and
 palette transforms with their inverses. Where each prefix code of an image gives all its symbols equal lengths, the
-pixels sit at a fixed stride and are read with array operations; any other stream is read symbol by symbol.
-
-The encoder stores a plane through a palette of its distinct values: several samples to a pixel for small palettes,
-codes of equal length otherwise. Long payloads are stored as several images, one after the other.
-
-Null and empty texts are stored as one row of zeros. Equal texts give equal bytes. An empty table gives no rows.
+pixels sit at a fixed stride and are read with array operations. Where only one channel varies and there is no cache,
+array operations tell at each bit what a symbol that started there would be, and the decoder follows the chain of those
+that do. Any other stream is read symbol by symbol.
+
+The encoder works on one channel, and for each payload takes the shortest of these forms: a palette of the distinct values
+(several samples to a pixel for small ones) with codes of equal length; prefix codes by frequency with back-references; the
+same after a predictor, where the differences from the left or upper samples vary less than the samples do. A colour cache
+can't win on one channel, as a pixel is one symbol anyhow, so the encoder asks for none. A payload is one file: rows are
+``ROW`` samples wide, and twice as wide as often as a payload of more rows than the format allows needs it.
+
+Null and empty texts are stored as one row of zeros. Equal texts give equal bytes. An empty table gives no rows. Texts of
+more than 2**28 bytes don't fit the format and are an error.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,8 +32,14 @@ from tidemark.llm.text import batches, texts, tidy
 
 #: Samples in a row of a plane: payloads are padded with zeros to a positive multiple.
 ROW = 64
-#: Most rows of one image; the format allows 16,384.
+#: Most rows, or samples in a row, of an image.
 MOST_ROWS = 16_384
+#: Least length of a copy, and its most; how far back copies reach; the most bits of a code that is written.
+LEAST_COPY, MOST_COPY, REACH, CODE_BITS = 5, 4096, 1_000_000, 12
+#: A predictor is tried where it brings the samples' entropy below this share.
+PREDICTABLE = 0.9
+#: Bits that the decoder looks at together, and tokens that the encoder writes together.
+SEGMENT, TOKENS = 1 << 16, 1 << 15
 
 # Fixed values of the bitstream.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -106,20 +119,34 @@ def _read_code(bits: _Bits, size: int) -> _Code:
         of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
     code = _Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, previous = 0, 8
+    if code.only is None:
+        code.build()
+    table, mask = code.table or [(code.only, 0)], (1 << code.bits) - 1
+    first = bits.at >> 3
+    ahead = int.from_bytes(bits.data[first : first + 2 * size + 8], "little") >> (bits.at & 7)  # 14 bits a length at most
+    at, previous, used = 0, 8, 0
     while at < size and left:
         left -= 1
-        symbol = code.read(bits)
+        symbol, n = table[ahead & mask]
+        ahead >>= n
+        used += n
         if symbol < 16:
             lengths[at] = symbol
             previous = symbol or previous
             at += 1
         else:
-            value, n = (previous, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3) if symbol == 17 else 11 + bits.read(7))
+            more, least = ((2, 3), (3, 3), (7, 11))[symbol - 16]
+            n = least + (ahead & (1 << more) - 1)
+            ahead >>= more
+            used += more
             if at + n > size:
                 raise ValueError("more code lengths than symbols")
-            lengths[at : at + n] = [value] * n
+            if symbol == 16:
+                lengths[at : at + n] = [previous] * n
             at += n
+    bits.at += used
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream is too short")
     return _Code(lengths)
 
 
@@ -158,6 +185,119 @@ def _at_stride(bits: _Bits, codes: list[_Code], n: int) -> np.ndarray | None:
     return out
 
 
+def _reversed_bits(n: int) -> np.ndarray:
+    """The numbers below 2**n with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+_REVERSED = [_reversed_bits(n) for n in range(16)]
+
+
+def _tables(code: _Code) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of the next ``code.bits`` bits the symbol and its length."""
+    if code.only is not None:
+        return np.array([code.only]), np.zeros(1, np.int64)
+    lengths, symbols = np.array(sorted(code.used)).T
+    times = 1 << code.bits - lengths
+    back = _REVERSED[code.bits]
+    return np.repeat(symbols, times)[back], np.repeat(lengths, times)[back]
+
+
+#: For symbols of lengths and distances, how many bits follow, and the least value.
+_PREFIXES = np.arange(max(_GREEN_SYMBOLS - 256, _DISTANCES))
+_EXTRA = np.maximum(0, _PREFIXES - 2 >> 1)
+_BASE = np.where(_PREFIXES < 4, _PREFIXES, 2 + (_PREFIXES & 1) << _EXTRA) + 1
+
+
+@functools.cache
+def _near(width: int) -> np.ndarray:
+    """The distances of the shortest distance codes, from 1 on."""
+    return np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
+
+
+def _chain(next_: np.ndarray, begin: int) -> np.ndarray:
+    """All places from ``begin`` on, each the next of the one before, as far as ``next_`` reaches."""
+    n = len(next_)
+    one = np.append(np.minimum(next_, n), n).astype(np.int32)
+    two = one[one]
+    four, heads, o = two[two], [], begin
+    step = memoryview(four[four])
+    while o < n:
+        heads.append(o)
+        o = step[o]
+    found = np.empty((len(heads), 8), np.int64)
+    found[:, 0] = heads
+    found[:, 4] = four[found[:, 0]]
+    found[:, 2::4] = two[found[:, ::4]]
+    found[:, 1::2] = one[found[:, ::2]]
+    found = found.ravel()
+    return found[found < n]
+
+
+def _one_channel(bits: _Bits, codes: list[_Code], n: int, width: int) -> np.ndarray | None:
+    """The pixels, if the other channels are constant and there is no cache: symbols of all offsets, then their chain."""
+    if any(c.only is None for c in codes[1:4]):
+        return None
+    green, green_bits = _tables(codes[0])
+    if codes[0].bits == 0 and green[0] < 256:
+        return None  # one colour without any bits: nothing to follow
+    far, far_bits = _tables(codes[4])
+    near, out, filled, end = _near(width), bytearray(n), 0, 8 * len(bits.data)
+    while filled < n:
+        first = bits.at >> 3
+        byte = np.frombuffer(bits.data, np.uint8, min(SEGMENT // 8 + 16, len(bits.data) - first), first)
+        byte = np.concatenate([byte, np.zeros(8, np.uint8)])
+        word = np.lib.stride_tricks.sliding_window_view(byte, 8)[:-1].copy().view("<i8")[:, 0]
+        looked = min(SEGMENT, 8 * len(word))
+        found = (word[: looked >> 3, None] >> np.arange(8)).ravel() & (1 << codes[0].bits) - 1
+        symbol = green[found]
+        next_ = np.arange(looked) + green_bits[found]
+        copies = np.flatnonzero(symbol >= 256)
+        s, where = symbol[copies] - 256, next_[copies]
+
+        def peek(where: np.ndarray, mask: np.ndarray | int) -> np.ndarray:
+            return word[np.minimum(where >> 3, len(word) - 1)] >> (where & 7) & mask  # noqa: B023
+
+        length = _BASE[s] + peek(where, (1 << _EXTRA[s]) - 1)
+        where = where + _EXTRA[s]
+        found = peek(where, (1 << codes[4].bits) - 1)
+        s, where = far[found], where + far_bits[found]
+        distance = _BASE[s] + peek(where, (1 << _EXTRA[s]) - 1)
+        next_[copies] = where + _EXTRA[s]
+        distance = np.where(distance <= len(NEAR), near[np.minimum(distance, len(NEAR))], distance - len(NEAR))
+        chain = _chain(next_, bits.at - 8 * first)
+        value = symbol[chain]
+        is_copy = np.flatnonzero(value >= 256)
+        which = np.searchsorted(copies, chain[is_copy])
+        size = np.ones(len(chain), np.int64)
+        size[is_copy] = length[which]
+        ends = filled + np.cumsum(size)
+        taken = int(np.searchsorted(ends, n, "left")) + 1  # tokens up to the one that fills the image
+        chain, value, ends, is_copy = chain[:taken], value[:taken], ends[:taken], is_copy[is_copy < taken]
+        if not len(chain) or 8 * first + int(next_[chain[-1]]) > end:
+            raise ValueError("the stream is too short")
+        if ends[-1] > n:
+            raise ValueError("a back-reference out of the image")
+        place = ends - size[:taken]
+        literal = np.zeros(int(ends[-1]) - filled, np.uint8)
+        literal[place - filled] = np.minimum(value, 255)  # copies overwrite theirs
+        out[filled : int(ends[-1])] = literal.tobytes()
+        for to, m, d in zip(place[is_copy].tolist(), length[which].tolist(), distance[which].tolist(), strict=False):
+            if d > to:
+                raise ValueError("a back-reference out of the image")
+            if d >= m:
+                out[to : to + m] = out[to - d : to - d + m]
+            else:
+                out[to : to + m] = (out[to - d : to] * (m // d + 1))[:m]
+        filled = int(ends[-1])
+        bits.at = 8 * first + int(next_[chain[-1]])
+    rest = np.uint32(codes[3].only << 24 | codes[1].only << 16 | codes[2].only)
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | rest
+
+
 def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as ARGB pixels; only the main one can choose among groups of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -171,8 +311,12 @@ def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (_GREEN_SYMBOLS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, _DISTANCES)
     groups = [[_read_code(bits, s) for s in sizes] for _ in range(1 if chosen is None else int(chosen.max()) + 1)]
     n = width * height
-    if len(groups) == 1 and not cache_bits and (read := _at_stride(bits, groups[0], n)) is not None:
-        return read.reshape(height, width)
+    if len(groups) == 1 and not cache_bits:
+        read = _at_stride(bits, groups[0], n)
+        if read is None:
+            read = _one_channel(bits, groups[0], n, width)
+        if read is not None:
+            return read.reshape(height, width)
     pixels, cache, at = [0] * n, [0] * (1 << cache_bits), 0
     filled = 0  # pixels before this are in the cache
     rows = None if chosen is None else chosen.tolist()
@@ -256,6 +400,12 @@ def _unpredict(argb: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     which = (modes >> np.uint32(8) & np.uint32(15)).tolist()
     out[0, 0] = (out[0, 0] + [255, 0, 0, 0]) & 255
     out[0] = np.cumsum(out[0], 0) & 255  # the first row is predicted from the left
+    if (modes == modes.flat[0]).all() and which[0][0] in (1, 2):  # left or top everywhere: sums along rows or columns
+        if which[0][0] == 1:
+            out[:, 0] = np.cumsum(out[:, 0], 0)
+            out[1:] = np.cumsum(out[1:], 1)
+            return _joined(out & 255)
+        return _joined(np.cumsum(out, 0) & 255)
     for y in range(1, height):
         out[y, 0] = (out[y, 0] + out[y - 1, 0]) & 255
         for x in range(1, width):
@@ -327,7 +477,11 @@ def decode(data: bytes) -> np.ndarray:
 
 def _bit_list(*fields: tuple[int, int]) -> list[int]:
     """Values and widths as bits, least significant first."""
-    return [value >> i & 1 for value, width in fields for i in range(width)]
+    whole = n = 0
+    for value, width in fields:
+        whole |= value << n
+        n += width
+    return np.unpackbits(np.frombuffer(whole.to_bytes(n + 7 >> 3, "little"), np.uint8), count=n, bitorder="little").tolist()
 
 
 #: A code of one symbol: 0, or 255.
@@ -359,18 +513,199 @@ def _equal_lengths(width: int) -> list[int]:
 _EQUAL = [_equal_lengths(w) for w in range(9)]
 
 
-def encode(plane: np.ndarray) -> bytes:
-    """A lossless WebP file whose green channel is the plane of 8-bit samples, opaque and black otherwise."""
+def _lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a prefix code for symbols that occur so often, ``CODE_BITS`` at most; 0 for those that don't."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    order = used[np.argsort(counts[used], kind="stable")]
+    n, k = counts[order].tolist(), len(used)
+    while True:
+        # Leaves and inner nodes both come in ascending order, so the two least are at the heads of two queues.
+        weight, parent, leaf, inner = n + [0] * (k - 1), [0] * (2 * k - 1), 0, k
+        for at in range(k, 2 * k - 1):
+            for _ in (0, 1):
+                if leaf < k and (inner >= at or n[leaf] <= weight[inner]):
+                    least, leaf = leaf, leaf + 1
+                else:
+                    least, inner = inner, inner + 1
+                weight[at] += weight[least]
+                parent[least] = at
+        depth = [0] * (2 * k - 1)
+        for i in range(2 * k - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[:k]) <= CODE_BITS:
+            out[order] = depth[:k]
+            return out
+        n = [c + 1 >> 1 for c in n]  # flatter, and so shallower
+
+
+def _words(lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol, its first bit the least."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[order]
+    start = np.cumsum(1 << 15 - n) - (1 << 15 - n)  # codes ascend with their lengths
+    out[order] = _REVERSED[15][start] & (1 << n) - 1
+    return out
+
+
+def _code_header(lengths: np.ndarray) -> list[int]:
+    """The bits that tell a decoder the lengths of a code."""
+    used = np.flatnonzero(lengths)
+    if len(used) == 0 or len(used) <= 2 and used[-1] < 256:
+        if len(used) == 2:
+            return _bit_list((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8))
+        return _bit_list((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
+    part = lengths[: used[-1] + 1]
+    edge = np.flatnonzero(np.diff(part)) + 1
+    tokens: list[tuple[int, int, int]] = []  # symbol, and what follows it
+    for value, n in zip(part[np.concatenate([[0], edge])].tolist(), np.diff(np.concatenate([[0], edge, [len(part)]])).tolist(), strict=True):
+        if value:
+            tokens.append((value, 0, 0))
+            n -= 1
+        while n >= 3:
+            if value:
+                m = min(6, n)
+                tokens.append((16, m - 3, 2))
+            else:
+                m = min(138, n)
+                tokens.append((17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
+            n -= m
+        tokens += [(value, 0, 0)] * n
+    counts = np.bincount([t for t, _, _ in tokens], minlength=19)
+    # At most 7 bits: these lengths are stored in 3.
+    while (of := _lengths(counts)).max() > 7:
+        counts = counts + (counts > 0) >> 1
+    words, of = _words(of).tolist(), of.tolist()
+    stored = [of[s] for s in _LENGTH_ORDER]
+    n = max(4, 19 - next(i for i, x in enumerate(reversed(stored)) if x))
+    fields = [(0, 1), (n - 4, 4), *((x, 3) for x in stored[:n]), (1, 1)]
+    size = max(2, -(-(max(0, len(tokens) - 2)).bit_length() // 2) * 2)
+    fields += [((size - 2) // 2, 3), (len(tokens) - 2, size)] if len(tokens) >= 2 else [(0, 3), (0, 2)]
+    single = sum(x > 0 for x in of) == 1
+    tokens += [(0, 0, 0)] * (2 - len(tokens))
+    for t, value, m in tokens:
+        fields += [] if single else [(words[t], of[t])]
+        fields += [(value, m)] if m else []
+    return _bit_list(*fields)
+
+
+def _copies(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where copies of earlier samples begin, their lengths and distances, from left to right."""
+    none = np.zeros(0, np.int64)
+    if len(sample) < LEAST_COPY:
+        return none, none, none
+    x = sample.astype(np.uint32)
+    key = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
+    hashed = (key * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # numpy sorts these by their digits
+    order = np.argsort(hashed, kind="stable")
+    ranked = key[order]
+    back = np.zeros(len(key) + 1, np.int64)  # how far back the last four equal samples are; 0: nowhere
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    back[order[same + 1]] = order[same + 1] - order[same]
+    back[back > REACH] = 0
+    until = np.arange(1, len(back) + 1)
+    until[:-1][back[1:] == back[:-1]] = len(back)
+    until = np.minimum.accumulate(until[::-1])[::-1]  # where the distance changes next
+    starts = np.flatnonzero(back)
+    length = until[starts] - starts + 3
+    some = length >= LEAST_COPY
+    starts, length = starts[some], length[some]
+    out, pos = [], 0
+    for p, n in zip(starts.tolist(), length.tolist(), strict=True):
+        if p >= pos:
+            n = min(n, MOST_COPY)
+            out.append((p, n))
+            pos = p + n
+    if not out:
+        return none, none, none
+    begin, size = np.array(out, np.int64).T
+    return begin, size, back[begin]
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix symbols of lengths or distances, how many bits follow each, and their value."""
+    n = value - 1
+    high = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+    extra = np.where(n < 4, 0, high - 1)
+    symbol = np.where(n < 4, n, 2 * high + (n >> np.maximum(high - 1, 0) & 1))
+    return symbol, extra, n & (1 << extra) - 1
+
+
+def _coded(sample: np.ndarray, width: int, alpha: list[int]) -> list[np.ndarray]:
+    """An image of one channel with prefix codes by frequency and back-references, as parts of its bits."""
+    begin, size, distance = _copies(sample)
+    near = np.zeros(8 * width + 16, np.int64)
+    for i in range(len(NEAR) - 1, -1, -1):
+        x, y = NEAR[i]
+        if x + y * width >= 1:
+            near[x + y * width] = i + 1
+    code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
+    (long, long_extra, long_rest), (far, far_extra, far_rest) = _prefix(size), _prefix(np.where(code > 0, code, distance + len(NEAR)))
+    step = np.zeros(len(sample) + 1, np.int64)
+    step[begin] += 1
+    step[begin + size] -= 1
+    token = np.cumsum(step)[:-1] == 0
+    token[begin] = True
+    place = np.flatnonzero(token)
+    symbol = sample[place].astype(np.int64)
+    which = np.searchsorted(place, begin)
+    symbol[which] = 256 + long
+    green = _lengths(np.bincount(symbol, minlength=_GREEN_SYMBOLS))
+    away = _lengths(np.bincount(far, minlength=_DISTANCES))
+    head = [*_code_header(green), *_ZERO, *_ZERO, *alpha, *_code_header(away)]
+    green_words, away_words = _words(green), _words(away)
+    if np.count_nonzero(green) == 1:
+        green = np.zeros_like(green)
+    if np.count_nonzero(away) == 1:
+        away = np.zeros_like(away)
+    value, bits = np.zeros((len(place), 4), np.int64), np.zeros((len(place), 4), np.int64)
+    value[:, 0], bits[:, 0] = green_words[symbol], green[symbol]
+    value[which, 1:], bits[which, 1:] = np.stack([long_rest, away_words[far], far_rest], 1), np.stack([long_extra, away[far], far_extra], 1)
+    out = [np.array(head, np.uint8)]
+    for a in range(0, len(place), TOKENS):
+        v, b = value[a : a + TOKENS].ravel(), bits[a : a + TOKENS].ravel()
+        some = np.flatnonzero(b)
+        v, b = v[some], b[some]
+        ends = np.cumsum(b)
+        out.append((np.repeat(v, b) >> np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - b, b) & 1).astype(np.uint8))
+    return out
+
+
+def _entropy(sample: np.ndarray) -> float:
+    share = np.bincount(sample, minlength=256) / len(sample)
+    share = share[share > 0]
+    return float(-(share * np.log2(share)).sum())
+
+
+def _differences(plane: np.ndarray, mode: int) -> np.ndarray:
+    """The plane less its predictions from the left (1) or from above (2)."""
+    out = plane.copy()
+    if mode == 1:
+        out[:, 1:] -= plane[:, :-1]
+        out[1:, 0] -= plane[:-1, 0]
+    else:
+        out[1:] -= plane[:-1]
+        out[0, 1:] -= plane[0, :-1]
+    return out
+
+
+def _palette_form(plane: np.ndarray) -> list[np.ndarray]:
+    """Places in a palette of the plane's values, with codes of equal length."""
     height, width = plane.shape
-    values, place = np.unique(plane, return_inverse=True)
-    place = place.reshape(height, width).astype(np.uint8)
+    seen = np.bincount(plane.ravel(), minlength=256) > 0
+    values, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.uint8)[plane]
     packed = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1 if len(values) <= 16 else 0
     if packed:
         each = 8 >> packed
         place = np.pad(place, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
         place = np.bitwise_or.reduce(place << (np.arange(1 << packed, dtype=np.uint8) * each), 2).astype(np.uint8)
     symbol = int(place.max()).bit_length()
-    head = _bit_list((width - 1, 14), (height - 1, 14), (0, 4), (1, 1), (3, 2), (len(values) - 1, 8))
+    head = _bit_list((1, 1), (3, 2), (len(values) - 1, 8))
     # The palette: no cache; green differences of 8 bits; alpha 255 once, then 0, as a code of two symbols.
     head += [0, *_EQUAL[8], *_ZERO, *_ZERO, *_bit_list((1, 1), (1, 1), (0, 1), (0, 1), (255, 8)), *_ZERO]
     steps = np.diff(values.astype(np.int16), prepend=0).astype(np.uint8)
@@ -381,26 +716,53 @@ def encode(plane: np.ndarray) -> bytes:
     # The pixels: no more transforms, no cache, one group of codes; green of ``symbol`` bits, nothing else.
     body = [0, 0, 0, *_EQUAL[symbol], *_ZERO, *_ZERO, *_FULL, *_ZERO]
     pixels = place.reshape(-1, 1) >> np.arange(symbol - 1, -1, -1, dtype=np.uint8) & 1
-    bits = np.concatenate([np.array(head, np.uint8), entries.ravel(), np.array(body, np.uint8), pixels.astype(np.uint8).ravel()])
+    return [np.array(head, np.uint8), entries.ravel(), np.array(body, np.uint8), pixels.astype(np.uint8).ravel()]
+
+
+def _predictor_form(plane: np.ndarray, mode: int) -> list[np.ndarray]:
+    """The differences from one prediction everywhere. Alpha is predicted as well, so nothing is left of it."""
+    # The modes: an image of blocks of 512 pixels with one green value, the mode, and no other bits.
+    head = [*_bit_list((1, 1), (0, 2), (7, 3), (0, 1), (1, 1), (0, 1), (1, 1), (mode, 8)), *_ZERO, *_ZERO, *_FULL, *_ZERO, 0, 0, 0]
+    return [np.array(head, np.uint8), *_coded(_differences(plane, mode).ravel(), plane.shape[1], _ZERO)]
+
+
+def encode(plane: np.ndarray) -> bytes:
+    """A lossless WebP file whose green channel is the plane of 8-bit samples, opaque and black otherwise."""
+    height, width = plane.shape
+    flat = plane.ravel()
+    forms = [[np.zeros(3, np.uint8), *_coded(flat, width, _FULL)]]
+    plain = _entropy(flat)
+    least, mode = min((_entropy(_differences(plane, m).ravel()), m) for m in (1, 2))
+    if least < PREDICTABLE * plain:
+        forms.append(_predictor_form(plane, mode))
+    equal = len(flat) * np.ceil(np.log2(np.count_nonzero(np.bincount(flat, minlength=256))))
+    if equal <= sum(map(len, forms[0])):  # no code is shorter than the palette's bits alone
+        forms.append(_palette_form(plane))
+    best = min(forms, key=lambda f: sum(map(len, f)))
+    bits = np.concatenate([np.array(_bit_list((width - 1, 14), (height - 1, 14), (0, 4)), np.uint8), *best])
     stream = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
     chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
     return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+def payload_bytes(n: int) -> int:
+    """The bytes of a payload that holds ``n``: a positive multiple of ``ROW``."""
+    return max(ROW, n + -n % ROW)
+
+
 def encode_payload(data: bytes) -> bytes:
-    """Images of ``ROW`` samples a row that hold the data, padded with zeros, one after the other."""
-    padded = np.frombuffer(data + b"\0" * (-len(data) % ROW or (0 if data else ROW)), np.uint8).reshape(-1, ROW)
-    return b"".join(encode(padded[at : at + MOST_ROWS]) for at in range(0, len(padded), MOST_ROWS))
+    """An image that holds the data, padded with zeros; rows are twice as wide as often as the height needs it."""
+    n, width = payload_bytes(len(data)), ROW
+    while n > width * MOST_ROWS:
+        width *= 2
+    if width > MOST_ROWS:
+        raise ValueError("the data are too long for one image")
+    return encode(np.frombuffer(data + bytes(n + -n % width - len(data)), np.uint8).reshape(-1, width))
 
 
-def decode_payload(media: bytes) -> bytes:
-    """The padded data of such images."""
-    out, at = [], 0
-    while at < len(media):
-        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        out.append((decode(media[at : at + size]) >> np.uint32(8)).astype(np.uint8).tobytes())
-        at += size
-    return b"".join(out)
+def decode_payload(media: bytes, n: int) -> bytes:
+    """The padded payload of ``n`` bytes of data from its image."""
+    return (decode(media) >> np.uint32(8)).astype(np.uint8).tobytes()[: payload_bytes(n)]
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -422,8 +784,8 @@ def store(docs: DataFrame) -> DataFrame:
 def features(stored: DataFrame) -> DataFrame:
     """Digests of each stored form and of the payload read back from it, and a histogram of the samples in 16 bins."""
 
-    def row(media: bytes) -> tuple:
-        payload = decode_payload(media)
+    def row(n: int, media: bytes) -> tuple:
+        payload = decode_payload(media, n)
         bins = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
         return (
             len(payload),
@@ -439,7 +801,7 @@ def features(stored: DataFrame) -> DataFrame:
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 256):
-            rows = list(zip(*(row(m) for m in batch.column(2).to_pylist()), strict=True)) or [()] * len(names)
+            rows = list(zip(*map(row, batch.column(1).to_pylist(), batch.column(2).to_pylist()), strict=True)) or [()] * len(names)
             made = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "n_bytes", *names])
 
