@@ -31,6 +31,11 @@ def test_volume_filter_reaches_the_market_scan(spark):
     assert any("part.parquet" in line for line in lines[threshold : threshold + 4])
 
 
+def test_metrics_are_parsed_once(spark):
+    text = plan(spark, "stg_pipeline_run_events")
+    assert text.count("from_json(") == 1 and text.count("get_json_object") <= 8  # those make the test's rows
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_no_python_on_the_executors_and_no_cartesian_product(spark, name):
     if name in ("tag_closure", "dq_freshness"):  # these ask the driver first

@@ -7,12 +7,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ohlc
+from tidemark.operators import ohlc, profile
 from tidemark.operators.scope import Scope
 from tidemark.plans import models
 from tidemark.sources import landing
 from tidemark.sources.schemas import TABLES
-from tidemark.sources.store import ContractError, Store, checked, export
+from tidemark.sources.store import ContractError, Store, StoreError, checked, export
 from tidemark.streaming import ingest
 
 NOW = datetime(2025, 6, 1)
@@ -55,6 +55,112 @@ def test_store_reads_the_version_that_it_replaces(spark, tmp_path):
     assert store.tables() == ["ops.scrape_metadata"]
 
 
+PAIR = "key string, value string"
+
+
+def _files(folder):
+    return {str(f.relative_to(folder)) for f in folder.rglob("part-*.parquet")}
+
+
+def test_a_table_that_lost_its_manifests_is_an_error(spark, tmp_path):
+    """Not an empty table, which the next merge would make of it."""
+    store, name = Store(spark, str(tmp_path)), "ops.scrape_metadata"
+    store.overwrite(name, spark.createDataFrame([("a", "1")], PAIR))
+    for f in (tmp_path / "ops/scrape_metadata/_versions").iterdir():
+        f.unlink()
+    with pytest.raises(StoreError):
+        store.read(name)
+    with pytest.raises(StoreError):
+        store.append(name, spark.createDataFrame([("b", "2")], PAIR))
+
+
+def test_a_writer_that_dies_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    store, name = Store(spark, str(tmp_path)), "ops.scrape_metadata"
+    store.overwrite(name, spark.createDataFrame([("a", "1")], PAIR))
+    monkeypatch.setattr(store, "_name", lambda *_: 1 / 0)
+    for write in (store.overwrite, store.append):
+        with pytest.raises(ZeroDivisionError):
+            write(name, spark.createDataFrame([("b", "2")], PAIR))
+    assert [tuple(r) for r in Store(spark, str(tmp_path)).read(name).collect()] == [("a", "1")]
+
+
+def test_the_slower_of_two_writers_fails(spark, tmp_path):
+    store, name = Store(spark, str(tmp_path)), "ops.scrape_metadata"
+    store.overwrite(name, spark.createDataFrame([("a", "1")], PAIR))
+    parts = store._written(name, spark.createDataFrame([("b", "2")], PAIR), None)
+    store.append(name, spark.createDataFrame([("c", "3")], PAIR))
+    with pytest.raises(StoreError):
+        store._name(name, 1, parts)
+    assert {r["key"] for r in store.read(name).collect()} == {"a", "c"}
+
+
+def test_appends_and_replaced_parts_leave_other_files_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    make = lambda *rows: spark.createDataFrame(list(rows), "day string, n int").coalesce(1)
+    store.overwrite("x.t", make(("a/b", 1), ("c", 2), ("c", 3)), by="day")
+    before = _files(tmp_path)
+    store.replace("x.t", make(("c", 9)), "day", ["c", "d"])
+    assert before < _files(tmp_path) and len(_files(tmp_path) - before) == 1
+    assert sorted(map(tuple, store.read("x.t").collect())) == [("a/b", 1), ("c", 9)]
+    assert [tuple(r) for r in store.read("x.t", parts=["a/b"]).collect()] == [("a/b", 1)]
+    assert store.read("x.t", parts=["nowhere"]).count() == 0
+    with pytest.raises(StoreError):
+        store.replace("x.t", make(("e", 9)), "day", ["c"])
+    before = _files(tmp_path)
+    store.append("x.t", make(("f", 5)))
+    assert len(_files(tmp_path) - before) == 1 and store.read("x.t").count() == 3
+    assert store.compact("x.t", 1).count() == 3
+
+
+def test_old_files_are_removed_in_time(spark, tmp_path, monkeypatch):
+    from tidemark.sources import store as module
+
+    monkeypatch.setattr(module, "STALE_MS", -10_000)
+    store = Store(spark, str(tmp_path))
+    for i in range(5):
+        store.overwrite("x.t", spark.createDataFrame([(i,)], "n int").coalesce(1))
+    assert len(_files(tmp_path)) == 2 and [r[0] for r in store.read("x.t").collect()] == [4]
+
+
+def test_a_batch_writes_only_its_days_again(spark, tmp_path):
+    store, day = Store(spark, str(tmp_path)), 86_400
+    make = lambda *rows: spark.createDataFrame(list(rows), ingest.OBSERVATIONS).coalesce(1)
+    ingest.ingest_batch(store, make(*((f"tok_{d}", 1710000000 + d * day, 0.5, d) for d in range(20))))
+    before = _files(tmp_path)
+    ingest.ingest_batch(store, make(("tok_3", 1710000000 + 3 * day, 0.7, 99), ("tok_x", 1710000000 + 3 * day, 0.1, 100)))
+    assert len(_files(tmp_path) - before) == 2  # a day of the history, and its prices
+    assert store.read(ingest.HISTORY).count() == 21 and store.read(ingest.DAILY).count() == 21
+    assert store.read(ingest.DAILY).filter("clob_token_id = 'tok_3'").first()["close_price"] == 0.7
+    ingest.ingest_batch(store, make(("tok_3", -1, 0.7, 99)))
+
+
+def test_report_of_profiles(spark, tmp_path):
+    good = spark.createDataFrame([("x", 1.5, True), (None, None, None)], "id string, price double, active boolean")
+    bad = good.select("id", F.raise_error(F.lit("broken")).alias("oops"))
+    found = profile.report({"good": good, "bad": bad}, NOW)
+    assert [t["n_rows"] for t in found["tables"]] == [2, 2] and "error" in found["tables"][1]["columns"][1]
+    text = profile.as_markdown(found)
+    assert "## good: 2 rows, 3 columns" in text and "`price` (double): null_percent 50.0" in text and "`oops`: error" in text
+    profile.write_report(spark, found, str(tmp_path))
+    assert json.loads(spark.read.text(f"{tmp_path}/json").first()[0])["tables"][0]["table"] == "good"
+    assert spark.read.text(f"{tmp_path}/markdown").first()[0] == "# Profile"
+    assert "No tables" in profile.as_markdown(profile.report({}, NOW))
+
+
+def test_metadata_is_filled_in(spark):
+    markets = spark.createDataFrame([("m1", None, "ev", None), ("m2", None, None, None)], "id string, slug string, event_slug string, end_date timestamp_ntz")
+    payloads = spark.createDataFrame([("m1", "s", [("9", "other")], "2025-01-02T00:00:00Z", None)], "id string, slug string, events array<struct<id: string, slug: string>>, endDate string, endDateIso string")
+    assert sorted(map(tuple, landing.resolve_metadata(markets, payloads).collect())) == [("m1", "s", "ev", datetime(2025, 1, 2)), ("m2", None, None, None)]
+
+
+def test_last_run_of_a_task(spark):
+    from tidemark.operators import observe
+
+    runs = spark.createDataFrame([("a", datetime(2025, 1, d), t) for d, t in ((1, '{"rows": 1}'), (2, '{"rows": 2, "x": "y"}'), (3, "{"))] + [("b", NOW, '{"rows": 9}')], "task_name string, recorded_at timestamp_ntz, metrics_json string")
+    assert [tuple(r) for r in observe.read_run(runs.filter("recorded_at < '2025-01-03'"), "a", {"rows": "bigint", "x": "bigint"}).collect()] == [("a", datetime(2025, 1, 2), 2, None)]
+    assert observe.read_run(runs, "a", {"rows": "bigint"}).first()["rows"] is None
+
+
 def _raw(spark):
     make = lambda name, rows: spark.createDataFrame(rows, TABLES[name])
     history = [("tok_1", 1710000000, 0.4, NOW), ("tok_1", 1710000300, 0.6, NOW), ("tok_2", 1710000000, 0.6, NOW)]

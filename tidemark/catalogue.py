@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import backoff, epoch_of, guarded_ratio, json_field, plausible_token
+from tidemark.functions.scalar import backoff, epoch_of, epoch_to_timestamp, guarded_ratio, iso_timestamp, json_field, json_text_list, plausible_token
 from tidemark.operators import observe, ohlc, planning, profile, quality, scope, upsert
 from tidemark.plans import models
 from tidemark.sources import testbed as bed
@@ -139,8 +139,6 @@ def dirty_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, epoch_us(ts) // 1000000 as epoch, make_timestamp(epoch_us(ts) // 1000000 * 1000000) as at from events")
 def epoch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.functions.scalar import epoch_to_timestamp
-
     e = bed.table(spark, sf_dir, "events").select("event_id", epoch_of("ts").alias("epoch"))
     return e.withColumn("at", epoch_to_timestamp("epoch"))
 
@@ -207,26 +205,70 @@ def valid_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(scope.valid_observation(epoch_of("ts"), F.col("value") / 300)).select("event_id")
 
 
+_TOKEN = """case doc_id % 8 when 0 then 'open_token_' || doc_id when 1 then 'closed_no_data' || doc_id when 2 then source || '_' || lang when 3 then repeat('fa', (doc_id % 20)::int)
+    when 4 then 'tok' || doc_id when 5 then lang when 6 then 'a-' || doc_id else doc_id::varchar end"""
+
+
 @query(
-    """select doc_id, regexp_matches(t, '^[A-Za-z0-9_-]+$') and regexp_matches(t, '[0-9_]') and not starts_with(lower(t), 'test') and not starts_with(lower(t), '0x')
-    as plausible from (select doc_id, case when doc_id % 4 = 0 then 'test' || source else source || '_' || lang end as t from documents)"""
+    f"""select doc_id, case when t = '' or starts_with(t, 'open_token') or starts_with(t, 'closed_token') or starts_with(t, 'closed_no_data') or not regexp_full_match(t, '[0-9A-Za-z_]+') then false
+    when regexp_full_match(t, '[0-9a-fA-F]+') then length(t) >= 30 else regexp_matches(t, '[0-9_]') end as plausible from (select doc_id, {_TOKEN} as t from documents)"""
 )
 def token_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = bed.table(spark, sf_dir, "documents")
-    token = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("test"), "source")).otherwise(F.concat_ws("_", "source", "lang"))
-    return d.select("doc_id", plausible_token(token).alias("plausible"))
+    d, i = bed.table(spark, sf_dir, "documents"), F.col("doc_id")
+    kinds = (
+        F.concat(F.lit("open_token_"), i), F.concat(F.lit("closed_no_data"), i), F.concat_ws("_", "source", "lang"), F.repeat(F.lit("fa"), (i % 20).cast("int")),
+        F.concat(F.lit("tok"), i), F.col("lang"), F.concat(F.lit("a-"), i), i.cast("string"),
+    )
+    return d.select("doc_id", plausible_token(F.get(F.array(*kinds), (i % 8).cast("int"))).alias("plausible"))
 
 
 @query(
     """select doc_id, lower(lang) = 'en' or (lower(source) <> 'src1' and lower(source) like '%src1%') as allowed,
+    case when doc_id % 5 = 0 then true when doc_id % 5 = 1 then false else lower(source) = 'src2' or (lower(source) <> 'src3' and lower(source) like '%src%') end as allowed_odd,
     coalesce(starts_with(lower(source), 'src2'), false) or lang = 'fr' as in_scope from documents"""
 )
 def tag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of documents; of ``allowed_odd`` some are null, blank, in capitals or with blanks around them."""
     d = bed.table(spark, sf_dir, "documents")
     both = F.when(F.col("lang") == "en", F.col("lang")).otherwise(F.col("source"))
     tags = scope.Scope(prefixes=("src2",), tags=("fr",))
     allowed = scope.crawl_allowed(both, ["en"], ["src1"], ["src1"]) | scope.crawl_allowed("source", [], ["src1"], ["src1"])
-    return d.select("doc_id", allowed.alias("allowed"), scope.event_in_scope("source", F.array("lang"), tags).alias("in_scope"))
+    odd = F.when(F.col("doc_id") % 5 == 1, "  ").when(F.col("doc_id") % 5 != 0, F.concat(F.lit(" "), F.upper("source"), F.lit(" ")))
+    return d.select(
+        "doc_id", allowed.alias("allowed"), scope.crawl_allowed(odd, ["Src2 "], ["src3"], ["src"]).alias("allowed_odd"),
+        scope.event_in_scope("source", F.array("lang"), tags).alias("in_scope"),
+    )
+
+
+@query(
+    """select id as market_id from (select case p_partkey % 4 when 1 then 'x' || p_partkey when 2 then '-' || p_partkey else p_partkey::varchar end as id,
+    case p_size % 3 when 1 then '' when 2 then 'slug' end as slug from part) where coalesce(slug, '') = '' and try_cast(id as bigint) > 0"""
+)
+def numeric_ids_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, key = bed.table(spark, sf_dir, "part"), F.col("p_partkey")
+    ids = F.when(key % 4 == 1, F.concat(F.lit("x"), key)).when(key % 4 == 2, F.concat(F.lit("-"), key)).otherwise(key.cast("string"))
+    slug = F.when(F.col("p_size") % 3 == 1, "").when(F.col("p_size") % 3 == 2, "slug")
+    return scope.lacking(p.select(ids.alias("market_id"), slug.alias("slug")), "slug")
+
+
+@query(
+    """select event_id, case event_id % 5 when 1 then date_trunc('second', ts) - interval 2 hour when 3 then date_trunc('day', ts) when 4 then null else date_trunc('second', ts) end as at,
+    case when event_id % 5 in (0, 2) then epoch_us(ts) // 1000000 end as plain_epoch from events"""
+)
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written with a zone (0, 1), without one (2), as a day (3), and no times (4)."""
+    e, kind = bed.table(spark, sf_dir, "events"), F.col("event_id") % 5
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    iso = F.replace(text, F.lit(" "), F.lit("T"))
+    written = F.when(kind == 0, F.concat(iso, F.lit(".5Z"))).when(kind == 1, F.concat(iso, F.lit("+02:00"))).when(kind == 2, text).when(kind == 3, F.left(text, F.lit(10))).otherwise("never")
+    return e.select("event_id", iso_timestamp(written).alias("at"), planning.created_epoch(written).alias("plain_epoch"))
+
+
+@query(r"""select doc_id, '["' || lang || '", "No \u00e9 \"x\" \\ \u2603 \ud83d\ude42\n' || doc_id || '"]' as outcomes from documents""")
+def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bed.table(spark, sf_dir, "documents")
+    odd = F.concat(F.lit('No \u00e9 "x" \\ \u2603 \U0001f642\n'), F.col("doc_id").cast("string"))
+    return d.select("doc_id", json_text_list(F.array("lang", odd)).alias("outcomes"))
 
 
 # Upserts --------------------------------------------------------------------------------------------------------------
@@ -437,32 +479,54 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates from the ledger, some of them twice, implausible, skipped or done."""
     c = bed.table(spark, sf_dir, "customer")
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    named = F.when(nation == 3, F.lit("!")).otherwise(F.floor(key / 2).cast("string"))
+    named = F.when(nation == 3, F.lit("!")).otherwise(F.concat(F.lit("tok_"), F.floor(key / 2).cast("string")))
     return c.select(
         key.alias("arrival"), named.alias("clob_token_id"), (F.lit(1_704_067_200) + key * 600).cast("long").alias("created_ts"),
         F.when(nation % 4 != 0, F.lit(1_704_067_200) + key * 1200).cast("long").alias("cursor"), F.when(nation == 5, "skip").alias("reason"),
         (nation % 2 == 0).alias("is_closed"), (nation % 3 == 0).alias("fully_checked"), (nation % 8).cast("int").alias("empty_run_streak"),
+        F.when(nation % 6 == 1, 2).when(nation % 6 == 2, 1).alias("skip_budget"),
     )
 
 
-_CLASSIFIED = """with c as (select c_custkey as arrival, case when c_nationkey = 3 then '!' else (c_custkey // 2)::varchar end as clob_token_id, 1704067200 + c_custkey * 600 as created_ts,
-    case when c_nationkey % 4 <> 0 then 1704067200 + c_custkey * 1200 end as cursor, c_nationkey = 5 as skipped, c_nationkey % 2 = 0 and c_nationkey % 3 = 0 as done, c_nationkey % 8 as streak from customer),
-    s as (select *, case when cursor is null then created_ts else greatest(created_ts, cursor - 300) end as start, row_number() over (partition by clob_token_id order by arrival) as nth from c),
-    e as (select *, case when nth > 1 then 'dup_token' when clob_token_id = '!' then 'invalid_token' when skipped then 'persisted_skip' when done then 'closed_done' end as early from s),
-    f as (select *, early is null and streak >= 5 and cursor is null as empty from e),
-    g as (select *, empty and sum(empty::int) over (order by arrival) <= 40 as spent from f),
-    r as (select *, coalesce(early, case when spent then 'empty_cache_skip' when 1705200000 - cursor < 600 then 'recent_skip' when start >= 1705200000 then 'already_current' else 'plan' end) as outcome from g) """
+_CANDIDATES = """with c as (select c_custkey as arrival, case when c_nationkey = 3 then '!' else 'tok_' || (c_custkey // 2) end as clob_token_id, 1704067200 + c_custkey * 600 as created_ts,
+    case when c_nationkey % 4 <> 0 then 1704067200 + c_custkey * 1200 end as cursor, c_nationkey = 5 as skipped, c_nationkey % 2 = 0 and c_nationkey % 3 = 0 as done, c_nationkey % 8 as streak,
+    case c_nationkey % 6 when 1 then 2 when 2 then 1 else 0 end as budget, c_nationkey as nation from customer), """
+_JUDGED = """s as (select *, case when cursor is null then created_ts else greatest(created_ts, cursor - 300) end as start, row_number() over (partition by clob_token_id order by arrival) as nth from {}),
+    r as (select *, case when nth > 1 then 'dup_token' when clob_token_id = '!' then 'invalid_token' when skipped then 'persisted_skip' when done then 'closed_done' when budget > 0 then 'empty_cache_skip'
+    when 1705200000 - cursor < 600 then 'recent_skip' when start >= 1705200000 then 'already_current' else 'plan' end as outcome from s) """
+_CLASSIFIED = _CANDIDATES + _JUDGED.format("c")
+_PLAN_COLUMNS = """arrival, clob_token_id, outcome, (case when outcome = 'plan' then start end)::bigint as start_ts, (case when outcome = 'plan' then 1705200000 end)::bigint as end_ts,
+    streak::int as empty_run_streak, (budget - (outcome = 'empty_cache_skip')::int)::int as skip_budget"""
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.classify_plans(_candidates(spark, sf_dir), planning.PlanRules(1_705_200_000, empty_budget=40))
+    return planning.classify_plans(_candidates(spark, sf_dir), planning.PlanRules(1_705_200_000, recent=600))
 
 
-@query(_CLASSIFIED + "select arrival, clob_token_id, outcome, (case when outcome = 'plan' then start end)::bigint as start_ts, (case when outcome = 'plan' then 1705200000 end)::bigint as end_ts from r")
+@query(_CLASSIFIED + f"select {_PLAN_COLUMNS} from r")
 def plan_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plans(spark, sf_dir)
 
 
+@query(
+    _CANDIDATES
+    + "d as (select * from c where nation % 7 > 1 and created_ts >= 1704240000), "
+    + _JUDGED.format("d")
+    + f""", q as (select * replace (case when outcome = 'plan' and ((arrival // 2) % 3 = 0 or (arrival // 2) % 5 <> 0 or arrival // 2 >= 10000) then 'scope_skip' else outcome end as outcome) from r)
+    select {_PLAN_COLUMNS} from q union all select arrival, clob_token_id, 'pre_clob_markets', null, null, streak::int, budget::int from c where nation % 7 > 1 and created_ts < 1704240000"""
+)
+def plan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with written times, some unreadable; tokens of multiples of 5 are allowed, those of 3 denied."""
+    rows, nation = _candidates(spark, sf_dir), bed.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("arrival"), "c_nationkey")
+    written = F.concat(F.date_format(epoch_to_timestamp("created_ts"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123456"))
+    text = F.when(F.col("c_nationkey") % 7 == 0, "not a time").when(F.col("c_nationkey") % 7 != 1, written)
+    rows = rows.join(nation, "arrival").withColumn("created_at", text).drop("created_ts", "c_nationkey")
+    numbers = spark.range(0, 10_000).withColumn("clob_token_id", F.concat(F.lit("tok_"), F.col("id")))
+    allow, deny = numbers.filter("id % 5 = 0").select("clob_token_id"), numbers.filter("id % 3 = 0").select("clob_token_id")
+    rules = planning.PlanRules(1_705_200_000, recent=600)
+    return planning.plan_stream(rows, rules, planning.cutoff_time("2024-01-03"), allow, deny)
+
+
 @query(_CLASSIFIED + "select outcome, count(*) as n_tokens from r group by outcome")
 def plan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plans(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n_tokens"))
@@ -478,25 +542,65 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bed.table(spark, sf_dir, "part").select("p_partkey", backoff("p_size", 60, 86_400).alias("wait"))
 
 
-@query(
-    """with w as (select l_partkey::varchar as t, l_orderkey * 10 + l_linenumber as ws, l_orderkey * 10 + l_linenumber + 1 as we, l_quantity % 7 <> 0 as ok, (l_quantity % 3)::bigint as n, l_orderkey as last from lineitem),
-    b as (select *, coalesce(max((not ok)::int) over (partition by t order by ws), 0) = 0 as good from w),
-    r as (select t, max(last) filter (where good and n > 0) as seen, max(we) filter (where good) as reached, coalesce(sum(n) filter (where good), 0) as n, count(*) filter (where not ok) as errors from b group by t),
-    p as (select p_partkey::varchar as t, case when p_size % 2 = 0 then p_partkey end as cursor, 1000000 + p_partkey as e, (p_size % 4)::int as streak from part),
-    x as (select *, case when n = 0 and errors = 0 then streak + 1 when errors > 0 then streak else 0 end as s from p join r using (t))
-    select t as clob_token_id, greatest(cursor, coalesce(seen, case when errors > 0 then reached else e end)) as cursor,
-    (case when errors > 0 then 5000000 + 300 when n = 0 then 5000000 + least(60 * pow(2, greatest(s - 1, 0)), 86400) end)::bigint as next_check_ts, s::int as empty_run_streak, n::bigint as rows, errors::bigint as errors from x"""
-)
-def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+_RUNS = """with w as (select l_partkey::varchar as t, l_orderkey * 10 + l_linenumber as ws, l_orderkey * 10 + l_linenumber + 1 as we,
+    case when l_quantity % 23 = 0 then 'permanent' when l_quantity % 7 = 0 then 'error' else 'ok' end as status, (l_quantity % 3)::bigint as n, l_orderkey as last from lineitem),
+    b as (select *, coalesce(max((status = 'permanent')::int) over (partition by t order by ws rows between unbounded preceding and 1 preceding), 0) as ended,
+    max((status <> 'ok')::int) over (partition by t order by ws) as broken from w),
+    r as (select t, max(last) filter (where status = 'ok' and n > 0 and broken = 0) as seen_first, max(last) filter (where status = 'ok' and n > 0) as seen, max(we) filter (where status = 'ok' and broken = 0) as reached,
+    coalesce(sum(n) filter (where status = 'ok'), 0) as n, count(*) as windows, bool_or(status = 'error') as failed, bool_or(status = 'permanent') as permanent,
+    max('window ' || ws) filter (where status = 'permanent') as message from b where ended = 0 group by t),
+    p as (select p_partkey::varchar as t, p_size, p_partkey as s, 1000000 + p_partkey as e, p_size % 5 = 0 as closed, p_size % 4 as streak from part),
+    x as (select p.*, seen_first, seen, reached, message, coalesce(n, 0) as n, coalesce(windows, 0) as windows, coalesce(permanent, false) as permanent, coalesce(failed, false) and not coalesce(permanent, false) as failed
+    from p left join r using (t)),
+    y as (select *, closed and not failed and not permanent as checked, case when n = 0 and not failed and not permanent then streak + 1 else 0 end as k from x) """
+
+
+def _transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """States after windows some of which failed, and their plans."""
     l, p = bed.table(spark, sf_dir, "lineitem"), bed.table(spark, sf_dir, "part")
-    at, rows = F.col("l_orderkey") * 10 + F.col("l_linenumber"), (F.col("l_quantity") % 3).cast("long")
+    at, rows, q = F.col("l_orderkey") * 10 + F.col("l_linenumber"), (F.col("l_quantity") % 3).cast("long"), F.col("l_quantity")
     results = l.select(
         F.col("l_partkey").cast("string").alias("clob_token_id"), at.alias("window_start"), (at + 1).alias("window_end"),
-        F.when(F.col("l_quantity") % 7 != 0, "ok").otherwise("error").alias("status"), rows.alias("rows"), F.when(rows > 0, F.col("l_orderkey")).alias("last_ts"),
+        F.when(q % 23 == 0, "permanent").when(q % 7 == 0, "error").otherwise("ok").alias("status"), rows.alias("rows"),
+        F.when(rows > 0, F.col("l_orderkey")).alias("last_ts"), F.concat(F.lit("window "), at).alias("message"),
     )
     key, size = F.col("p_partkey"), F.col("p_size")
-    plans = p.select(key.cast("string").alias("clob_token_id"), F.when(size % 2 == 0, key).alias("cursor"), (key + 1_000_000).alias("end_ts"), (size % 4).cast("int").alias("empty_run_streak"))
-    return planning.state_transitions(results, plans, 5_000_000, 60, 86_400, 300)
+    plans = p.select(
+        key.cast("string").alias("clob_token_id"), size.cast("string").alias("market_id"), key.alias("start_ts"), (key + 1_000_000).alias("end_ts"),
+        (size % 5 == 0).alias("is_closed"), (size % 4).cast("int").alias("empty_run_streak"),
+    )
+    return planning.state_transitions(results, plans, planning.RetryRules(3600, 300, 60, 86_400)), plans
+
+
+@query(
+    _RUNS
+    + """select t as clob_token_id, (case when permanent then e when failed then case when seen_first > s then seen_first when n = 0 and reached > s then reached end when n = 0 then e else greatest(seen, s) end)::bigint as cursor,
+    e as checked_ts, (case when not permanent and not checked then e + case when failed then 300 when n = 0 then least(60 * pow(2, greatest(k - 1, 0)), 86400) else 3600 end end)::bigint as next_check_ts,
+    k::int as empty_run_streak, checked as fully_checked, n::bigint as rows, windows, failed or permanent as error, permanent as permanent_error, case when permanent then message end as skip_reason from y"""
+)
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transitions(spark, sf_dir)[0]
+
+
+@query(
+    _RUNS
+    + """select count(*) as processed_tokens, count(distinct p_size) as distinct_markets, sum(n)::bigint as rows, sum(windows)::bigint as windows, (count(*) filter (where n = 0))::bigint as empty,
+    (count(*) filter (where failed or permanent))::bigint as error, (count(*) filter (where permanent))::bigint as permanent_error, (count(*) filter (where checked))::bigint as fully_checked,
+    round(count(*) / 12.5::double, 4) as token_rate, round(sum(n)::bigint / 12.5::double, 4) as row_rate from y"""
+)
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.run_totals(*_transitions(spark, sf_dir), 12.5)
+
+
+@query(
+    """with r as (select p_partkey, p_size::double as rate, p_partkey % 400 as requests, p_partkey % 13 as throttled, p_partkey % 7 as errors from part),
+    t as (select *, case when throttled / greatest(requests, 1)::double > 0.03 then greatest(2.0::double, rate * 0.8::double) when errors / greatest(requests, 1)::double > 0.01 then greatest(2.0::double, rate * 0.9::double)
+    when throttled = 0 then least(40.0::double, rate * 1.1::double) else rate end as target from r)
+    select p_partkey, case when requests >= 200 and abs(target - rate) >= 0.5 then target else rate end as next_rate from t"""
+)
+def tuned_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, key = bed.table(spark, sf_dir, "part"), F.col("p_partkey")
+    return p.select("p_partkey", planning.tuned_rate(F.col("p_size").cast("double"), key % 400, key % 13, key % 7, 2, 40).alias("next_rate"))
 
 
 @query(

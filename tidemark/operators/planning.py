@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import backoff, epoch_of, json_list, json_list_guard, plausible_token
+from tidemark.functions.scalar import backoff, epoch_of, json_list, json_list_guard, plain_timestamp, plausible_token
 from tidemark.operators.ohlc import EPOCH, TOKEN
 from tidemark.operators.scope import token_due, volume_band
 from tidemark.operators.upsert import merge_monotonic
@@ -50,13 +50,14 @@ def exclusion_counts(due: DataFrame, in_scope: Column, open_still: Column) -> Da
 
 @dataclass(frozen=True)
 class PlanRules:
-    """Times in epoch seconds, spans in seconds; ``force`` and ``rebuild`` pass over what would skip a token."""
+    """Times in epoch seconds, spans in seconds. ``force``, ``rebuild`` and a ``floor`` pass over what would skip a token:
+    its skip, its end, its budget of empty runs. ``rebuild`` starts at the token's creation, ``floor`` no earlier than it.
+    Budgets count only if ``skip_runs`` is above 0."""
 
     now: int
     overlap: int = 300
-    recent: int = 600
-    streak_limit: int = 5
-    empty_budget: int = 1_000_000
+    recent: int = 900
+    skip_runs: int = 2
     floor: int | None = None
     force: bool = False
     rebuild: bool = False
@@ -66,50 +67,83 @@ def classify_plans(tokens: DataFrame, rules: PlanRules) -> DataFrame:
     """Each candidate's ``outcome`` and, for plans, ``start_ts`` and ``end_ts``; the first rule that holds decides.
 
     Columns: ``arrival``, ``clob_token_id``, ``created_ts``, ``cursor``, ``reason``, ``is_closed``, ``fully_checked``,
-    ``empty_run_streak``. Later arrivals of a token are duplicates. At most ``empty_budget`` tokens are skipped for
-    their streak of empty runs, the earliest first.
+    ``empty_run_streak``, ``skip_budget`` (empty runs that the token may still be passed over for; null: none). Later
+    arrivals of a token are duplicates. ``skip_budget`` comes back as what is left of it.
     """
-    go = F.lit(rules.force or rules.rebuild)
+    go = F.lit(rules.force or rules.rebuild or rules.floor is not None)
     flag = lambda c: F.coalesce(c, F.lit(False))
-    streak = flag(F.col("empty_run_streak") >= rules.streak_limit) & ~go & flag(F.col("cursor").isNull())
-    by_cursor = F.when(F.col("cursor").isNull(), F.col("created_ts")).otherwise(
-        F.greatest("created_ts", F.col("cursor") - rules.overlap)
-    )
+    cursor, created = F.col("cursor"), F.col("created_ts")
     if rules.rebuild:
-        start = F.col("created_ts")
+        start, recent = created, F.lit(False)
     elif rules.floor is not None:
-        start = F.greatest("created_ts", F.lit(rules.floor))
+        start, recent = F.greatest(created, F.lit(rules.floor)), F.lit(False)
     else:
-        start = by_cursor
-    uses_cursor = not rules.rebuild and rules.floor is None
-    recent = flag(F.lit(rules.now) - F.col("cursor") < rules.recent) & ~go & F.lit(uses_cursor)
-    before = (
+        start = F.when(cursor.isNull(), created).otherwise(F.greatest(created, cursor - rules.overlap))
+        recent = flag(F.lit(rules.now) - cursor < rules.recent) & F.lit(not rules.force)
+    spare = F.coalesce("skip_budget", F.lit(0))
+    spent = (spare > 0) & ~go & F.lit(rules.skip_runs > 0)
+    named = (
         (F.row_number().over(Window.partitionBy(TOKEN).orderBy("arrival")) > 1, "dup_token"),
         (~plausible_token(TOKEN), "invalid_token"),
         (F.col("reason").isNotNull() & ~go, "persisted_skip"),
         (flag(F.col("is_closed") & F.col("fully_checked")) & ~go, "closed_done"),
+        (spent, "empty_cache_skip"),
+        (recent, "recent_skip"),
+        (flag(start >= rules.now), "already_current"),
     )
-    first = reduce(lambda c, x: c.when(*x), before[1:], F.when(*before[0]))
-    judged = tokens.withColumn("_early", first).withColumn("_start", start.cast("long")).withColumn("_empty", F.col("_early").isNull() & streak)
-    spent = judged.filter("_empty").select("arrival").orderBy("arrival").limit(rules.empty_budget).withColumn("_spent", F.lit(True))
-    judged = judged.join(spent, "arrival", "left")
-    outcome = F.coalesce(
-        "_early",
-        F.when(flag(F.col("_spent")), "empty_cache_skip")
-        .when(recent, "recent_skip")
-        .when(F.col("_start") >= rules.now, "already_current")
-        .otherwise("plan"),
-    )
-    planned = F.col("outcome") == "plan"
-    return judged.withColumn("outcome", outcome).select(
+    outcome = reduce(lambda c, x: c.when(*x), named[1:], F.when(*named[0])).otherwise("plan")
+    judged = tokens.withColumn("outcome", outcome)
+    planned, passed = F.col("outcome") == "plan", F.col("outcome") == "empty_cache_skip"
+    return judged.select(
         "arrival",
         TOKEN,
         "outcome",
-        F.when(planned, F.col("_start")).alias("start_ts"),
+        F.when(planned, start).cast("long").alias("start_ts"),
         F.when(planned, F.lit(rules.now).cast("long")).alias("end_ts"),
+        F.greatest(F.lit(0), F.coalesce("empty_run_streak", F.lit(0))).cast("int").alias("empty_run_streak"),
+        (spare - F.when(passed, 1).otherwise(0)).cast("int").alias("skip_budget"),
     )
 
 
+def cutoff_time(text: str) -> datetime:
+    """The start of a UTC day given as ``2024-01-02``; of anything else the default, the first of 2023."""
+    try:
+        return datetime.strptime(text, "%Y-%m-%d")
+    except ValueError:
+        return datetime(2023, 1, 1)
+
+
+def plan_stream(candidates: DataFrame, rules: PlanRules, cutoff: datetime, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+    """``classify_plans`` of candidates with ``created_at`` (as text or time) in place of ``created_ts``.
+
+    Candidates without a readable ``created_at`` or without a token are left out; those created before ``cutoff`` have the
+    outcome ``pre_clob_markets``; plans of tokens that ``allow`` lacks or ``deny`` has, ``scope_skip``.
+    """
+    text = dict(candidates.dtypes)["created_at"] == "string"
+    at = plain_timestamp("created_at") if text else F.col("created_at").cast("timestamp_ntz")
+    rows = candidates.withColumns({TOKEN: F.trim(TOKEN), "created_ts": epoch_of(at)}).drop("created_at")
+    rows = rows.filter(F.col("created_ts").isNotNull() & F.coalesce(F.col(TOKEN) != "", F.lit(False)))
+    limit = F.lit(int((cutoff - datetime(1970, 1, 1)).total_seconds()))
+    early = rows.filter(F.col("created_ts") < limit)
+    planned = classify_plans(rows.filter(F.col("created_ts") >= limit), rules)
+    out = F.lit(False)
+    for some, name, inside in ((allow, "_allowed", False), (deny, "_denied", True)):
+        if some is not None:
+            planned = planned.join(some.select(TOKEN).distinct().withColumn(name, F.lit(True)), TOKEN, "left")
+            out |= F.col(name).isNotNull() if inside else F.col(name).isNull()
+    skipped = (F.col("outcome") == "plan") & out
+    columns = ("arrival", TOKEN, "outcome", "start_ts", "end_ts", "empty_run_streak", "skip_budget")
+    planned = planned.withColumns({
+        "outcome": F.when(skipped, "scope_skip").otherwise(F.col("outcome")),
+        "start_ts": F.when(~skipped, F.col("start_ts")),
+        "end_ts": F.when(~skipped, F.col("end_ts")),
+    }).select(*columns)
+    none = F.lit(None).cast("long")
+    early = early.select("arrival", TOKEN, F.lit("pre_clob_markets").alias("outcome"), none.alias("start_ts"), none.alias("end_ts"),
+                         F.coalesce("empty_run_streak", F.lit(0)).cast("int").alias("empty_run_streak"), F.coalesce("skip_budget", F.lit(0)).cast("int").alias("skip_budget"))
+    return planned.unionByName(early)
+
+
 def plan_order(plans: DataFrame) -> DataFrame:
     """Plans, the shortest range first, over all pages."""
     return plans.filter("outcome = 'plan'").orderBy(F.col("end_ts") - F.col("start_ts"), "start_ts", TOKEN)
@@ -132,36 +166,92 @@ def halved_windows(windows: DataFrame, most: int, least: int) -> DataFrame:
     return cut.withColumns({"part_start": edge(F.col("_i")), "part_end": edge(F.col("_i") + 1)}).drop("_n", "_i")
 
 
-def state_transitions(results: DataFrame, plans: DataFrame, now: int, base: int, most: int, retry: int) -> DataFrame:
-    """Each token's state after its windows, without a pass over them one by one.
+@dataclass(frozen=True)
+class RetryRules:
+    """Seconds until the next check: after a run with rows, after a transient error, and after empty runs, from ``base``
+    on doubled each time up to ``most`` (0: no limit)."""
+
+    routine: int = 6 * 3600
+    error: int = 30 * 60
+    base: int = 24 * 3600
+    most: int = 168 * 3600
+
+
+def state_transitions(results: DataFrame, plans: DataFrame, rules: RetryRules) -> DataFrame:
+    """Each plan's state after its windows, without a pass over them one by one.
 
-    ``results``: token, ``window_start``, ``window_end``, ``status`` (``ok`` or ``error``), ``rows``, ``last_ts``.
-    ``plans``: token, ``cursor``, ``end_ts``, ``empty_run_streak``. Only windows before a token's first error count. The
-    cursor is the last time seen in them; without rows, the end of what was seen: the plan's end if there was no error.
-    After an error the next check is ``retry`` seconds ahead; after a run without rows the wait grows with the streak.
+    ``results``: token, ``window_start``, ``window_end``, ``status`` (``ok``, ``error`` for a transient one, ``permanent``),
+    ``rows``, ``last_ts``, ``message``. ``plans``: token, ``start_ts``, ``end_ts``, ``is_closed``, ``empty_run_streak``.
+
+    A permanent error ends the run: its windows after it don't count, the cursor is the plan's end, and ``skip_reason`` is
+    its message. After transient errors the cursor is the last time seen before the first of them; if no window at all had
+    rows, the end of what was seen before it; else it stays as it was (null). Without errors it is the last time seen, or
+    without rows the plan's end. A closed token whose run had no error is fully checked and has no next check.
     """
     order = Window.partitionBy(TOKEN).orderBy("window_start")
-    broken = F.max(F.when(F.col("status") != "ok", 1).otherwise(0)).over(order)
-    marked = results.withColumn("_good", broken == 0)
-    good = F.col("_good")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max((F.col("status") == "permanent").cast("int")).over(before), F.lit(0))
+    broken = F.max((F.col("status") != "ok").cast("int")).over(order)
+    marked = results.withColumns({"_ended": ended, "_broken": broken}).filter("_ended = 0")
+    fine, first = F.col("status") == "ok", F.col("_broken") == 0
+    some = fine & (F.col("rows") > 0)
     runs = marked.groupBy(TOKEN).agg(
-        F.max(F.when(good, F.col("last_ts"))).alias("seen"),
-        F.max(F.when(good, F.col("window_end"))).alias("reached"),
-        F.coalesce(F.sum(F.when(good, F.col("rows"))), F.lit(0)).alias("rows"),
-        F.count_if(F.col("status") != "ok").alias("errors"),
+        F.max(F.when(some & first, F.col("last_ts"))).alias("seen_first"),
+        F.max(F.when(some, F.col("last_ts"))).alias("seen"),
+        F.max(F.when(fine & first, F.col("window_end"))).alias("reached"),
+        F.coalesce(F.sum(F.when(fine, F.col("rows"))), F.lit(0)).cast("long").alias("rows"),
+        F.count("*").alias("windows"),
+        F.bool_or(F.col("status") == "error").alias("failed"),
+        F.bool_or(F.col("status") == "permanent").alias("permanent"),
+        F.max(F.when(F.col("status") == "permanent", F.col("message"))).alias("message"),
+    )
+    joined = plans.join(runs, TOKEN, "left").withColumns({
+        "rows": F.coalesce("rows", F.lit(0).cast("long")),
+        "windows": F.coalesce("windows", F.lit(0).cast("long")),
+        "permanent": F.coalesce("permanent", F.lit(False)),
+    }).withColumn("failed", F.coalesce("failed", F.lit(False)) & ~F.col("permanent"))
+    failed, permanent, empty = F.col("failed"), F.col("permanent"), F.col("rows") == 0
+    start, end = F.col("start_ts"), F.col("end_ts")
+    cursor = (
+        F.when(permanent, end)
+        .when(failed, F.when(F.col("seen_first") > start, F.col("seen_first")).when(empty & (F.col("reached") > start), F.col("reached")))
+        .when(empty, end)
+        .otherwise(F.greatest("seen", start))
     )
-    joined = plans.join(runs, TOKEN)
-    failed, empty = F.col("errors") > 0, F.col("rows") == 0
-    streak = F.when(empty & ~failed, F.coalesce("empty_run_streak", F.lit(0)) + 1).when(failed, F.coalesce("empty_run_streak", F.lit(0))).otherwise(0)
-    progress = F.coalesce("seen", F.when(failed, F.col("reached")).otherwise(F.col("end_ts")))
-    moved = joined.withColumn("streak", streak.cast("int"))
-    return moved.select(
+    checked = F.coalesce("is_closed", F.lit(False)) & ~failed & ~permanent
+    streak = F.when(empty & ~failed & ~permanent, F.coalesce("empty_run_streak", F.lit(0)) + 1).otherwise(0)
+    made = joined.withColumns({"streak": streak.cast("int"), "fully_checked": checked})
+    wait = F.when(failed, F.lit(max(0, rules.error))).when(empty, backoff("streak", rules.base, rules.most)).otherwise(F.lit(max(0, rules.routine)))
+    return made.select(
         TOKEN,
-        F.greatest("cursor", progress).alias("cursor"),
-        F.when(failed, F.lit(now + retry)).when(empty, F.lit(now) + backoff("streak", base, most)).cast("long").alias("next_check_ts"),
+        cursor.cast("long").alias("cursor"),
+        end.cast("long").alias("checked_ts"),
+        F.when(~permanent & ~checked, end + wait).cast("long").alias("next_check_ts"),
         F.col("streak").alias("empty_run_streak"),
+        "fully_checked",
         "rows",
-        F.col("errors").cast("long").alias("errors"),
+        "windows",
+        (failed | permanent).alias("error"),
+        F.col("permanent").alias("permanent_error"),
+        F.when(permanent, F.col("message")).alias("skip_reason"),
+    )
+
+
+def run_totals(states: DataFrame, plans: DataFrame, seconds: float) -> DataFrame:
+    """One row: what the runs of ``state_transitions`` add up to, and tokens and rows a second. ``plans`` names markets."""
+    n = lambda c: F.count_if(c)
+    run = max(0.001, seconds)
+    return states.join(plans.select(TOKEN, "market_id"), TOKEN).agg(
+        F.count("*").alias("processed_tokens"),
+        F.countDistinct("market_id").alias("distinct_markets"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("windows"), F.lit(0)).alias("windows"),
+        n(F.col("rows") == 0).alias("empty"),
+        n("error").alias("error"),
+        n("permanent_error").alias("permanent_error"),
+        n("fully_checked").alias("fully_checked"),
+        F.round(F.count("*") / run, 4).alias("token_rate"),
+        F.round(F.coalesce(F.sum("rows"), F.lit(0)) / run, 4).alias("row_rate"),
     )
 
 
@@ -280,12 +370,24 @@ def volume_tiers(markets: DataFrame, edge: float) -> DataFrame:
     return markets.withColumn("tier", F.when(volume_band("volume", least=edge), "hot").otherwise("cold"))
 
 
-def tuned_rate(rate: Column, requests: Column, throttled: Column, errors: Column, least: float, most: float) -> Column:
-    """The next request rate: lower after throttling or errors, higher after a clean run, within limits."""
-    share = lambda x: F.coalesce(x / F.nullif(requests, F.lit(0)), F.lit(0.0))
-    factor = F.when(share(throttled) > 0.02, 0.8).when(share(errors) > 0.05, 0.9).when((throttled == 0) & (errors == 0), 1.1).otherwise(1.0)
-    return F.least(F.lit(most), F.greatest(F.lit(least), rate * factor))
+def tuned_rate(
+    rate: Column, requests: Column, throttled: Column, errors: Column, least: float, most: float,
+    window: int = 200, throttled_above: float = 0.03, errors_above: float = 0.01,
+) -> Column:
+    """The next request rate from the requests since the last change: lower if a share above a threshold was throttled or
+    failed, higher if none was throttled, within limits. It stays with fewer requests than ``window`` and if it would
+    change by less than a half."""
+    share = lambda x: x / F.greatest(requests, F.lit(1))
+    target = (
+        F.when(share(throttled) > max(0.0, throttled_above), F.greatest(F.lit(float(least)), rate * 0.8))
+        .when(share(errors) > max(0.0, errors_above), F.greatest(F.lit(float(least)), rate * 0.9))
+        .when(throttled == 0, F.least(F.lit(float(most)), rate * 1.1))
+        .otherwise(rate)
+    )
+    moves = (requests >= max(1, window)) & (rate > 0) & (F.abs(target - rate) >= 0.5)
+    return F.when(moves, target).otherwise(rate)
 
 
 def created_epoch(created: Column | str) -> Column:
-    return epoch_of(created)
+    """Epoch seconds of a time written as ``2024-01-02 03:04:05`` or with a ``T``; null for other text."""
+    return epoch_of(plain_timestamp(created))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from datetime import datetime
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,3 +93,52 @@ def value_counts(rows: DataFrame, column: str, most: int | None = None) -> DataF
     """Values by frequency, ties by value."""
     counted = rows.groupBy(column).agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), F.asc_nulls_last(column))
     return counted if most is None else counted.limit(most)
+
+
+def report(tables: dict[str, DataFrame], at: datetime, level: str = "standard") -> dict:
+    """Profiles of several tables as plain values: each with its rows and columns, or with the error that it gave.
+
+    A column that can't be profiled has an ``error`` in place of statistics; the others of its table have theirs.
+    """
+    out = []
+    for name, rows in tables.items():
+        entry: dict = {"table": name, "n_columns": len(rows.columns), "n_rows": None, "columns": [], "error": None}
+        out.append(entry)
+        try:
+            entry["columns"] = [r.asDict() for r in profile_table(rows, level).collect()]
+        except PySparkException:
+            for column in rows.columns:
+                try:
+                    entry["columns"].append(profile_table(rows.select(f"`{column}`"), level).first().asDict())
+                except PySparkException as failed:
+                    entry["columns"].append({"column_name": column, "error": str(failed).splitlines()[0][:300]})
+        counts = [c["n_rows"] for c in entry["columns"] if "n_rows" in c]
+        entry["n_rows"] = counts[0] if counts else None
+        if entry["columns"] and not counts:
+            entry["error"] = "no column could be profiled"
+    return {"generated_at": at.isoformat(sep=" "), "level": level, "tables": out}
+
+
+def as_markdown(found: dict) -> str:
+    """A report as Markdown: a line for each table and column, with the statistics that there are."""
+    lines = ["# Profile", "", f"- generated (UTC): {found['generated_at']}", f"- level: {found['level']}", ""]
+    for t in found["tables"]:
+        lines.append(f"## {t['table']}: {'?' if t['n_rows'] is None else t['n_rows']} rows, {t['n_columns']} columns")
+        lines += [f"- error: {t['error']}"] if t["error"] else []
+        for c in t["columns"]:
+            if c.get("error"):
+                lines.append(f"- `{c['column_name']}`: error: {c['error']}")
+                continue
+            shown = ("null_percent", "n_distinct", "low", "high", "mean", "deviation", "n_true", "n_false", "sample")
+            parts = [f"{k} {c[k]}" for k in shown if c.get(k) is not None]
+            lines.append(f"- `{c['column_name']}` ({c['data_type']})" + (": " + ", ".join(parts) if parts else ""))
+        lines.append("")
+    if not found["tables"]:
+        lines.append("No tables.")
+    return "\n".join(lines).rstrip() + "\n"
+
+
+def write_report(spark: SparkSession, found: dict, folder: str) -> None:
+    """A report as ``json`` and ``markdown`` text under a folder that Spark writes to; two small files."""
+    for kind, text in (("json", json.dumps(found, default=str)), ("markdown", as_markdown(found))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{kind}")

@@ -110,10 +110,43 @@ def event_in_scope(slug: Column | str, tags: Column | str, scope: Scope) -> Colu
     return slug_in_scope(slug, scope) | F.coalesce(tagged, F.lit(False))
 
 
-def crawl_allowed(tag: Column | str, always: Sequence[str], denied: Sequence[str], keywords: Sequence[str]) -> Column:
-    """Whether a tag is followed: always if listed, never if denied, else if it has a keyword."""
-    t = F.lower(col(tag))
-    has = _any([t.contains(k.lower()) for k in keywords]) if keywords else F.lit(True)
-    listed = t.isin([x.lower() for x in always]) if always else F.lit(False)
-    banned = t.isin([x.lower() for x in denied]) if denied else F.lit(False)
-    return F.coalesce(listed | (~banned & has), F.lit(False))
+def crawl_allowed(tag: Column | str, always: Sequence[str], denied: Sequence[str], keywords: Sequence[str], gate: bool = True) -> Column:
+    """Whether a tag is followed, without regard to case and blanks at its ends: always if it is null or listed, never if
+    it is empty or denied, else if it has a keyword or the gate is off."""
+    t = F.lower(F.trim(col(tag)))
+    clean = lambda xs: [y for x in xs if (y := x.strip().lower())]
+    has = _any([t.contains(k) for k in clean(keywords)]) if gate else F.lit(True)
+    listed = t.isin(clean(always)) if clean(always) else F.lit(False)
+    banned = t.isin(clean(denied)) if clean(denied) else F.lit(False)
+    return t.isNull() | ((t != "") & (listed | (~banned & has)))
+
+
+def numeric_id(market_id: Column | str) -> Column:
+    """Whether an id is a whole number above 0."""
+    return F.coalesce(col(market_id).try_cast("bigint") > 0, F.lit(False))
+
+
+def lacking(markets: DataFrame, field: str) -> DataFrame:
+    """Ids, in the order of their numbers, of markets of numeric ids whose text ``field`` is null or empty."""
+    some = markets.filter((F.coalesce(F.col(field), F.lit("")) == "") & numeric_id("market_id"))
+    return some.select("market_id").orderBy(F.col("market_id").cast("bigint"), "market_id")
+
+
+@dataclass(frozen=True)
+class Discovery:
+    """What the ledger knows of the last discovery: whether it saw everything, and the hash of its scope."""
+
+    fully_checked: bool = False
+    scope_hash: str | None = None
+
+    def after(self, scope: Scope, whole: bool, truncated: bool) -> Discovery:
+        """The ledger after a discovery: a whole one that wasn't cut short has checked all; another scope or a cut takes
+        that back."""
+        new = scope_hash(scope)
+        if whole and not truncated:
+            return Discovery(True, new)
+        if self.scope_hash and self.scope_hash != new:
+            return Discovery(False, new)
+        if self.fully_checked and truncated:
+            return Discovery(False, new)
+        return self

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import epoch_to_timestamp, guarded_ratio, json_field, json_list
+from tidemark.functions.scalar import epoch_to_timestamp, guarded_ratio, json_leaves, json_list
 from tidemark.operators import quality
 from tidemark.operators.ohlc import TOKEN, gap_diagnostics, token_coverage_days
 from tidemark.operators.scope import BIG_VOLUME, Scope, volume_band, with_scope
@@ -26,39 +26,49 @@ MARKET_COLUMNS = (
     "scraped_at", "end_date", "slug", "event_slug", "event_id",
 )
 
-#: Leaves of a run's metrics, by prefix: each (alias, leaf, type), the leaf being the alias if it isn't given.
-_COUNTS = (
-    "processed_tokens:tokens windows_processed:windows rows_fetched:rows empty_tokens:empty error_tokens:errors "
-    "permanent_error_tokens:permanent_errors invalid_tokens saved_rows saved_daily_rows sync_updates queue_high_watermark "
-    "http_requests http_429 http_errors"
-)
-_PLANNING = (
-    "planned_tokens:plans pre_clob_markets invalid_tokens_from_planning:invalid_token closed_done_tokens:closed_done "
-    "persisted_skip_tokens:persisted_skip recent_skip_tokens:recent_skip empty_cache_skip_tokens:empty_cache_skip "
-    "already_current_tokens:already_current duplicate_tokens:dup_token"
-)
-_CONTEXT = (
-    "market_tokens_distinct_tokens odds_history_distinct_tokens token_odds_daily_distinct_tokens ledger_distinct_tokens "
-    "ledger_fully_checked_tokens token_sync_skips_distinct_tokens market_tokens_without_history history_tokens_without_market_tokens"
-)
-_RATIOS = (
-    "planned_vs_market_tokens history_coverage_vs_market_tokens daily_coverage_vs_market_tokens "
-    "ledger_coverage_vs_market_tokens fully_checked_vs_market_tokens"
-)
-
-
-def _leaves(prefix: str, names: str, kind: str, suffix: str = "") -> list[tuple[str, str, str]]:
-    pairs = [n.partition(":") for n in names.split()]
-    return [(alias + suffix, f"{prefix}{leaf or alias}", kind) for alias, _, leaf in pairs]
-
-
+#: The columns of a run's metrics, where each lies in the JSON text, and its type.
 RUN_FIELDS = [
     ("is_noop", "$.noop", "boolean"),
-    *_leaves("$.", "duration_seconds final_rps token_rate row_rate", "double"),
-    *_leaves("$.", _COUNTS, "bigint"),
-    *_leaves("$.planning.", _PLANNING, "bigint"),
-    *_leaves("$.planning_context.", _CONTEXT, "bigint"),
-    *_leaves("$.planning_context.", _RATIOS, "double", "_ratio"),
+    ("duration_seconds", "$.duration_seconds", "double"),
+    ("final_rps", "$.final_rps", "double"),
+    ("token_rate", "$.token_rate", "double"),
+    ("row_rate", "$.row_rate", "double"),
+    ("processed_tokens", "$.tokens", "bigint"),
+    ("windows_processed", "$.windows", "bigint"),
+    ("rows_fetched", "$.rows", "bigint"),
+    ("empty_tokens", "$.empty", "bigint"),
+    ("error_tokens", "$.errors", "bigint"),
+    ("permanent_error_tokens", "$.permanent_errors", "bigint"),
+    ("invalid_tokens", "$.invalid_tokens", "bigint"),
+    ("saved_rows", "$.saved_rows", "bigint"),
+    ("saved_daily_rows", "$.saved_daily_rows", "bigint"),
+    ("sync_updates", "$.sync_updates", "bigint"),
+    ("queue_high_watermark", "$.queue_high_watermark", "bigint"),
+    ("http_requests", "$.http_requests", "bigint"),
+    ("http_429", "$.http_429", "bigint"),
+    ("http_errors", "$.http_errors", "bigint"),
+    ("planned_tokens", "$.planning.plans", "bigint"),
+    ("pre_clob_markets", "$.planning.pre_clob_markets", "bigint"),
+    ("invalid_tokens_from_planning", "$.planning.invalid_token", "bigint"),
+    ("closed_done_tokens", "$.planning.closed_done", "bigint"),
+    ("persisted_skip_tokens", "$.planning.persisted_skip", "bigint"),
+    ("recent_skip_tokens", "$.planning.recent_skip", "bigint"),
+    ("empty_cache_skip_tokens", "$.planning.empty_cache_skip", "bigint"),
+    ("already_current_tokens", "$.planning.already_current", "bigint"),
+    ("duplicate_tokens", "$.planning.dup_token", "bigint"),
+    ("market_tokens_distinct_tokens", "$.planning_context.market_tokens_distinct_tokens", "bigint"),
+    ("odds_history_distinct_tokens", "$.planning_context.odds_history_distinct_tokens", "bigint"),
+    ("token_odds_daily_distinct_tokens", "$.planning_context.token_odds_daily_distinct_tokens", "bigint"),
+    ("ledger_distinct_tokens", "$.planning_context.ledger_distinct_tokens", "bigint"),
+    ("ledger_fully_checked_tokens", "$.planning_context.ledger_fully_checked_tokens", "bigint"),
+    ("token_sync_skips_distinct_tokens", "$.planning_context.token_sync_skips_distinct_tokens", "bigint"),
+    ("market_tokens_without_history", "$.planning_context.market_tokens_without_history", "bigint"),
+    ("history_tokens_without_market_tokens", "$.planning_context.history_tokens_without_market_tokens", "bigint"),
+    ("planned_vs_market_tokens_ratio", "$.planning_context.planned_vs_market_tokens", "double"),
+    ("history_coverage_vs_market_tokens_ratio", "$.planning_context.history_coverage_vs_market_tokens", "double"),
+    ("daily_coverage_vs_market_tokens_ratio", "$.planning_context.daily_coverage_vs_market_tokens", "double"),
+    ("ledger_coverage_vs_market_tokens_ratio", "$.planning_context.ledger_coverage_vs_market_tokens", "double"),
+    ("fully_checked_vs_market_tokens_ratio", "$.planning_context.fully_checked_vs_market_tokens", "double"),
 ]
 
 
@@ -103,8 +113,9 @@ def stg_token_sync_skips(raw: DataFrame) -> DataFrame:
 
 def stg_pipeline_run_events(raw: DataFrame) -> DataFrame:
     """Runs with the typed leaves of their metrics; leaves that are missing or of another type are null."""
-    leaves = [json_field("metrics_json", path, kind).alias(alias) for alias, path, kind in RUN_FIELDS]
-    return raw.select("run_id", "task_name", "recorded_at", "metrics_json", *leaves)
+    parsed = raw.select("run_id", "task_name", "recorded_at", "metrics_json", json_leaves("metrics_json", [p for _, p, _ in RUN_FIELDS]).alias("_m"))
+    leaves = [F.col("_m" + path[1:]).try_cast(kind).alias(alias) for alias, path, kind in RUN_FIELDS]
+    return parsed.select("run_id", "task_name", "recorded_at", "metrics_json", *leaves)
 
 
 def int_token_universe(markets: DataFrame, tokens: DataFrame) -> DataFrame:

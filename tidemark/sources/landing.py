@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import first_of, iso_timestamp
+from tidemark.functions.scalar import first_of, iso_timestamp, json_text_list
 from tidemark.operators.upsert import last_write_wins
 from tidemark.sources.schemas import EVENT_PAYLOAD, MARKET_PAYLOAD
 
@@ -33,7 +33,7 @@ def shape_markets(payloads: DataFrame, now: datetime) -> DataFrame:
         text("question").alias("question"),
         text("category").alias("category"),
         text("description").alias("description"),
-        F.to_json(F.coalesce("outcomes", F.array().cast("array<string>"))).alias("outcomes"),
+        json_text_list(F.coalesce("outcomes", F.array().cast("array<string>"))).alias("outcomes"),
         F.coalesce(F.col("volumeNum").try_cast("double"), F.lit(0.0)).alias("volume"),
         F.coalesce("active", F.lit(False)).alias("active"),
         F.coalesce("closed", F.lit(False)).alias("closed"),
@@ -43,7 +43,7 @@ def shape_markets(payloads: DataFrame, now: datetime) -> DataFrame:
         "slug",
         first_of("events", "slug").alias("event_slug"),
         first_of("events", "id").alias("event_id"),
-        F.to_json("clobTokenIds").alias("clob_token_ids"),
+        json_text_list("clobTokenIds").alias("clob_token_ids"),
     )
 
 

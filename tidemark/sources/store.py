@@ -1,11 +1,18 @@
-"""A store of Parquet tables in versions: a table is a folder, each write a new folder in it, and a small file names the
-one that readers take. A version is complete before it is named, so readers never see a partial write, and a merge can
-read the version it replaces."""
+"""A store of Parquet tables in versions. A table is a folder: each write puts its files in a new subfolder, then a small
+numbered file, the manifest, names all folders that make up the table from now on. Readers take the highest manifest.
+
+Files are complete before a manifest names them, and manifests are only ever added, so readers never see a partial write,
+a merge can read what it replaces, and a writer that dies leaves the table as it was. Two writers at a time want the same
+number; the second fails. Folders belong to parts of a table, so appends add files, and a change of some parts, such as
+days, leaves the others' files as they are.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +25,10 @@ class ContractError(ValueError):
     """Rows don't have the columns and types of their table."""
 
 
+class StoreError(RuntimeError):
+    """A table's files aren't as they must be, or another writer was faster."""
+
+
 def checked(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows in the schema's order. Missing, extra and differently typed columns are errors."""
     have, want = dict(rows.dtypes), {f.name: f.dataType.simpleString() for f in schema.fields}
@@ -27,6 +38,10 @@ def checked(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(*(f.name for f in schema.fields))
 
 
+#: Age, in milliseconds, at which files that no manifest names are left-overs and not a writer's at work.
+STALE_MS = 24 * 3_600_000
+
+
 class Store:
     """Tables by name (``schema.table``) under a root that the executors share."""
 
@@ -41,57 +56,112 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
-    def version(self, name: str) -> str | None:
-        """The folder that readers take, or none."""
+    def _manifests(self, name: str) -> list[int]:
+        """The numbers of a table's manifests, ascending."""
         fs, path = self._fs()
-        if not fs.exists(path(f"{self._folder(name)}/_current")):
-            return None
-        return self.spark.read.text(f"{self._folder(name)}/_current").first()[0]
+        folder = path(f"{self._folder(name)}/_versions")
+        if not fs.exists(folder):
+            return []
+        return sorted(int(n) for s in fs.listStatus(folder) if (n := s.getPath().getName()).isdigit())
+
+    def _manifest(self, name: str, number: int) -> list[list]:
+        """Pairs of a part's key (null: of no part) and its folder."""
+        text = self.spark.read.text(f"{self._folder(name)}/_versions/{number}", wholetext=True).first()[0]
+        return json.loads(text)["parts"]
+
+    def _parts(self, name: str) -> list[list]:
+        numbers = self._manifests(name)
+        if not numbers:
+            fs, path = self._fs()
+            if fs.exists(path(f"{self._folder(name)}/data")):
+                raise StoreError(f"{name} has files but no manifest")
+            return []
+        return self._manifest(name, numbers[-1])
+
+    def _name(self, name: str, before: int, parts: list[list], keep: int = 2) -> None:
+        """Add the manifest after ``before``; ``keep`` manifests, and the folders that they name, stay for readers."""
+        fs, path = self._fs()
+        folder, number = f"{self._folder(name)}/_versions", before + 1
+        draft = path(f"{folder}/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps({"parts": parts}).encode()))
+        out.close()
+        if fs.exists(path(f"{folder}/{number}")) or not fs.rename(draft, path(f"{folder}/{number}")):
+            fs.delete(draft, False)
+            raise StoreError(f"{name} was written by another writer")
+        numbers = self._manifests(name)
+        kept = {f.split("/")[1] for n in numbers[-keep:] for _, f in self._manifest(name, n)}
+        for n in numbers[:-keep]:
+            fs.delete(path(f"{folder}/{n}"), False)
+        written = fs.getFileStatus(path(f"{folder}/{number}")).getModificationTime()
+        for old in fs.listStatus(path(f"{self._folder(name)}/data")):
+            # Folders that no kept manifest names may be another writer's, at work; old ones are not.
+            if old.getPath().getName() not in kept and old.getModificationTime() < written - STALE_MS:
+                fs.delete(old.getPath(), True)
 
     def exists(self, name: str) -> bool:
-        return self.version(name) is not None
+        return bool(self._parts(name))
 
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
-        """The table; one that was never written is empty, if its schema is known."""
+    def read(self, name: str, schema: T.StructType | None = None, parts: Collection | None = None) -> DataFrame:
+        """The table, or only the parts of some keys; one that was never written is empty, if its schema is known."""
         schema = schema or TABLES.get(name)
-        version = self.version(name)
-        if version is None:
-            if schema is None:
-                raise LookupError(f"no such table: {name}")
+        found = self._parts(name)
+        if not found and schema is None:
+            raise LookupError(f"no such table: {name}")
+        wanted = None if parts is None else {str(p) for p in parts}
+        folders = [f for key, f in found if wanted is None or key in wanted]
+        if schema is None:
+            schema = self.spark.read.parquet(f"{self._folder(name)}/{found[0][1]}").schema
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self._folder(name)}/{version}")
+        return self.spark.read.schema(schema).parquet(*(f"{self._folder(name)}/{f}" for f in folders))
 
-    def overwrite(self, name: str, rows: DataFrame, partition_by: list[str] | None = None, keep: int = 2) -> DataFrame:
-        """Write a new version and name it; ``keep`` versions stay for readers that still use them."""
+    def _written(self, name: str, rows: DataFrame, by: str | None) -> list[list]:
+        """The rows as files in a new folder, one for each value of ``by``; the pairs that a manifest names them by."""
         if name in TABLES:
             rows = checked(rows, TABLES[name])
+        folder = f"data/{uuid.uuid4().hex}"
+        if by is None:
+            rows.write.parquet(f"{self._folder(name)}/{folder}")
+            return [[None, folder]]
+        # A copy of the column makes the folders, so that the files have it, too.
+        rows.withColumn("_part", F.col(by).cast("string")).write.partitionBy("_part").parquet(f"{self._folder(name)}/{folder}")
         fs, path = self._fs()
-        folder, version = self._folder(name), f"v-{uuid.uuid4().hex}"
-        before = self.version(name)
-        rows.write.partitionBy(*(partition_by or [])).parquet(f"{folder}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_next")
-        fs.delete(path(f"{folder}/_current"), True)
-        fs.rename(path(f"{folder}/_next"), path(f"{folder}/_current"))
-        kept = {version, before}
-        found = sorted((s for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("v-")), key=lambda s: s.getModificationTime())
-        for old in found[: -keep or None]:
-            if old.getPath().getName() not in kept:
-                fs.delete(old.getPath(), True)
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self._folder(name)}/{folder}")) if s.isDirectory()]
+        return [[unquote(n.removeprefix("_part=")), f"{folder}/{n}"] for n in sorted(names)]
+
+    def overwrite(self, name: str, rows: DataFrame, by: str | None = None) -> DataFrame:
+        """The rows in place of the table; ``by``: a part for each value of that column."""
+        before = max(self._manifests(name), default=0)
+        self._name(name, before, self._written(name, rows, by))
+        return self.read(name, rows.schema)
+
+    def replace(self, name: str, rows: DataFrame, by: str, keys: Collection) -> DataFrame:
+        """The rows in place of the parts of some keys; all rows have one of them. Other parts' files stay as they are."""
+        before, gone = max(self._manifests(name), default=0), {str(k) for k in keys}
+        kept = [p for p in self._parts(name) if p[0] not in gone]
+        new = self._written(name, rows, by)
+        if extra := {k for k, _ in new} - gone:
+            raise StoreError(f"{name}: rows of parts that are not replaced: {sorted(extra)[:5]}")
+        self._name(name, before, [*kept, *new])
         return self.read(name, rows.schema)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        """The table with more rows, as a new version."""
-        return self.overwrite(name, self.read(name, rows.schema).unionByName(rows))
+        """The table with more rows: files are added, none is written again."""
+        before, parts = max(self._manifests(name), default=0), self._parts(name)
+        self._name(name, before, [*parts, *self._written(name, rows, None)])
+        return self.read(name, rows.schema)
 
     def compact(self, name: str, files: int) -> DataFrame:
-        """The table in so many files, named only after its rows were counted again."""
-        rows = self.read(name)
-        n = rows.count()
-        made = self.overwrite(name, rows.repartition(files))
-        if made.count() != n:
-            raise ContractError(f"{name} changed while it was compacted")
-        return made
+        """The table in so many files, named only after they were read again and hold as many rows of the same sums."""
+        before, rows = max(self._manifests(name), default=0), self.read(name)
+        parts = self._written(name, rows.repartition(files), None)
+        new = self.spark.read.schema(rows.schema).parquet(*(f"{self._folder(name)}/{f}" for _, f in parts))
+        digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))).first()
+        if digest(new) != digest(rows):
+            raise StoreError(f"{name} differs after it was compacted")
+        self._name(name, before, parts)
+        return self.read(name, rows.schema)
 
     def tables(self, views: tuple[str, ...] = ()) -> list[str]:
         """Names of the tables that there are, and of views that are asked for."""
@@ -103,14 +173,17 @@ class Store:
             for s in fs.listStatus(path(self.root))
             if s.isDirectory()
             for t in fs.listStatus(s.getPath())
-            if fs.exists(path(f"{t.getPath()}/_current"))
+            if fs.exists(path(f"{t.getPath()}/_versions"))
         ]
         return sorted([*found, *views])
 
 
-def export(rows: DataFrame, folder: str, description: dict[str, str], label: str, files: int = 1) -> dict:
-    """Write a mart as Parquet beside a specification of its columns and a few statistics, as JSON; return the latter."""
-    rows.coalesce(files).write.mode("overwrite").parquet(f"{folder}/data")
+def export(rows: DataFrame, folder: str, description: dict[str, str], label: str, files: int | None = None) -> dict:
+    """Write a mart as Parquet beside a specification of its columns and a few statistics, as JSON; return the latter.
+
+    ``files``: so many files, in place of as many as the rows' plan gives.
+    """
+    (rows if files is None else rows.repartition(files)).write.mode("overwrite").parquet(f"{folder}/data")
     written = rows.sparkSession.read.parquet(f"{folder}/data")
     stats = written.agg(
         F.count("*").alias("n_rows"), F.countDistinct("clob_token_id").alias("n_tokens"), F.countDistinct("market_id").alias("n_markets"),

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidemark.operators.ohlc import EPOCH, TOKEN, daily_ohlc, dirty_days, refresh_days
+from tidemark.functions.scalar import epoch_day
+from tidemark.operators.ohlc import EPOCH, TOKEN, daily_ohlc
 from tidemark.operators.scope import valid_observation
 from tidemark.operators.upsert import upsert
 from tidemark.sources.store import Store
 
-HISTORY, DAILY = "canon.odds_history", "canon.token_odds_daily"
+HISTORY, DAILY, DAY = "canon.odds_history", "canon.token_odds_daily", "odds_date_utc"
 OBSERVATIONS = f"{TOKEN} string, {EPOCH} bigint, price double, row_order bigint"
 
 
@@ -21,15 +22,19 @@ def landed(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFra
 
 
 def ingest_batch(store: Store, batch: DataFrame) -> None:
-    """Upsert a batch's valid observations, the last of a token and second winning, and compute the days anew that it
-    touches, from the canonical history: so overlap, repetition and order of batches don't change the days."""
-    good = batch.filter(valid_observation() & F.col(TOKEN).isNotNull()).select(TOKEN, EPOCH, "price", "row_order")
-    history = store.overwrite(HISTORY, upsert(store.read(HISTORY, good.schema), good, [TOKEN, EPOCH], ["row_order", "price"]))
-    prices = history.select(TOKEN, EPOCH, "price")
-    dirty = dirty_days(good)
-    empty = daily_ohlc(prices.limit(0))
-    daily = store.read(DAILY, empty.schema) if store.exists(DAILY) else empty
-    store.overwrite(DAILY, refresh_days(daily, prices, dirty).select(*empty.columns))
+    """Upsert a batch's valid observations, the last of a token and second winning, and compute anew the days it touches,
+    from the canonical history: so overlap, repetition and order of batches don't change the days.
+
+    Both tables lie in parts by day. Only the batch's days are read and written again, however long the history.
+    """
+    good = batch.filter(valid_observation() & F.col(TOKEN).isNotNull()).select(TOKEN, EPOCH, "price", "row_order", epoch_day(EPOCH).alias(DAY))
+    days = [r[0] for r in good.select(DAY).distinct().collect()]  # one row for each day of the batch
+    if not days:
+        return
+    history = upsert(store.read(HISTORY, good.schema, days), good, [TOKEN, EPOCH], ["row_order", "price"])
+    store.replace(HISTORY, history.select(*good.columns), DAY, days)
+    daily = daily_ohlc(store.read(HISTORY, good.schema, days).select(TOKEN, EPOCH, "price"))
+    store.replace(DAILY, daily, DAY, days)
 
 
 def ingest(store: Store, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
