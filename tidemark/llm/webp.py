@@ -676,10 +676,10 @@ def _coded(sample: np.ndarray, width: int, alpha: list[int]) -> list[np.ndarray]
     return out
 
 
-def _entropy(sample: np.ndarray) -> float:
-    share = np.bincount(sample, minlength=256) / len(sample)
-    share = share[share > 0]
-    return float(-(share * np.log2(share)).sum())
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of a sample, on average, under the best code for such counts."""
+    share = counts[counts > 0] / counts.sum()
+    return float(-(share @ np.log2(share)))
 
 
 def _differences(plane: np.ndarray, mode: int) -> np.ndarray:
@@ -730,12 +730,13 @@ def encode(plane: np.ndarray) -> bytes:
     """A lossless WebP file whose green channel is the plane of 8-bit samples, opaque and black otherwise."""
     height, width = plane.shape
     flat = plane.ravel()
+    counts = np.bincount(flat, minlength=256)
     forms = [[np.zeros(3, np.uint8), *_coded(flat, width, _FULL)]]
-    plain = _entropy(flat)
-    least, mode = min((_entropy(_differences(plane, m).ravel()), m) for m in (1, 2))
+    plain = _entropy(counts)
+    least, mode = min((_entropy(np.bincount(_differences(plane, m).ravel(), minlength=256)), m) for m in (1, 2))
     if least < PREDICTABLE * plain:
         forms.append(_predictor_form(plane, mode))
-    equal = len(flat) * np.ceil(np.log2(np.count_nonzero(np.bincount(flat, minlength=256))))
+    equal = len(flat) * np.ceil(np.log2(np.count_nonzero(counts)))
     if equal <= sum(map(len, forms[0])):  # no code is shorter than the palette's bits alone
         forms.append(_palette_form(plane))
     best = min(forms, key=lambda f: sum(map(len, f)))
@@ -771,10 +772,11 @@ def store(docs: DataFrame) -> DataFrame:
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 256):
             found = texts(batch.column(1))
+            media = {t: encode_payload(t) for t in dict.fromkeys(found)}
             columns = {
                 "doc_id": batch.column(0).cast(pa.int64()),
                 "n_bytes": pa.array([len(t) for t in found], pa.int64()),
-                "media": pa.array([encode_payload(t) for t in found], pa.binary()),
+                "media": pa.array([media[t] for t in found], pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
