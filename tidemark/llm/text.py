@@ -89,11 +89,12 @@ def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     @functools.wraps(run)
     def tidied(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # tasks make many objects and hardly a cycle; those are collected at the end
+        before = gc.get_threshold()
+        gc.set_threshold(20_000, 10, 10)  # tasks make many objects and few cycles
         try:
             yield from run(it)
         finally:
-            gc.enable()
+            gc.set_threshold(*before)
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:

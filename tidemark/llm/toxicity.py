@@ -14,6 +14,7 @@ gives no rows. Only the text enters a score.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -38,7 +39,7 @@ THRESHOLD = 0.7
 #: Words that a task remembers, and terms that it counts before it hands them on.
 WORDS_KEPT, TERMS_HELD = 150_000, 100_000
 #: States that an automaton remembers before it starts anew.
-STATES_KEPT = 20_000
+STATES_KEPT = 150_000
 
 _MARKS = ".,;:!?()[]{}…'’`*_~-–—"
 _QUOTES = "\"“”„«»‹›"
@@ -70,8 +71,8 @@ class Automaton:
 
     def _forget(self) -> None:
         """Start without any state; they are made again when needed, so ``STATES_KEPT`` bounds memory alone."""
-        self.numbers: dict[frozenset, int] = {}
-        self.states: list[dict[int, int]] = []
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []  # the trie nodes of a state and the edits of each, as numbers of 32 bits: node, edits
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[int, str] | None] = []  # what a word that ends here is
         self.begun: list[tuple[int, str] | None] = []  # what a word that goes on from here is
@@ -86,10 +87,10 @@ class Automaton:
                     if nodes.get(child, self.most + 1) > nodes[node] + 1:
                         nodes[child] = nodes[node] + 1
                         work.append(child)
-        key = frozenset(nodes.items())
+        key = array("I", sorted(n << 2 | e for n, e in nodes.items())).tobytes()
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
-            self.states.append(nodes)
+            self.states.append(key)
             self.moves.append({})
             hits = [(e, *self.ends[n]) for n, e in nodes.items() if self.ends[n] and e <= edits_allowed(*self.ends[n])]
             self.found.append(min(((e, t) for e, t, _ in hits), default=None))
@@ -98,7 +99,8 @@ class Automaton:
 
     def _move(self, state: int, letter: str) -> int:
         after: dict[int, int] = {}
-        for node, edits in self.states[state].items():
+        for x in array("I", self.states[state]):
+            node, edits = x >> 2, x & 3
             for c, child in self.children[node].items():
                 e = edits + (c != letter)
                 if e <= self.most and e < after.get(child, self.most + 1):
