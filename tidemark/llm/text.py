@@ -22,8 +22,21 @@ from pyspark.sql import functions as F
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows of an Arrow batch between Spark and its Python workers; both sides hold some of them at a time.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts in batches of ``ARROW_ROWS``, unless it has a size of its own: Spark's default of 10,000
+    rows takes tens of MB for each batch, several times over in each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of the table ``documents``, ``doc_id`` and ``text`` by default."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
@@ -89,12 +102,9 @@ def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     @functools.wraps(run)
     def tidied(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = gc.get_threshold()
-        gc.set_threshold(20_000, 10, 10)  # tasks make many objects and few cycles
         try:
             yield from run(it)
         finally:
-            gc.set_threshold(*before)
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
