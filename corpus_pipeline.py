@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import lines, minhash, packing, suffixes, toxicity
 from tidemark.llm.shared import shared_dir
+from tidemark.llm.text import small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,17 +37,20 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _documents(toxicity.fit(docs, labels).keep(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that documents of smaller ids hold."""
+    small_batches(spark)
     return _documents(lines.dedup_lines(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
+    small_batches(spark)
     judged = minhash.near_components(docs, percent=80)
     gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
     return _documents(docs.join(gone, "doc_id", "left_anti"))
@@ -54,11 +58,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents of smaller ids hold."""
+    small_batches(spark)
     return _documents(suffixes.dedup_passages(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
