@@ -46,6 +46,9 @@ _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 1
 _CACHE_MULTIPLIER = 0x1E35A7BD
 _GREEN_SYMBOLS, _DISTANCES = 256 + 24, 40
 
+#: Where the length of each symbol of lengths is stored.
+_LENGTH_PLACE = [_LENGTH_ORDER.index(s) for s in range(19)]
+
 #: Offsets (x, y) that the shortest distance codes stand for: the 120 nearest pixels above or to the left.
 NEAR = sorted(
     ((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0)
@@ -67,10 +70,9 @@ class _Bits:
 
 
 class _Code:
-    """A prefix code from the lengths of its symbols."""
+    """A prefix code from the lengths of the symbols that it uses, each with its symbol, in the symbols' order."""
 
-    def __init__(self, lengths: list[int]) -> None:
-        used = [(n, s) for s, n in enumerate(lengths) if n]
+    def __init__(self, used: list[tuple[int, int]]) -> None:
         self.only = used[0][1] if len(used) == 1 else None
         if not used:
             self.only = 0
@@ -107,17 +109,14 @@ class _Code:
 
 
 def _read_code(bits: _Bits, size: int) -> _Code:
-    lengths = [0] * size
     if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]
-        for s in symbols:
-            lengths[s] = 1
-        return _Code(lengths)
-    of_lengths = [0] * 19
-    for i in range(4 + bits.read(4)):
-        of_lengths[_LENGTH_ORDER[i]] = bits.read(3)
-    code = _Code(of_lengths)
+        kind = bits.read(2)  # whether there are two symbols, and whether the first is wide
+        symbols = {bits.read(8 if kind & 2 else 1), *([bits.read(8)] if kind & 1 else [])}
+        return _Code([(1, s) for s in sorted(symbols)])
+    lengths = [0] * size
+    n = 4 + bits.read(4)
+    stored = bits.read(3 * n)
+    code = _Code([(m, s) for s, i in enumerate(_LENGTH_PLACE) if i < n and (m := stored >> 3 * i & 7)])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     if code.only is None:
         code.build()
@@ -147,7 +146,7 @@ def _read_code(bits: _Bits, size: int) -> _Code:
     bits.at += used
     if bits.at > 8 * len(bits.data):
         raise ValueError("the stream is too short")
-    return _Code(lengths)
+    return _Code([(n, s) for s, n in enumerate(lengths) if n])
 
 
 def _prefixed(bits: _Bits, symbol: int) -> int:
@@ -210,6 +209,7 @@ def _tables(code: _Code) -> tuple[np.ndarray, np.ndarray]:
 _PREFIXES = np.arange(max(_GREEN_SYMBOLS - 256, _DISTANCES))
 _EXTRA = np.maximum(0, _PREFIXES - 2 >> 1)
 _BASE = np.where(_PREFIXES < 4, _PREFIXES, 2 + (_PREFIXES & 1) << _EXTRA) + 1
+_EIGHT = np.arange(8)
 
 
 @functools.cache
@@ -221,18 +221,19 @@ def _near(width: int) -> np.ndarray:
 def _chain(next_: np.ndarray, begin: int) -> np.ndarray:
     """All places from ``begin`` on, each the next of the one before, as far as ``next_`` reaches."""
     n = len(next_)
-    one = np.append(np.minimum(next_, n), n).astype(np.int32)
-    two = one[one]
-    four, heads, o = two[two], [], begin
-    step = memoryview(four[four])
+    one = np.empty(n + 1, np.int64)
+    np.minimum(next_, n, out=one[:n])
+    one[n] = n
+    two = one.take(one)
+    four, heads, o = two.take(two), [], begin
+    step = memoryview(four)
     while o < n:
         heads.append(o)
         o = step[o]
-    found = np.empty((len(heads), 8), np.int64)
+    found = np.empty((len(heads), 4), np.int64)
     found[:, 0] = heads
-    found[:, 4] = four[found[:, 0]]
-    found[:, 2::4] = two[found[:, ::4]]
-    found[:, 1::2] = one[found[:, ::2]]
+    found[:, 2] = two.take(found[:, 0])
+    found[:, 1::2] = one.take(found[:, ::2])
     found = found.ravel()
     return found[found < n]
 
@@ -244,6 +245,7 @@ def _one_channel(bits: _Bits, codes: list[_Code], n: int, width: int) -> np.ndar
     green, green_bits = _tables(codes[0])
     if codes[0].bits == 0 and green[0] < 256:
         return None  # one colour without any bits: nothing to follow
+    both = green << 4 | green_bits  # a code has at most 15 bits
     far, far_bits = _tables(codes[4])
     near, out, filled, end = _near(width), bytearray(n), 0, 8 * len(bits.data)
     while filled < n:
@@ -252,11 +254,13 @@ def _one_channel(bits: _Bits, codes: list[_Code], n: int, width: int) -> np.ndar
         byte = np.concatenate([byte, np.zeros(8, np.uint8)])
         word = np.lib.stride_tricks.sliding_window_view(byte, 8)[:-1].copy().view("<i8")[:, 0]
         looked = min(SEGMENT, 8 * len(word))
-        found = (word[: looked >> 3, None] >> np.arange(8)).ravel() & (1 << codes[0].bits) - 1
-        symbol = green[found]
-        next_ = np.arange(looked) + green_bits[found]
-        copies = np.flatnonzero(symbol >= 256)
-        s, where = symbol[copies] - 256, next_[copies]
+        found = (word[: looked >> 3, None] >> _EIGHT).ravel()
+        found &= (1 << codes[0].bits) - 1
+        symbol = both.take(found)  # and its bits
+        next_ = symbol & 15
+        next_ += np.arange(looked)
+        copies = np.flatnonzero(symbol >= 256 << 4)
+        s, where = (symbol[copies] >> 4) - 256, next_[copies]
 
         def peek(where: np.ndarray, mask: np.ndarray | int) -> np.ndarray:
             return word[np.minimum(where >> 3, len(word) - 1)] >> (where & 7) & mask  # noqa: B023
@@ -269,7 +273,7 @@ def _one_channel(bits: _Bits, codes: list[_Code], n: int, width: int) -> np.ndar
         next_[copies] = where + _EXTRA[s]
         distance = np.where(distance <= len(NEAR), near[np.minimum(distance, len(NEAR))], distance - len(NEAR))
         chain = _chain(next_, bits.at - 8 * first)
-        value = symbol[chain]
+        value = symbol[chain] >> 4
         is_copy = np.flatnonzero(value >= 256)
         which = np.searchsorted(copies, chain[is_copy])
         size = np.ones(len(chain), np.int64)
@@ -475,20 +479,20 @@ def decode(data: bytes) -> np.ndarray:
     return argb
 
 
-def _bit_list(*fields: tuple[int, int]) -> list[int]:
+def _bit_array(*fields: tuple[int, int]) -> np.ndarray:
     """Values and widths as bits, least significant first."""
     whole = n = 0
     for value, width in fields:
         whole |= value << n
         n += width
-    return np.unpackbits(np.frombuffer(whole.to_bytes(n + 7 >> 3, "little"), np.uint8), count=n, bitorder="little").tolist()
+    return np.unpackbits(np.frombuffer(whole.to_bytes(n + 7 >> 3, "little"), np.uint8), count=n, bitorder="little")
 
 
 #: A code of one symbol: 0, or 255.
-_ZERO, _FULL = _bit_list((1, 1), (0, 1), (0, 1), (0, 1)), _bit_list((1, 1), (0, 1), (1, 1), (255, 8))
+_ZERO, _FULL = _bit_array((1, 1), (0, 1), (0, 1), (0, 1)), _bit_array((1, 1), (0, 1), (1, 1), (255, 8))
 
 
-def _equal_lengths(width: int) -> list[int]:
+def _equal_lengths(width: int) -> np.ndarray:
     """A normal code of 2**width symbols of equal lengths, all others unused."""
     if width == 0:
         return _ZERO
@@ -502,12 +506,12 @@ def _equal_lengths(width: int) -> list[int]:
     of_lengths = [1 if s in (width, 16) else 0 for s in _LENGTH_ORDER]
     n = 19 - next(i for i, x in enumerate(reversed(of_lengths)) if x)
     n = max(n, 4)
-    out = _bit_list((0, 1), (n - 4, 4), *((x, 3) for x in of_lengths[:n]))
+    fields = [(0, 1), (n - 4, 4), *((x, 3) for x in of_lengths[:n])]
     size = 2 * max(1, -(-(len(tokens) - 2).bit_length() // 2)) if len(tokens) > 2 else 2
-    out += _bit_list((1, 1), ((size - 2) // 2, 3), (len(tokens) - 2, size))
+    fields += [(1, 1), ((size - 2) // 2, 3), (len(tokens) - 2, size)]
     for t in tokens:
-        out += [0] if t == width else [1, *_bit_list((t[1], 2))]  # symbols of length 1: the length is before 16
-    return out
+        fields += [(0, 1)] if t == width else [(1, 1), (t[1], 2)]  # symbols of length 1: the length is before 16
+    return _bit_array(*fields)
 
 
 _EQUAL = [_equal_lengths(w) for w in range(9)]
@@ -553,13 +557,13 @@ def _words(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _code_header(lengths: np.ndarray) -> list[int]:
+def _code_header(lengths: np.ndarray) -> np.ndarray:
     """The bits that tell a decoder the lengths of a code."""
     used = np.flatnonzero(lengths)
     if len(used) == 0 or len(used) <= 2 and used[-1] < 256:
         if len(used) == 2:
-            return _bit_list((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8))
-        return _bit_list((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
+            return _bit_array((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8))
+        return _bit_array((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
     part = lengths[: used[-1] + 1]
     edge = np.flatnonzero(np.diff(part)) + 1
     tokens: list[tuple[int, int, int]] = []  # symbol, and what follows it
@@ -591,7 +595,7 @@ def _code_header(lengths: np.ndarray) -> list[int]:
     for t, value, m in tokens:
         fields += [] if single else [(words[t], of[t])]
         fields += [(value, m)] if m else []
-    return _bit_list(*fields)
+    return _bit_array(*fields)
 
 
 def _copies(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -614,36 +618,37 @@ def _copies(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.flatnonzero(back)
     length = until[starts] - starts + 3
     some = length >= LEAST_COPY
-    starts, length = starts[some], length[some]
-    out, pos = [], 0
-    for p, n in zip(starts.tolist(), length.tolist(), strict=True):
-        if p >= pos:
-            n = min(n, MOST_COPY)
-            out.append((p, n))
-            pos = p + n
-    if not out:
-        return none, none, none
-    begin, size = np.array(out, np.int64).T
-    return begin, size, back[begin]
+    starts, length = starts[some], np.minimum(length[some], MOST_COPY)
+    after = starts.searchsorted(starts + length).tolist()  # the next that begins where a copy has ended, or later
+    taken, i = [], 0
+    while i < len(after):
+        taken.append(i)
+        i = after[i]
+    begin = starts[taken] if taken else none
+    return begin, length[taken] if taken else none, back[begin]
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The prefix symbols of lengths or distances, how many bits follow each, and their value."""
-    n = value - 1
-    high = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
-    extra = np.where(n < 4, 0, high - 1)
-    symbol = np.where(n < 4, n, 2 * high + (n >> np.maximum(high - 1, 0) & 1))
-    return symbol, extra, n & (1 << extra) - 1
+    symbol = _BASE.searchsorted(value, "right") - 1
+    return symbol, _EXTRA[symbol], value - _BASE[symbol]
 
 
-def _coded(sample: np.ndarray, width: int, alpha: list[int]) -> list[np.ndarray]:
-    """An image of one channel with prefix codes by frequency and back-references, as parts of its bits."""
-    begin, size, distance = _copies(sample)
+@functools.cache
+def _near_codes(width: int) -> np.ndarray:
+    """The shortest distance code of each distance, 0 for those without one."""
     near = np.zeros(8 * width + 16, np.int64)
     for i in range(len(NEAR) - 1, -1, -1):
         x, y = NEAR[i]
         if x + y * width >= 1:
             near[x + y * width] = i + 1
+    return near
+
+
+def _coded(sample: np.ndarray, width: int, alpha: np.ndarray) -> list[np.ndarray]:
+    """An image of one channel with prefix codes by frequency and back-references, as parts of its bits."""
+    begin, size, distance = _copies(sample)
+    near = _near_codes(width)
     code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
     (long, long_extra, long_rest), (far, far_extra, far_rest) = _prefix(size), _prefix(np.where(code > 0, code, distance + len(NEAR)))
     step = np.zeros(len(sample) + 1, np.int64)
@@ -653,33 +658,37 @@ def _coded(sample: np.ndarray, width: int, alpha: list[int]) -> list[np.ndarray]
     token[begin] = True
     place = np.flatnonzero(token)
     symbol = sample[place].astype(np.int64)
-    which = np.searchsorted(place, begin)
+    which = place.searchsorted(begin)
     symbol[which] = 256 + long
     green = _lengths(np.bincount(symbol, minlength=_GREEN_SYMBOLS))
     away = _lengths(np.bincount(far, minlength=_DISTANCES))
-    head = [*_code_header(green), *_ZERO, *_ZERO, *alpha, *_code_header(away)]
+    out = [_code_header(green), _ZERO, _ZERO, alpha, _code_header(away)]
     green_words, away_words = _words(green), _words(away)
     if np.count_nonzero(green) == 1:
         green = np.zeros_like(green)
     if np.count_nonzero(away) == 1:
         away = np.zeros_like(away)
-    value, bits = np.zeros((len(place), 4), np.int64), np.zeros((len(place), 4), np.int64)
-    value[:, 0], bits[:, 0] = green_words[symbol], green[symbol]
-    value[which, 1:], bits[which, 1:] = np.stack([long_rest, away_words[far], far_rest], 1), np.stack([long_extra, away[far], far_extra], 1)
-    out = [np.array(head, np.uint8)]
-    for a in range(0, len(place), TOKENS):
-        v, b = value[a : a + TOKENS].ravel(), bits[a : a + TOKENS].ravel()
-        some = np.flatnonzero(b)
-        v, b = v[some], b[some]
-        ends = np.cumsum(b)
-        out.append((np.repeat(v, b) >> np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - b, b) & 1).astype(np.uint8))
+    # A copy's symbol is followed by three more fields.
+    step = np.ones(len(place), np.int64)
+    step[which] = 4
+    first = np.cumsum(step) - step
+    value, bits = np.zeros(len(place) + 3 * len(which), "<u4"), np.zeros(len(place) + 3 * len(which), np.uint8)
+    value[first], bits[first] = green_words[symbol], green[symbol]
+    for i, (v, b) in enumerate(((long_rest, long_extra), (away_words[far], away[far]), (far_rest, far_extra)), 1):
+        value[first[which] + i], bits[first[which] + i] = v, b
+    for a in range(0, len(value), TOKENS):
+        v, b = value[a : a + TOKENS], bits[a : a + TOKENS]
+        if b.max() <= 16:
+            v = v.astype("<u2")
+        each = np.unpackbits(v.view(np.uint8).reshape(len(v), -1), axis=1, bitorder="little")
+        out.append(each[np.arange(each.shape[1], dtype=np.uint8) < b[:, None]])
     return out
 
 
 def _entropy(counts: np.ndarray) -> float:
     """Bits of a sample, on average, under the best code for such counts."""
-    share = counts[counts > 0] / counts.sum()
-    return float(-(share @ np.log2(share)))
+    n = counts.sum()
+    return float(np.log2(n) - counts @ np.log2(np.maximum(counts, 1)) / n)
 
 
 def _differences(plane: np.ndarray, mode: int) -> np.ndarray:
@@ -705,25 +714,25 @@ def _palette_form(plane: np.ndarray) -> list[np.ndarray]:
         place = np.pad(place, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
         place = np.bitwise_or.reduce(place << (np.arange(1 << packed, dtype=np.uint8) * each), 2).astype(np.uint8)
     symbol = int(place.max()).bit_length()
-    head = _bit_list((1, 1), (3, 2), (len(values) - 1, 8))
     # The palette: no cache; green differences of 8 bits; alpha 255 once, then 0, as a code of two symbols.
-    head += [0, *_EQUAL[8], *_ZERO, *_ZERO, *_bit_list((1, 1), (1, 1), (0, 1), (0, 1), (255, 8)), *_ZERO]
+    head = [_bit_array((1, 1), (3, 2), (len(values) - 1, 8), (0, 1)), _EQUAL[8], _ZERO, _ZERO]
+    head += [_bit_array((1, 1), (1, 1), (0, 1), (0, 1), (255, 8)), _ZERO]
     steps = np.diff(values.astype(np.int16), prepend=0).astype(np.uint8)
     entries = np.empty((len(values), 9), np.uint8)
     entries[:, :8] = steps[:, None] >> np.arange(7, -1, -1, dtype=np.uint8) & 1
     entries[:, 8] = 0
     entries[0, 8] = 1
     # The pixels: no more transforms, no cache, one group of codes; green of ``symbol`` bits, nothing else.
-    body = [0, 0, 0, *_EQUAL[symbol], *_ZERO, *_ZERO, *_FULL, *_ZERO]
+    body = [_bit_array((0, 3)), _EQUAL[symbol], _ZERO, _ZERO, _FULL, _ZERO]
     pixels = place.reshape(-1, 1) >> np.arange(symbol - 1, -1, -1, dtype=np.uint8) & 1
-    return [np.array(head, np.uint8), entries.ravel(), np.array(body, np.uint8), pixels.astype(np.uint8).ravel()]
+    return [*head, entries.ravel(), *body, pixels.astype(np.uint8).ravel()]
 
 
 def _predictor_form(plane: np.ndarray, mode: int) -> list[np.ndarray]:
     """The differences from one prediction everywhere. Alpha is predicted as well, so nothing is left of it."""
     # The modes: an image of blocks of 512 pixels with one green value, the mode, and no other bits.
-    head = [*_bit_list((1, 1), (0, 2), (7, 3), (0, 1), (1, 1), (0, 1), (1, 1), (mode, 8)), *_ZERO, *_ZERO, *_FULL, *_ZERO, 0, 0, 0]
-    return [np.array(head, np.uint8), *_coded(_differences(plane, mode).ravel(), plane.shape[1], _ZERO)]
+    head = [_bit_array((1, 1), (0, 2), (7, 3), (0, 1), (1, 1), (0, 1), (1, 1), (mode, 8)), _ZERO, _ZERO, _FULL, _ZERO, _bit_array((0, 3))]
+    return [*head, *_coded(_differences(plane, mode).ravel(), plane.shape[1], _ZERO)]
 
 
 def encode(plane: np.ndarray) -> bytes:
@@ -740,7 +749,7 @@ def encode(plane: np.ndarray) -> bytes:
     if equal <= sum(map(len, forms[0])):  # no code is shorter than the palette's bits alone
         forms.append(_palette_form(plane))
     best = min(forms, key=lambda f: sum(map(len, f)))
-    bits = np.concatenate([np.array(_bit_list((width - 1, 14), (height - 1, 14), (0, 4)), np.uint8), *best])
+    bits = np.concatenate([_bit_array((width - 1, 14), (height - 1, 14), (0, 4)), *best])
     stream = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
     chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
     return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
