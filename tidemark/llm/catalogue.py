@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn, lines, lm, minhash, ordinal, packing, suffixes, toxicity, webp
+from tidemark.llm import bpe, clusters, knn, lines, lm, minhash, ordinal, packing, suffixes, toxicity, webp
 from tidemark.llm.text import crc_mod, documents
 
 
@@ -64,6 +64,10 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), 10)
 
 
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(clusters.scaled_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality": op2_quality,
@@ -75,8 +79,55 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_knn": op10_knn,
+    "op13_exponion": op13_exponion,
 }
 
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds written out one after another, each over all pairs of vector and centroid."""
+    parts = [
+        f"""kept as (
+            select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+            from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), c0 as (
+            select row_number() over (order by key, v) - 1 as cluster, v as c
+            from (select v, sha256('2:' || vec_id) as key from kept where vec_id is not null order by key, v limit {k})
+        )"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} as (
+            select row, any_value(vec_id) as vec_id, any_value(v) as v, arg_min(cluster, (d, cluster)) as cluster, min(d) as d
+            from (
+                select row, vec_id, v, cluster,
+                       list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+                from kept cross join c{i}
+            ) group by row
+        )"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""m{i} as (
+            select cluster, list(floor_mean order by pos) as c from (
+                select cluster, pos, ((s - ((s % n) + n) % n) // n)::bigint as floor_mean from (
+                    select cluster, pos, sum(x)::bigint as s, count(*) as n
+                    from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as pos from a{i}) group by cluster, pos
+                )
+            ) group by cluster
+        ), c{i + 1} as (
+            select c{i}.cluster, coalesce(m{i}.c, c{i}.c) as c from c{i} left join m{i} on m{i}.cluster = c{i}.cluster
+        )"""
+            )
+    return f"""
+        with {", ".join(parts)}
+        select vec_id, a{rounds}.cluster::int as cluster, d as distance,
+               (sum(d) over (partition by a{rounds}.cluster))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+               sha256(array_to_string(c, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} on c{rounds}.cluster = a{rounds}.cluster
+    """
+
+
 #: The other operators can't be written in SQL: tokenizers, trained models, stored media.
 ORACLE_SQL = {
     "op4_line_dedup": r"""
@@ -108,4 +159,5 @@ ORACLE_SQL = {
         select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
         from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
     """,
+    "op13_exponion": _clusters_sql(40, 5),
 }

@@ -27,10 +27,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder, one folder for each value of ``partition_by``."""
+    return written_at(df, *partition_by)[0]
+
+
+def written_at(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the table's path, by which ``remove`` takes it away."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes away a table of ``written_at`` that nothing will read again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
