@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, clusters, knn, lines, lm, minhash, ordinal, packing, suffixes, toxicity, webp
+from tidemark.llm import bpe, clusters, knn, lines, lm, minhash, ordinal, packing, suffixes, toxicity, tries, webp
 from tidemark.llm.text import crc_mod, documents
 
 
@@ -64,6 +64,10 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), 10)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(clusters.scaled_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_knn": op10_knn,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_exponion": op13_exponion,
 }
 
@@ -159,5 +164,50 @@ ORACLE_SQL = {
         select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
         from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
     """,
+    "op11_prefix_trie": r"""
+        with steps as (
+            select list_reduce(range(8)::bigint[], lambda a, i: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end, i) as t, i
+            from (select unnest(range(256)::bigint[]) as i)
+        ), crc as (select list(t order by i) as crc_table from steps),
+        t as (
+            select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+            from conversations where conv_id is not null
+        ), sized as (
+            select c, count(*) as n from t group by c
+        ), convs as (
+            select s.c, s.c - s.c % 5 as first, s.n,
+                   xor(list_reduce(list_transform(string_split(s.c::varchar, ''), lambda x: ascii(x)::bigint),
+                       lambda a, b: xor(a // 256, crc_table[xor(a, b) % 256 + 1]), 4294967295::bigint), 4294967295::bigint) % 9 as h
+            from sized s, crc
+        ), shared as (
+            select v.*, least(v.h, coalesce(f.n, 0)) as b from convs v left join sized f on f.c = v.first
+        ), rebuilt as (
+            select v.c, t.pos as d, t.role, t.text from shared v join t on t.c = v.first and t.pos <= v.b
+            union all
+            select v.c, t.pos - v.h + v.b, t.role, t.text from shared v join t on t.c = v.c and t.pos > v.h
+        ), prefixes as (
+            select c, d, list({'role': role, 'text': text}) over (partition by c order by d) as key, text from rebuilt
+            union all
+            select c, 0, [], '' from convs
+        ), ended as (
+            select *, d = max(d) over (partition by c) as is_end from prefixes
+        ), nodes as (
+            select d, key, min(c) as conv_id, count(*) as n_convs, any_value(strlen(text)) as bytes,
+                   sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where is_end), '')) as ends_sha256
+            from ended group by d, key
+        ), linked as (
+            select n.*, p.conv_id as parent_conv_id from nodes n left join nodes p on p.d = n.d - 1 and p.key = n.key[:n.d - 1]
+        ), counted as (
+            select l.*, (select count(*) from linked k where k.parent_conv_id = l.conv_id and k.d = l.d + 1) as n_children from linked l
+        ), subtrees as (
+            select a.d, a.conv_id, count(*) filter (where b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.bytes) as saved_tokens
+            from counted b join prefixes x on x.c = b.conv_id and x.d <= b.d join counted a on a.d = x.d and a.key = x.key
+            group by a.d, a.conv_id
+        )
+        select c.conv_id, c.d::bigint as depth, c.parent_conv_id, c.n_convs::bigint as n_convs, c.n_children::bigint as n_children,
+               s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, c.ends_sha256
+        from counted c join subtrees s on s.d = c.d and s.conv_id = c.conv_id
+    """,
     "op13_exponion": _clusters_sql(40, 5),
 }
