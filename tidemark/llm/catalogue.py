@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, clusters, knn, lines, lm, minhash, ordinal, packing, suffixes, toxicity, tries, webp
+from tidemark.llm import bpe, clusters, knn, lines, lm, minhash, ordinal, packing, pages, suffixes, toxicity, tries, webp
 from tidemark.llm.text import crc_mod, documents
 
 
@@ -68,6 +68,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(clusters.scaled_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_knn": op10_knn,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_page_text": op12_page_text,
     "op13_exponion": op13_exponion,
 }
 
