@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -192,6 +193,28 @@ def test_matches_long_to_the_left_behind_a_longer_right(spark):
     assert len(want) >= 150 and got == want
 
 
+def test_a_very_long_text_of_one_word(spark):
+    """Every position is a minimiser of the same head; time stays in proportion."""
+    began = time.time()
+    rows = [(1, "again " * 200_000, "", "", 0), (2, "so " * 7 + "again " * 200_000, "", "", 0), (3, "again " * 49, "", "", 0)]
+    got = [(r["doc_id"], r["start_word"], r["end_word"], r["of_doc_id"]) for r in suffixes.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert got == [(2, 7, 200_007, 1)] and time.time() - began < 60
+
+
+@pytest.mark.parametrize("most", [3, 9])
+def test_few_suffixes_held(spark, docs, corpus, monkeypatch, most):
+    """What a task lets go early is settled by keys."""
+    monkeypatch.setattr(suffixes, "MOST_HELD", most)
+    monkeypatch.setattr(suffixes, "FEW", 1)
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(20)) + f" {passage} end{i} {passage}", "", "", 0) for i in range(40)]
+    for table, want in ((docs, covered(corpus)), (spark.createDataFrame(rows, SCHEMA), covered(rows))):
+        got = defaultdict(set)
+        for r in suffixes.repeated_spans(table).collect():
+            got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        assert got == want
+
+
 def test_no_pass_over_suffixes_in_one_task(docs):
     assert "Coalesce 1" not in suffixes.repeated_spans(docs)._jdf.queryExecution().toString()
 

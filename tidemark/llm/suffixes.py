@@ -13,13 +13,17 @@ So a passage stays in the smallest of the documents that share it, and each othe
 compared by 32-bit codes.
 
 Defined results: null, empty and short texts have no spans. Rows without id take no part. Rows of equal id are one
-document, and repeats within one document are no match. An empty table gives no rows.
+document, and repeats within one document are no match. An empty table gives no rows. Of a text that repeats itself,
+however long, every position may be kept; a task then holds at most ``MOST_HELD`` of its suffixes at a time and leaves the
+rest to the keys, in time in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,8 @@ LEAST, GRAM = 50, 12
 LEFT, RIGHT = LEAST, LEAST + GRAM
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Suffixes of a head that are all compared with each other, at most.
-FEW = 8
+#: Suffixes of a head that are all compared with each other, at most, and that a task holds of one of many.
+FEW, MOST_HELD = 8, 20_000
 #: Spans, and rows of keys: those of the runs that start at ``s`` and after.
 _FOUND = "doc_id long, s int, e int, of_doc_id long, keys array<long>"
 
@@ -80,8 +84,14 @@ def _surroundings(docs: DataFrame) -> DataFrame:
     """For documents with the kept positions ``at``: each suffix with the words to its right and, backwards, left."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches(it, 200):
-            heads, ids, places, right, left, low, high = [], [], [], [], [], [], []
             for doc_id, text, at in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 codes = word_codes(words(text))
                 short = codes.astype(">u4")
@@ -89,18 +99,14 @@ def _surroundings(docs: DataFrame) -> DataFrame:
                 hashes = window_codes(codes, GRAM).view(np.int64)
                 n, owned = len(short), _owned(codes)
                 for p in {p for p in at if p < len(hashes)}:  # rows of equal id may have other texts
-                    heads.append(hashes[p])
-                    ids.append(doc_id)
-                    places.append(p)
-                    right.append(ahead[4 * p : 4 * (p + RIGHT)])
-                    left.append(back[4 * (n - p) : 4 * (n - p + LEFT)])
-                    a, b = owned.get(p, (p, p - 1))
-                    low.append(a)
-                    high.append(b)
-            columns = [pa.array(heads, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())]
-            columns += [pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(low, pa.int32()), pa.array(high, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
+                    around = ahead[4 * p : 4 * (p + RIGHT)], back[4 * (n - p) : 4 * (n - p + LEFT)]
+                    rows.append((hashes[p], doc_id, p, *around, *owned.get(p, (p, p - 1))))
+                    if len(rows) == 5000:
+                        yield out()
+        if rows:
+            yield out()
+
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
     names = ["head", "doc_id", "pos", "right", "left", "low", "high"]
     return docs.mapInArrow(tidy(run), "head long, doc_id long, pos int, right binary, left binary, low int, high int")
 
@@ -168,7 +174,9 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         spans: list[tuple] = []
         left_open: list[tuple[_Suffix, int, int]] = []
         head, group, first, many = None, [], True, False
-        stack: list[_Suffix] = []  # of one head, documents ascending: each is the nearest smaller one of the next
+        # Of one head, suffixes by document, documents ascending: each document is the nearest smaller one of the next.
+        stack: deque[list[_Suffix]] = deque()
+        held = 0
 
         def done(s: _Suffix) -> None:
             if s.match is not None:
@@ -176,23 +184,37 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             left_open.extend((s, a, b) for a, b in s.open())
 
         def add(new: _Suffix) -> None:
-            while stack and stack[-1].doc > new.doc:
-                s = stack.pop()
-                s.compare(new)
-                done(s)
-            smaller = next((s for s in reversed(stack) if s.doc < new.doc), None)
-            if smaller is not None:
-                new.compare(smaller)
-            stack.append(new)
+            nonlocal held
+            while stack and stack[-1][0].doc > new.doc:
+                for s in (later := stack.pop()):
+                    s.compare(new)
+                    done(s)
+                held -= len(later)
+            if not stack or stack[-1][0].doc < new.doc:
+                stack.append([])
+            if len(stack) > 1:
+                new.compare(stack[-2][-1])
+            stack[-1].append(new)
+            held += 1
+            if held > MOST_HELD:  # the oldest go, and what is then not compared is left to the keys
+                oldest = stack.popleft()
+                half = len(oldest) // 2 if not stack else 0
+                for s in oldest[: len(oldest) - half]:
+                    done(s)
+                if half:
+                    stack.appendleft(oldest[len(oldest) - half :])
+                held -= len(oldest) - half
 
         def end(edge: bool) -> None:
             """The end of a head; ``edge``: other partitions may hold more of it."""
+            nonlocal held
             if edge or many:
                 for s in group:
                     add(s)
-                for s in stack:
+                for s in chain.from_iterable(stack):
                     done(s)
                 stack.clear()
+                held = 0
             else:
                 for s in group:
                     spans.extend((s.doc, *m) for o in group if o.doc < s.doc and (m := s.common(o)) is not None)
@@ -222,6 +244,8 @@ def _neighbours(rows: DataFrame) -> DataFrame:
                     for s in group:
                         add(s)
                     group.clear()
+                if len(spans) + len(left_open) > MOST_HELD:
+                    yield from out()
             if len(spans) + len(left_open) > 5000:
                 yield from out()
         end(True)
