@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -434,36 +435,38 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         keys = itertools.count((TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
 
         def out(held: list[tuple]) -> pa.RecordBatch:
-            model = net.run([s for _, s, _, _ in held]) / np.log(10)
+            model = net.run([s for _, _, s, _, _ in held]) / np.log(10)
             # Sums over each document's tokens; the last entry of each table is for words that the table lacks.
-            at, symbols = np.concatenate([a for _, _, a, _ in held]), np.concatenate([s for _, s, _, _ in held])
-            starts = np.cumsum([0, *(len(a) for _, _, a, _ in held[:-1])])
+            at, symbols = np.concatenate([a for *_, a, _ in held]), np.concatenate([s for _, _, s, _, _ in held])
+            starts = np.cumsum([0, *(len(a) for *_, a, _ in held[:-1])])
             base = np.add.reduceat(logs[at], starts).tolist()
             known = np.add.reduceat(seen[at], starts).tolist()
             model += np.add.reduceat(rest[at] - mass[symbols], starts)
             rows = []
-            for (doc_id, _, a, others), k, b, m in zip(held, known, base, model.tolist(), strict=True):
+            for (same, doc_id, _, a, others), k, b, m in zip(held, known, base, model.tolist(), strict=True):
                 n = Counter(others)
-                rows.append((next(keys), doc_id, len(a), k, b - len(a) * vocab.divisor, m, list(n), list(n.values())))
+                rows.append((next(keys), same, doc_id, len(a), k, b - len(a) * vocab.divisor, m, list(n), list(n.values())))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
             return pa.RecordBatch.from_arrays(columns, schema=fields)
 
         held: list[tuple] = []
         for batch in batches(it, 500):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                held.append((doc_id, *encoder.encode(text)))
-            if sum(len(h[1]) for h in held) > HELD:
+                held.append((np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64), doc_id, *encoder.encode(text)))
+            if sum(len(h[2]) for h in held) > HELD:
                 yield out(held)
                 held = []
         if held:
             yield out(held)
 
     long, double = pa.int64(), pa.float64()
-    kinds = (long, long, long, long, double, double, pa.list_(pa.binary()), pa.list_(long))
-    names = ("row", "doc_id", "n_tokens", "n_known", "base", "model", "words", "times")
+    kinds = (long, long, long, long, long, double, double, pa.list_(pa.binary()), pa.list_(long))
+    names = ("row", "same", "doc_id", "n_tokens", "n_known", "base", "model", "words", "times")
     fields = pa.schema([pa.field(n, k) for n, k in zip(names, kinds, strict=True)])
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>"
+    schema = "row long, same long, doc_id long, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>"
     scored = checkpointed(docs.select("doc_id", "text").mapInArrow(tidy(run), schema))
+    # What runs side by side with a text shows in the last digits of its score; equal texts get one of theirs.
+    of_text = scored.groupBy("same", "n_tokens").agg(F.min("model").alias("model"))
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
     rare = rare.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
@@ -471,7 +474,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         F.sum(F.col("times") * F.log10(c + SMOOTHING)).alias("log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known")
     )
     log = F.coalesce("log", F.lit(0.0))
-    return scored.drop("words", "times").join(added, "row", "left").select(
+    light = scored.drop("words", "times", "model").join(of_text, ["same", "n_tokens"])
+    return light.join(added, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
