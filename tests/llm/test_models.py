@@ -250,20 +250,33 @@ def test_knn(spark, monkeypatch, cell):
 
 
 def test_knn_prunes_clusters(spark, monkeypatch):
-    """Of vectors in clusters, less than half of the pairs are left, rows go only to blocks that need them, and the
-    result is exact."""
-    monkeypatch.setattr(knn, "BLOCK_QUERIES", 4)
+    """Of vectors in 16 clusters, queries in each of them and several blocks, few pairs are left, a row is sent to fewer
+    than two blocks on average, and the result is exact. Blocks by a hash of the query would be sent nearly all rows."""
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 12)
     r = np.random.default_rng(9)
-    centres = r.normal(0, 4, (12, 8))
-    vectors = [(i, [float(x) for x in centres[i % 12] + r.normal(0, 0.05, 8)]) for i in range(1200)]
+    centres = r.normal(0, 4, (16, 8))
+    of = r.integers(0, 16, 2000)
+    vectors = [(10 * i, [float(x) for x in centres[of[i]] + r.normal(0, 0.05, 8)]) for i in range(2000)]
     rows = knn.whole_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3))
     queries = rows.filter("vec_id % 100 = 0")
+    assert len(set(of[::10].tolist())) == 16
     assert sorted(map(tuple, knn.top_k(rows, queries, 10).collect())) == brute(vectors)
     routes = knn.Routes(rows, queries, 10)
-    assert 0 < routes.sent < routes.pairs / 2
+    assert 0 < routes.sent < routes.pairs / 4
     needed = routes.asked.select("ring", "block").distinct().count()
     assert routes.data.select("ring", "block").distinct().count() == needed
-    assert routes.data.count() < 1200 * 3 / 2  # of three blocks
+    assert routes.asked.select("block").distinct().count() >= 16
+    assert routes.data.count() < 2000 * 2
+
+
+def test_knn_deals_queries_to_blocks(monkeypatch):
+    """Neighbouring pivots share a block as far as it has room; large groups have blocks of their own."""
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 10)
+    centres = np.array([[0.0], [100.0], [1.0], [101.0], [50.0]])
+    first, parts = knn.dealt_blocks(centres, {0: 4, 1: 5, 2: 6, 3: 5, 4: 25})
+    assert first[0] == first[2] and first[1] == first[3] != first[0] and parts == {0: 1, 1: 1, 2: 1, 3: 1, 4: 3}
+    others = {first[0], first[1]}
+    assert others.isdisjoint(range(first[4], first[4] + 3)) and knn.dealt_blocks(centres, {}) == ({}, {})
 
 
 def test_knn_of_one_id_repeated(spark):

@@ -4,11 +4,14 @@ Pivots come from k-means over a bounded sample of the rows; their number grows w
 belongs to its nearest pivot's group, and there to a ring by its distance from the pivot. One aggregate gives each ring's
 size, least and largest distance, and largest norm. A query's k-th best score over the sample is a lower bound of its k-th
 best over all rows; the triangle inequality gives an upper bound of its scores in a ring, and rings whose upper bound is
-below the lower one are left out. Queries go only to the rings left; a ring's rows go only to the blocks of queries that
-one of them needs. Rings are dealt to cells of bounded size, queries to blocks of bounded size; each pair of cell and block
-that has work is one task-sized group, solved with a matrix product, and the k best of a query's cells are its result.
-The sample decides only what can be pruned, never the result: vectors without clusters, whose distances are all alike,
-prune nothing, and then every query meets every cell.
+below the lower one are left out.
+
+Queries, too, are grouped by their nearest pivot. Groups of neighbouring pivots make up blocks of bounded size, large
+groups are split. A block needs the rings that one of its queries needs, and its queries, being near each other, need much
+the same: a row is copied only to the blocks that need its ring. Rings are dealt to cells of bounded size; each pair of
+cell and block that has work is one task-sized group, solved with a matrix product, and the k best of a query's cells are
+its result. The sample decides only what can be pruned, never the result: vectors without clusters, whose distances are
+all alike, prune nothing, and then every query meets every cell.
 
 Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with zeros.
 Ties go to the smaller id. Rows of equal id are rows of their own, and none is a candidate for a query of its own id. An
@@ -24,16 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import checkpointed, hash_sample
+from tidemark.llm.shared import checkpointed, hash_sample, written
 from tidemark.llm.text import tidy
 
 #: Rows that k-means and a query's first bound are taken from: a bounded sample, by the order of a hash of the id.
 SAMPLE = 4096
 #: Pivots: half the square root of the rows, within these bounds; rounds of k-means; rings of a group.
 LEAST_PIVOTS, MOST_PIVOTS, ROUNDS, RINGS = 8, 512, 8, 4
-#: Most rows of a cell and most queries of a block, on average; most blocks, so that what names the blocks of each ring
-#: stays small enough to broadcast: beyond, blocks grow.
-CELL_ROWS, BLOCK_QUERIES, MOST_BLOCKS = 20_000, 16_384, 2_048
+#: Most rows of a cell and most queries of a block.
+CELL_ROWS, BLOCK_QUERIES = 20_000, 16_384
 SCALE = 1024
 
 _RESULT = "query_id long, vec_id long, score long"
@@ -108,6 +110,28 @@ def upper_bounds(q: np.ndarray, centre: np.ndarray, least: np.ndarray, most: np.
     return np.minimum(np.minimum(inner + size * most, size * norm), (size**2 + norm**2 - gap**2) / 2)
 
 
+def dealt_blocks(centres: np.ndarray, queries: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """The first block of each pivot's queries and the number of blocks that they are dealt to.
+
+    Pivots are taken in a chain, each followed by the nearest that is left; those of few queries share a block.
+    """
+    first, parts, block, room = {}, {}, -1, 0
+    left = sorted(queries)
+    at = left[0] if left else None
+    while left:
+        left.remove(at)
+        n = queries[at]
+        if n > room:
+            block, room = block + 1, BLOCK_QUERIES
+        first[at], parts[at] = block, -(-n // BLOCK_QUERIES)
+        if parts[at] > 1:
+            block, room = block + parts[at] - 1, 0
+        room -= n
+        if left:
+            at = left[int(((centres[left] - centres[at]) ** 2).sum(1).argmin())]
+    return first, parts
+
+
 class Routes:
     """What a join sends where: ``data`` (``vec_id``, ``v``, ``ring``, ``cell``, ``block``) and ``asked`` (``query_id``,
     ``q`` and the same keys). ``pairs`` and ``sent`` count the pairs of query and ring, and those not pruned."""
@@ -131,7 +155,7 @@ class Routes:
                 seen += len(x)
                 yield pa.RecordBatch.from_pydict(columns)
 
-        dealt = vectors.mapInArrow(tidy(assign), "vec_id long, v array<long>, grp int, far double, norm double, turn long")
+        dealt = written(vectors.mapInArrow(tidy(assign), "vec_id long, v array<long>, grp int, far double, norm double, turn long"))
         radius = {r["grp"]: r["far"] for r in dealt.groupBy("grp").agg(F.max("far").alias("far")).collect()}
         widths = _of({g: max(r, 1e-9) / RINGS for g, r in radius.items()}, "double")
         within = F.least(F.floor(F.col("far") / widths[F.col("grp")]), F.lit(RINGS - 1)).cast("int")
@@ -144,7 +168,8 @@ class Routes:
         centre = centres[number // RINGS]
 
         def choose(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A row for each query, with the rings that can hold one of its best."""
+            """A row for each query, with its pivot and the rings that can hold one of its best."""
+            seen = 0
             for whole in it:
                 for at in range(0, whole.num_rows, 256):
                     batch = whole.slice(at, 256)
@@ -158,22 +183,25 @@ class Routes:
                     open_ = upper * (1 + 1e-9 * np.sign(upper)) + 1e-3 >= lower[:, None]
                     ends = np.concatenate([[0], np.cumsum(open_.sum(1))]).astype(np.int32)
                     found = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[np.nonzero(open_)[1]].astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], found], ["query_id", "q", "rings"])
+                    near = (half - q[:, :width] @ centres.T).argmin(1).astype(np.int32)
+                    columns = [batch["vec_id"], batch["v"], found, pa.array(near), pa.array(np.arange(seen, seen + len(q)))]
+                    seen += len(q)
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "rings", "grp", "turn"])
 
-        schema = "query_id long, q array<long>, rings array<int>"
+        schema = "query_id long, q array<long>, rings array<int>, grp int, turn long"
         chosen = checkpointed(queries.select("vec_id", "v").mapInArrow(tidy(choose), schema))
         total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("rings")), F.lit(0)).alias("sent")).first()
         self.pairs, self.sent = total["n"] * len(number), total["sent"]
-        blocks = min(MOST_BLOCKS, max(1, -(-total["n"] // BLOCK_QUERIES)))
-        chosen = chosen.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        asked = chosen.select("query_id", "q", "block", F.explode("rings").alias("ring"))
+        held = {r["grp"]: r["count"] for r in chosen.groupBy("grp").count().collect()}  # a row for each pivot
+        first, parts = dealt_blocks(centres, held) if held else ({0: 0}, {0: 1})
+        block = _of(first, "int")[F.col("grp")] + F.pmod("turn", _of(parts, "int")[F.col("grp")]).cast("int")
+        asked = chosen.select("query_id", "q", block.alias("block"), F.explode("rings").alias("ring"))
         cells = {int(g): max(1, -(-int(c) // CELL_ROWS)) for g, c in zip(number, rings["n"].to_numpy(), strict=True)}
         copies = _of(cells, "int")[F.col("ring")]
         self.asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), copies - 1)))
-        # At most a ring for each of RINGS * MOST_PIVOTS, with MOST_BLOCKS numbers: small enough to broadcast.
-        wanted = F.broadcast(asked.groupBy("ring").agg(F.collect_set("block").alias("blocks")))
-        data = dealt.join(wanted, "ring").withColumn("cell", F.pmod("turn", copies).cast("int"))
-        self.data = data.select("vec_id", "v", "ring", "cell", F.explode("blocks").alias("block"))
+        wanted = checkpointed(self.asked.select("ring", "cell", "block").distinct())  # no key of both sides has more rows than a cell
+        data = dealt.select("vec_id", "v", "ring", F.pmod("turn", copies).cast("int").alias("cell"))
+        self.data = data.join(wanted, ["ring", "cell"]).select("vec_id", "v", "ring", "cell", "block")
 
 
 def _of(numbers: dict[int, float], kind: str) -> Column:
