@@ -78,6 +78,21 @@ def test_packing(docs, empty, corpus):
     assert packing.pack(empty, WORD).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 9, 11])
+def test_step_groups_are_balanced(n):
+    """Groups of four sequences; of the last two none has two sequences more than the other."""
+    packer = packing.Packer(0, step_tokens=4 * 2048)
+    for i in range(n):
+        packer.add(i, np.ones(2048, np.uint32))
+    packer.pack(last=True)
+    sizes = defaultdict(set)
+    for row in packer.rows:
+        sizes[row[-1]].add(row[5])
+    counts = [len(sizes[g]) for g in sorted(sizes)]
+    assert sum(counts) == n == len({row[5] for row in packer.rows})
+    assert all(c == 4 for c in counts[:-2]) and max(counts[-2:]) - min(counts[-2:]) <= 1
+
+
 def test_tiers_fill_their_windows():
     packer, r = packing.Packer(0), random.Random(2)
     for i in range(500):

@@ -140,7 +140,8 @@ class Packer:
         self.held = 0
         self.fragments: list[tuple] = []
         self.rows: list[tuple] = []
-        self.groups = {c: [0, 0] for c in contexts}  # the open step group of each context: id, tokens left
+        # The last two step groups of each context, as id and sequences: at the end of the task they are made even.
+        self.groups: dict[int, list[tuple[int, list[list[tuple]]]]] = {c: [] for c in contexts}
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         """Cut a document: whole windows of the longest context are sequences at once, the rest waits."""
@@ -153,18 +154,32 @@ class Packer:
             self.held += len(ids) - whole
 
     def _emit(self, context: int, pieces: list[tuple]) -> None:
-        group = self.groups[context]
-        if group[1] < context:
-            group[:] = [self.next_group, self.step_tokens]
+        groups = self.groups[context]
+        if not groups or len(groups[-1][1]) >= max(1, self.step_tokens // context):
+            if len(groups) == 2:
+                self._let_go(*groups.pop(0))
+            groups.append((self.next_group, []))
             self.next_group += 1
-        group[1] -= context
-        at = 0
+        at, rows = 0, []
         for doc_id, start, ids, total in pieces:
             crc = zlib.crc32(ids.astype("<u4").tobytes())
-            self.rows.append((doc_id, start, len(ids), crc, total, self.next_sequence, at, context, group[0]))
+            rows.append((doc_id, start, len(ids), crc, total, self.next_sequence, at, context))
             at += len(ids)
+        groups[-1][1].append(rows)
         self.next_sequence += 1
 
+    def _let_go(self, group: int, sequences: list[list[tuple]]) -> None:
+        self.rows += [(*row, group) for rows in sequences for row in rows]
+
+    def _even(self) -> None:
+        """Let all groups go, the last two of a context with as many sequences each."""
+        for groups in self.groups.values():
+            every = [rows for _, sequences in groups for rows in sequences]
+            share = -(-len(every) // max(1, len(groups)))
+            for i, (group, _) in enumerate(groups):
+                self._let_go(group, every[i * share : (i + 1) * share])
+            groups.clear()
+
     def pack(self, last: bool = False) -> None:
         """Pack what waits; unless it is the last time, fragments that don't fill a window wait on."""
         pool = sorted(self.fragments, key=lambda f: len(f[2]))
@@ -209,6 +224,8 @@ class Packer:
         if last and pool:
             self._emit(self.contexts[-1], [take(len(pool) - 1, self.contexts[-1]) for _ in list(pool)])
         self.fragments, self.held = pool, left
+        if last:
+            self._even()
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
@@ -216,7 +233,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
     ``path`` is a tokenizer file whose patterns never cross white space. ``sequence_id`` and ``step_group`` hold the
     task's number in their upper bits, so that they are unique without a shuffle; a sequence is full unless it is the
-    last of its task.
+    last of its task. A step group has sequences of one context, as many as make up ``STEP_TOKENS``; of the last two of a
+    task and context one has at most one sequence more than the other. Null ids and repeated rows are documents like others.
     """
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
