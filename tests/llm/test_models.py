@@ -269,6 +269,16 @@ def test_knn_prunes_clusters(spark, monkeypatch):
     assert routes.data.count() < 2000 * 2
 
 
+def test_a_repeated_id_is_fitted_once(spark):
+    """A labelled id with very many rows counts as one, and the bound of the sample holds for what is fitted."""
+    r = random.Random(31)
+    rows = [(i, sentence(r, 20) + (" awful scum" if i % 3 == 0 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = toxicity.fit(spark.createDataFrame(rows + [rows[3]] * 500, "doc_id long, text string").repartition(5), labels)
+    assert often.terms == once.terms and often.clean == once.clean and np.allclose(often.weights, once.weights)
+
+
 def test_knn_deals_queries_to_blocks(monkeypatch):
     """Neighbouring pivots share a block as far as it has room; large groups have blocks of their own."""
     monkeypatch.setattr(knn, "BLOCK_QUERIES", 10)

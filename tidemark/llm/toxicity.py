@@ -313,7 +313,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled documents (``labels`` has ``doc_id`` and ``toxic``), of at most ``sample`` of them."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = hash_sample(known, "doc_id", sample)
-    rows = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic")))
+    # One text of each id, however often it is repeated, so that the bound holds for rows, too.
+    told = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("long").alias("toxic"))
+    rows = checkpointed(told.select("text", "toxic"))
     n, toxic = rows.select(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
         rate = toxic / n if n else 0.0
