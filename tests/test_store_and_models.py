@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ohlc, profile
+from tidemark.operators import intake, ohlc, profile
 from tidemark.operators.scope import Scope
 from tidemark.plans import models
 from tidemark.sources import landing
@@ -107,9 +107,79 @@ def test_appends_and_replaced_parts_leave_other_files_alone(spark, tmp_path):
     with pytest.raises(StoreError):
         store.replace("x.t", make(("e", 9)), "day", ["c"])
     before = _files(tmp_path)
-    store.append("x.t", make(("f", 5)))
+    store.append("x.t", make(("f", 5)), by="day")
     assert len(_files(tmp_path) - before) == 1 and store.read("x.t").count() == 3
-    assert store.compact("x.t", 1).count() == 3
+    assert store.compact("x.t", 1, by="day").count() == 3
+
+
+def test_what_would_hide_rows_of_a_table_in_parts_is_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    make = lambda *rows: spark.createDataFrame(list(rows), "day string, n int").coalesce(1)
+    store.overwrite("x.t", make(("a", 1), ("b", 2)), by="day")
+    store.overwrite("x.whole", make(("a", 1)))
+    for refused in (
+        lambda: store.append("x.t", make(("a", 5))), lambda: store.compact("x.t", 1), lambda: store.overwrite("x.t", make(("a", 5))),
+        lambda: store.compact("x.t", 1, by="n"), lambda: store.append("x.whole", make(("a", 5)), by="day"),
+        lambda: store.replace("x.whole", make(("a", 5)), "day", ["a"]), lambda: store.read("x.whole", parts=["a"]),
+    ):
+        with pytest.raises(StoreError):
+            refused()
+    assert sorted(map(tuple, store.read("x.t").collect())) == [("a", 1), ("b", 2)] and store.read("x.whole").count() == 1
+    store.append("x.t", make(("a", 5)), by="day")
+    assert sorted(map(tuple, store.read("x.t", parts=["a"]).collect())) == [("a", 1), ("a", 5)]
+    assert sorted(map(tuple, store.replace("x.t", make(("a", 7)), "day", ["a"]).collect())) == [("a", 7), ("b", 2)]
+
+
+def test_compaction_between_batches_changes_nothing(spark, tmp_path):
+    """Ingest, compact, ingest equals ingest, ingest; late rows replace those before the compaction."""
+    make = lambda *rows: spark.createDataFrame(list(rows), ingest.OBSERVATIONS)
+    first = [("t_1", 1710000000, 0.1, 0), ("t_1", 1710000300, 0.9, 1), ("t_2", 1710000000 + 86_400, 0.4, 2)]
+    second = [("t_1", 1710000300, 0.5, 3), ("t_3", 1710000000, 0.2, 4)]
+    got = []
+    for compacted in (False, True):
+        store = Store(spark, str(tmp_path / str(compacted)))
+        ingest.ingest_batch(store, make(*first))
+        if compacted:
+            store.compact(ingest.HISTORY, 1, by=ingest.DAY)
+            store.compact(ingest.DAILY, 2, by=ingest.DAY)
+        ingest.ingest_batch(store, make(*second))
+        got.append([sorted(map(tuple, store.read(t).collect())) for t in (ingest.HISTORY, ingest.DAILY)])
+    assert got[0] == got[1] and len(got[0][0]) == 4
+
+
+def test_refused_rows_are_counted_and_kept_apart(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = [("t", 1710000000, 0.5, 0), ("t", 1710000000, 0.6, 1), (None, 1710000000, 0.5, 2), ("t", 0, 7.0, 3), ("t", None, 0.5, 4)]
+    rows += [("t", 1710000000, p, 5) for p in (-0.1, 1.1, None, float("nan"))]
+    counts = ingest.ingest_batch(store, spark.createDataFrame(rows, ingest.OBSERVATIONS).repartition(3))
+    assert counts == {"rows": 9, "kept": 2, "no_token": 1, "invalid_ts": 2, "invalid_price": 4, "deduped": 1}
+    refused = store.read(ingest.REFUSED)
+    by = {r["reason"]: r["count"] for r in refused.groupBy("reason").count().collect()}
+    assert by == {"no_token": 1, "invalid_ts": 2, "invalid_price": 4}
+    assert ingest.ingest_batch(store, spark.createDataFrame(rows[2:3], ingest.OBSERVATIONS)) == {"rows": 1, "kept": 0, "no_token": 1, "invalid_ts": 0, "invalid_price": 0, "deduped": 0}
+    assert store.read(ingest.REFUSED).count() == 8 and store.read(ingest.HISTORY).count() == 1
+
+
+def test_drops_are_counted_in_the_write_itself(spark, tmp_path):
+    """One scan of the source in the plan that writes, and counts equal to a second pass."""
+    rows = [(f"t{i % 9}", i - 50, i / 700, i) for i in range(1000)]
+    spark.createDataFrame(rows, ingest.OBSERVATIONS).write.parquet(str(tmp_path / "in"))
+    judged = intake.judged(spark.read.parquet(str(tmp_path / "in")))
+    drops = intake.Drops(judged)
+    assert drops.kept._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    drops.kept.write.parquet(str(tmp_path / "out"))
+    second = {r["reason"]: r["count"] for r in judged.groupBy("reason").count().collect()}
+    assert drops.counts() == {"rows": 1000, "kept": second[None], "no_token": 0, "invalid_ts": second["invalid_ts"], "invalid_price": second["invalid_price"]}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == second[None] and drops.refused.count() == 1000 - second[None]
+
+
+def test_orphans_are_counted_in_the_write_itself(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i % 7), i) for i in range(50)] + [(None, 99)], "market_id string, n int")
+    parents = spark.createDataFrame([("1",), ("2",), ("2",), (None,)], "market_id string")
+    found = intake.Referred(rows, parents, "market_id")
+    found.kept.write.parquet(str(tmp_path / "out"))
+    want = sum(i % 7 in (1, 2) for i in range(50))
+    assert found.counts() == {"rows": 51, "kept": want, "orphans": 51 - want} and found.refused.count() == 51 - want
 
 
 def test_old_files_are_removed_in_time(spark, tmp_path, monkeypatch):

@@ -4,7 +4,8 @@ numbered file, the manifest, names all folders that make up the table from now o
 Files are complete before a manifest names them, and manifests are only ever added, so readers never see a partial write,
 a merge can read what it replaces, and a writer that dies leaves the table as it was. Two writers at a time want the same
 number; the second fails. Folders belong to parts of a table, so appends add files, and a change of some parts, such as
-days, leaves the others' files as they are.
+days, leaves the others' files as they are. A table is either wholly in parts or has none: what would mix the two, and so
+hide rows from readers and writers of parts, is refused.
 """
 
 from __future__ import annotations
@@ -99,6 +100,13 @@ class Store:
             if old.getPath().getName() not in kept and old.getModificationTime() < written - STALE_MS:
                 fs.delete(old.getPath(), True)
 
+    def _sound(self, name: str, parts: list[list], by: str | None) -> None:
+        """Refuse what reads or writes parts of a table without, or the whole of one with parts."""
+        if parts and by is None and any(key is not None for key, _ in parts):
+            raise StoreError(f"{name} is in parts: say by which column")
+        if parts and by is not None and any(key is None for key, _ in parts):
+            raise StoreError(f"{name} has rows of no part")
+
     def exists(self, name: str) -> bool:
         return bool(self._parts(name))
 
@@ -108,6 +116,8 @@ class Store:
         found = self._parts(name)
         if not found and schema is None:
             raise LookupError(f"no such table: {name}")
+        if parts is not None:
+            self._sound(name, found, "parts")
         wanted = None if parts is None else {str(p) for p in parts}
         folders = [f for key, f in found if wanted is None or key in wanted]
         if schema is None:
@@ -131,36 +141,49 @@ class Store:
         return [[unquote(n.removeprefix("_part=")), f"{folder}/{n}"] for n in sorted(names)]
 
     def overwrite(self, name: str, rows: DataFrame, by: str | None = None) -> DataFrame:
-        """The rows in place of the table; ``by``: a part for each value of that column."""
-        before = max(self._manifests(name), default=0)
+        """The rows in place of the table; ``by``: a part for each value of that column, which a table in parts keeps."""
+        before, parts = max(self._manifests(name), default=0), self._parts(name)
+        if by is None:
+            self._sound(name, parts, None)
         self._name(name, before, self._written(name, rows, by))
         return self.read(name, rows.schema)
 
     def replace(self, name: str, rows: DataFrame, by: str, keys: Collection) -> DataFrame:
         """The rows in place of the parts of some keys; all rows have one of them. Other parts' files stay as they are."""
-        before, gone = max(self._manifests(name), default=0), {str(k) for k in keys}
-        kept = [p for p in self._parts(name) if p[0] not in gone]
+        before, parts, gone = max(self._manifests(name), default=0), self._parts(name), {str(k) for k in keys}
+        self._sound(name, parts, by)
+        kept = [p for p in parts if p[0] not in gone]
         new = self._written(name, rows, by)
         if extra := {k for k, _ in new} - gone:
             raise StoreError(f"{name}: rows of parts that are not replaced: {sorted(extra)[:5]}")
         self._name(name, before, [*kept, *new])
         return self.read(name, rows.schema)
 
-    def append(self, name: str, rows: DataFrame) -> DataFrame:
-        """The table with more rows: files are added, none is written again."""
+    def append(self, name: str, rows: DataFrame, by: str | None = None) -> DataFrame:
+        """The table with more rows: files are added, none is written again. ``by``: the column of a table in parts."""
         before, parts = max(self._manifests(name), default=0), self._parts(name)
-        self._name(name, before, [*parts, *self._written(name, rows, None)])
+        self._sound(name, parts, by)
+        self._name(name, before, [*parts, *self._written(name, rows, by)])
         return self.read(name, rows.schema)
 
-    def compact(self, name: str, files: int) -> DataFrame:
-        """The table in so many files, named only after they were read again and hold as many rows of the same sums."""
-        before, rows = max(self._manifests(name), default=0), self.read(name)
-        parts = self._written(name, rows.repartition(files), None)
-        new = self.spark.read.schema(rows.schema).parquet(*(f"{self._folder(name)}/{f}" for _, f in parts))
+    def compact(self, name: str, files: int, by: str | None = None) -> DataFrame:
+        """The table in so many files, or of a table in parts ``by`` a column each part in so many at most, named only
+        after they were read again and hold the same parts with as many rows of the same sums."""
+        before, parts, rows = max(self._manifests(name), default=0), self._parts(name), self.read(name)
+        self._sound(name, parts, by)
+        if by is None:
+            spread = rows.repartition(files)
+        else:
+            spread = rows.repartition(F.col(by), F.pmod(F.xxhash64(*rows.columns), F.lit(files)))
+        made = self._written(name, spread, by)
+        # Rows of a part of another name would be lost to readers of that part.
+        if by is not None and {k for k, _ in made} != {k for k, _ in parts}:
+            raise StoreError(f"{name} isn't in parts by {by}")
+        new = self.spark.read.schema(rows.schema).parquet(*(f"{self._folder(name)}/{f}" for _, f in made)) if made else rows
         digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))).first()
         if digest(new) != digest(rows):
             raise StoreError(f"{name} differs after it was compacted")
-        self._name(name, before, parts)
+        self._name(name, before, made)
         return self.read(name, rows.schema)
 
     def tables(self, views: tuple[str, ...] = ()) -> list[str]:
