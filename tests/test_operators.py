@@ -267,11 +267,9 @@ def test_due_tokens(spark):
     assert rows(planning.due_tokens(markets, ledger, skips, datetime(2024, 6, 1)).select("clob_token_id")) == [("tok_due",)]
 
 
-def test_window_slices_and_halves(spark):
+def test_window_slices(spark):
     plans = spark.createDataFrame([(0, 25), (5, 5)], "start_ts long, end_ts long")
     assert rows(planning.window_slices(plans, 10).select("window_start", "window_end")) == [(0, 10), (10, 20), (20, 25)]
-    windows = spark.createDataFrame([(0, 100)], "window_start long, window_end long")
-    assert rows(planning.halved_windows(windows, 30, 10).select("part_start", "part_end")) == [(0, 25), (25, 50), (50, 75), (75, 100)]
 
 
 def test_scope_is_never_null(spark):

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import backoff, epoch_of, epoch_to_timestamp, guarded_ratio, iso_timestamp, json_field, json_text_list, plausible_token
-from tidemark.operators import observe, ohlc, planning, profile, quality, scope, upsert
+from tidemark.operators import backfill, intake, observe, ohlc, ordered, planning, profile, quality, rebuild, scope, upsert
 from tidemark.plans import models
 from tidemark.sources import testbed as bed
 from tidemark.sources.testbed import with_tables
@@ -160,7 +160,20 @@ def history_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("odds") + "select * exclude (ingested_at, odds_timestamp) from odds where odds_timestamp_epoch >= 1706745600 - 365 * 86400")
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bed.history(spark, sf_dir).filter(F.col("odds_timestamp_epoch") >= _NOW_EPOCH - 365 * 86_400)
+    return rebuild.retained(bed.history(spark, sf_dir), NOW, 365)
+
+
+@query(
+    with_tables("odds")
+    + """, c as (select count(*) as n, (count(*) filter (where odds_timestamp_epoch < 1705881600))::bigint as gone from odds)
+    select days, 1706745600 - days * 86400 as cutoff_epoch, n as total_before, d as deleted, case when dry_run then n else n - d end as remaining, dry_run
+    from (select 10::bigint as days, gone as d, n, unnest([true, false]) as dry_run from c)"""
+)
+def retention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cut at ten days deletes, as a dry run and in earnest."""
+    history = bed.history(spark, sf_dir)
+    parts = [rebuild.retention_counts(history, NOW, 10, dry).withColumn("dry_run", F.lit(dry)) for dry in (True, False)]
+    return parts[0].unionByName(parts[1]).withColumn("days", F.lit(10).cast("long"))
 
 
 @query("select event_id, (props::json->>'$.k')::bigint as k from events")
@@ -390,11 +403,16 @@ def update_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select user_id as k, list(event_id order by event_id)[-20:] as history from events group by user_id"""
 )
 def rolling_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = bed.table(spark, sf_dir, "events")
-    half = F.percentile_approx("event_id", 0.5).alias("mid")
-    mid = e.agg(half)  # one row
+    """Two halves of the entries, of each the last 20 of a user by rank before they are gathered."""
+    e = bed.table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id")
+    mid = e.agg(F.percentile_approx("event_id", 0.5).alias("mid"))  # one row
     rows = e.join(F.broadcast(mid))
-    of = lambda r: r.groupBy(F.col("user_id").alias("k")).agg(F.array_sort(F.collect_list("event_id")).alias("history"))
+    last = Window.partitionBy("k").orderBy(F.desc("event_id"))
+
+    def of(r: DataFrame) -> DataFrame:
+        few = r.withColumn("n", F.row_number().over(last)).filter("n <= 20")
+        return few.groupBy("k").agg(F.array_sort(F.collect_list("event_id")).alias("history"))
+
     return upsert.append_history(of(rows.filter("event_id <= mid")), of(rows.filter("event_id > mid")), "k", "history", 20)
 
 
@@ -404,9 +422,10 @@ def orphan_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.without_orphans(bed.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def anti_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = bed.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order of that status."""
+    orders = bed.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return bed.table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 
@@ -436,6 +455,63 @@ def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.changed_keys(n(o.filter("o_orderkey % 2 = 0")), n(o.filter("o_orderkey % 3 = 0")), "k", "n")
 
 
+def _odd_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of which some break a rule, or several."""
+    n, h = F.col("event_id"), bed.table(spark, sf_dir, "events")
+    return h.select(
+        "event_id",
+        F.when(n % 50 != 0, F.col("user_id").cast("string")).alias("clob_token_id"),
+        F.when(n % 20 == 0, -epoch_of("ts")).when(n % 33 != 0, epoch_of("ts")).alias("odds_timestamp_epoch"),
+        F.when(n % 7 == 0, F.col("value") - 5).when(n % 11 != 0, F.col("value") / 1000).alias("price"),
+    )
+
+
+_ODD = """with o as (select event_id, case when event_id % 50 <> 0 then user_id end as t, case when event_id % 20 = 0 then -1 when event_id % 33 <> 0 then 1 end as e,
+    case when event_id % 7 = 0 then value - 5 when event_id % 11 <> 0 then value / 1000 end as p from events),
+    j as (select event_id, case when t is null then 'no_token' when e is null or e <= 0 then 'invalid_ts' when p is null or p < 0 or p > 1 then 'invalid_price' end as reason from o) """
+
+
+@query(_ODD + "select coalesce(reason, 'kept') as reason, count(*) as n_rows from j group by 1 union all select 'rows', count(*) from j")
+def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that the write of the kept rows takes, here to nowhere: no pass is made for them."""
+    drops = intake.Drops(intake.judged(_odd_observations(spark, sf_dir)))
+    drops.kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(list(drops.counts().items()), "reason string, n_rows long")
+
+
+@query(_ODD + "select event_id, reason from j where reason is not null")
+def refused_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.Drops(intake.judged(_odd_observations(spark, sf_dir))).refused.select("event_id", "reason")
+
+
+@query("""select count(*) as n_rows, (count(*) filter (where o_custkey in (select c_custkey from customer where c_acctbal > 0)))::bigint as kept,
+    (count(*) filter (where o_custkey not in (select c_custkey from customer where c_acctbal > 0)))::bigint as orphans from orders""")
+def orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders kept and dropped by their customer, counted in the job that keeps them."""
+    parents = bed.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    found = intake.Referred(bed.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey")
+    found.kept.write.format("noop").mode("overwrite").save()
+    c = found.counts()
+    return spark.createDataFrame([(c["rows"], c["kept"], c["orphans"])], "n_rows long, kept long, orphans long")
+
+
+@query(
+    """with a as (select o_orderkey as k, o_orderstatus as v from orders), b as (select case when o_orderkey % 1000 = 1 then null else o_orderkey end as k,
+        case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as v from orders where o_orderkey % 13 <> 0 union all select o_orderkey, o_orderstatus from orders where o_orderkey % 50 = 3),
+    d as (select k, v, sum(n) as n from (select k, v, 1 as n from a union all select k, v, -1 from b) group by k, v),
+    f as (select 'null' as kind, 'k' as name, count(*) as n from b where k is null
+        union all select 'duplicate', 'k', count(*) from (select k from b group by k having count(*) > 1)
+        union all select 'lost', 'rows', coalesce(sum(n) filter (where n > 0), 0) from d union all select 'added', 'rows', coalesce(-sum(n) filter (where n < 0), 0) from d)
+    select kind, name, n::bigint as n from f where n > 0"""
+)
+def rebuild_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild that lost rows, changed some, wrote some twice and lost some keys."""
+    old = bed.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    k = F.col("k")
+    changed = old.filter(k % 13 != 0).select(F.when(k % 1000 != 1, k).alias("k"), F.when(k % 7 == 0, "X").otherwise(F.col("v")).alias("v"))
+    return rebuild.rebuild_violations(old, changed.unionByName(old.filter(k % 50 == 3)), ["k"], ["v"])
+
+
 # Planning -------------------------------------------------------------------------------------------------------------
 
 
@@ -537,6 +613,60 @@ def window_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.window_slices(_plans(spark, sf_dir).filter("outcome = 'plan'"), 21_600).select("clob_token_id", "window_start", "window_end")
 
 
+def _refused(windows: DataFrame) -> DataFrame:
+    """A source that takes no window beyond two hours, and of some tokens none beyond twenty minutes."""
+    most = F.when(F.pmod(F.col("arrival"), F.lit(3)) == 0, 1_200).otherwise(7_200)
+    return windows.withColumn("refused", F.col("window_end") - F.col("window_start") > most)
+
+
+@query(
+    _CLASSIFIED.replace("with c as", "with recursive c as", 1)
+    + """, w as (select clob_token_id, arrival, start as s, 1705200000 as e, case when arrival % 3 = 0 then 1200 else 7200 end as most from r where outcome = 'plan'),
+    h(clob_token_id, s, e, most) as (select clob_token_id, s, e, most from w union all
+        select clob_token_id, unnest([s, s + (e - s) // 2]), unnest([s + (e - s) // 2, e]), most from h where e - s > most and e - s > 1800)
+    select clob_token_id, s::bigint as window_start, e::bigint as window_end, e - s > most as refused from h where not (e - s > most and e - s > 1800)"""
+)
+def window_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans asked for whole, and in halves where that is refused, down to half an hour."""
+    plans = _plans(spark, sf_dir).filter("outcome = 'plan'").withColumnsRenamed({"start_ts": "window_start", "end_ts": "window_end"})
+    return planning.bisected_windows(plans, _refused, 1_800).select("clob_token_id", "window_start", "window_end", "refused")
+
+
+@query(
+    _CLASSIFIED
+    + """, p as (select *, (row_number() over (order by arrival) - 1) // 100 as page from r)
+    select page, (row_number() over (partition by page order by 1705200000 - start, created_ts, arrival))::int as place, arrival, clob_token_id, start::bigint as start_ts from p where outcome = 'plan'"""
+)
+def plan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans by page of 100 candidates, the shortest range of each page first."""
+    created = _candidates(spark, sf_dir).select("arrival", "created_ts")
+    return planning.plan_pages(_plans(spark, sf_dir).join(created, "arrival"), 100).select("page", "place", "arrival", "clob_token_id", "start_ts")
+
+
+@query(
+    """select o_orderkey, (s - c)::bigint as spent_before, least(c, 20000 - (s - c))::bigint as paid, c > 20000 - (s - c) as cut
+    from (select o_orderkey, o_custkey % 50 as c, sum(o_custkey % 50) over (order by o_orderdate, o_orderkey) as s from orders) where s - c < 20000"""
+)
+def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in order, each of some pages, as far as a budget of 20,000 pages goes."""
+    o = bed.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 50).alias("cost"))
+    return ordered.within_budget(o, "cost", 20_000, "o_orderdate", "o_orderkey").select("o_orderkey", "spent_before", "paid", "cut")
+
+
+@query(
+    _CANDIDATES
+    + "d as (select * from c where created_ts >= 1704240000), "
+    + _JUDGED.format("d")
+    + f"""select {_PLAN_COLUMNS} from r union all select min(arrival), null, 'pre_clob_markets', null, null, arg_min(streak, arrival)::int, arg_min(budget, arrival)::int
+    from c where created_ts < 1704240000 group by arrival // 4"""
+)
+def plan_stream_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by market, of four tokens each: early ones count once a market."""
+    rows = _candidates(spark, sf_dir).withColumn("market_id", F.floor(F.col("arrival") / 4))
+    rows = rows.withColumn("created_at", epoch_to_timestamp("created_ts")).drop("created_ts")
+    return planning.plan_stream(rows, planning.PlanRules(1_705_200_000, recent=600), planning.cutoff_time("2024-01-03"), full=True)
+
+
 @query("select p_partkey, least(60 * pow(2, greatest(p_size - 1, 0)), 86400)::bigint as wait from part")
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bed.table(spark, sf_dir, "part").select("p_partkey", backoff("p_size", 60, 86_400).alias("wait"))
@@ -683,6 +813,65 @@ def missing_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.missing_metadata(_listed(spark, sf_dir), waiting, NOW)
 
 
+def _backfill(spark: SparkSession, sf_dir: str) -> backfill.Backfill:
+    """Markets without slugs or end dates; payloads of most, event payloads of the others."""
+    key = F.col("market_id").cast("long")
+    lacking = _listed(spark, sf_dir).withColumns({"slug": F.when(key % 3 != 0, F.col("slug")), "event_slug": F.when(key % 4 != 0, F.col("event_slug"))})
+    p, k = bed.table(spark, sf_dir, "part"), F.col("p_partkey")
+    event = F.struct(F.lit("e").alias("id"), F.when(k % 8 != 0, F.concat(F.lit("event-"), k)).alias("slug"))
+    payloads = p.filter(k % 10 != 0).select(
+        k.cast("string").alias("id"), F.array(F.concat(F.lit("n_"), k)).alias("clobTokenIds"), F.when(k % 6 != 0, F.concat(F.lit("new-"), k)).alias("slug"),
+        F.lit("2024-09-01T12:00:00Z").alias("endDate"), F.lit(None).cast("string").alias("endDateIso"), F.array(event).alias("events"),
+    )
+    market = F.struct(k.cast("string").alias("id"), F.lit("q").alias("question"))
+    events = p.filter(k % 24 == 0).select(k.alias("row_order"), F.lit("e").alias("id"), F.concat(F.lit("late-"), k).alias("slug"), F.array(market).alias("markets"))
+    waiting = p.filter(k % 5 == 0).select(
+        k.cast("string").alias("market_id"), F.lit("end_date").alias("field_name"), F.lit("before").alias("reason"), F.lit(2).alias("attempts"),
+        F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("last_checked_at"), F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz").alias("next_retry_at"),
+    )
+    return backfill.backfill(lacking, payloads, events, waiting, NOW)
+
+
+_BACKFILL = (
+    with_tables("markets", "market_tokens")
+    + """, m as (select market_id, market_id::bigint as k, clob_token_ids, case when market_id::bigint % 3 <> 0 then slug end as slug,
+        case when market_id::bigint % 4 <> 0 then event_slug end as event_slug, end_date from markets join market_tokens using (market_id)),
+    el as (select *, k % 10 <> 0 as returned from m where clob_token_ids = '[]' or slug is null or event_slug is null or (end_date is null and k % 5 <> 0)),
+    f as (select market_id, k, returned, case when returned then '["n_' || k || '"]' end as tokens, case when returned and k % 6 <> 0 then 'new-' || k end as slug,
+        case when returned and k % 8 <> 0 then 'event-' || k when returned and k % 24 = 0 then 'late-' || k end as event_slug,
+        case when returned then timestamp '2024-09-01 12:00:00' end as end_date, returned and k % 24 = 0 as fallback from el) """
+)
+
+
+@query(
+    _BACKFILL
+    + """select m.market_id, coalesce(f.tokens, m.clob_token_ids) as clob_token_ids, coalesce(f.slug, m.slug) as slug, coalesce(f.event_slug, m.event_slug) as event_slug,
+    coalesce(f.end_date, m.end_date) as end_date from m left join f using (market_id)"""
+)
+def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _backfill(spark, sf_dir).markets.select("market_id", "clob_token_ids", "slug", "event_slug", "end_date")
+
+
+@query(
+    _BACKFILL
+    + f"""select p_partkey::varchar as market_id, 'end_date' as field_name, 'before' as reason, 2 as attempts, timestamp '2024-01-01' as last_checked_at,
+    timestamp '2024-03-01' as next_retry_at from part where p_partkey % 5 = 0
+    union all select market_id, 'event_slug', '{backfill.REASON}', 1, {_NOW}, {_NOW} + interval 168 hour from f where returned and event_slug is null"""
+)
+def backfill_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of before, and those of event slugs that neither kind of payload has."""
+    return _backfill(spark, sf_dir).unresolved
+
+
+@query(
+    _BACKFILL
+    + """select count(*) as eligible, count(tokens) as tokens, count(slug) as slug, count(event_slug) as event_slug, count(end_date) as end_date,
+    (count(*) filter (where fallback))::bigint as fallback, (count(*) filter (where returned and event_slug is null))::bigint as unresolved from f"""
+)
+def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _backfill(spark, sf_dir).counts()
+
+
 # Profiles and counts --------------------------------------------------------------------------------------------------
 
 
@@ -736,6 +925,35 @@ def profile_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_table(bed.table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"))
 
 
+@query(
+    with_tables("odds")
+    + """select 'clob_token_id' as name, count(distinct clob_token_id)::bigint as exact, true as within from odds
+    union all select 'odds_timestamp_epoch', count(distinct odds_timestamp_epoch)::bigint, true from odds"""
+)
+def sketched_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day, united: within six standard errors of the exact number."""
+    history, names = bed.history(spark, sf_dir), ["clob_token_id", "odds_timestamp_epoch"]
+    daily = profile.distinct_sketches(history.withColumn("day", F.floor(F.col("odds_timestamp_epoch") / 86_400)), "day", *names)
+    about = profile.united_distinct(daily, *names)
+    exact = history.agg(*(F.countDistinct(c).alias(c) for c in names))
+    listed = lambda df, n: df.select(F.explode(F.create_map(*(x for c in names for x in (F.lit(c), F.col(c))))).alias("name", n))
+    both = listed(exact, "exact").join(listed(about, "about"), "name")
+    return both.select("name", "exact", (F.abs(F.col("about") - F.col("exact")) <= 6 * 0.83 / 2 ** (profile.SKETCH_BITS / 2) * F.col("exact")).alias("within"))
+
+
+_SNAPSHOT = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query(
+    " union all ".join(f"select '{t}' as model, '{t}.parquet' as relation, true as exists, count(*) as row_count, null::varchar as error from {t}" for t in _SNAPSHOT)
+    + " union all select 'nowhere', 'nowhere.parquet', false, null, 'AnalysisException'"
+)
+def model_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which relations are there and how many rows each has, by footers alone."""
+    names = {n: f"{n}.parquet" for n in (*_SNAPSHOT, "nowhere")}
+    return observe.model_snapshot(spark, names, lambda relation: spark.read.parquet(f"{sf_dir}/{relation}"))
+
+
 @query("select 'nation' as table_name, count(*) as n_rows, false as missing from nation union all select 'region', count(*), false from region union all select 'nowhere', null, true")
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.table_counts({"nation": bed.table(spark, sf_dir, "nation"), "region": bed.table(spark, sf_dir, "region"), "nowhere": None})
@@ -790,6 +1008,33 @@ def scope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.scope_audit(_staged(spark, sf_dir), bed.market_registry(spark, sf_dir), bed.SCOPE)
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of several sources, some markets in two of them."""
+    registry, key = bed.market_registry(spark, sf_dir), F.col("market_id").cast("long")
+    more = registry.filter(key % 22 == 0).withColumn("source", F.when(key % 44 == 0, "events_api"))
+    return registry.unionByName(more)
+
+
+_SOURCES = """, sources as (select p_partkey::varchar as market_id, 'seed' as source from part where p_partkey % 11 = 0
+    union all select p_partkey::varchar, case when p_partkey % 44 = 0 then 'events_api' else 'unknown' end from part where p_partkey % 22 = 0) """
+
+
+@query(with_tables("markets") + _SOURCES + "select source, count(*) as n_rows, count(distinct market_id) as n_markets from sources group by source")
+def registry_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.count_by_source(_sources(spark, sf_dir))
+
+
+@query(
+    with_tables("markets")
+    + _SOURCES
+    + """select coalesce(source, 'none') as source, count(*) as n_markets, (count(*) filter (where source is not null and not l))::bigint as n_registered_only,
+    (count(*) filter (where l))::bigint as n_listed, (count(*) filter (where l and source is null))::bigint as n_listed_only
+    from (select m.*, s.source, event_slug in ('brand#12', 'brand#34') or starts_with(event_slug, 'brand#5') as l from markets m left join sources s using (market_id)) group by 1"""
+)
+def scope_audit_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.scope_audit_by_source(_staged(spark, sf_dir), _sources(spark, sf_dir), bed.SCOPE)
+
+
 @query(
     with_tables("tokens", "odds")
     + """select clob_token_id, 'left' as side from (select clob_token_id from tokens except select clob_token_id from odds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import backoff, epoch_of, json_list, json_list_guard, plain_timestamp, plausible_token
 from tidemark.operators.ohlc import EPOCH, TOKEN
+from tidemark.operators.ordered import paged
 from tidemark.operators.scope import token_due, volume_band
 from tidemark.operators.upsert import merge_monotonic
+from tidemark.sources.scratch import kept
 
 OUTCOMES = (
     "dup_token", "invalid_token", "persisted_skip", "closed_done", "empty_cache_skip", "recent_skip", "already_current", "plan",
@@ -113,16 +115,22 @@ def cutoff_time(text: str) -> datetime:
         return datetime(2023, 1, 1)
 
 
-def plan_stream(candidates: DataFrame, rules: PlanRules, cutoff: datetime, allow: DataFrame | None = None, deny: DataFrame | None = None) -> DataFrame:
+def plan_stream(
+    candidates: DataFrame, rules: PlanRules, cutoff: datetime, allow: DataFrame | None = None, deny: DataFrame | None = None, full: bool = False
+) -> DataFrame:
     """``classify_plans`` of candidates with ``created_at`` (as text or time) in place of ``created_ts``.
 
     Candidates without a readable ``created_at`` or without a token are left out; those created before ``cutoff`` have the
     outcome ``pre_clob_markets``; plans of tokens that ``allow`` lacks or ``deny`` has, ``scope_skip``.
+
+    Due candidates come token by token: tokens are trimmed, empty ones left out. ``full`` candidates come by market (they have
+    a ``market_id``): tokens are taken as they are, so that one with blanks around it is no plausible token, and what was
+    created before ``cutoff`` is one row for each market, its first candidate's, without a token.
     """
     text = dict(candidates.dtypes)["created_at"] == "string"
     at = plain_timestamp("created_at") if text else F.col("created_at").cast("timestamp_ntz")
-    rows = candidates.withColumns({TOKEN: F.trim(TOKEN), "created_ts": epoch_of(at)}).drop("created_at")
-    rows = rows.filter(F.col("created_ts").isNotNull() & F.coalesce(F.col(TOKEN) != "", F.lit(False)))
+    rows = candidates.withColumn("created_ts", epoch_of(at)).drop("created_at").filter("created_ts is not null")
+    rows = rows.filter(F.col(TOKEN).isNotNull()) if full else rows.withColumn(TOKEN, F.trim(TOKEN)).filter(F.coalesce(F.col(TOKEN) != "", F.lit(False)))
     limit = F.lit(int((cutoff - datetime(1970, 1, 1)).total_seconds()))
     early = rows.filter(F.col("created_ts") < limit)
     planned = classify_plans(rows.filter(F.col("created_ts") >= limit), rules)
@@ -139,6 +147,9 @@ def plan_stream(candidates: DataFrame, rules: PlanRules, cutoff: datetime, allow
         "end_ts": F.when(~skipped, F.col("end_ts")),
     }).select(*columns)
     none = F.lit(None).cast("long")
+    if full:
+        first = F.min_by(F.struct("arrival", "empty_run_streak", "skip_budget"), "arrival").alias("f")
+        early = early.groupBy("market_id").agg(first).select("f.*", F.lit(None).cast("string").alias(TOKEN))
     early = early.select("arrival", TOKEN, F.lit("pre_clob_markets").alias("outcome"), none.alias("start_ts"), none.alias("end_ts"),
                          F.coalesce("empty_run_streak", F.lit(0)).cast("int").alias("empty_run_streak"), F.coalesce("skip_budget", F.lit(0)).cast("int").alias("skip_budget"))
     return planned.unionByName(early)
@@ -149,6 +160,17 @@ def plan_order(plans: DataFrame) -> DataFrame:
     return plans.filter("outcome = 'plan'").orderBy(F.col("end_ts") - F.col("start_ts"), "start_ts", TOKEN)
 
 
+def plan_pages(judged: DataFrame, size: int = 2000) -> DataFrame:
+    """Plans by page of the candidates' ``arrival``, on each page the shortest range first, then the first created.
+
+    ``judged``: as from ``classify_plans``, with ``created_ts``. Every candidate takes a place on its page, plans alone come
+    back, with ``page`` from 0 and ``place`` on it from 1.
+    """
+    on_page = Window.partitionBy("page").orderBy(F.col("end_ts") - F.col("start_ts"), "created_ts", "arrival")  # a page of rows
+    plans = paged(judged, size, "arrival").filter("outcome = 'plan'")
+    return plans.withColumn("place", F.row_number().over(on_page))
+
+
 def window_slices(plans: DataFrame, step: int) -> DataFrame:
     """Each [start_ts, end_ts) cut into windows of at most ``step`` seconds."""
     some = plans.filter("start_ts < end_ts")
@@ -156,14 +178,36 @@ def window_slices(plans: DataFrame, step: int) -> DataFrame:
     return cut.withColumn("window_end", F.least(F.col("window_start") + step, F.col("end_ts")))
 
 
-def halved_windows(windows: DataFrame, most: int, least: int) -> DataFrame:
-    """Windows cut in halves until none is longer than ``most`` or a half would be shorter than ``least``."""
-    width = F.col("window_end") - F.col("window_start")
-    pieces = lambda w: F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(w / most)))).cast("long")
-    n = F.greatest(F.lit(1).cast("long"), F.least(pieces(width), F.pow(F.lit(2), F.floor(F.log2(width / least))).cast("long")))
-    cut = windows.filter(width > 0).withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    edge = lambda i: F.col("window_start") + F.floor(i * width / F.col("_n")).cast("long")
-    return cut.withColumns({"part_start": edge(F.col("_i")), "part_end": edge(F.col("_i") + 1)}).drop("_n", "_i")
+def bisected_windows(windows: DataFrame, refused: Callable[[DataFrame], DataFrame], least: int) -> DataFrame:
+    """Windows cut in halves where they are refused as too long, down to ``least`` seconds.
+
+    ``refused`` asks for windows and gives them back with a boolean column ``refused``. A refused window that is longer than
+    ``least`` is asked for again as its two halves, [s, s + (e - s) // 2) and the rest; a shorter one stays refused, and is
+    then an error. Each round asks for the halves of the last one's refusals alone. Windows that don't end after their start
+    are left out. Returns the windows that were asked for last, with ``refused``; by start they are in the order, left halves
+    first, in which one would ask for them one by one.
+    """
+    start, end = F.col("window_start"), F.col("window_end")
+    done: list[DataFrame] = []
+    frontier = windows.filter(end > start)
+    while True:
+        asked = kept(refused(frontier).withColumn("refused", F.coalesce("refused", F.lit(False))))
+        again = F.col("refused") & (end - start > least)
+        done.append(asked.filter(~again))
+        split = asked.filter(again)
+        if split.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        middle = start + F.floor((end - start) / 2).cast("long")
+        halves = F.array(F.struct(start.alias("a"), middle.alias("b")), F.struct(middle.alias("a"), end.alias("b")))
+        cut = split.drop("refused").withColumn("_half", F.explode(halves))
+        frontier = cut.withColumns({"window_start": F.col("_half.a"), "window_end": F.col("_half.b")}).drop("_half").filter(end > start)
+
+
+def bisected_plans(plans: DataFrame, asked: DataFrame) -> DataFrame:
+    """Plans with ``n_windows`` that were asked for after all, and ``failed``: whether one of them stayed refused."""
+    of = asked.groupBy(TOKEN).agg(F.count("*").alias("n_windows"), F.bool_or("refused").alias("failed"))
+    joined = plans.join(of, TOKEN, "left")
+    return joined.withColumns({"n_windows": F.coalesce("n_windows", F.lit(0).cast("long")), "failed": F.coalesce("failed", F.lit(False))})
 
 
 @dataclass(frozen=True)
@@ -341,6 +385,47 @@ def tag_closure(edges: DataFrame, seeds: Sequence[str], rounds: int, most: int)
     return spark.createDataFrame(list(reached.items()), "tag string, round int")
 
 
+def tag_crawl(pages: DataFrame, seeds: Sequence[str], rounds: int, most_tags: int, most_pages: int | None = None) -> tuple[DataFrame, bool]:
+    """The tags of a search that follows what it finds, with their ``round``, ``place`` in the search and ``pages`` read, and
+    whether it was cut short.
+
+    ``pages``: ``tag``, ``page`` from 0, and ``found``, an array of the tags on it. A round reads the tags of its queue in
+    order, all pages of each, and queues for the next round, in the order in which they were found, tags that weren't read.
+    The search is cut where a tag beyond ``most_tags`` or a page beyond ``most_pages`` would be next; of the tag at the cut
+    the first pages are still read. A vocabulary of tags is small: queue and costs, at most ``most_tags`` rows, meet the
+    driver; pages never do.
+    """
+    spark, seen, queue, spent, cut = pages.sparkSession, {}, list(dict.fromkeys(seeds)), 0, False
+    for n in range(rounds + 1):
+        wanted = [t for t in queue if t not in seen]
+        if not wanted:
+            break
+        cut = len(seen) + len(wanted) > most_tags
+        wanted = wanted[: most_tags - len(seen)]
+        asked = F.broadcast(spark.createDataFrame(list(enumerate(wanted)), "place int, tag string"))
+        costs = {r["tag"]: r["n"] for r in pages.join(asked, "tag").groupBy("tag").agg(F.countDistinct("page").alias("n")).collect()}
+        read = {}
+        for tag in wanted:
+            left = None if most_pages is None else most_pages - spent
+            if left is not None and left <= 0:
+                cut = True
+                break
+            read[tag] = costs.get(tag, 0) if left is None else min(costs.get(tag, 0), left)
+            seen[tag] = (tag, n, len(seen), read[tag])
+            spent += read[tag]
+            if read[tag] < costs.get(tag, 0):
+                cut = True
+                break
+        if cut or not read:
+            break
+        # Of each new tag where it was first found: at most as many rows as could still be read.
+        got = pages.join(asked, "tag").select("place", "page", F.posexplode("found").alias("at", "other")).filter("other is not null")
+        known = F.broadcast(spark.createDataFrame([(t,) for t in seen], "other string"))
+        first = got.join(known, "other", "left_anti").groupBy("other").agg(F.min(F.struct("place", "page", "at")).alias("first"))
+        queue = [r["other"] for r in first.orderBy("first").limit(most_tags - len(seen) + 1).collect()]
+    return spark.createDataFrame(list(seen.values()), "tag string, round int, place int, pages long"), cut
+
+
 def tag_sources(lists: dict[str, DataFrame], keywords: Sequence[str], trusted: Sequence[str] = ("seed",)) -> DataFrame:
     """Tags of several lists with the names of those they come from; only trusted lists may lack a keyword."""
     has = reduce(lambda a, b: a | b, (F.lower("tag").contains(k.lower()) for k in keywords), F.lit(False))
