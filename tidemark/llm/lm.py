@@ -466,7 +466,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     schema = "row long, same long, doc_id long, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>"
     scored = checkpointed(docs.select("doc_id", "text").mapInArrow(tidy(run), schema))
     # What runs side by side with a text shows in the last digits of its score; equal texts get one of theirs.
-    of_text = scored.groupBy("same", "n_tokens").agg(F.min("model").alias("model"))
+    of_text = scored.groupBy("same", "n_tokens").agg(F.min("model").alias("lower"), F.max("model").alias("upper")).filter("lower < upper")
+    of_text = checkpointed(of_text.select("same", "n_tokens", "lower"))  # few, and an input that Spark can split the join by
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
     rare = rare.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
@@ -474,7 +475,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         F.sum(F.col("times") * F.log10(c + SMOOTHING)).alias("log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known")
     )
     log = F.coalesce("log", F.lit(0.0))
-    light = scored.drop("words", "times", "model").join(of_text, ["same", "n_tokens"])
+    light = scored.drop("words", "times").join(of_text, ["same", "n_tokens"], "left").withColumn("model", F.coalesce("lower", "model"))
     return light.join(added, "row", "left").select(
         "doc_id",
         "n_tokens",
