@@ -7,13 +7,13 @@ pixels sit at a fixed stride and are read with array operations. Where only one
 array operations tell at each bit what a symbol that started there would be, and the decoder follows the chain of those
 that do. Any other stream is read symbol by symbol.
 
-The encoder works on one channel, and for each payload takes the shortest of these forms: a palette of the distinct values
-(several samples to a pixel for small ones) with codes of equal length; prefix codes by frequency with back-references; the
-same after a predictor, where the differences from the left or upper samples vary less than the samples do. A colour cache
+The encoder works on one channel. By the entropies of samples and differences it codes each payload after a predictor from
+the left or from above, or without one, in prefix codes by frequency with back-references; where it is shorter, it takes a
+palette of the distinct values (several samples to a pixel for small ones) with codes of equal length. A colour cache
 can't win on one channel, as a pixel is one symbol anyhow, so the encoder asks for none. A payload is one file: rows are
 ``ROW`` samples wide, and twice as wide as often as a payload of more rows than the format allows needs it.
 
-Null and empty texts are stored as one row of zeros. Equal texts give equal bytes. An empty table gives no rows. Texts of
+Null and empty texts are stored as one row of zeros. Rows of null or repeated ids are stored like others. Equal texts give equal bytes. An empty table gives no rows. Texts of
 more than 2**28 bytes don't fit the format and are an error.
 """
 
@@ -36,7 +36,7 @@ ROW = 64
 MOST_ROWS = 16_384
 #: Least length of a copy, and its most; how far back copies reach; the most bits of a code that is written.
 LEAST_COPY, MOST_COPY, REACH, CODE_BITS = 5, 4096, 1_000_000, 12
-#: A predictor is tried where it brings the samples' entropy below this share.
+#: A predictor is used where it brings the samples' entropy below this share.
 PREDICTABLE = 0.9
 #: Bits that the decoder looks at together, and tokens that the encoder writes together.
 SEGMENT, TOKENS = 1 << 16, 1 << 15
@@ -740,11 +740,9 @@ def encode(plane: np.ndarray) -> bytes:
     height, width = plane.shape
     flat = plane.ravel()
     counts = np.bincount(flat, minlength=256)
-    forms = [[np.zeros(3, np.uint8), *_coded(flat, width, _FULL)]]
-    plain = _entropy(counts)
     least, mode = min((_entropy(np.bincount(_differences(plane, m).ravel(), minlength=256)), m) for m in (1, 2))
-    if least < PREDICTABLE * plain:
-        forms.append(_predictor_form(plane, mode))
+    predicted_best = least < PREDICTABLE * _entropy(counts)  # chosen before anything is coded
+    forms = [_predictor_form(plane, mode) if predicted_best else [np.zeros(3, np.uint8), *_coded(flat, width, _FULL)]]
     equal = len(flat) * np.ceil(np.log2(np.count_nonzero(counts)))
     if equal <= sum(map(len, forms[0])):  # no code is shorter than the palette's bits alone
         forms.append(_palette_form(plane))
