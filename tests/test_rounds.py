@@ -179,6 +179,15 @@ def test_full_plans_take_tokens_as_they_are(spark):
     assert of(False) == [("tok_1", "plan"), ("tok_1", "dup_token"), ("tok_2", "pre_clob_markets"), ("tok_3", "pre_clob_markets")]
 
 
+def test_markets_with_tokens(spark):
+    at = datetime(2024, 1, 5)
+    markets = spark.createDataFrame([(m, at, False, v) for m, v in (("a", 1.0), ("b", 9.0), ("c", 9.0), ("d", 9.0), ("e", None))] + [("f", None, True, 9.0)], "market_id string, created_at timestamp_ntz, is_closed boolean, volume double")
+    tokens = spark.createDataFrame([("a", '["x"]'), ("b", " [1]"), ("c", "[]"), ("d", "text"), ("e", '["y"]'), ("f", '["z"]'), ("g", '["w"]'), ("a", None)], "market_id string, clob_token_ids string")
+    ids = lambda **how: [r[0] for r in rows(planning.markets_with_tokens(markets, tokens, **how), "market_id")]
+    assert ids() == ["a", "b", "e", "f"] and ids(lists_only=False) == ["a", "b", "d", "e", "f"]
+    assert ids(created_from=datetime(2024, 1, 1)) == ["a", "b", "e"] and ids(admitted=F.col("volume") > 5) == ["b", "f"]
+
+
 # Backfill -------------------------------------------------------------------------------------------------------------
 
 PAYLOAD = "id string, clobTokenIds array<string>, slug string, endDate string, endDateIso string, events array<struct<id:string,slug:string>>"

@@ -38,6 +38,27 @@ def test_payloads_become_markets_and_tokens(spark, tmp_path):
     assert checked(markets, TABLES["raw.markets"]).columns == [f.name for f in TABLES["raw.markets"].fields]
 
 
+def test_texts_are_read_like_files(spark, tmp_path):
+    lines = spark.createDataFrame([(json.dumps(MARKET),), ("not json",), ("[1]",), ("null",), (None,), (json.dumps({"slug": "x"}),)], "value string")
+    from_files = landing.shape_markets(_landed(spark, tmp_path, MARKET), NOW).collect()
+    assert landing.shape_markets(landing.parsed_markets(lines), NOW).collect() == from_files
+
+
+def test_stages_are_replaced_and_never_emptied(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    made = landing.bootstrap(store)
+    assert set(made) == set(TABLES) == set(store.tables()) and landing.bootstrap(store) == []
+    assert store.read("ops.scrape_metadata").count() == 0
+    make = lambda *rows: spark.createDataFrame(list(rows), "key string, value string")
+    landing.load_stage(store, "ops.scrape_metadata", make(("a", "1"), ("b", "2")))
+    landing.load_stage(store, "ops.scrape_metadata", make(("c", "3")))
+    with pytest.raises(ContractError, match="no rows"):
+        landing.load_stage(store, "ops.scrape_metadata", make(("c", "3")).filter("key = 'x'"))
+    with pytest.raises(ContractError):
+        landing.load_stage(store, "ops.scrape_metadata", spark.createDataFrame([(1,)], "key int"))
+    assert [tuple(r) for r in store.read("ops.scrape_metadata").collect()] == [("c", "3")]
+
+
 def test_contract_refuses_other_columns_and_types(spark):
     with pytest.raises(ContractError):
         checked(spark.createDataFrame([("a", 1)], "key string, value int"), TABLES["ops.scrape_metadata"])

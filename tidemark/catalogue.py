@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import backoff, epoch_of, epoch_to_timestamp, guarded_ratio, iso_timestamp, json_field, json_text_list, plausible_token
 from tidemark.operators import backfill, intake, observe, ohlc, ordered, planning, profile, quality, rebuild, scope, upsert
 from tidemark.plans import models
+from tidemark.sources import landing
 from tidemark.sources import testbed as bed
 from tidemark.sources.testbed import with_tables
+from tidemark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -872,6 +874,100 @@ def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _backfill(spark, sf_dir).counts()
 
 
+def _payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads as they land, one JSON text each: keys beyond the schema, keys left out, and texts that are no objects."""
+    k = F.col("p_partkey")
+    event = F.struct(F.lit("9").alias("id"), F.concat(F.lit("ev-"), k % 7).alias("slug"))
+    made = F.to_json(
+        F.struct(
+            k.cast("string").alias("id"), F.when(k % 3 != 0, F.col("p_name")).alias("question"), F.when(k % 4 != 0, F.array(F.lit("Yes"), F.lit("No"))).alias("outcomes"),
+            F.when(k % 5 == 0, "much").otherwise(F.col("p_retailprice").cast("string")).alias("volumeNum"), (k % 2 == 0).alias("active"), F.lit("2024-01-02T03:04:05.678Z").alias("createdAt"),
+            F.when(k % 6 != 0, "2024-05-06").alias("endDateIso"), F.when(k % 7 != 0, F.array(F.concat(F.lit("a"), k), F.concat(F.lit("b"), k))).alias("clobTokenIds"),
+            F.concat(F.lit("slug-"), k).alias("slug"), F.when(k % 8 != 0, F.array(event, event)).alias("events"), F.lit("more").alias("unknownKey"),
+        )
+    )
+    return bed.table(spark, sf_dir, "part").select(F.when(k % 9 == 0, "not json").otherwise(made).alias("value"))
+
+
+@query(
+    """select p_partkey::varchar as id, case when p_partkey % 3 <> 0 then p_name else '' end as question, '' as category, '' as description,
+    case when p_partkey % 4 <> 0 then '["Yes", "No"]' else '[]' end as outcomes, case when p_partkey % 5 = 0 then 0 else p_retailprice end as volume, p_partkey % 2 = 0 as active,
+    false as closed, timestamp '2024-01-02 03:04:05' as created_at, timestamp '2024-02-01' as scraped_at, case when p_partkey % 6 <> 0 then timestamp '2024-05-06' end as end_date,
+    'slug-' || p_partkey as slug, case when p_partkey % 8 <> 0 then 'ev-' || p_partkey % 7 end as event_slug, case when p_partkey % 8 <> 0 then '9' end as event_id
+    from part where p_partkey % 9 <> 0"""
+)
+def landed_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads as rows of ``raw.markets``: known keys, first events, whole seconds, defaults."""
+    return landing.split_tokens(landing.shape_markets(landing.parsed_markets(_payload_lines(spark, sf_dir)), NOW), NOW)[0]
+
+
+@query(
+    """select p_partkey::varchar as market_id, '["a' || p_partkey || '", "b' || p_partkey || '"]' as "clobTokenIds", timestamp '2024-02-01' as updated_at
+    from part where p_partkey % 9 <> 0 and p_partkey % 7 <> 0"""
+)
+def landed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landing.split_tokens(landing.shape_markets(landing.parsed_markets(_payload_lines(spark, sf_dir)), NOW), NOW)[1]
+
+
+@query(
+    with_tables("markets")
+    + """select m.market_id, coalesce(case when m.market_id::bigint % 2 = 0 then m.slug end, case when m.market_id::bigint % 9 <> 0 then 'slug-' || m.market_id end) as slug,
+    coalesce(case when m.market_id::bigint % 5 = 0 then m.event_slug end, case when m.market_id::bigint % 9 <> 0 and m.market_id::bigint % 8 <> 0 then 'ev-' || m.market_id::bigint % 7 end) as event_slug,
+    coalesce(m.end_date, case when m.market_id::bigint % 9 <> 0 and m.market_id::bigint % 6 <> 0 then timestamp '2024-05-06' end) as end_date from markets m"""
+)
+def metadata_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets with what they lack from payloads of their ids."""
+    k = F.col("market_id").cast("long")
+    lacking = _staged(spark, sf_dir).withColumns({"slug": F.when(k % 2 == 0, F.col("slug")), "event_slug": F.when(k % 5 == 0, F.col("event_slug"))})
+    payloads = landing.parsed_markets(_payload_lines(spark, sf_dir))
+    filled = landing.resolve_metadata(lacking.withColumnRenamed("market_id", "id"), payloads)
+    return filled.select(F.col("id").alias("market_id"), "slug", "event_slug", "end_date")
+
+
+@query(
+    """with e as (select s_suppkey as row_order, s_suppkey::varchar as event_id, 'e-' || s_suppkey as event_slug, unnest([0, 1, 2]) as place from supplier),
+    m as (select *, case when place = 1 and row_order % 4 = 0 then ' ' else ((row_order * 3 + place * 5) % 60)::varchar end as market_id from e)
+    select market_id, arg_min(event_id, row_order * 10 + place) as event_id, arg_min(event_slug, row_order * 10 + place) as event_slug from m where trim(market_id) <> '' group by market_id"""
+)
+def event_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets of event payloads; some are in several events, some have no id."""
+    k = F.col("s_suppkey")
+    market = lambda i: F.struct(F.when((F.lit(i) == 1) & (k % 4 == 0), " ").otherwise(((k * 3 + i * 5) % 60).cast("string")).alias("id"), F.lit("q").alias("question"))
+    events = bed.table(spark, sf_dir, "supplier").select(k.alias("row_order"), k.cast("string").alias("id"), F.concat(F.lit("e-"), k).alias("slug"), F.array(*map(market, range(3))).alias("markets"))
+    return planning.event_markets(events).select("market_id", "event_id", "event_slug")
+
+
+@query(
+    with_tables("markets", "market_tokens")
+    + """select market_id, clob_token_ids, created_at, is_closed from markets join market_tokens using (market_id)
+    where clob_token_ids <> '[]' and created_at >= timestamp '2024-01-10' and volume >= 20000 and volume < 120000"""
+)
+def markets_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bed.market_tokens(spark, sf_dir).select("market_id", F.col("clobTokenIds").alias("clob_token_ids"))
+    return planning.markets_with_tokens(_staged(spark, sf_dir), tokens, datetime(2024, 1, 10), admitted=scope.volume_band("volume", 20_000, 120_000))
+
+
+@query(
+    with_tables("ranked")
+    + """select clob_token_id, odds_date_utc::timestamp as window_start, max(case when up = 1 then price end) as open_price, max(price) as high_price, min(price) as low_price,
+    max(case when down = 1 then price end) as close_price, count(*) as observed_points from ranked where price between 0 and 1 and odds_timestamp_epoch > 0 group by all"""
+)
+def windowed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's tumbling windows over all observations at once."""
+    got = ingest.windowed_ohlc(bed.history(spark, sf_dir))
+    return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    """select 'o_orderdate' as column_name, min(o_orderdate)::date::varchar as low, max(o_orderdate)::date::varchar as high, count(distinct o_orderdate)::bigint as n_distinct from orders
+    union all select 'o_orderkey', min(o_orderkey)::varchar, max(o_orderkey)::varchar, count(distinct o_orderkey)::bigint from orders"""
+)
+def profile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and largest values as text, of times and of numbers."""
+    rows = bed.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderkey")
+    return profile.profile_table(rows, exact=True).select("column_name", "low", "high", "n_distinct")
+
+
 # Profiles and counts --------------------------------------------------------------------------------------------------
 
 

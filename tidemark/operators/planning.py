@@ -30,6 +30,26 @@ def explode_tokens(markets: DataFrame, trim: bool = True) -> DataFrame:
     return rows.withColumn(TOKEN, token).filter(F.coalesce(F.col(TOKEN) != "", F.lit(False)))
 
 
+def markets_with_tokens(
+    markets: DataFrame, tokens: DataFrame, created_from: datetime | None = None, lists_only: bool = True, admitted: Column | None = None
+) -> DataFrame:
+    """The full mode's markets: ``market_id``, ``clob_token_ids``, ``created_at`` and ``is_closed`` of those with a list of tokens.
+
+    ``lists_only``: texts that don't begin as a list are out, too. ``admitted``: a condition on the market's columns, such as its
+    scope, volume or end; null admits none.
+    """
+    text = F.col("clob_token_ids")
+    some = text.isNotNull() & (text != "[]")
+    if lists_only:
+        some &= F.ltrim(text).startswith("[")
+    if created_from is not None:
+        some &= F.col("created_at") >= F.lit(created_from).cast("timestamp_ntz")
+    if admitted is not None:
+        some &= admitted
+    joined = tokens.select("market_id", "clob_token_ids").join(markets, "market_id").filter(F.coalesce(some, F.lit(False)))
+    return joined.select("market_id", "clob_token_ids", "created_at", "is_closed")
+
+
 def due_tokens(markets: DataFrame, ledger: DataFrame, skips: DataFrame, now: datetime, created_from: datetime | None = None) -> DataFrame:
     """(market, token) pairs that are due: not skipped, not closed and fully checked, not waiting for a later check."""
     joined = explode_tokens(markets).join(ledger, TOKEN, "left").join(skips.select(TOKEN, "reason"), TOKEN, "left")

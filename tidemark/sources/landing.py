@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import first_of, iso_timestamp, json_text_list
 from tidemark.operators.upsert import last_write_wins
-from tidemark.sources.schemas import EVENT_PAYLOAD, MARKET_PAYLOAD
+from tidemark.sources.schemas import EVENT_PAYLOAD, MARKET_PAYLOAD, TABLES
+from tidemark.sources.store import ContractError, Store, checked
 
 
 def read_markets(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +18,26 @@ def read_markets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MARKET_PAYLOAD).json(path).filter("id is not null")
 
 
+def parsed_markets(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Market payloads that came as texts, as ``read_markets`` reads them from files; what is no object is left out."""
+    return lines.select(F.from_json(column, MARKET_PAYLOAD).alias("p")).select("p.*").filter("id is not null")
+
+
+def load_stage(store: Store, name: str, rows: DataFrame) -> DataFrame:
+    """A stage table with exactly these rows, under its strict contract. No rows at all are an error, and leave it as it was."""
+    if checked(rows, TABLES[name]).isEmpty():
+        raise ContractError(f"no rows for {name}")
+    return store.overwrite(name, rows)
+
+
+def bootstrap(store: Store) -> list[str]:
+    """Make the tables that there aren't, empty; again, it makes none. Returns the names of those it made."""
+    made = [name for name in TABLES if not store.exists(name)]
+    for name in made:
+        store.overwrite(name, store.spark.createDataFrame([], TABLES[name]))
+    return made
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Event payloads, of an event's pages the first."""
     rows = spark.read.schema(EVENT_PAYLOAD).json(path).filter("id is not null")
