@@ -5,7 +5,8 @@ equal chunks. A task encodes each distinct chunk once. A chunk's ids hold in the
 the pattern that splits the text into pieces may have seen too little; there the join is encoded again, from before the
 chunk's last pieces on, over more and more of the next chunk, until both agree on where a piece starts.
 
-Null and empty texts give no ids. An empty table gives no rows. Columns other than the id and the text are not read.
+Null and empty texts give no ids. Rows of null or repeated ids are encoded like others, each to a row of its own. Texts of any
+length are encoded whole. An empty table gives no rows. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ document owns its key. Lines are matched on key and document together, so a line
 spread over as many tasks as any other. Batches and their sizes both grow with the square root of the table.
 
 Defined results: null text is one empty line. Rows of equal id are one document; rows without id are one document
-after all others. Lines whose keys are short stay. An empty table gives no rows. Other columns pass through untouched.
+after all others, and so are rows of the id 2**63-1, which stands for none. Lines whose keys are short stay. An empty table gives no rows. Other columns pass through untouched.
+
+Runs are tables of the session's catalogue, as only these keep buckets: the session needs the right to create and drop
+tables in its current database. Their names are random; a driver that dies leaves them behind.
 """
 
 from __future__ import annotations

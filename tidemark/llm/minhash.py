@@ -11,10 +11,12 @@ A second round finds the links that such stars miss. It takes the classes in lis
 joins them on their full sets, again by the rarest elements, as many as a pair of the wanted similarity must share one
 of. The smaller set of a pair must hold the first of these among even fewer, and both must have enough elements left
 after it; only such pairs across components are made. So a list of copies gives about as many pairs as it has members, yet no link
-between components is lost.
+between components is lost. What stays quadratic is a rare element that many components share without being alike in more:
+of its sets only those are joined whose size and place of the element still allow the similarity.
 
 Defined results: texts without words have no set and no links; texts with fewer words than a shingle have one shingle.
-Rows without id stand alone (null component, kept). Rows of equal id are one document. Empty tables give no rows.
+Rows without id stand alone (null component, kept). Rows of equal id are one document. Texts of any length count whole; a
+task holds one such set at a time besides its batch. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ weighed in its context window: by other hits near it, and by whether it stands i
 on the weighed counts, fitted to the same sample, gives the score.
 
 Defined results: null and empty texts have no hits and get the score of a text without any. Without labelled texts of
-both classes every score is the share of toxic ones (0 without labels). Repeated rows get equal scores. An empty table
+both classes every score is the share of toxic ones (0 without labels). Repeated rows get equal scores; the fit takes one text
+of each labelled id. Texts of any length are read whole, word by word. An empty table
 gives no rows. Only the text enters a score.
 """
 
