@@ -99,7 +99,7 @@ def test_every_window_trains(spark):
     docs = spark.createDataFrame([(1, text, "", "", 0)], SCHEMA).coalesce(1)
     vocab = lm.vocabulary(lm.word_counts(docs))
     weights = lm.start_weights(np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))
-    after = lm._shaped(lm._trained(docs, vocab, weights, lm.RATE, False), weights)
+    after = lm._shaped(lm._trained(docs, vocab, weights, lm.RATES[0], False), weights)
     for word in ("alpha", "beta", "gamma", "delta", "omega"):
         symbol = vocab.symbols[vocab.words.index(word.encode())]
         assert (after["inputs"][symbol] != weights["inputs"][symbol]).any(), word
