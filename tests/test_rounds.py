@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import backfill, observe, ordered, planning, profile, rebuild, scope
+from tidemark.plans import models
+from tidemark.sources import testbed
 from tidemark.sources.store import Store, StoreError
 
 
@@ -289,6 +291,16 @@ def test_snapshots_read_no_column(spark, tmp_path):
     assert "ReadSchema: struct<>" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_snapshot_of_all_models(spark):
+    raw = testbed.raw_tables(spark, "/root/testdata/sf0.001")
+    frames = models.build(raw, testbed.SCOPE)
+    del frames["stg_odds"]
+    got = {r["model"]: (r["exists"], r["row_count"]) for r in models.snapshot(spark, frames, testbed.SCOPE).collect()}
+    assert len(got) == 19 and got.pop("stg_odds") == (False, None)
+    assert all(there and n is not None for there, n in got.values())
+    assert got["stg_markets"][1] == frames["stg_markets"].count()
+
+
 def test_runs_are_kept_and_read_back(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert observe.last_run(store, "sync") is None

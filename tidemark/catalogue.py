@@ -1104,6 +1104,18 @@ def scope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.scope_audit(_staged(spark, sf_dir), bed.market_registry(spark, sf_dir), bed.SCOPE)
 
 
+@query(
+    " union all ".join(
+        f"select '{m.name}' as model, '{m.layer}.{m.name}' as relation, true as exists, count(*) as row_count, null::varchar as error from ({ORACLE_SQL[m.name]})"
+        for m in models.models(bed.SCOPE)
+        if m.name in ORACLE_SQL
+    )
+)
+def published_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 19 models as one query of counts, as after a build."""
+    return models.snapshot(spark, _frames(spark, sf_dir), bed.SCOPE)
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry of several sources, some markets in two of them."""
     registry, key = bed.market_registry(spark, sf_dir), F.col("market_id").cast("long")

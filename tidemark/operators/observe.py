@@ -78,7 +78,7 @@ def model_snapshot(spark: SparkSession, models: Mapping[str, str], read: Callabl
     for name, relation in models.items():
         try:
             rows.append(read(relation).agg(F.count("*").alias("row_count")).select(F.lit(name).alias("model"), F.lit(relation).alias("relation"), F.lit(True).alias("exists"), "row_count", F.lit(None).cast("string").alias("error")))
-        except (PySparkException, LookupError, ValueError, RuntimeError) as e:
+        except (PySparkException, LookupError, ValueError, RuntimeError) as e:  # a missing model is a row, not an end
             failed.append((name, relation, False, None, type(e).__name__))
     out = spark.createDataFrame(failed, "model string, relation string, exists boolean, row_count long, error string")
     return reduce(DataFrame.unionByName, rows, out)

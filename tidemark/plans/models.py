@@ -10,11 +10,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import epoch_to_timestamp, guarded_ratio, json_leaves, json_list
 from tidemark.operators import quality
+from tidemark.operators.observe import model_snapshot
 from tidemark.operators.ohlc import TOKEN, gap_diagnostics, token_coverage_days
 from tidemark.operators.scope import BIG_VOLUME, Scope, volume_band, with_scope
 
@@ -336,6 +337,11 @@ def build(
     return frames
 
 
+def snapshot(spark: SparkSession, frames: Frames, scope: Scope) -> DataFrame:
+    """Which of the models there are and how many rows each has; those that were published are counted by footers alone."""
+    return model_snapshot(spark, {m.name: f"{m.layer}.{m.name}" for m in models(scope)}, lambda relation: frames[relation.split(".")[1]])
+
+
 def violations(frames: Frames, scope: Scope, whale: float = BIG_VOLUME) -> DataFrame:
     """For each check of each model the number of rows that violate it; the grain's uniqueness is one of them."""
     found = []
