@@ -9,6 +9,8 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -94,6 +96,18 @@ def batches(it: Iterable[pa.RecordBatch], rows: int, most_bytes: int = 1 << 23)
             at = to
 
 
+def kept_in_worker(kind: str, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker, which outlives its tasks; of each kind only the last is kept.
+
+    A module of its own holds it, as functions sent by value bring their globals anew with each task.
+    """
+    place = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
+    held = place.__dict__.get(kind)
+    if held is None or held[0] != name:
+        place.__dict__[kind] = held = (name, make())
+    return held[1]
+
+
 def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``run`` for ``mapInArrow``; at its end the task's freed memory goes back to the system.
 

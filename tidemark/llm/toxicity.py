@@ -15,6 +15,8 @@ gives no rows. Only the text enters a score.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import checkpointed, hash_sample
-from tidemark.llm.text import batches, tidy
+from tidemark.llm.text import batches, kept_in_worker, tidy
 
 #: Most labelled texts that the model is fitted to, by the order of a hash of the id.
 SAMPLE = 20_000
@@ -44,6 +46,7 @@ STATES_KEPT = 150_000
 
 _MARKS = ".,;:!?()[]{}…'’`*_~-–—"
 _QUOTES = "\"“”„«»‹›"
+_ANY_QUOTE, _NO_QUOTES = re.compile(f"[{_QUOTES}]"), str.maketrans("", "", _QUOTES)
 FEATURES = ("exact", "misspelt", "quoted", "dense", "share")
 
 
@@ -115,14 +118,16 @@ class Automaton:
         """Edits and term of the nearest term, or none within the edits allowed."""
         if len(self.states) > STATES_KEPT:
             self._forget()
-        state, best = self.start, None
+        state, best, moves, begun = self.start, None, self.moves, self.begun
         for letter in word:
-            to = self.moves[state].get(letter)
-            state = self._move(state, letter) if to is None else to
-            if state < 0:
+            to = moves[state].get(letter)
+            if to is None:
+                to = self._move(state, letter)
+            if to < 0:
                 return best
-            if self.begun[state] is not None and (best is None or self.begun[state] < best):
-                best = self.begun[state]
+            state = to
+            if begun[state] is not None and (best is None or begun[state] < best):
+                best = begun[state]
         end = self.found[state]
         return end if best is None or end is not None and end < best else best
 
@@ -137,29 +142,34 @@ class Scorer:
     def __init__(self, terms: dict[str, bool], clean: frozenset[str] = frozenset()) -> None:
         self.automaton, self.clean = Automaton(terms), clean
         self.known: dict[str, tuple[int, str] | None] = {}
+        self.hitting: set[str] = set()  # known tokens that are hits
 
     def hit(self, token: str) -> tuple[int, str] | None:
-        try:
-            return self.known[token]
-        except KeyError:
-            bare = _bare(token)
-            found = self.automaton.match(bare)
-            if found is not None and found[0] and bare in self.clean:
-                found = None
-            self.known[token] = found
-            return found
+        bare = _bare(token)
+        found = self.automaton.match(bare)
+        if found is not None and found[0] and bare in self.clean:
+            found = None
+        self.known[token] = found
+        if found is not None:
+            self.hitting.add(token)
+        return found
 
     def features(self, text: str | None) -> list[float]:
         tokens = (text or "").lower().split()
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        hits = {t: h for t in set(tokens) if (h := self.hit(t)) is not None}
+            self.hitting.clear()
+        distinct = set(tokens)
+        for token in distinct.difference(self.known):
+            self.hit(token)
+        hits = {t: self.known[t] for t in distinct & self.hitting}
         if not hits:
             return [0.0] * len(FEATURES)
         exact = misspelt = quoted = 0.0
         at, weights, inside = [], [], False
+        quoting = {t: n for t in distinct if (n := len(t) - len(t.translate(_NO_QUOTES)))} if _ANY_QUOTE.search(text) else {}
         for i, token in enumerate(tokens):
-            marks = sum(token.count(q) for q in _QUOTES)
+            marks = quoting.get(token, 0)
             if (h := hits.get(token)) is not None:
                 weight = 1.0 / (1 + h[0])
                 if inside or marks:
@@ -179,6 +189,13 @@ class Scorer:
         return [float(np.log1p(x)) for x in (exact, misspelt, quoted, near.max(), share)]
 
 
+def worker_scorer(terms: dict[str, bool], clean: frozenset[str]) -> Scorer:
+    """The worker's scorer of this lexicon: Python workers outlive their tasks, and what an automaton has learned in one task
+    serves the next. A worker keeps one at a time."""
+    name = hashlib.sha256(repr((sorted(terms.items()), sorted(clean))).encode()).hexdigest()
+    return kept_in_worker("toxicity", name, lambda: Scorer(terms, clean))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
     """Weights of a logistic regression, the intercept last, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -274,7 +291,7 @@ def _clean_forms(sample: DataFrame, terms: dict[str, bool]) -> frozenset[str]:
 
 def _features(docs: DataFrame, terms: dict[str, bool], clean: frozenset[str], kept: str) -> DataFrame:
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, clean)
+        scorer = worker_scorer(terms, clean)
         for batch in batches(it, 1000):
             made = pa.array([scorer.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), made], [kept, "x"])
@@ -301,7 +318,7 @@ class Model:
         place = docs.columns.index("text")
 
         def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(terms, clean)
+            scorer = worker_scorer(terms, clean)
             for batch in batches(it, 1000):
                 x = np.array([scorer.features(t) for t in batch.column(place).to_pylist()]).reshape(-1, len(FEATURES))
                 score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -60, 60)))
