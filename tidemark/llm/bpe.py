@@ -1,7 +1,7 @@
 """Byte-level BPE encoding with reuse of content-defined chunks, and decoding.
 
 A text is cut where a rolling hash of its last characters says so, which gives equal passages of different documents
-equal chunks. A task encodes each distinct chunk once. A chunk's ids hold in the whole text except near its ends, where
+equal chunks. A worker encodes each distinct chunk once, over its tasks, as long as it remembers it. A chunk's ids hold in the whole text except near its ends, where
 the pattern that splits the text into pieces may have seen too little; there the join is encoded again, from before the
 chunk's last pieces on, over more and more of the next chunk, until both agree on where a piece starts.
 
@@ -23,13 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import batches, tidy
+from tidemark.llm.text import batches, kept_in_worker, tidy
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: A chunk has at least MIN_CHUNK characters and at most MAX_CHUNK; 1 in 2**CUT_BITS places can be a cut.
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 128, 8192, 9
-#: Chunks and pieces that a task remembers before it starts anew.
+#: Chunks and pieces that a worker remembers, over its tasks, before it starts anew.
 CHUNKS_KEPT, PIECES_KEPT = 40_000, 300_000
 #: Pieces at a chunk's end that what follows may change: a contraction of three characters is seen as three.
 LOOSE = 3
@@ -235,7 +235,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """Encode each text, decode the ids, and return counts and digests, one row for each document."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ChunkedBPE(path)
+        model = kept_in_worker("bpe", path, lambda: ChunkedBPE(path))
         for batch in batches(it, 500):
             encoded = model.encode([x or "" for x in batch.column(1).to_pylist()])
             columns = {

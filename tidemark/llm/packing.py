@@ -12,6 +12,7 @@ other than the id and the text are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import batches, tidy
+from tidemark.llm.text import batches, kept_in_worker, tidy
 
 #: Context sizes of the tiers, longest first; each a power of two.
 CONTEXTS = (2048, 1024, 512, 256)
@@ -31,8 +32,8 @@ CONTEXTS = (2048, 1024, 512, 256)
 STEP_TOKENS = 16 * CONTEXTS[0]
 #: Tokens that a task holds before it packs them.
 BUFFER_TOKENS = 2_000_000
-#: Distinct words that a task remembers before it starts anew.
-WORDS_KEPT = 400_000
+#: Distinct words that a worker remembers, over its tasks, before it starts anew.
+WORDS_KEPT = 800_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -84,24 +85,35 @@ class WordTokenizer:
     def _learn(self) -> None:
         """Encode the new words: runs of letters many at a time, told apart by the ends of words; others singly."""
         new, self.known.new = self.known.new, []
-        ids: list[np.ndarray | None] = [None] * len(new)
         letters = [i for i, w in enumerate(new) if w.isalpha()]
-        for at in range(0, len(letters), 256):
-            part = letters[at : at + 256]
-            got = np.array(self.library.encode(" ".join([new[i] for i in part]), add_special_tokens=False).ids, np.uint32)
-            places = np.flatnonzero(self.ends[got]) + 1
-            if len(places) == len(part) and places[-1] == len(got):
-                for i, a, b in zip(part, [0, *places.tolist()], places.tolist(), strict=False):
-                    ids[i] = got[a:b]
-        rest = [i for i, x in enumerate(ids) if x is None]
+        rest = [i for i, w in enumerate(new) if not w.isalpha()]
+        parts = [letters[at : at + 256] for at in range(0, len(letters), 256)]
+        counts, owners, chunks = np.zeros(len(new), np.int64), [], []
+        for at in range(0, len(parts), 64):
+            some = parts[at : at + 64]
+            joined = [" ".join([new[i] for i in part]) for part in some]
+            for part, e in zip(some, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                got = np.array(e.ids, np.uint32)
+                places = np.flatnonzero(self.ends[got]) + 1
+                if len(places) == len(part) and places[-1] == len(got):
+                    counts[part] = np.diff(places, prepend=0)
+                    owners.append(part)
+                    chunks.append(got)
+                else:
+                    rest += part
         for at in range(0, len(rest), 8192):
             part = rest[at : at + 8192]
-            got = self.library.encode_batch([new[i] for i in part], add_special_tokens=False)
-            for i, e in zip(part, got, strict=True):
-                ids[i] = np.array(e.ids, np.uint32)
-        self.flat = np.concatenate([self.flat, *ids])
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+            got = [e.ids for e in self.library.encode_batch_fast([new[i] for i in part], add_special_tokens=False)]
+            counts[part] = [len(ids) for ids in got]
+            owners.append(part)
+            chunks.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32))
+        # Ids lie as the words were encoded; they are moved to the words' order.
+        order = np.concatenate(owners)
+        first, ends = np.empty(len(new), np.int64), np.cumsum(counts)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        ids = np.concatenate(chunks)[np.arange(ends[-1]) + np.repeat(first - ends + counts, counts)]
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends])
+        self.flat = np.concatenate([self.flat, ids])
 
     def _words(self, text: str) -> list[str]:
         """Words whose ids, in order, are the text's: lower-cased, marks before white space apart, where that is safe."""
@@ -238,7 +250,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(path)
+        encoder = kept_in_worker("words", path, lambda: WordTokenizer(path))
         packer = Packer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
 
         def out() -> pa.RecordBatch:
