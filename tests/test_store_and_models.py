@@ -201,6 +201,10 @@ def test_orphans_are_counted_in_the_write_itself(spark, tmp_path):
     found.kept.write.parquet(str(tmp_path / "out"))
     want = sum(i % 7 in (1, 2) for i in range(50))
     assert found.counts() == {"rows": 51, "kept": want, "orphans": 51 - want} and found.refused.count() == 51 - want
+    for n, (some, known) in enumerate(((rows, parents.filter("market_id > 'x'")), (rows.filter("n > 1000"), parents))):
+        found = intake.Referred(some, known, "market_id")
+        found.kept.write.parquet(str(tmp_path / f"out{n}"))
+        assert found.counts() == ({"rows": 51, "kept": 0, "orphans": 51} if n == 0 else {"rows": 0, "kept": 0, "orphans": 0})
 
 
 def test_old_files_are_removed_in_time(spark, tmp_path, monkeypatch):

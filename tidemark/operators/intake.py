@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -45,15 +46,21 @@ class Drops:
 
 
 class Referred:
-    """Rows whose ``key`` the ``parents`` have, and how many had none: both counted in the action that runs over ``kept``."""
+    """Rows whose ``key`` the ``parents`` have, and how many had none: both counted in the action that runs over ``kept``.
+
+    The count is taken behind the join, so that it stays in the plan where Spark finds one side empty at run time.
+    """
 
     def __init__(self, rows: DataFrame, parents: DataFrame, key: str) -> None:
-        self._before, self._after = Observation(), Observation()
-        known = parents.select(col(key)).distinct()
-        whole = rows.observe(self._before, F.count("*").alias("n"))
-        self.kept = whole.join(known, key, "left_semi").observe(self._after, F.count("*").alias("n"))
+        self._seen = Observation()
+        known = parents.select(col(key)).distinct().withColumn("_known", F.lit(True))
+        joined = rows.join(known, key, "left").observe(self._seen, F.count("*").alias("rows"), F.count("_known").alias("kept"))
+        self.kept = joined.filter("_known").select(*rows.columns)
         self.refused = rows.join(known, key, "left_anti")
 
     def counts(self) -> dict[str, int]:
-        rows, kept = int(self._before.get["n"]), int(self._after.get["n"])
+        try:
+            rows, kept = int(self._seen.get["rows"]), int(self._seen.get["kept"])
+        except Py4JJavaError:  # of no rows at all Spark may leave no plan that counts
+            rows = kept = 0
         return {"rows": rows, "kept": kept, "orphans": rows - kept}
