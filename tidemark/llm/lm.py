@@ -20,6 +20,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import checkpointed, hash_sample
-from tidemark.llm.text import batches, texts, tidy, words
+from tidemark.llm.text import batches, kept_in_worker, texts, tidy, words
 
 #: Symbols, symbols of a class, and symbols that stand for all other words by their last bytes.
 SYMBOLS, MEMBERS, ENDINGS, LAST_BYTES = 1024, 32, 64, 3
@@ -45,7 +46,7 @@ TABLE = 131_072
 #: Documents of the warm start, the least number of its passes and steps, and its step size.
 WARM_DOCS, WARM_PASSES, WARM_STEPS, WARM_RATE = 2_000, 2, 400, 0.01
 #: Step sizes of the replicas in each round.
-RATES = (0.004, 0.003, 0.002)
+RATES = (0.004, 0.0025)
 #: The warm start takes more and smaller steps: so many times fewer documents side by side and tokens of a window.
 WARM_SHARE = 4
 #: Added to each count.
@@ -96,7 +97,7 @@ class Vocabulary:
     def __init__(self, table: list[tuple[bytes, int]], total: int, distinct: int, masses: dict[int, float]) -> None:
         shortlist = [w for w, _ in table if w != END][: SYMBOLS - ENDINGS - 1]
         known = dict(table)
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.name = total, distinct, uuid.uuid4().hex
         rest = [w for w, _ in table if w != END][len(shortlist) :]
         self.words = [END, *shortlist, *rest]
         self.counts = np.array([known.get(w, 0) for w in self.words], np.int64)
@@ -136,6 +137,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(table, total, distinct, {e: max(0.0, m) for e, m in mass.items()})
 
 
+def worker_encoder(vocab: Vocabulary) -> Encoder:
+    """The worker's encoder of a vocabulary, which its later tasks use again."""
+    return kept_in_worker("symbols", vocab.name, lambda: Encoder(vocab))
+
+
 class Encoder:
     """Turns texts into symbols, and keeps apart the words that the table doesn't have."""
 
@@ -371,7 +377,7 @@ def _trained(docs: DataFrame, vocab: Vocabulary, weights: dict[str, np.ndarray],
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, n = Network(weights, rate, WARM_SHARE if warm else 1), 0
-        parts = _encoded(it, Encoder(vocab), 0)
+        parts = _encoded(it, worker_encoder(vocab), 0)
         if warm:
             parts = list(parts)
             for done in itertools.count():
@@ -431,7 +437,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     weights = train(learned, vocab)
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, net = Encoder(vocab), Network(weights)
+        encoder, net = worker_encoder(vocab), Network(weights)
         logs = np.append(np.log10(vocab.counts + SMOOTHING), 0.0)
         rest = np.where(np.arange(len(logs)) < vocab.own, 0.0, logs)  # words without a symbol of their own
         seen = np.append((vocab.counts > 0).astype(np.int64), 0)
