@@ -6,7 +6,7 @@ of its smoothed corpus count. The output softmax is factored: a class of symbols
 
 Training: a warm start on a bounded sample of documents in one task, so that all replicas start close to each other;
 then each task trains a replica on its training documents, and the replicas' weights are averaged by tokens, as a Spark
-aggregate; this goes on for some rounds, each with its share of all documents, from the average of the last. Windows of a document follow each other with the state carried on; gradients stop at their starts.
+aggregate. With several step sizes there is a round for each, with its share of all documents, from the average of the last. Windows of a document follow each other with the state carried on; gradients stop at their starts.
 
 Scoring carries the state through the whole document, so its likelihood is complete. Words beyond a bounded table of
 frequent ones get their counts by a join, and one sum for each row of the table, by a key made for it, adds them to its
@@ -46,7 +46,7 @@ TABLE = 131_072
 #: Documents of the warm start, the least number of its passes and steps, and its step size.
 WARM_DOCS, WARM_PASSES, WARM_STEPS, WARM_RATE = 2_000, 2, 400, 0.01
 #: Step sizes of the replicas in each round.
-RATES = (0.004, 0.0025)
+RATES = (0.004,)
 #: The warm start takes more and smaller steps: so many times fewer documents side by side and tokens of a window.
 WARM_SHARE = 4
 #: Added to each count.
@@ -417,7 +417,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     warm = texts_of_ids.coalesce(1).sortWithinPartitions("doc_id")
     # Every document trains once, in one of the rounds; each round starts from the average of the one before.
     turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(RATES)))
-    rounds = [(docs.filter(turn == i), rate) for i, rate in enumerate(RATES)]
+    rounds = [(docs.filter(turn == i) if len(RATES) > 1 else docs, rate) for i, rate in enumerate(RATES)]
     for sample, rate in ((warm, WARM_RATE), *rounds):
         flat = _trained(sample, vocab, weights, rate, sample is warm)
         if flat is not None:
