@@ -120,6 +120,13 @@ def without_orphans(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return rows.join(parents.select(key).distinct(), key, "left_semi")
 
 
+def not_in(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is surely none of the others': nulls on either side could be any key, but not of no others."""
+    known = others.agg(F.count("*").alias("_n"), F.count(key).alias("_n_known"))  # one row
+    sure = (F.col("_n") == 0) | ((F.col("_n") == F.col("_n_known")) & F.col(key).isNotNull())
+    return rows.join(others.select(key), key, "left_anti").join(F.broadcast(known)).filter(sure).drop("_n", "_n_known")
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows, as often as they are more in one than in the other."""
     return a.exceptAll(b).unionAll(b.exceptAll(a))
