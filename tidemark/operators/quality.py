@@ -135,11 +135,14 @@ def days_mismatch(tokens: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def subset_mismatch(part: DataFrame, whole: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows of ``part`` that ``whole`` lacks or has with another value."""
-    other = whole.select(*keys, F.col(value).alias("_value"), F.lit(True).alias("_there"))
-    joined = part.select(*keys, value).join(other, list(keys), "left")
-    kind = F.when(F.col("_there").isNull(), "missing").when(~F.col(value).eqNullSafe(F.col("_value")), "value_mismatch")
-    return joined.withColumn("mismatch_type", kind).filter("mismatch_type is not null").select(*keys, "mismatch_type")
+    """Rows of ``part`` whose keys ``whole`` lacks or has with other values only: each row once, however often keys repeat."""
+    keys, seen = list(keys), whole.select(*keys, F.col(value).alias("_value")).distinct()
+    a, b = part.select(*keys, value).alias("a"), seen.alias("b")
+    on = [*(F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys), F.col(value).eqNullSafe(F.col("_value"))]
+    differ = a.join(b, reduce(lambda x, y: x & y, on), "left_anti").select(*keys)
+    there = seen.select(*keys, F.lit(True).alias("_there")).distinct()
+    kind = F.when(F.col("_there").isNull(), "missing").otherwise("value_mismatch")
+    return differ.join(there, keys, "left").select(*keys, kind.alias("mismatch_type"))
 
 
 def below_threshold(rows: DataFrame, column: str, least: float) -> DataFrame:
