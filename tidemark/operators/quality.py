@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,17 @@ def _any(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
+def by_row(condition: Callable[..., Column]) -> Callable[..., DataFrame]:
+    """A check of each row by itself: ``check(rows, ...)`` for the violations, ``check.where(...)`` for their condition."""
+
+    @wraps(condition)
+    def check(rows: DataFrame, *args: object, **named: object) -> DataFrame:
+        return rows.filter(condition(*args, **named))
+
+    check.where = condition
+    return check
+
+
 def duplicate_grain(rows: DataFrame, grain: Sequence[str], where: Column | None = None) -> DataFrame:
     found = rows if where is None else rows.filter(where)
     return found.groupBy(*grain).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
@@ -34,9 +45,10 @@ def relationship(child: DataFrame, column: str, parent: DataFrame, parent_column
     return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
-def outside_unit(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+@by_row
+def outside_unit(columns: Sequence[str]) -> Column:
     """Rows with a price below 0 or above 1; null prices pass."""
-    return rows.filter(_any([(F.col(c) < 0) | (F.col(c) > 1) for c in columns]))
+    return _any([(F.col(c) < 0) | (F.col(c) > 1) for c in columns])
 
 
 def freshness(loaded: DataFrame, column: str, now: datetime, warn_hours: int, error_hours: int) -> DataFrame:
@@ -47,39 +59,46 @@ def freshness(loaded: DataFrame, column: str, now: datetime, warn_hours: int, er
     return last.withColumn("age_hours", age.cast("long")).withColumn("status", status)
 
 
-def ohlc_order(daily: DataFrame) -> DataFrame:
+@by_row
+def ohlc_order() -> Column:
     """Days whose prices or times are out of order, or without points."""
     low, high = F.col("low_price"), F.col("high_price")
     outside = [(F.col(c) < low) | (F.col(c) > high) for c in ("open_price", "close_price", "avg_price")]
-    return daily.filter(_any([*outside, F.col("observed_points") < 1, F.col("first_timestamp") > F.col("last_timestamp")]))
+    return _any([*outside, F.col("observed_points") < 1, F.col("first_timestamp") > F.col("last_timestamp")])
 
 
-def ohlc_bounds(daily: DataFrame) -> DataFrame:
+@by_row
+def ohlc_bounds() -> Column:
     prices = ("open_price", "high_price", "low_price", "close_price", "avg_price")
-    return daily.filter(_any([*((F.col(c) < 0) | (F.col(c) > 1) for c in prices), F.col("high_price") < F.col("low_price")]))
+    return _any([*((F.col(c) < 0) | (F.col(c) > 1) for c in prices), F.col("high_price") < F.col("low_price")])
 
 
-def price_without_time(series: DataFrame) -> DataFrame:
-    return series.filter(F.col("price").isNotNull() & (F.col("odds_timestamp").isNull() | F.col("odds_timestamp_epoch").isNull()))
+@by_row
+def price_without_time() -> Column:
+    return F.col("price").isNotNull() & (F.col("odds_timestamp").isNull() | F.col("odds_timestamp_epoch").isNull())
 
 
-def negative(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rows.filter(_any([F.col(c) < 0 for c in columns]))
+@by_row
+def negative(columns: Sequence[str]) -> Column:
+    return _any([F.col(c) < 0 for c in columns])
 
 
-def date_order(rows: DataFrame, first: str = "first_odds_date", last: str = "last_odds_date") -> DataFrame:
-    return rows.filter(F.col(first) > F.col(last))
+@by_row
+def date_order(first: str = "first_odds_date", last: str = "last_odds_date") -> Column:
+    return F.col(first) > F.col(last)
 
 
-def odds_without_bounds(markets: DataFrame) -> DataFrame:
+@by_row
+def odds_without_bounds() -> Column:
     """Markets with odds but without both dates, or with a date but without odds."""
     dates = F.col("first_odds_date").isNotNull() & F.col("last_odds_date").isNotNull()
     some = F.col("first_odds_date").isNotNull() | F.col("last_odds_date").isNotNull()
-    return markets.filter(((F.col("has_odds_data") == 1) & ~dates) | ((F.col("has_odds_data") == 0) & some))
+    return ((F.col("has_odds_data") == 1) & ~dates) | ((F.col("has_odds_data") == 0) & some)
 
 
-def odds_without_tokens(markets: DataFrame) -> DataFrame:
-    return markets.filter((F.col("has_odds_data") == 1) & (F.coalesce("token_count", F.lit(0)) < 1))
+@by_row
+def odds_without_tokens() -> Column:
+    return (F.col("has_odds_data") == 1) & (F.coalesce("token_count", F.lit(0)) < 1)
 
 
 def rollup_mismatch(markets: DataFrame, recomputed: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -91,34 +110,40 @@ def rollup_mismatch(markets: DataFrame, recomputed: DataFrame, keys: Sequence[st
     return joined.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), *(F.col(f"{s}.{v}").alias(f"{v}_{n}") for v in values for s, n in (("a", "actual"), ("b", "expected"))))
 
 
-def http_counts(runs: DataFrame) -> DataFrame:
-    return runs.filter((F.col("http_429") > F.col("http_requests")) | (F.col("http_errors") > F.col("http_requests")))
+@by_row
+def http_counts() -> Column:
+    return (F.col("http_429") > F.col("http_requests")) | (F.col("http_errors") > F.col("http_requests"))
 
 
-def planned_below_processed(runs: DataFrame) -> DataFrame:
-    return runs.filter(F.col("planned_tokens") < F.col("processed_tokens"))
+@by_row
+def planned_below_processed() -> Column:
+    return F.col("planned_tokens") < F.col("processed_tokens")
 
 
-def ratio_mismatch(runs: DataFrame, part: str, whole: str, ratio: str) -> DataFrame:
+@by_row
+def ratio_mismatch(part: str, whole: str, ratio: str) -> Column:
     wanted = F.when(F.coalesce(F.col(whole), F.lit(0)) != 0, F.col(part).cast("double") / F.col(whole))
     null_differs = wanted.isNull() != F.col(ratio).isNull()
-    return runs.filter(null_differs | F.coalesce(F.abs(wanted - F.col(ratio)) > 1e-9, F.lit(False)))
+    return null_differs | F.coalesce(F.abs(wanted - F.col(ratio)) > 1e-9, F.lit(False))
 
 
-def coverage_disagreement(tokens: DataFrame) -> DataFrame:
+@by_row
+def coverage_disagreement() -> Column:
     """Tokens whose dates, flag and counts of observed days disagree."""
     has, days = F.col("has_daily_odds") == 1, F.col("token_days_observed")
     dated = F.col("first_odds_date").isNotNull() & F.col("last_odds_date").isNotNull()
-    return tokens.filter((has != dated) | (has != (days > 0)) | F.coalesce(F.col("first_odds_date") > F.col("last_odds_date"), F.lit(False)))
+    return (has != dated) | (has != (days > 0)) | F.coalesce(F.col("first_odds_date") > F.col("last_odds_date"), F.lit(False))
 
 
-def checked_above_count(tokens: DataFrame) -> DataFrame:
-    return tokens.filter(F.col("market_fully_checked_tokens") > F.col("market_token_count"))
+@by_row
+def checked_above_count() -> Column:
+    return F.col("market_fully_checked_tokens") > F.col("market_token_count")
 
 
-def checked_flag_wrong(tokens: DataFrame) -> DataFrame:
+@by_row
+def checked_flag_wrong() -> Column:
     all_checked = (F.col("market_token_count") > 0) & (F.col("market_token_count") == F.col("market_fully_checked_tokens"))
-    return tokens.filter(F.col("market_fully_checked") != all_checked)
+    return F.col("market_fully_checked") != all_checked
 
 
 def count_parity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -145,8 +170,9 @@ def subset_mismatch(part: DataFrame, whole: DataFrame, keys: Sequence[str], valu
     return differ.join(there, keys, "left").select(*keys, kind.alias("mismatch_type"))
 
 
-def below_threshold(rows: DataFrame, column: str, least: float) -> DataFrame:
-    return rows.filter(F.coalesce(F.col(column), F.lit(0.0)) < least)
+@by_row
+def below_threshold(column: str, least: float) -> Column:
+    return F.coalesce(F.col(column), F.lit(0.0)) < least
 
 
 def scope_mismatch(mart: DataFrame, expected: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

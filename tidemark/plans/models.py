@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import epoch_to_timestamp, guarded_ratio, json_leaves, json_list
@@ -258,20 +258,26 @@ class Model:
     checks: Mapping[str, Check] = field(default_factory=dict)
 
 
-def _only(check: Callable[[DataFrame], DataFrame]) -> Check:
-    return lambda rows, frames: check(rows)
+@dataclass(frozen=True)
+class RowCheck:
+    """A check of each row by itself; those of one model are counted in one pass. ``where``: the violations' condition."""
+
+    where: Callable[[], Column]
+
+    def __call__(self, rows: DataFrame, frames: Frames) -> DataFrame:
+        return rows.filter(self.where())
 
 
 def models(scope: Scope, whale: float = BIG_VOLUME) -> list[Model]:
     """All models, each after those it needs."""
-    series_checks = {"price_requires_timestamps": _only(quality.price_without_time)}
-    unit = {"unit_prices": _only(lambda rows: quality.outside_unit(rows, ["price"]))}
+    series_checks = {"price_requires_timestamps": RowCheck(quality.price_without_time.where)}
+    unit = {"unit_prices": RowCheck(lambda: quality.outside_unit.where(["price"]))}
     return [
         Model("stg_markets", "staging", ["raw.markets"], stg_markets, ["market_id"]),
         Model("stg_market_tokens", "staging", ["raw.market_tokens"], stg_market_tokens, ["market_id", "outcome_index"]),
         Model("stg_odds", "staging", ["raw.odds_history"], stg_odds, [TOKEN, "odds_timestamp_epoch"], checks=unit),
         Model("stg_odds_daily", "staging", ["raw.token_odds_daily"], stg_odds_daily, [TOKEN, "odds_date_utc"],
-              checks={"ohlc_order": _only(quality.ohlc_order), "ohlc_bounds": _only(quality.ohlc_bounds)}),
+              checks={"ohlc_order": RowCheck(quality.ohlc_order.where), "ohlc_bounds": RowCheck(quality.ohlc_bounds.where)}),
         Model("stg_sync_ledger", "staging", ["ops.token_sync_ledger"], stg_sync_ledger, [TOKEN]),
         Model("stg_token_sync_skips", "staging", ["ops.token_sync_skips"], stg_token_sync_skips, [TOKEN]),
         Model("stg_pipeline_run_events", "staging", ["ops.pipeline_run_events"], stg_pipeline_run_events, ["run_id"]),
@@ -285,23 +291,23 @@ def models(scope: Scope, whale: float = BIG_VOLUME) -> list[Model]:
         Model("scoped_minutely_odds", "marts", ["int_scoped_universe", "int_token_timeseries"], scoped_minutely_odds,
               [TOKEN, "odds_timestamp_epoch"], checks=unit),
         Model("whale_minutely_odds", "marts", ["scoped_minutely_odds"], lambda rows: whale_minutely_odds(rows, whale),
-              checks={"threshold": _only(lambda rows: quality.below_threshold(rows, "market_volume_usd", whale)),
+              checks={"threshold": RowCheck(lambda: quality.below_threshold.where("market_volume_usd", whale)),
                       "subset": lambda rows, frames: quality.subset_mismatch(rows, frames["scoped_minutely_odds"], [TOKEN, "odds_timestamp_epoch"], "price")}),
         Model("scoped_daily_odds", "marts", ["int_scoped_universe", "int_token_daily_timeseries"], scoped_daily_odds, [TOKEN, "odds_date_utc"]),
         Model("token_coverage", "marts", ["int_token_universe", "int_token_daily_timeseries", "stg_sync_ledger", "stg_token_sync_skips"],
               token_coverage, [TOKEN], True,
-              {"gaps": _only(lambda rows: quality.negative(rows, ["max_gap_days", "avg_gap_days", "token_days_observed"])),
-               "dates_and_flags": _only(quality.coverage_disagreement), "checked_count": _only(quality.checked_above_count),
-               "checked_flag": _only(quality.checked_flag_wrong),
+              {"gaps": RowCheck(lambda: quality.negative.where(["max_gap_days", "avg_gap_days", "token_days_observed"])),
+               "dates_and_flags": RowCheck(quality.coverage_disagreement.where), "checked_count": RowCheck(quality.checked_above_count.where),
+               "checked_flag": RowCheck(quality.checked_flag_wrong.where),
                "row_count": lambda rows, frames: quality.count_parity(rows, frames["int_token_universe"]),
                "days": lambda rows, frames: quality.days_mismatch(rows, frames["int_token_daily_timeseries"])}),
         Model("market_coverage", "marts", ["token_coverage"], market_coverage, ["market_id", "question", "event_slug"], True,
-              {"date_order": _only(quality.date_order), "odds_bounds": _only(quality.odds_without_bounds),
-               "odds_tokens": _only(quality.odds_without_tokens)}),
+              {"date_order": RowCheck(quality.date_order.where), "odds_bounds": RowCheck(quality.odds_without_bounds.where),
+               "odds_tokens": RowCheck(quality.odds_without_tokens.where)}),
         Model("run_observability", "observability", ["stg_pipeline_run_events"], run_observability, ["run_id"], True,
-              {"http": _only(quality.http_counts), "non_negative": _only(lambda rows: quality.negative(rows, ["processed_tokens", "rows_fetched"])),
-               "planned": _only(quality.planned_below_processed),
-               "ratio": _only(lambda rows: quality.ratio_mismatch(rows, "rows_fetched", "processed_tokens", "rows_per_processed_token"))}),
+              {"http": RowCheck(quality.http_counts.where), "non_negative": RowCheck(lambda: quality.negative.where(["processed_tokens", "rows_fetched"])),
+               "planned": RowCheck(quality.planned_below_processed.where),
+               "ratio": RowCheck(lambda: quality.ratio_mismatch.where("rows_fetched", "processed_tokens", "rows_per_processed_token"))}),
     ]
 
 
@@ -350,7 +356,12 @@ def violations(frames: Frames, scope: Scope, whale: float = BIG_VOLUME) -> DataF
         checks = dict(model.checks)
         if model.grain:
             checks["grain"] = lambda r, f, g=tuple(model.grain): quality.duplicate_grain(r, g)
-        for name, check in checks.items():
-            n = check(rows, frames).agg(F.count("*").alias("n_violations"))
-            found.append(n.select(F.lit(model.name).alias("model_name"), F.lit(name).alias("check_name"), "n_violations"))
+        by_row = {name: check for name, check in checks.items() if isinstance(check, RowCheck)}
+        if len(by_row) < 2:  # one alone is a filter that scans and joins may use
+            by_row = {}
+        counts = [rows.agg(*(F.count_if(check.where()).alias(name) for name, check in by_row.items()))] if by_row else []
+        counts += [check(rows, frames).agg(F.count("*").alias(name)) for name, check in checks.items() if name not in by_row]
+        for n in counts:
+            each = (F.struct(F.lit(model.name).alias("model_name"), F.lit(c).alias("check_name"), F.col(c).alias("n_violations")) for c in n.columns)
+            found.append(n.select(F.inline(F.array(*each))))
     return reduce(DataFrame.unionByName, found)
