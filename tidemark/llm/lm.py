@@ -210,15 +210,17 @@ class Network:
         Gates lie apart, each a block of its own: numpy is several times faster on whole blocks than on slices of rows.
         """
         inputs, u = _gates(self.w["inputs"]), _gates(self.w["state"])
-        states = np.empty((len(x), *h.shape), np.float32)
-        first, g = h, np.take(inputs, x, axis=1, mode="clip")  # becomes the gates' values, in place
+        for weights in (inputs, u):  # the first two gates need the negative of their sums: exact, and once for all steps
+            np.negative(weights[:2], out=weights[:2])
+        reached = np.empty((len(x) + 1, *h.shape), np.float32)
+        reached[0], states = h, reached[1:]
+        g = np.take(inputs, x, axis=1, mode="clip")  # becomes the gates' values, in place
         kept = np.empty_like(states) if keep else None
         s = np.empty((3, *h.shape), np.float32)
         for t in range(len(x)):
             np.matmul(h, u, out=s)
             gates, new = g[:2, t], g[2, t]
             gates += s[:2]
-            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
@@ -230,7 +232,7 @@ class Network:
             h = np.subtract(h, new, out=states[t])
             h *= gates[0]
             h += new
-        return states, (np.concatenate([first[None], states[:-1]]), g, kept) if keep else None
+        return states, (reached[:-1], g, kept) if keep else None
 
     def _outputs(self, h: np.ndarray, y: np.ndarray, learn: bool) -> tuple[np.ndarray, tuple | None]:
         """Natural logarithms of the probabilities of ``y`` after states ``h``; ``learn``: also gradients of their sum.
