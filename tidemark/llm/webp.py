@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,8 +39,8 @@ MOST_ROWS = 16_384
 LEAST_COPY, MOST_COPY, REACH, CODE_BITS = 5, 4096, 1_000_000, 12
 #: A predictor is tried where it brings the samples' entropy below this share.
 PREDICTABLE = 0.9
-#: Bits that the decoder looks at together, and tokens that the encoder writes together.
-SEGMENT, TOKENS = 1 << 16, 1 << 15
+#: Bits that the decoder looks at together.
+SEGMENT = 1 << 16
 
 # Fixed values of the bitstream.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -193,6 +194,7 @@ def _reversed_bits(n: int) -> np.ndarray:
 
 
 _REVERSED = [_reversed_bits(n) for n in range(16)]
+_SHORT = [x.tolist() for x in _REVERSED[:8]]
 
 
 def _tables(code: _Code) -> tuple[np.ndarray, np.ndarray]:
@@ -564,10 +566,9 @@ def _code_header(lengths: np.ndarray) -> np.ndarray:
         if len(used) == 2:
             return _bit_array((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8))
         return _bit_array((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
-    part = lengths[: used[-1] + 1]
-    edge = np.flatnonzero(np.diff(part)) + 1
     tokens: list[tuple[int, int, int]] = []  # symbol, and what follows it
-    for value, n in zip(part[np.concatenate([[0], edge])].tolist(), np.diff(np.concatenate([[0], edge, [len(part)]])).tolist(), strict=True):
+    for value, run in itertools.groupby(lengths[: used[-1] + 1].tolist()):
+        n = len(list(run))
         if value:
             tokens.append((value, 0, 0))
             n -= 1
@@ -584,7 +585,13 @@ def _code_header(lengths: np.ndarray) -> np.ndarray:
     # At most 7 bits: these lengths are stored in 3.
     while (of := _lengths(counts)).max() > 7:
         counts = counts + (counts > 0) >> 1
-    words, of = _words(of).tolist(), of.tolist()
+    of = of.tolist()
+    words, code, last = [0] * 19, 0, 0
+    for n, symbol in sorted((n, symbol) for symbol, n in enumerate(of) if n):
+        code <<= n - last
+        last = n
+        words[symbol] = _SHORT[n][code]
+        code += 1
     stored = [of[s] for s in _LENGTH_ORDER]
     n = max(4, 19 - next(i for i, x in enumerate(reversed(stored)) if x))
     fields = [(0, 1), (n - 4, 4), *((x, 3) for x in stored[:n]), (1, 1)]
@@ -676,12 +683,15 @@ def _coded(sample: np.ndarray, width: int, alpha: np.ndarray) -> list[np.ndarray
     value[first], bits[first] = green_words[symbol], green[symbol]
     for i, (v, b) in enumerate(((long_rest, long_extra), (away_words[far], away[far]), (far_rest, far_extra)), 1):
         value[first[which] + i], bits[first[which] + i] = v, b
-    for a in range(0, len(value), TOKENS):
-        v, b = value[a : a + TOKENS], bits[a : a + TOKENS]
-        if b.max() <= 16:
-            v = v.astype("<u2")
-        each = np.unpackbits(v.view(np.uint8).reshape(len(v), -1), axis=1, bitorder="little")
-        out.append(each[np.arange(each.shape[1], dtype=np.uint8) < b[:, None]])
+    # Fields of 18 bits at most start in a word of 32 bits and end in it or the next; sums of floats are exact below 2**53.
+    ends = bits.cumsum(dtype=np.int64)
+    at = ends - bits
+    whole = value.astype(np.uint64) << (at & 31).astype(np.uint64)
+    at >>= 5
+    n = (int(ends[-1]) >> 5) + 2
+    words = np.bincount(at, whole & np.uint64(0xFFFFFFFF), n)
+    words[1:] += np.bincount(at, whole >> np.uint64(32), n)[:-1]
+    out.append(np.unpackbits(words.astype("<u4").view(np.uint8), count=int(ends[-1]), bitorder="little"))
     return out
 
 
