@@ -13,6 +13,9 @@ same after a predictor, where the differences from the left or upper samples var
 can't win on one channel, as a pixel is one symbol anyhow, so the encoder asks for none. A payload is one file: rows are
 ``ROW`` samples wide, and twice as wide as often as a payload of more rows than the format allows needs it.
 
+Many payloads are coded, and many files read, at a time, with array operations that serve them all: most texts are short, and
+one by one the calls cost more than the samples. A file doesn't depend on those beside it.
+
 Null and empty texts are stored as one row of zeros. Rows of null or repeated ids are stored like others. Equal texts give equal bytes. An empty table gives no rows. Texts of
 more than 2**28 bytes don't fit the format and are an error.
 """
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -39,6 +41,8 @@ MOST_ROWS = 16_384
 LEAST_COPY, MOST_COPY, REACH, CODE_BITS = 5, 4096, 1_000_000, 12
 #: A predictor is tried where it brings the samples' entropy below this share.
 PREDICTABLE = 0.9
+#: Samples that are coded, or read, together, unless a single payload has more.
+TOGETHER = 1 << 17
 #: Bits that the decoder looks at together.
 SEGMENT = 1 << 16
 
@@ -47,6 +51,8 @@ _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 1
 _CACHE_MULTIPLIER = 0x1E35A7BD
 _GREEN_SYMBOLS, _DISTANCES = 256 + 24, 40
 
+#: For symbols of lengths, how many bits follow, and the least repeats that they stand for.
+_MORE, _LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([0] * 16 + [3, 3, 11])
 #: Where the length of each symbol of lengths is stored.
 _LENGTH_PLACE = [_LENGTH_ORDER.index(s) for s in range(19)]
 
@@ -92,7 +98,7 @@ class _Code:
         for n, symbol in sorted(self.used):
             code <<= n - last
             last = n
-            first = int(format(code, f"0{n}b")[::-1], 2)
+            first = _SHORT[n][code] if n < 8 else int(format(code, f"0{n}b")[::-1], 2)
             for i in range(first, 1 << self.bits, 1 << n):
                 self.table[i] = (symbol, n)
             code += 1
@@ -197,14 +203,12 @@ _REVERSED = [_reversed_bits(n) for n in range(16)]
 _SHORT = [x.tolist() for x in _REVERSED[:8]]
 
 
-def _tables(code: _Code) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of the next ``code.bits`` bits the symbol and its length."""
+def _table(code: _Code) -> np.ndarray:
+    """For each value of the next ``code.bits`` bits the symbol, and its length in the least four bits."""
     if code.only is not None:
-        return np.array([code.only]), np.zeros(1, np.int64)
-    lengths, symbols = np.array(sorted(code.used)).T
-    times = 1 << code.bits - lengths
-    back = _REVERSED[code.bits]
-    return np.repeat(symbols, times)[back], np.repeat(lengths, times)[back]
+        return np.array([code.only << 4], np.uint16)
+    both = np.array([symbol << 4 | n for n, symbol in sorted(code.used)], np.uint16)  # a code has at most 15 bits
+    return np.repeat(both, 1 << code.bits - (both & 15).astype(np.int64))[_REVERSED[code.bits]]
 
 
 #: For symbols of lengths and distances, how many bits follow, and the least value.
@@ -220,92 +224,127 @@ def _near(width: int) -> np.ndarray:
     return np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
 
 
-def _chain(next_: np.ndarray, begin: int) -> np.ndarray:
-    """All places from ``begin`` on, each the next of the one before, as far as ``next_`` reaches."""
-    n = len(next_)
-    one = np.empty(n + 1, np.int64)
-    np.minimum(next_, n, out=one[:n])
-    one[n] = n
-    two = one.take(one)
-    four, heads, o = two.take(two), [], begin
-    step = memoryview(four)
-    while o < n:
-        heads.append(o)
-        o = step[o]
-    found = np.empty((len(heads), 4), np.int64)
-    found[:, 0] = heads
-    found[:, 2] = two.take(found[:, 0])
-    found[:, 1::2] = one.take(found[:, ::2])
-    found = found.ravel()
-    return found[found < n]
+def _is_one_channel(codes: list[_Code]) -> bool:
+    """Whether the other channels are constant, and each symbol takes bits."""
+    return codes[0].bits > 0 and all(c.only is not None for c in codes[1:4])
+
+
+def _one_channels(images: list[tuple[_Bits, list[_Code], int, int]]) -> list[np.ndarray]:
+    """The pixels of images (bits, codes, number of pixels, width) of one channel without a cache: symbols of all offsets, then
+    the chain of each image. Each array operation serves as many images as ``SEGMENT`` allows."""
+    n = np.array([x[2] for x in images], np.int64)
+    base, filled = np.cumsum(n) - n, np.zeros(len(n), np.int64)
+    out = bytearray(int(n.sum()))
+    samples, todo = np.frombuffer(out, np.uint8), list(range(len(images)))[::-1]
+    while todo:
+        some, data, looked, begin = [], [], [], []
+        while todo and (not some or sum(looked) + len(images[todo[-1]][0].data) <= SEGMENT >> 3):
+            bits = images[todo[-1]][0]
+            some.append(todo.pop())
+            data.append(bits.data[bits.at >> 3 : (bits.at >> 3) + (SEGMENT >> 3) + 16] + bytes(8))
+            looked.append(min(SEGMENT >> 3, len(data[-1]) - 8))
+            begin.append(bits.at & 7)
+        sizes = np.array([len(d) for d in data])
+        start = 8 * (np.cumsum(sizes) - sizes)  # the first bit of each image
+        end = start + 8 * np.array(looked)
+        of = np.repeat(np.arange(len(some)), sizes)
+        green, green_mask, green_base = _joined_tables([images[i][1][0] for i in some])
+        far, far_mask, far_base = _joined_tables([images[i][1][4] for i in some])
+        word = np.ndarray(len(of), "<i8", b"".join(data) + bytes(8), 0, (1,)).copy()
+        found = word[:, None] >> _EIGHT
+        found &= green_mask[of, None]
+        found += green_base[of, None]
+        symbol = green.take(found.ravel())
+        reach = len(symbol)
+        next_ = np.arange(reach + 1)
+        next_[:-1] += symbol & 15
+
+        def peek(where: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            return word[np.minimum(where >> 3, len(word) - 1)] >> (where & 7) & mask  # noqa: B023
 
+        def distance_code(where: np.ndarray, of: np.ndarray) -> np.ndarray:
+            return far.take(peek(where, far_mask[of]) + far_base[of]).astype(np.int64)  # noqa: B023
 
-def _one_channel(bits: _Bits, codes: list[_Code], n: int, width: int) -> np.ndarray | None:
-    """The pixels, if the other channels are constant and there is no cache: symbols of all offsets, then their chain."""
-    if any(c.only is None for c in codes[1:4]):
-        return None
-    green, green_bits = _tables(codes[0])
-    if codes[0].bits == 0 and green[0] < 256:
-        return None  # one colour without any bits: nothing to follow
-    both = green << 4 | green_bits  # a code has at most 15 bits
-    far, far_bits = _tables(codes[4])
-    near, out, filled, end = _near(width), bytearray(n), 0, 8 * len(bits.data)
-    while filled < n:
-        first = bits.at >> 3
-        byte = np.frombuffer(bits.data, np.uint8, min(SEGMENT // 8 + 16, len(bits.data) - first), first)
-        byte = np.concatenate([byte, np.zeros(8, np.uint8)])
-        word = np.lib.stride_tricks.sliding_window_view(byte, 8)[:-1].copy().view("<i8")[:, 0]
-        looked = min(SEGMENT, 8 * len(word))
-        found = (word[: looked >> 3, None] >> _EIGHT).ravel()
-        found &= (1 << codes[0].bits) - 1
-        symbol = both.take(found)  # and its bits
-        next_ = symbol & 15
-        next_ += np.arange(looked)
         copies = np.flatnonzero(symbol >= 256 << 4)
-        s, where = (symbol[copies] >> 4) - 256, next_[copies]
-
-        def peek(where: np.ndarray, mask: np.ndarray | int) -> np.ndarray:
-            return word[np.minimum(where >> 3, len(word) - 1)] >> (where & 7) & mask  # noqa: B023
-
-        length = _BASE[s] + peek(where, (1 << _EXTRA[s]) - 1)
-        where = where + _EXTRA[s]
-        found = peek(where, (1 << codes[4].bits) - 1)
-        s, where = far[found], where + far_bits[found]
-        distance = _BASE[s] + peek(where, (1 << _EXTRA[s]) - 1)
-        next_[copies] = where + _EXTRA[s]
-        distance = np.where(distance <= len(NEAR), near[np.minimum(distance, len(NEAR))], distance - len(NEAR))
-        chain = _chain(next_, bits.at - 8 * first)
+        where = next_[copies] + _EXTRA[(symbol[copies] >> 4) - 256]
+        code = distance_code(where, of[copies >> 3])
+        next_[copies] = where + (code & 15) + _EXTRA[code >> 4]
+        np.minimum(next_, reach, out=next_)
+        jumps = [next_]  # 1, 2, 4 and 8 symbols on
+        for _ in range(3):
+            jumps.append(jumps[-1].take(jumps[-1]))
+        step, heads, counts = memoryview(jumps.pop()), [], []
+        for o, stop in zip((start + begin).tolist(), end.tolist(), strict=True):
+            before = len(heads)
+            while o < stop:
+                heads.append(o)
+                o = step[o]
+            counts.append(8 * (len(heads) - before))
+        chain, of = np.array(heads, np.int64), np.repeat(np.arange(len(some)), counts)
+        for jump in reversed(jumps):
+            chain = np.stack([chain, jump.take(chain)], 1).ravel()
+        within = chain < end[of]
+        chain, of = chain[within], of[within]
         value = symbol[chain] >> 4
         is_copy = np.flatnonzero(value >= 256)
-        which = np.searchsorted(copies, chain[is_copy])
+        where, which = chain[is_copy] + (symbol[chain[is_copy]] & 15), value[is_copy].astype(np.int64) - 256
+        length = _BASE[which] + peek(where, (1 << _EXTRA[which]) - 1)
+        where += _EXTRA[which]
+        code = distance_code(where, of[is_copy])
+        where, which = where + (code & 15), code >> 4
+        distance = _BASE[which] + peek(where, (1 << _EXTRA[which]) - 1)
+        near = np.array([_near(images[i][3]) for i in some])[of[is_copy], np.minimum(distance, len(NEAR))]
+        distance = np.where(distance <= len(NEAR), near, distance - len(NEAR))
         size = np.ones(len(chain), np.int64)
-        size[is_copy] = length[which]
-        ends = filled + np.cumsum(size)
-        taken = int(np.searchsorted(ends, n, "left")) + 1  # tokens up to the one that fills the image
-        chain, value, ends, is_copy = chain[:taken], value[:taken], ends[:taken], is_copy[is_copy < taken]
-        if not len(chain) or 8 * first + int(next_[chain[-1]]) > end:
+        size[is_copy] = length
+        place = np.cumsum(size) - size
+        head = of.searchsorted(np.arange(len(some)))
+        if not len(of) or (np.bincount(of, minlength=len(some)) == 0).any():
             raise ValueError("the stream is too short")
-        if ends[-1] > n:
+        place += (filled[some] - place[head])[of]
+        fits = place < n[some][of]  # tokens up to the one that fills the image
+        copied = fits[is_copy]
+        is_copy, length, distance = is_copy[copied], length[copied], distance[copied]
+        last = np.append(head[1:], len(of)) - 1 - np.bincount(of, ~fits, len(some)).astype(np.int64)
+        filled[some] = place[last] + size[last]
+        if (filled > n).any() or (distance > place[is_copy]).any():
             raise ValueError("a back-reference out of the image")
-        place = ends - size[:taken]
-        literal = np.zeros(int(ends[-1]) - filled, np.uint8)
-        literal[place - filled] = np.minimum(value, 255)  # copies overwrite theirs
-        out[filled : int(ends[-1])] = literal.tobytes()
-        for to, m, d in zip(place[is_copy].tolist(), length[which].tolist(), distance[which].tolist(), strict=False):
-            if d > to:
-                raise ValueError("a back-reference out of the image")
+        place += base[some][of]
+        samples[place[fits]] = np.minimum(value[fits], 255)  # copies overwrite theirs
+        for to, m, d in zip(place[is_copy].tolist(), length.tolist(), distance.tolist(), strict=True):
             if d >= m:
                 out[to : to + m] = out[to - d : to - d + m]
             else:
                 out[to : to + m] = (out[to - d : to] * (m // d + 1))[:m]
-        filled = int(ends[-1])
-        bits.at = 8 * first + int(next_[chain[-1]])
-    rest = np.uint32(codes[3].only << 24 | codes[1].only << 16 | codes[2].only)
-    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | rest
+        for i, used in zip(some, (next_[chain[last]] - start).tolist(), strict=True):
+            bits = images[i][0]
+            bits.at = 8 * (bits.at >> 3) + used
+            if bits.at > 8 * len(bits.data):
+                raise ValueError("the stream is too short")
+            if filled[i] < n[i]:
+                todo.append(i)
+    pixels = samples.astype(np.uint32) << np.uint32(8)
+    rest = (np.uint32(c[3].only << 24 | c[1].only << 16 | c[2].only) for _, c, _, _ in images)
+    return [pixels[at : at + m] | r for at, m, r in zip(base.tolist(), n.tolist(), rest, strict=True)]
 
 
-def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image as ARGB pixels; only the main one can choose among groups of codes."""
+def _joined_tables(codes: list[_Code]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tables of several codes, one after another; the mask of each code's bits, and where its table begins."""
+    size = np.array([1 << c.bits for c in codes])
+    return np.concatenate([_table(c) for c in codes]), size - 1, np.cumsum(size) - size
+
+
+def _one_channel(bits: _Bits, codes: list[_Code], n: int, width: int) -> np.ndarray | None:
+    """The pixels, if the other channels are constant."""
+    return _one_channels([(bits, codes, n, width)])[0] if _is_one_channel(codes) else None
+
+
+#: What is ahead of an image's pixels: groups of codes, bits of the cache, which group is chosen where, and its blocks' size.
+_Ahead = tuple[list[list[_Code]], int, np.ndarray | None, int]
+
+
+def _ahead(bits: _Bits, width: int, height: int, main: bool) -> _Ahead:
+    """Only the main image can choose among groups of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("a colour cache that is too large")
@@ -316,6 +355,16 @@ def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
         chosen = side >> np.uint32(8) & np.uint32(0xFFFF)
     sizes = (_GREEN_SYMBOLS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, _DISTANCES)
     groups = [[_read_code(bits, s) for s in sizes] for _ in range(1 if chosen is None else int(chosen.max()) + 1)]
+    return groups, cache_bits, chosen, block
+
+
+def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """An entropy-coded image as ARGB pixels."""
+    return _pixels(bits, width, height, _ahead(bits, width, height, main))
+
+
+def _pixels(bits: _Bits, width: int, height: int, ahead: _Ahead) -> np.ndarray:
+    groups, cache_bits, chosen, block = ahead
     n = width * height
     if len(groups) == 1 and not cache_bits:
         read = _at_stride(bits, groups[0], n)
@@ -445,8 +494,11 @@ def _uncut(argb: np.ndarray, palette: np.ndarray, packed: int, width: int) -> np
     return padded[place]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ARGB pixels of a lossless WebP file, as an array of height by width."""
+#: A file up to its pixels: bits, width and height of the main image, what is ahead of its pixels, and the transforms.
+_Opened = tuple[_Bits, int, int, _Ahead, list[tuple]]
+
+
+def _opened(data: bytes) -> _Opened:
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20:21] != b"\x2f":
         raise ValueError("not a lossless WebP file")
     bits = _Bits(data[21 : 20 + int.from_bytes(data[16:20], "little")])
@@ -469,7 +521,10 @@ def decode(data: bytes) -> np.ndarray:
             packed = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             undo.append((_uncut, palette, (packed, inner)))
             inner = (inner + (1 << packed) - 1) >> packed
-    argb = _image(bits, inner, height, True)
+    return bits, inner, height, _ahead(bits, inner, height, True), undo
+
+
+def _undone(argb: np.ndarray, undo: list[tuple]) -> np.ndarray:
     for inverse, side, how in reversed(undo):
         if inverse is None:
             c = _channels(argb)
@@ -481,23 +536,49 @@ def decode(data: bytes) -> np.ndarray:
     return argb
 
 
-def _bit_array(*fields: tuple[int, int]) -> np.ndarray:
-    """Values and widths as bits, least significant first."""
+def decode(data: bytes) -> np.ndarray:
+    """The ARGB pixels of a lossless WebP file, as an array of height by width."""
+    bits, width, height, ahead, undo = _opened(data)
+    return _undone(_pixels(bits, width, height, ahead), undo)
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """``decode`` for each; files of one channel with codes of unequal lengths are read together."""
+    opened, found = [_opened(data) for data in files], {}
+    for i, (bits, width, height, (groups, cache_bits, *_), _) in enumerate(opened):
+        if len(groups) == 1 and not cache_bits and groups[0][0].flat is None and _is_one_channel(groups[0]):
+            found[i] = (bits, groups[0], width * height, width)
+    found = dict(zip(found, _one_channels(list(found.values())), strict=True))
+    out = []
+    for i, (bits, width, height, ahead, undo) in enumerate(opened):
+        argb = found[i].reshape(height, width) if i in found else _pixels(bits, width, height, ahead)
+        out.append(_undone(argb, undo))
+    return out
+
+
+def _field(*fields: tuple[int, int]) -> tuple[int, int]:
+    """Values and widths as one value and width, the first in the least bits."""
     whole = n = 0
     for value, width in fields:
         whole |= value << n
         n += width
+    return whole, n
+
+
+def _bit_array(*fields: tuple[int, int]) -> np.ndarray:
+    """Values and widths as bits, least significant first."""
+    whole, n = _field(*fields)
     return np.unpackbits(np.frombuffer(whole.to_bytes(n + 7 >> 3, "little"), np.uint8), count=n, bitorder="little")
 
 
 #: A code of one symbol: 0, or 255.
-_ZERO, _FULL = _bit_array((1, 1), (0, 1), (0, 1), (0, 1)), _bit_array((1, 1), (0, 1), (1, 1), (255, 8))
+_ZERO, _FULL = _field((1, 1), (0, 1), (0, 1), (0, 1)), _field((1, 1), (0, 1), (1, 1), (255, 8))
 
 
 def _equal_lengths(width: int) -> np.ndarray:
     """A normal code of 2**width symbols of equal lengths, all others unused."""
     if width == 0:
-        return _ZERO
+        return _bit_array(_ZERO)
     tokens = [width]  # the length itself, or 16: again 3 to 6 times
     left = (1 << width) - 1
     while left >= 3:
@@ -549,67 +630,109 @@ def _lengths(counts: np.ndarray) -> np.ndarray:
 
 
 def _words(lengths: np.ndarray) -> np.ndarray:
-    """The code of each symbol, its first bit the least."""
-    out = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[order]
-    start = np.cumsum(1 << 15 - n) - (1 << 15 - n)  # codes ascend with their lengths
-    out[order] = _REVERSED[15][start] & (1 << n) - 1
+    """The code of each symbol, its first bit the least; a row is a code."""
+    order = np.argsort(lengths, axis=1, kind="stable")
+    n = np.take_along_axis(lengths, order, 1)
+    space = np.where(n > 0, 1 << 15 - n, 0)
+    start = np.cumsum(space, 1) - space  # codes ascend with their lengths
+    out = np.zeros_like(lengths)
+    np.put_along_axis(out, order, _REVERSED[15][start] & (1 << n) - 1, 1)
+    return out
+
+
+#: Fields of a stream, in its order: the image that each is of (ascending), its value and its bits, 64 at most.
+_Fields = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _packed(parts: list[_Fields], images: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of each image one after another, as words of 32 bits; its first word and its bits."""
+    bits = np.array([np.bincount(of, n, images) for of, _, n in parts]).astype(np.int64)
+    total = bits.sum(0)
+    words = total + 31 >> 5
+    first = np.cumsum(words) - words
+    begin = 32 * first + np.cumsum(bits, 0) - bits
+    out = np.zeros(int(words.sum()) + 2)  # sums of floats are exact below 2**53
+
+    def put(at: np.ndarray, value: np.ndarray) -> None:
+        """Values of 32 bits start in a word and end in it or the next."""
+        value = value << (at & 31).astype(np.uint64)
+        at = at >> 5
+        np.add(out, np.bincount(at, value & np.uint64(0xFFFFFFFF), len(out)), out=out)
+        out[1:] += np.bincount(at, value >> np.uint64(32), len(out))[:-1]
+
+    for (of, value, n), start, each in zip(parts, begin, bits, strict=True):
+        if len(of) == 0:
+            continue
+        at = np.cumsum(n) - n
+        at += (start - (np.cumsum(each) - each))[of]
+        value = value.astype(np.uint64)
+        wide = np.flatnonzero(n > 32)
+        if len(wide):
+            put(at[wide] + 32, value[wide] >> np.uint64(32))
+            value &= np.uint64(0xFFFFFFFF)
+        put(at, value)
+    return out.astype("<u4"), first, total
+
+
+def _headers(lengths: np.ndarray) -> list[_Fields]:
+    """What tells a decoder the lengths of a code; a row is a code."""
+    used = lengths > 0
+    count, size = used.sum(1), lengths.shape[1]
+    first, last = used.argmax(1), size - 1 - used[:, ::-1].argmax(1)
+    last[count == 0] = 0
+    simple = (count == 0) | (count <= 2) & (last < 256)
+    of = np.flatnonzero(simple)
+    pair = count[of] == 2
+    out = [(of, np.where(pair, 7 | first[of] << 3 | last[of] << 11, 5 | first[of] << 3), np.where(pair, 19, 11))]
+    rows = np.flatnonzero(~simple)
+    if not len(rows):
+        return out
+    # Runs of equal lengths, each as a length, if not 0, repeats of the most that one can stand for, and what is left.
+    within = np.arange(size) <= last[rows, None]
+    value, row = lengths[rows][within], np.nonzero(within)[0]
+    begin = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]))
+    run = np.diff(begin, append=len(value))
+    value, row = value[begin], row[begin]
+    lead = (value > 0).astype(np.int64)
+    most = np.where(value > 0, 6, 138)
+    full, rest = np.divmod(run - lead, most)
+    tokens = lead + full + np.where(rest >= 3, 1, rest)
+    which = np.repeat(np.arange(len(tokens)), tokens)
+    place = np.arange(len(which)) - (np.cumsum(tokens) - tokens + lead)[which]
+    value, row, full, rest = value[which], row[which], full[which], rest[which]
+    repeats = np.where((place >= 0) & (place < full), most[which], np.where((place >= full) & (rest >= 3), rest, 0))
+    symbol = np.where(repeats == 0, value, np.where(value > 0, 16, np.where(repeats <= 10, 17, 18)))
+    more, least = _MORE[symbol], _LEAST[symbol]
+    counts = np.bincount(19 * row + symbol, minlength=19 * len(rows)).reshape(-1, 19)
+    of = np.empty_like(counts)
+    for i, n in enumerate(counts):
+        # At most 7 bits: these lengths are stored in 3.
+        while (found := _lengths(n)).max() > 7:
+            n = n + (n > 0) >> 1
+        of[i] = found
+    stored = of[:, _LENGTH_ORDER]
+    n = np.maximum(4, 19 - (stored[:, ::-1] > 0).argmax(1))
+    out.append((rows, n - 4 << 1, np.full(len(rows), 5)))
+    out.append((rows, (stored << 3 * np.arange(19)).sum(1), 3 * n))
+    tokens = np.bincount(row, minlength=len(rows)) - 2
+    size = np.maximum(2, np.frexp(tokens)[1] + 1 >> 1 << 1).astype(np.int64)  # of the number of tokens
+    out.append((rows, 1 | size - 2 | tokens << 4, 4 + size))
+    words = _words(of)[row, symbol]
+    of[(of > 0).sum(1) == 1] = 0
+    n = of[row, symbol]
+    out.append((rows[row], words | np.where(more > 0, repeats - least, 0) << n, n + more))
     return out
 
 
 def _code_header(lengths: np.ndarray) -> np.ndarray:
     """The bits that tell a decoder the lengths of a code."""
-    used = np.flatnonzero(lengths)
-    if len(used) == 0 or len(used) <= 2 and used[-1] < 256:
-        if len(used) == 2:
-            return _bit_array((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8))
-        return _bit_array((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
-    tokens: list[tuple[int, int, int]] = []  # symbol, and what follows it
-    for value, run in itertools.groupby(lengths[: used[-1] + 1].tolist()):
-        n = len(list(run))
-        if value:
-            tokens.append((value, 0, 0))
-            n -= 1
-        while n >= 3:
-            if value:
-                m = min(6, n)
-                tokens.append((16, m - 3, 2))
-            else:
-                m = min(138, n)
-                tokens.append((17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
-            n -= m
-        tokens += [(value, 0, 0)] * n
-    counts = np.bincount([t for t, _, _ in tokens], minlength=19)
-    # At most 7 bits: these lengths are stored in 3.
-    while (of := _lengths(counts)).max() > 7:
-        counts = counts + (counts > 0) >> 1
-    of = of.tolist()
-    words, code, last = [0] * 19, 0, 0
-    for n, symbol in sorted((n, symbol) for symbol, n in enumerate(of) if n):
-        code <<= n - last
-        last = n
-        words[symbol] = _SHORT[n][code]
-        code += 1
-    stored = [of[s] for s in _LENGTH_ORDER]
-    n = max(4, 19 - next(i for i, x in enumerate(reversed(stored)) if x))
-    fields = [(0, 1), (n - 4, 4), *((x, 3) for x in stored[:n]), (1, 1)]
-    size = max(2, -(-(max(0, len(tokens) - 2)).bit_length() // 2) * 2)
-    fields += [((size - 2) // 2, 3), (len(tokens) - 2, size)] if len(tokens) >= 2 else [(0, 3), (0, 2)]
-    single = sum(x > 0 for x in of) == 1
-    tokens += [(0, 0, 0)] * (2 - len(tokens))
-    for t, value, m in tokens:
-        fields += [] if single else [(words[t], of[t])]
-        fields += [(value, m)] if m else []
-    return _bit_array(*fields)
+    words, _, bits = _packed(_headers(lengths[None]), 1)
+    return np.unpackbits(words.view(np.uint8), count=int(bits[0]), bitorder="little")
 
 
-def _copies(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where copies of earlier samples begin, their lengths and distances, from left to right."""
-    none = np.zeros(0, np.int64)
-    if len(sample) < LEAST_COPY:
-        return none, none, none
+def _copies(sample: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where copies of earlier samples of an image begin, their lengths and distances, from left to right. ``start``:
+    where images start; each has 4 samples or more."""
     x = sample.astype(np.uint32)
     key = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
     hashed = (key * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # numpy sorts these by their digits
@@ -617,22 +740,25 @@ def _copies(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ranked = key[order]
     back = np.zeros(len(key) + 1, np.int64)  # how far back the last four equal samples are; 0: nowhere
     same = np.flatnonzero(ranked[1:] == ranked[:-1])
-    back[order[same + 1]] = order[same + 1] - order[same]
-    back[back > REACH] = 0
-    until = np.arange(1, len(back) + 1)
-    until[:-1][back[1:] == back[:-1]] = len(back)
-    until = np.minimum.accumulate(until[::-1])[::-1]  # where the distance changes next
+    here, there = order[same + 1], order[same]
+    size = np.diff(start, append=len(sample))
+    back[here] = np.where((there >= np.repeat(start, size)[here]) & (here - there <= REACH), here - there, 0)
+    back[start[1:, None] - [1, 2, 3]] = 0  # these four are not of one image
+    change = back[1:] != back[:-1]
+    until = np.append(np.flatnonzero(change) + 1, len(back))  # where the distance changes next
+    run = np.concatenate([[0], np.cumsum(change)])
     starts = np.flatnonzero(back)
-    length = until[starts] - starts + 3
+    length = until[run[starts]] - starts + 3
     some = length >= LEAST_COPY
     starts, length = starts[some], np.minimum(length[some], MOST_COPY)
-    after = starts.searchsorted(starts + length).tolist()  # the next that begins where a copy has ended, or later
-    taken, i = [], 0
-    while i < len(after):
+    after = memoryview(starts.searchsorted(starts + length))  # the next that begins where a copy has ended, or later
+    taken, i, n = [], 0, len(starts)
+    while i < n:
         taken.append(i)
         i = after[i]
-    begin = starts[taken] if taken else none
-    return begin, length[taken] if taken else none, back[begin]
+    taken = np.array(taken, np.int64)
+    begin = starts[taken]
+    return begin, length[taken], back[begin]
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -652,64 +778,59 @@ def _near_codes(width: int) -> np.ndarray:
     return near
 
 
-def _coded(sample: np.ndarray, width: int, alpha: np.ndarray) -> list[np.ndarray]:
-    """An image of one channel with prefix codes by frequency and back-references, as parts of its bits."""
-    begin, size, distance = _copies(sample)
+def _coded(sample: np.ndarray, start: np.ndarray, width: int, opaque: np.ndarray) -> list[_Fields]:
+    """Images of one channel, each with prefix codes by frequency and back-references; alpha is 255 or, if predicted, 0."""
+    images = np.arange(len(start))
+    of = np.repeat(images, np.diff(start, append=len(sample)))
+    begin, size, distance = _copies(sample, start)
     near = _near_codes(width)
     code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
     (long, long_extra, long_rest), (far, far_extra, far_rest) = _prefix(size), _prefix(np.where(code > 0, code, distance + len(NEAR)))
-    step = np.zeros(len(sample) + 1, np.int64)
+    step = np.zeros(len(sample) + 1, np.int8)
     step[begin] += 1
     step[begin + size] -= 1
-    token = np.cumsum(step)[:-1] == 0
+    token = np.cumsum(step[:-1], dtype=np.int8) == 0
     token[begin] = True
     place = np.flatnonzero(token)
     symbol = sample[place].astype(np.int64)
     which = place.searchsorted(begin)
     symbol[which] = 256 + long
-    green = _lengths(np.bincount(symbol, minlength=_GREEN_SYMBOLS))
-    away = _lengths(np.bincount(far, minlength=_DISTANCES))
-    out = [_code_header(green), _ZERO, _ZERO, alpha, _code_header(away)]
-    green_words, away_words = _words(green), _words(away)
-    if np.count_nonzero(green) == 1:
-        green = np.zeros_like(green)
-    if np.count_nonzero(away) == 1:
-        away = np.zeros_like(away)
-    # A copy's symbol is followed by three more fields.
-    step = np.ones(len(place), np.int64)
-    step[which] = 4
-    first = np.cumsum(step) - step
-    value, bits = np.zeros(len(place) + 3 * len(which), "<u4"), np.zeros(len(place) + 3 * len(which), np.uint8)
-    value[first], bits[first] = green_words[symbol], green[symbol]
-    for i, (v, b) in enumerate(((long_rest, long_extra), (away_words[far], away[far]), (far_rest, far_extra)), 1):
-        value[first[which] + i], bits[first[which] + i] = v, b
-    # Fields of 18 bits at most start in a word of 32 bits and end in it or the next; sums of floats are exact below 2**53.
-    ends = bits.cumsum(dtype=np.int64)
-    at = ends - bits
-    whole = value.astype(np.uint64) << (at & 31).astype(np.uint64)
-    at >>= 5
-    n = (int(ends[-1]) >> 5) + 2
-    words = np.bincount(at, whole & np.uint64(0xFFFFFFFF), n)
-    words[1:] += np.bincount(at, whole >> np.uint64(32), n)[:-1]
-    out.append(np.unpackbits(words.astype("<u4").view(np.uint8), count=int(ends[-1]), bitorder="little"))
-    return out
-
-
-def _entropy(counts: np.ndarray) -> float:
-    """Bits of a sample, on average, under the best code for such counts."""
-    n = counts.sum()
-    return float(np.log2(n) - counts @ np.log2(np.maximum(counts, 1)) / n)
-
-
-def _differences(plane: np.ndarray, mode: int) -> np.ndarray:
-    """The plane less its predictions from the left (1) or from above (2)."""
+    of = of[place]
+    symbol += _GREEN_SYMBOLS * of
+    far += _DISTANCES * of[which]
+    green = np.bincount(symbol, minlength=_GREEN_SYMBOLS * len(start)).reshape(-1, _GREEN_SYMBOLS)
+    away = np.bincount(far, minlength=_DISTANCES * len(start)).reshape(-1, _DISTANCES)
+    green, away = np.array([_lengths(n) for n in green]), np.array([_lengths(n) for n in away])
+    (full, full_bits), (zero, zero_bits) = (_field(_ZERO, _ZERO, a) for a in (_FULL, _ZERO))
+    between = images, np.where(opaque, full, zero), np.where(opaque, full_bits, zero_bits)
+    out = [*_headers(green), between, *_headers(away)]
+    green_words, away_words = _words(green).ravel(), _words(away).ravel()
+    green[np.count_nonzero(green, 1) == 1] = 0
+    away[np.count_nonzero(away, 1) == 1] = 0
+    value, bits = green_words[symbol], green.ravel()[symbol]
+    # A copy's symbol is followed by three more numbers.
+    for v, b in ((long_rest, long_extra), (away_words[far], away.ravel()[far]), (far_rest, far_extra)):
+        value[which] |= v << bits[which]
+        bits[which] += b
+    return [*out, (of, value, bits)]
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of a sample, on average, under the best code for such counts; a row is an image."""
+    n = counts.sum(1)
+    return np.log2(n) - (counts * np.log2(np.maximum(counts, 1))).sum(1) / n
+
+
+def _differences(plane: np.ndarray, first: np.ndarray, mode: int) -> np.ndarray:
+    """The images less their predictions from the left (1) or from above (2). ``first``: each image's first row."""
     out = plane.copy()
     if mode == 1:
         out[:, 1:] -= plane[:, :-1]
         out[1:, 0] -= plane[:-1, 0]
     else:
         out[1:] -= plane[:-1]
-        out[0, 1:] -= plane[0, :-1]
+        out[first, 1:] = plane[first, 1:] - plane[first, :-1]
+    out[first, 0] = plane[first, 0]
     return out
 
 
@@ -725,44 +846,65 @@ def _palette_form(plane: np.ndarray) -> list[np.ndarray]:
         place = np.bitwise_or.reduce(place << (np.arange(1 << packed, dtype=np.uint8) * each), 2).astype(np.uint8)
     symbol = int(place.max()).bit_length()
     # The palette: no cache; green differences of 8 bits; alpha 255 once, then 0, as a code of two symbols.
-    head = [_bit_array((1, 1), (3, 2), (len(values) - 1, 8), (0, 1)), _EQUAL[8], _ZERO, _ZERO]
-    head += [_bit_array((1, 1), (1, 1), (0, 1), (0, 1), (255, 8)), _ZERO]
+    head = [_bit_array((1, 1), (3, 2), (len(values) - 1, 8), (0, 1)), _EQUAL[8]]
+    head += [_bit_array(_ZERO, _ZERO, (1, 1), (1, 1), (0, 1), (0, 1), (255, 8), _ZERO)]
     steps = np.diff(values.astype(np.int16), prepend=0).astype(np.uint8)
     entries = np.empty((len(values), 9), np.uint8)
     entries[:, :8] = steps[:, None] >> np.arange(7, -1, -1, dtype=np.uint8) & 1
     entries[:, 8] = 0
     entries[0, 8] = 1
     # The pixels: no more transforms, no cache, one group of codes; green of ``symbol`` bits, nothing else.
-    body = [_bit_array((0, 3)), _EQUAL[symbol], _ZERO, _ZERO, _FULL, _ZERO]
+    body = [_bit_array((0, 3)), _EQUAL[symbol], _bit_array(_ZERO, _ZERO, _FULL, _ZERO)]
     pixels = place.reshape(-1, 1) >> np.arange(symbol - 1, -1, -1, dtype=np.uint8) & 1
     return [*head, entries.ravel(), *body, pixels.astype(np.uint8).ravel()]
 
 
-def _predictor_form(plane: np.ndarray, mode: int) -> list[np.ndarray]:
-    """The differences from one prediction everywhere. Alpha is predicted as well, so nothing is left of it."""
+@functools.cache
+def _predictor_head(mode: int) -> tuple[int, int]:
+    """One prediction everywhere. Alpha is predicted as well, so nothing is left of it."""
     # The modes: an image of blocks of 512 pixels with one green value, the mode, and no other bits.
-    head = [_bit_array((1, 1), (0, 2), (7, 3), (0, 1), (1, 1), (0, 1), (1, 1), (mode, 8)), _ZERO, _ZERO, _FULL, _ZERO, _bit_array((0, 3))]
-    return [*head, *_coded(_differences(plane, mode).ravel(), plane.shape[1], _ZERO)]
-
-
-def encode(plane: np.ndarray) -> bytes:
-    """A lossless WebP file whose green channel is the plane of 8-bit samples, opaque and black otherwise."""
-    height, width = plane.shape
-    flat = plane.ravel()
-    counts = np.bincount(flat, minlength=256)
-    forms = [[np.zeros(3, np.uint8), *_coded(flat, width, _FULL)]]
-    plain = _entropy(counts)
-    least, mode = min((_entropy(np.bincount(_differences(plane, m).ravel(), minlength=256)), m) for m in (1, 2))
-    if least < PREDICTABLE * plain:
-        forms.append(_predictor_form(plane, mode))
-    equal = len(flat) * np.ceil(np.log2(np.count_nonzero(counts)))
-    if equal <= sum(map(len, forms[0])):  # no code is shorter than the palette's bits alone
-        forms.append(_palette_form(plane))
-    best = min(forms, key=lambda f: sum(map(len, f)))
-    bits = np.concatenate([_bit_array((width - 1, 14), (height - 1, 14), (0, 4)), *best])
-    stream = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
-    chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
-    return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
+    only = ((1, 1), (0, 2), (7, 3), (0, 1), (1, 1), (0, 1), (1, 1), (mode, 8))
+    return _field(*only, _ZERO, _ZERO, _FULL, _ZERO, (0, 3))
+
+
+def encode(planes: list[np.ndarray]) -> list[bytes]:
+    """Lossless WebP files whose green channels are the planes of 8-bit samples, opaque and black otherwise.
+
+    The planes are of one width, of ``ROW`` samples or more. All are coded together: each array operation serves them all.
+    """
+    n, width, plane = len(planes), planes[0].shape[1], np.concatenate(planes)
+    rows = np.array([len(p) for p in planes])
+    first = np.cumsum(rows) - rows
+    of = np.repeat(np.arange(n) << 8, rows * width)
+
+    def counts(samples: np.ndarray) -> np.ndarray:
+        return np.bincount(of + samples.ravel(), minlength=n << 8).reshape(n, 256)
+
+    plain, changed = counts(plane), [_differences(plane, first, mode) for mode in (1, 2)]
+    left, above = (_entropy(counts(d)) for d in changed)
+    modes = np.where(left <= above, 1, 2)
+    predicted = np.flatnonzero(np.minimum(left, above) < PREDICTABLE * _entropy(plain))
+    samples = [plane.ravel(), *(changed[modes[i] - 1][first[i] : first[i] + rows[i]].ravel() for i in predicted)]
+    size = width * np.concatenate([rows, rows[predicted]])
+    heads = np.array([(0, 3)] * n + [_predictor_head(int(m)) for m in modes[predicted]])
+    coded = _coded(np.concatenate(samples), np.cumsum(size) - size, width, np.arange(len(size)) < n)
+    words, word, bits = _packed([(np.arange(len(size)), *heads.T), *coded], len(size))
+    data, forms = words.tobytes(), {i: [i] for i in range(n)}
+    for i, form in zip(predicted.tolist(), range(n, len(size)), strict=True):
+        forms[i].append(form)
+    equal = size[:n] * np.ceil(np.log2(np.count_nonzero(plain, 1)))
+    out = []
+    for i, height in enumerate(rows.tolist()):
+        best = min(forms[i], key=bits.__getitem__)
+        form = data[4 * word[best] : 4 * word[best] + (bits[best] + 7 >> 3)]
+        if equal[i] <= bits[i]:  # no code is shorter than the palette's bits alone
+            palette = np.concatenate(_palette_form(planes[i]))
+            if len(palette) < bits[best]:
+                form = np.packbits(palette, bitorder="little").tobytes()
+        stream = b"\x2f" + (width - 1 | height - 1 << 14).to_bytes(4, "little") + form
+        chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
+        out.append(b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk)
+    return out
 
 
 def payload_bytes(n: int) -> int:
@@ -770,19 +912,56 @@ def payload_bytes(n: int) -> int:
     return max(ROW, n + -n % ROW)
 
 
-def encode_payload(data: bytes) -> bytes:
-    """An image that holds the data, padded with zeros; rows are twice as wide as often as the height needs it."""
+def _plane(data: bytes) -> np.ndarray:
+    """The data, padded with zeros; rows are twice as wide as often as the height needs it."""
     n, width = payload_bytes(len(data)), ROW
     while n > width * MOST_ROWS:
         width *= 2
     if width > MOST_ROWS:
         raise ValueError("the data are too long for one image")
-    return encode(np.frombuffer(data + bytes(n + -n % width - len(data)), np.uint8).reshape(-1, width))
+    return np.frombuffer(data + bytes(n + -n % width - len(data)), np.uint8).reshape(-1, width)
+
+
+def encode_payloads(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """An image for each that holds the data, padded with zeros."""
+    planes: list[np.ndarray] = []
+    size = 0
+    for plane in map(_plane, payloads):
+        if planes and (size + plane.size > TOGETHER or plane.shape[1] != planes[0].shape[1]):
+            yield from encode(planes)
+            planes, size = [], 0
+        planes.append(plane)
+        size += plane.size
+    if planes:
+        yield from encode(planes)
+
+
+def encode_payload(data: bytes) -> bytes:
+    """An image that holds the data, padded with zeros."""
+    return next(encode_payloads([data]))
+
+
+def decode_payloads(media: Iterable[bytes], sizes: Iterable[int]) -> Iterator[bytes]:
+    """The padded payloads of so many bytes of data from their images."""
+    files: list[bytes] = []
+    ends: list[int] = []
+
+    def read() -> Iterator[bytes]:
+        for argb, n in zip(decode_all(files), ends, strict=True):
+            yield (argb >> np.uint32(8)).astype(np.uint8).tobytes()[:n]
+
+    for data, n in zip(media, map(payload_bytes, sizes), strict=True):
+        if files and sum(ends) + n > TOGETHER:
+            yield from read()
+            files, ends = [], []
+        files.append(data)
+        ends.append(n)
+    yield from read()
 
 
 def decode_payload(media: bytes, n: int) -> bytes:
     """The padded payload of ``n`` bytes of data from its image."""
-    return (decode(media) >> np.uint32(8)).astype(np.uint8).tobytes()[: payload_bytes(n)]
+    return next(decode_payloads([media], [n]))
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -791,7 +970,8 @@ def store(docs: DataFrame) -> DataFrame:
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 256):
             found = texts(batch.column(1))
-            media = {t: encode_payload(t) for t in dict.fromkeys(found)}
+            distinct = dict.fromkeys(found)
+            media = dict(zip(distinct, encode_payloads(distinct), strict=True))
             columns = {
                 "doc_id": batch.column(0).cast(pa.int64()),
                 "n_bytes": pa.array([len(t) for t in found], pa.int64()),
@@ -805,8 +985,7 @@ def store(docs: DataFrame) -> DataFrame:
 def features(stored: DataFrame) -> DataFrame:
     """Digests of each stored form and of the payload read back from it, and a histogram of the samples in 16 bins."""
 
-    def row(n: int, media: bytes) -> tuple:
-        payload = decode_payload(media, n)
+    def row(media: bytes, payload: bytes) -> tuple:
         bins = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
         return (
             len(payload),
@@ -822,7 +1001,8 @@ def features(stored: DataFrame) -> DataFrame:
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 256):
-            rows = list(zip(*map(row, batch.column(1).to_pylist(), batch.column(2).to_pylist()), strict=True)) or [()] * len(names)
+            sizes, media = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rows = list(zip(*map(row, media, decode_payloads(media, sizes)), strict=True)) or [()] * len(names)
             made = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "n_bytes", *names])
 
