@@ -16,8 +16,8 @@ can't win on one channel, as a pixel is one symbol anyhow, so the encoder asks f
 Many payloads are coded, and many files read, at a time, with array operations that serve them all: most texts are short, and
 one by one the calls cost more than the samples. A file doesn't depend on those beside it.
 
-Null and empty texts are stored as one row of zeros. Rows of null or repeated ids are stored like others. Equal texts give equal bytes. An empty table gives no rows. Texts of
-more than 2**28 bytes don't fit the format and are an error.
+Null and empty texts are stored as one row of zeros. Rows of null or repeated ids are stored like others. Equal texts give
+equal bytes. An empty table gives no rows. Texts of more than 2**28 bytes don't fit the format and are an error.
 """
 
 from __future__ import annotations
@@ -224,6 +224,12 @@ def _near(width: int) -> np.ndarray:
     return np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
 
 
+def _one_after_another(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables as one; the mask of the bits that each is for, and where it begins."""
+    size = np.array([len(t) for t in tables])
+    return np.concatenate(tables), size - 1, np.cumsum(size) - size
+
+
 def _is_one_channel(codes: list[_Code]) -> bool:
     """Whether the other channels are constant, and each symbol takes bits."""
     return codes[0].bits > 0 and all(c.only is not None for c in codes[1:4])
@@ -236,6 +242,7 @@ def _one_channels(images: list[tuple[_Bits, list[_Code], int, int]]) -> list[np.
     base, filled = np.cumsum(n) - n, np.zeros(len(n), np.int64)
     out = bytearray(int(n.sum()))
     samples, todo = np.frombuffer(out, np.uint8), list(range(len(images)))[::-1]
+    tables = [(_table(codes[0]), _table(codes[4])) for _, codes, _, _ in images]
     while todo:
         some, data, looked, begin = [], [], [], []
         while todo and (not some or sum(looked) + len(images[todo[-1]][0].data) <= SEGMENT >> 3):
@@ -248,8 +255,8 @@ def _one_channels(images: list[tuple[_Bits, list[_Code], int, int]]) -> list[np.
         start = 8 * (np.cumsum(sizes) - sizes)  # the first bit of each image
         end = start + 8 * np.array(looked)
         of = np.repeat(np.arange(len(some)), sizes)
-        green, green_mask, green_base = _joined_tables([images[i][1][0] for i in some])
-        far, far_mask, far_base = _joined_tables([images[i][1][4] for i in some])
+        green, green_mask, green_base = _one_after_another([tables[i][0] for i in some])
+        far, far_mask, far_base = _one_after_another([tables[i][1] for i in some])
         word = np.ndarray(len(of), "<i8", b"".join(data) + bytes(8), 0, (1,)).copy()
         found = word[:, None] >> _EIGHT
         found &= green_mask[of, None]
@@ -328,12 +335,6 @@ def _one_channels(images: list[tuple[_Bits, list[_Code], int, int]]) -> list[np.
     return [pixels[at : at + m] | r for at, m, r in zip(base.tolist(), n.tolist(), rest, strict=True)]
 
 
-def _joined_tables(codes: list[_Code]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tables of several codes, one after another; the mask of each code's bits, and where its table begins."""
-    size = np.array([1 << c.bits for c in codes])
-    return np.concatenate([_table(c) for c in codes]), size - 1, np.cumsum(size) - size
-
-
 def _one_channel(bits: _Bits, codes: list[_Code], n: int, width: int) -> np.ndarray | None:
     """The pixels, if the other channels are constant."""
     return _one_channels([(bits, codes, n, width)])[0] if _is_one_channel(codes) else None
@@ -730,25 +731,37 @@ def _code_header(lengths: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), count=int(bits[0]), bitorder="little")
 
 
-def _copies(sample: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where copies of earlier samples of an image begin, their lengths and distances, from left to right. ``start``:
-    where images start; each has 4 samples or more."""
+def _back(sample: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How far back in its image the last four samples are that equal a sample and its next three; 0: nowhere."""
     x = sample.astype(np.uint32)
     key = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
     hashed = (key * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # numpy sorts these by their digits
     order = np.argsort(hashed, kind="stable")
     ranked = key[order]
-    back = np.zeros(len(key) + 1, np.int64)  # how far back the last four equal samples are; 0: nowhere
     same = np.flatnonzero(ranked[1:] == ranked[:-1])
-    here, there = order[same + 1], order[same]
-    size = np.diff(start, append=len(sample))
-    back[here] = np.where((there >= np.repeat(start, size)[here]) & (here - there <= REACH), here - there, 0)
+    del x, key, hashed, ranked  # a text may be long
+    here, distance = order[same + 1], order[same]
+    del order, same
+    least = np.repeat(start.astype(np.int32), np.diff(start, append=len(sample)))  # the start of each sample's image
+    fits = distance >= least[here]
+    np.subtract(here, distance, out=distance)
+    fits &= distance <= REACH
+    distance *= fits
+    back = np.zeros(len(sample) - 2, np.int64)
+    back[here] = distance
     back[start[1:, None] - [1, 2, 3]] = 0  # these four are not of one image
+    return back
+
+
+def _copies(sample: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where copies of earlier samples of an image begin, their lengths and distances, from left to right. ``start``:
+    where images start; each has 4 samples or more."""
+    back = _back(sample, start)
     change = back[1:] != back[:-1]
     until = np.append(np.flatnonzero(change) + 1, len(back))  # where the distance changes next
-    run = np.concatenate([[0], np.cumsum(change)])
-    starts = np.flatnonzero(back)
-    length = until[run[starts]] - starts + 3
+    starts = np.flatnonzero(back)  # not the last sample, so each is before an entry of ``change``
+    length = until[np.cumsum(change, dtype=np.int32)[starts] - change[starts]]
+    length -= starts - 3
     some = length >= LEAST_COPY
     starts, length = starts[some], np.minimum(length[some], MOST_COPY)
     after = memoryview(starts.searchsorted(starts + length))  # the next that begins where a copy has ended, or later
@@ -781,7 +794,6 @@ def _near_codes(width: int) -> np.ndarray:
 def _coded(sample: np.ndarray, start: np.ndarray, width: int, opaque: np.ndarray) -> list[_Fields]:
     """Images of one channel, each with prefix codes by frequency and back-references; alpha is 255 or, if predicted, 0."""
     images = np.arange(len(start))
-    of = np.repeat(images, np.diff(start, append=len(sample)))
     begin, size, distance = _copies(sample, start)
     near = _near_codes(width)
     code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
@@ -795,7 +807,7 @@ def _coded(sample: np.ndarray, start: np.ndarray, width: int, opaque: np.ndarray
     symbol = sample[place].astype(np.int64)
     which = place.searchsorted(begin)
     symbol[which] = 256 + long
-    of = of[place]
+    of = np.repeat(images, np.diff(place.searchsorted(start), append=len(place)))
     symbol += _GREEN_SYMBOLS * of
     far += _DISTANCES * of[which]
     green = np.bincount(symbol, minlength=_GREEN_SYMBOLS * len(start)).reshape(-1, _GREEN_SYMBOLS)
@@ -875,10 +887,11 @@ def encode(planes: list[np.ndarray]) -> list[bytes]:
     n, width, plane = len(planes), planes[0].shape[1], np.concatenate(planes)
     rows = np.array([len(p) for p in planes])
     first = np.cumsum(rows) - rows
-    of = np.repeat(np.arange(n) << 8, rows * width)
 
     def counts(samples: np.ndarray) -> np.ndarray:
-        return np.bincount(of + samples.ravel(), minlength=n << 8).reshape(n, 256)
+        value = np.repeat(np.arange(n) << 8, rows * width)
+        value += samples.ravel()
+        return np.bincount(value, minlength=n << 8).reshape(n, 256)
 
     plain, changed = counts(plane), [_differences(plane, first, mode) for mode in (1, 2)]
     left, above = (_entropy(counts(d)) for d in changed)
